@@ -1,13 +1,13 @@
 """Character n-grams, plain and hashed.
 
 Lengths and offsets are code points. Texts are cut into grams by one pass of a
-regular expression or over a character array, never by ``substring`` from the
-start of a long text, which would be quadratic.
+regular expression with a look-ahead; ``substring`` at every position of a long
+text would be quadratic.
 """
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_GRAM = 3
@@ -23,42 +23,31 @@ def literal_ngrams(text: str, n: int) -> list[str]:
     return list(dict.fromkeys(text[i : i + n] for i in range(len(text) - n + 1)))
 
 
-def _positions(last: Column) -> Column:
-    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(
-        F.array().cast("array<int>")
-    )
-
-
-def _gram_at(chars: Column, start: Column, length: Column) -> Column:
-    return F.struct(
-        F.array_join(F.slice(chars, start + 1, length), "").alias("gram"),
-        start.cast("int").alias("start"),
-        (start + length).cast("int").alias("end"),
-    )
+def _windows(s: Column, low: int, high: int) -> Column:
+    """What begins at each position: up to ``high`` characters, at least ``low``."""
+    return F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{low},{high}}}))."), F.lit(1))
 
 
-def _grams_from(chars: Column, last: Column, low: int, high: int) -> Column:
-    """Grams of low..high characters at positions 0..last, shorter at the end."""
-    total = F.size(chars)
+def _grams_of(windows: Column, low: int) -> Column:
+    """The beginnings of each window, with start and end in the text."""
     return F.flatten(
         F.transform(
-            _positions(last),
-            lambda p: F.transform(
-                F.sequence(F.lit(low), F.least(F.lit(high), total - p)),
-                lambda length: _gram_at(chars, p, length),
+            windows,
+            lambda window, start: F.transform(
+                F.sequence(F.lit(low), F.length(window)),
+                lambda size: F.struct(
+                    F.substring(window, 1, size).alias("gram"),
+                    start.alias("start"),
+                    (start + size).alias("end"),
+                ),
             ),
         )
     )
 
 
-def _characters(s: Column) -> Column:
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, "", -1))
-
-
 def ngram_offsets(s: Column, low: int, high: int) -> Column:
     """Grams of low..high characters with start and end, by start then length."""
-    chars = _characters(s)
-    return _grams_from(chars, F.size(chars) - low, low, high)
+    return _grams_of(_windows(s, low, high), low)
 
 
 def ngrams_range(s: Column, low: int, high: int) -> Column:
@@ -74,60 +63,86 @@ def hashable_ngrams(s: Column, low: int, high: int, max_chars: int | None = None
     whole texts.
     """
     text = s if max_chars is None else F.substring(s, 1, max_chars)
-    # Trimmed as Java trims: everything up to the space, control characters too.
-    chars = _characters(F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", ""))
-    total = F.size(chars)
-    last = F.least(F.greatest(F.lit(0), total - high + 1), total - low)
-    return F.transform(_grams_from(chars, last, low, high), lambda g: g.gram)
+    # Trimmed of everything up to the space, control characters too.
+    windows = _windows(F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), low, high)
+    # Of the windows shorter than high, only the first still yields grams.
+    reached = F.greatest(F.size(windows) + (low - high + 1), F.lit(1))
+    return F.transform(_grams_of(F.slice(windows, 1, reached), low), lambda g: g.gram)
 
 
 _M = 0x5BD1E995  # fixed value: the multiplier of MurmurHash2
 _MASK = 0xFFFFFFFF
+_GRAM_BYTES = 4  # most bytes of a character in UTF-8
 
 
-def _times_m(x: Column) -> Column:
+def _times(x: Column, factor: int | Column = _M) -> Column:
     # x < 2**32 and _M < 2**31, so the product fits a BIGINT even in ANSI mode.
-    return (x * F.lit(_M).cast("bigint")).bitwiseAND(F.lit(_MASK))
+    by = F.lit(factor).cast("bigint") if isinstance(factor, int) else factor
+    return (x * by).bitwiseAND(F.lit(_MASK))
 
 
-def _little_endian(hex_text: Column, first: Column, count: int) -> Column:
-    """``count`` bytes from byte ``first`` of a hex text, as a number."""
-    digits = [F.substring(hex_text, (first + i) * 2 + 1, F.lit(2)) for i in reversed(range(count))]
-    return F.conv(F.concat(*digits), 16, 10).cast("bigint")
+def _word(hex_text: Column, block: Column) -> Column:
+    """Four bytes, the lowest first, as a number; zeros beyond the end."""
+    digits = F.rpad(F.substring(hex_text, block * 8 + 1, F.lit(8)), 8, "0")
+    return F.conv(F.concat(*[F.substring(digits, i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("bigint")
 
 
-def murmur2_32(s: Column, seed: int) -> Column:
-    """MurmurHash2 (32 bits) of the UTF-8 bytes, as an unsigned BIGINT.
+def _mixed_word(hex_text: Column, block: Column) -> Column:
+    k = _times(_word(hex_text, block))
+    return _times(k.bitwiseXOR(F.shiftrightunsigned(k, 24)))
 
-    Spark's own ``hash`` is Murmur3 and gives other values.
+
+def _hash_body(hex_text: Column, seed: int, max_bytes: int | None) -> Column:
+    """All of the hash but the last two steps.
+
+    Known to be short, a text is hashed by a straight line of conditional
+    steps, which compiles; otherwise by a loop over its blocks.
     """
-    size = F.octet_length(s)
-    hex_text = F.hex(F.encode(s, "UTF-8"))
+    size = F.floor(F.length(hex_text) / 2).cast("bigint")
     blocks = F.floor(size / 4).cast("int")
+    h = F.lit(seed & _MASK).cast("bigint").bitwiseXOR(size)
+    if max_bytes is None:
+        steps = F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(
+            F.array().cast("array<int>")
+        )
+        h = F.aggregate(
+            steps, h, lambda acc, block: _times(acc).bitwiseXOR(_mixed_word(hex_text, block))
+        )
+    else:
+        for block in range(max_bytes // 4):
+            there = blocks > block
+            factor = F.when(there, F.lit(_M)).otherwise(F.lit(1)).cast("bigint")
+            word = F.when(there, _mixed_word(hex_text, F.lit(block)))
+            h = _times(h, factor).bitwiseXOR(F.coalesce(word, F.lit(0).cast("bigint")))
+    left_over = size % 4 > 0
+    factor = F.when(left_over, F.lit(_M)).otherwise(F.lit(1)).cast("bigint")
+    rest = F.when(left_over, _word(hex_text, blocks)).otherwise(F.lit(0).cast("bigint"))
+    return _times(h.bitwiseXOR(rest), factor)
 
-    def mix(h: Column, block: Column) -> Column:
-        k = _times_m(_little_endian(hex_text, block * 4, 4))
-        k = _times_m(k.bitwiseXOR(F.shiftrightunsigned(k, 24)))
-        return _times_m(h).bitwiseXOR(k)
 
-    start = F.lit(seed & _MASK).cast("bigint").bitwiseXOR(size.cast("bigint"))
-    h = F.when(blocks == 0, start).otherwise(
-        F.aggregate(F.sequence(F.lit(0), blocks - 1), start, mix)
-    )
-    rest = size % 4
-    tail = blocks * 4
-    for count in (3, 2, 1):
-        if count == 3:
-            with_tail = F.when(rest == 3, _times_m(h.bitwiseXOR(_little_endian(hex_text, tail, 3))))
-        else:
-            with_tail = with_tail.when(
-                rest == count, _times_m(h.bitwiseXOR(_little_endian(hex_text, tail, count)))
-            )
-    h = with_tail.otherwise(h)
-    h = _times_m(h.bitwiseXOR(F.shiftrightunsigned(h, 13)))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _first_scramble(h: Column) -> Column:
+    return _times(h.bitwiseXOR(F.shiftrightunsigned(h, 13)))
+
+
+def _last_scramble(h: Column) -> Column:
     return h.bitwiseXOR(F.shiftrightunsigned(h, 15))
 
 
+def murmur2_32(s: Column, seed: int, max_bytes: int | None = None) -> Column:
+    """MurmurHash2 (32 bits) of the UTF-8 bytes, as an unsigned BIGINT.
+
+    Spark's own ``hash`` is Murmur3 and gives other values. ``max_bytes`` is a
+    bound on the size of the text, where there is one.
+    """
+    body = _let(F.hex(F.encode(s, "UTF-8")), lambda x: _hash_body(x, seed, max_bytes))
+    return _let(_let(body, _first_scramble), _last_scramble)
+
+
 def encode_int6(h: Column) -> Column:
     """A 32-bit number as its little-endian bytes in Base64, six characters."""
     big = F.lpad(F.hex(h), 8, "0")
@@ -135,16 +150,35 @@ def encode_int6(h: Column) -> Column:
     return F.substring(F.base64(F.unhex(little)), 1, 6)
 
 
-def gram_token(gram: Column, seed: int) -> Column:
-    """The six-character index token of a gram."""
-    return encode_int6(murmur2_32(gram, seed))
+def gram_token(gram: Column, seed: int, high: int | None = None) -> Column:
+    """The six-character index token of a gram of at most ``high`` characters."""
+    max_bytes = None if high is None else high * _GRAM_BYTES
+    return encode_int6(murmur2_32(gram, seed, max_bytes))
+
+
+def with_gram_tokens(df: DataFrame, seed: int, high: int, gram: str = "gram") -> DataFrame:
+    """Replace a column of grams by their index tokens.
+
+    For rows rather than arrays: the steps are columns, so each is computed
+    once and all of them in generated code.
+    """
+    return (
+        df.withColumn("_hash", F.hex(F.encode(F.col(gram), "UTF-8")))
+        .withColumn("_hash", _hash_body(F.col("_hash"), seed, high * _GRAM_BYTES))
+        .withColumn("_hash", _first_scramble(F.col("_hash")))
+        .withColumn("_hash", _last_scramble(F.col("_hash")))
+        .withColumn(gram, encode_int6(F.col("_hash")))
+        .drop("_hash")
+    )
 
 
 def hashed_ngrams(
     s: Column, low: int, high: int, seed: int, max_chars: int | None = None
 ) -> Column:
     """Index tokens of the hashable grams of a text, in gram order."""
-    return F.transform(hashable_ngrams(s, low, high, max_chars), lambda g: gram_token(g, seed))
+    return F.transform(
+        hashable_ngrams(s, low, high, max_chars), lambda g: gram_token(g, seed, high)
+    )
 
 
 def identity_token(s: Column) -> Column:

@@ -42,6 +42,13 @@ def compile_queries(clauses: DataFrame) -> DataFrame:
     return clauses.groupBy("query_id").agg(having("must"), having("should"), having("must_not"))
 
 
+def _constant(queries: DataFrame) -> Column:
+    """Compiled queries, a bounded number of clauses, as a constant array."""
+    rows = queries.select(F.struct(*queries.columns).alias("query"))
+    text = rows.agg(F.to_json(F.collect_list("query")).alias("text")).first()["text"]
+    return F.from_json(F.lit(text), f"array<{queries.schema.simpleString()}>")
+
+
 def _field_text(clause: Column) -> Column:
     """The value of the field a clause names, as it is written in a query."""
     cases = {name: F.col(name) for name in TEXT_FIELDS}
@@ -70,8 +77,10 @@ def _in_range(clause: Column) -> Column:
 def _holds(clause: Column, n: int) -> Column:
     """Whether a clause is true of the revision; false where its field is null."""
     text = _field_text(clause)
-    of_gram = F.exists(ngrams(text, n), lambda g: g.rlike(clause.value))
-    wildcard = F.when(clause.field.isin(*TEXT_FIELDS), of_gram).otherwise(text.rlike(clause.value))
+    of_gram = F.exists(ngrams(text, n), lambda g: F.regexp_like(g, clause.value))
+    wildcard = F.when(clause.field.isin(*TEXT_FIELDS), of_gram).otherwise(
+        F.regexp_like(text, clause.value)
+    )
     test = (
         F.when(clause.kind == "phrase", text.contains(clause.value))
         .when(clause.kind == "term", text == clause.value)
@@ -107,17 +116,16 @@ def match_saved_queries(
     A query holds when all its must clauses do, none of its must_not clauses,
     and at least one should clause unless there are musts or no shoulds.
 
-    The queries travel to the revisions as one array, so a single pass without
-    any shuffle answers all of them; there is no join. Beyond
-    ``clauses_per_pass`` clauses the queries are split into several passes, so
-    the array stays small whatever their number.
+    The queries are one constant array, so a single pass without any shuffle
+    answers all of them; there is no join. Beyond ``clauses_per_pass`` clauses
+    the queries are split into several passes, so the constant stays small
+    whatever their number.
     """
     passes = max(1, ceil(clauses.count() / clauses_per_pass))
     share = F.pmod(F.xxhash64("query_id"), F.lit(passes))
     matched = []
     for i in range(passes):
-        queries = compile_queries(clauses.where(share == i))
-        listed = queries.agg(F.collect_list(F.struct(*queries.columns))).scalar()
+        listed = _constant(compile_queries(clauses.where(share == i)))
         found = F.transform(F.filter(listed, lambda q: _matches(q, n)), lambda q: q.query_id)
         matched.append(revisions.select(F.explode(found).alias("query_id"), "rev_id", "timestamp"))
     return reduce(DataFrame.unionByName, matched)

@@ -7,20 +7,23 @@ from editwake.functions import derive
 from editwake.functions.text import escape, unescape, unquote
 from editwake.schema import HEADER_FIELDS, HUNK, REVISION
 
-_POSITION = ("file", "line")
+# Where a line stands: a split of a file knows its offset, and ids increase
+# inside a split, whichever task reads it.
+POSITION = ("file", "block", "line")
 
 
-def read_diff_lines(spark: SparkSession, path) -> DataFrame:
-    """All lines below a directory (or several), with their file and position.
+def split_position() -> list[Column]:
+    """The file and split a line is read from; only right above the scan."""
+    return [
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+    ]
 
-    ``line`` increases along each file; it is not consecutive.
-    """
+
+def read_diff_lines(spark: SparkSession, path) -> DataFrame:
+    """All lines below a directory (or several), with their POSITION."""
     lines = spark.read.option("recursiveFileLookup", True).text(path)
-    return lines.select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("line"),
-    )
+    return lines.select("value", *split_position(), F.monotonically_increasing_id().alias("line"))
 
 
 def _cells(value: Column) -> Column:

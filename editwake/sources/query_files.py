@@ -11,8 +11,9 @@ MAX_NAME = 100
 
 def read_query_file(spark: SparkSession, path) -> DataFrame:
     """A CSV of queries with optional output names, numbered in file order."""
-    rows = spark.read.schema("query string, output string").csv(path, escape='"')
-    # The upper half of the id is the partition, so a bucket is a file split.
+    # Queries may hold line ends, and a file read whole keeps its order.
+    rows = spark.read.schema("query string, output string").csv(path, escape='"', multiLine=True)
+    # The upper half of the id is the partition, so a bucket is a file.
     placed = rows.withColumn("line", F.monotonically_increasing_id())
     return name_queries(with_rank(placed, "line", width=2**33, name="ordinal").drop("line"))
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from editwake.plans.layout import BROADCAST_ROWS, drop_ids, keep_ids
 from editwake.schema import REVISION
 from editwake.session import shared_dir
+from editwake.sources.diff_files import POSITION
 
 ID_RANGE = 1_000_000
 _STORED = T.StructType([*REVISION.fields, T.StructField("id_range", T.LongType())])
@@ -27,7 +28,7 @@ def id_range(rev_id: str | Column = "rev_id", width: int = ID_RANGE) -> Column:
     return F.floor((F.col(rev_id) if isinstance(rev_id, str) else rev_id) / width)
 
 
-def latest_revision(revisions: DataFrame, order: Sequence[str] = ("file", "line")) -> DataFrame:
+def latest_revision(revisions: DataFrame, order: Sequence[str] = POSITION) -> DataFrame:
     """One row per rev_id, the last in ``order``; the order columns go away.
 
     An aggregate rather than a window: copies of a revision collapse before
@@ -46,7 +47,7 @@ def append_revisions(table: DataFrame, new: DataFrame) -> DataFrame:
 def upsert_revisions(
     base: DataFrame,
     new: DataFrame,
-    order: Sequence[str] = ("file", "line"),
+    order: Sequence[str] = POSITION,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``base`` without the revisions that ``new`` has again, and the last of those."""
@@ -112,7 +113,7 @@ def upsert_table(
     spark: SparkSession,
     new: DataFrame,
     path: str,
-    order: Sequence[str] = ("file", "line"),
+    order: Sequence[str] = POSITION,
     width: int = ID_RANGE,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> None:

@@ -24,7 +24,7 @@ def trend_rows(trend: DataFrame, as_links: bool = False) -> DataFrame:
     if "values" in trend.columns:
         columns.append(joined_ids(F.col("values"), as_links).alias("ids"))
     keep = [c for c in ("output",) if c in trend.columns]
-    order = [c for c in ("period", "part") if c in trend.columns]
+    order = [c for c in ("output", "period", "part") if c in trend.columns]
     return trend.orderBy(*order).select(*keep, *columns)
 
 
