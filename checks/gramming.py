@@ -181,32 +181,32 @@ def posting_frequencies(v):
     return ps.gram_frequencies(ps.build_postings(v.revisions))
 
 
-@query("SELECT rev_id FROM revisions WHERE contains(added, 'ed with the')", ("revisions",))
+@query("SELECT rev_id FROM revisions WHERE contains(added, 'ion of the')", ("revisions",))
 def postings_hits(v):
-    found = ps.postings_search(v.revisions, ps.build_postings(v.revisions), "ed with the")
+    found = ps.postings_search(v.revisions, ps.build_postings(v.revisions), "ion of the")
     return found.select("rev_id")
 
 
-@query("SELECT rev_id FROM revisions WHERE contains(added, 'ed with the')", ("revisions",))
+@query("SELECT rev_id FROM revisions WHERE contains(added, 'ion of the')", ("revisions",))
 def postings_hits_by_scan(v):
     """Every gram is too frequent for a broadcast of candidates."""
     postings = ps.build_postings(v.revisions)
-    found = ps.postings_search(v.revisions, postings, "ed with the", broadcast_rows=1)
+    found = ps.postings_search(v.revisions, postings, "ion of the", broadcast_rows=1)
     return found.select("rev_id")
 
 
-TOKENS = g.literal_ngrams("ed with the", 3)
+TOKENS = g.literal_ngrams("ion of the", 3)
 
 
 @query(
     f"""SELECT positives, hits_all, CAST(hits_all AS DOUBLE) / positives AS precision FROM (
           SELECT count(*) FILTER ({" AND ".join(f"contains(added, '{x}')" for x in TOKENS)})
                    AS positives,
-                 count(*) FILTER (contains(added, 'ed with the')) AS hits_all FROM revisions)""",
+                 count(*) FILTER (contains(added, 'ion of the')) AS hits_all FROM revisions)""",
     ("revisions",),
 )
 def postings_precision(v):
     """Share of the gram candidates that really have the phrase."""
     candidates = ps.candidates(ps.build_postings(v.revisions), TOKENS)
-    hits = v.revisions.where(p.phrase("added", "ed with the"))
+    hits = v.revisions.where(p.phrase("added", "ion of the"))
     return first_pass_precision(candidates, hits)
