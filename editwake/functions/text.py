@@ -18,6 +18,7 @@ def _unescape_token(token: Column) -> Column:
         .when(token.rlike(rf"^(?:{_PAIR})$"), F.decode(F.unhex(code), "UTF-16BE"))
         .when(token.rlike(r"^\\u+\+?[dD][89a-fA-F]"), F.lit("\ufffd"))
         .when(token.rlike(rf"^{_CODE}$"), F.decode(F.unhex(code), "UTF-16BE"))
+        .when(token == "\\u", F.lit(None).cast("string"))
         .when(token.rlike(r"^\\[0-7]"), F.char(F.conv(F.substring(token, 2, 3), 8, 10).cast("int")))
         # The letters of the control escapes.
         .otherwise(F.translate(F.substring(token, 2, 1), "ntrbf", "\n\t\r\b\f"))
@@ -31,10 +32,14 @@ def unescape(s: Column) -> Column:
     usual case, skip the tokenizing altogether.
     """
     tokens = F.regexp_extract_all(s, F.lit(_TOKEN), F.lit(0))
-    return F.when(F.instr(s, "\\") == 0, s).when(
-        ~F.exists(tokens, lambda t: t == "\\u"),
-        F.array_join(F.transform(tokens, _unescape_token), ""),
+    # A null among the pieces must not vanish in the join.
+    whole = F.transform(
+        F.array(F.transform(tokens, _unescape_token)),
+        lambda pieces: F.when(
+            F.forall(pieces, lambda piece: piece.isNotNull()), F.array_join(pieces, "")
+        ),
     )
+    return F.when(F.instr(s, "\\") == 0, s).otherwise(F.get(whole, F.lit(0)))
 
 
 def escape(s: Column) -> Column:

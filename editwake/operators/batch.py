@@ -51,11 +51,12 @@ def _constant(queries: DataFrame) -> Column:
 
 def _field_text(clause: Column) -> Column:
     """The value of the field a clause names, as it is written in a query."""
-    cases = {name: F.col(name) for name in TEXT_FIELDS}
-    cases |= {name: F.col(name).cast("string") for name in NUMBER_FIELDS}
+    cases = {name: F.col(name).cast("string") for name in NUMBER_FIELDS}
     cases["timestamp"] = derive.iso_timestamp(F.col("timestamp"))
     cases["minor"] = F.initcap(F.col("minor").cast("string"))
     cases["action"] = F.col("action")
+    # The last case is tried first: most clauses are phrases in added text.
+    cases |= {name: F.col(name) for name in reversed(TEXT_FIELDS)}
     value = F.lit(None).cast("string")
     for name, text in cases.items():
         value = F.when(clause.field == name, text).otherwise(value)

@@ -13,6 +13,10 @@ from editwake.functions.grams import DEFAULT_GRAM, literal_ngrams, ngrams
 from editwake.functions.predicates import phrase
 from editwake.plans.layout import BROADCAST_ROWS
 
+# How a stored table is divided, and into how many tasks each bucket's writing.
+BUCKETS = 64
+SALTS = 16
+
 
 def build_postings(
     revisions: DataFrame,
@@ -30,20 +34,49 @@ def build_postings(
     return revisions.select(F.explode(F.array_distinct(tokens)).alias("gram"), "rev_id")
 
 
-def write_postings(postings: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Store postings ordered by gram, so that a lookup skips other row groups.
+def gram_bucket(gram: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("int")
+
 
-    The id is part of the range key: a gram that occurs everywhere is spread
-    over as many files as it needs.
+def write_postings(
+    postings: DataFrame,
+    path: str,
+    mode: str = "errorifexists",
+    buckets: int = BUCKETS,
+    salts: int = SALTS,
+) -> None:
+    """Store postings by bucket of the gram, ordered by gram inside.
+
+    A lookup opens the buckets of its grams and there skips the row groups of
+    other grams. Ids salt the shuffle: a gram that occurs everywhere is written
+    by several tasks. Hashing needs no sampling pass over the texts, as ranges
+    of grams would.
     """
+    salted = postings.withColumns(
+        {
+            "bucket": gram_bucket(F.col("gram"), buckets),
+            "_salt": F.pmod(F.xxhash64("rev_id"), F.lit(salts)),
+        }
+    )
     (
-        postings.repartitionByRange("gram", "rev_id")
-        .sortWithinPartitions("gram", "rev_id")
+        salted.repartition("bucket", "_salt")
+        .drop("_salt")
+        .sortWithinPartitions("bucket", "gram", "rev_id")
         .write.mode(mode)
+        .partitionBy("bucket")
         .parquet(path)
     )
 
 
+def of_grams(rows: DataFrame, tokens: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """Rows of the given grams; in a stored table only their buckets are read."""
+    wanted = rows.where(F.col("gram").isin(list(tokens)))
+    if "bucket" in rows.columns:
+        numbers = [gram_bucket(F.lit(t), buckets) for t in tokens]
+        wanted = wanted.where(F.col("bucket").isin(numbers))
+    return wanted
+
+
 def gram_frequencies(postings: DataFrame) -> DataFrame:
     """Number of revisions per gram."""
     return postings.groupBy("gram").agg(F.count("*").alias("revisions"))
@@ -56,7 +89,7 @@ def candidates(postings: DataFrame, tokens: Sequence[str]) -> DataFrame:
     partly summed before the shuffle by id.
     """
     return (
-        postings.where(F.col("gram").isin(list(tokens)))
+        of_grams(postings, tokens)
         .groupBy("rev_id")
         .agg(F.count("*").alias("found"))
         .where(F.col("found") == len(tokens))
@@ -84,11 +117,12 @@ def postings_search(
     exact = phrase(field, text)
     if not tokens:
         return revisions.where(exact)
-    counted = frequencies if frequencies is not None else gram_frequencies(postings)
+    if frequencies is None:
+        counted = gram_frequencies(of_grams(postings, tokens))
+    else:
+        counted = frequencies.where(F.col("gram").isin(tokens)).select("gram", "revisions")
     # At most one row per gram of the query text.
-    known = dict(
-        counted.where(F.col("gram").isin(tokens)).select("gram", "revisions").collect()
-    )
+    known = dict(counted.collect())
     if len(known) < len(tokens):
         return revisions.where(F.lit(False))
     rare = [g for g in tokens if known[g] <= broadcast_rows]

@@ -22,16 +22,15 @@ RANK_WIDTH = 1_000_000
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS, text_bytes: Column | None = None) -> bool:
     """Whether ``df`` is proven small enough to broadcast.
 
-    Reads no more rows than needed to tell. ``text_bytes`` is the size of a
-    row's texts, for sides that are more than ids and numbers.
+    Counts all of it, since partial counts are summed evenly, whereas a limit
+    would gather rows in one task. ``text_bytes`` is the size of a row's texts,
+    for sides that are more than ids and numbers.
     """
     size = F.lit(0) if text_bytes is None else text_bytes
-    found = (
-        df.select(size.cast("bigint").alias("bytes"))
-        .limit(rows + 1)
-        .agg(F.count("*").alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
-        .first()
-    )
+    found = df.agg(
+        F.count("*").alias("rows"),
+        F.coalesce(F.sum(size.cast("bigint")), F.lit(0)).alias("bytes"),
+    ).first()
     return found["rows"] <= rows and found["bytes"] <= BROADCAST_BYTES
 
 

@@ -17,7 +17,8 @@ HEADER_FIELDS = (
 DERIVED_FIELDS = ("added", "removed", "added_size", "removed_size", "action")
 
 # Searched by substring; every other field is compared as a whole value.
-TEXT_FIELDS = ("title", "comment", "user_text", "added", "removed")
+# The most searched come first.
+TEXT_FIELDS = ("added", "removed", "comment", "title", "user_text")
 
 # Header texts keep their escapes in the table and lose them on output.
 ESCAPED_FIELDS = ("title", "comment", "user_text")

@@ -1,11 +1,14 @@
 """Diff files: one revision per line, tab separated, hunks after the header."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from editwake.functions import derive
 from editwake.functions.text import escape, unescape, unquote
-from editwake.schema import HEADER_FIELDS, HUNK, REVISION
+from editwake.schema import HEADER_FIELDS, REVISION
 
 # Where a line stands: a split of a file knows its offset, and ids increase
 # inside a split, whichever task reads it.
@@ -26,8 +29,14 @@ def read_diff_lines(spark: SparkSession, path) -> DataFrame:
     return lines.select("value", *split_position(), F.monotonically_increasing_id().alias("line"))
 
 
-def _cells(value: Column) -> Column:
-    return F.split(value, "\t", -1)
+def _with_cells(lines: DataFrame) -> DataFrame:
+    """Lines with their tab-separated cells.
+
+    Generated rather than projected: a filter on a projected array would be
+    pushed below it and split the line again for every cell it looks at.
+    """
+    cells = F.array(F.split("value", "\t", -1))
+    return lines.select("*", F.explode(cells).alias("cells"))
 
 
 def _whole(cell: Column) -> Column:
@@ -58,34 +67,49 @@ def _parsable(cells: Column) -> Column:
     # An absent user is spelled out; anything else must be a number.
     user = unquote(F.get(cells, F.lit(7)))
     tests.append((user == "None") | header["user_id"].isNotNull())
-    parsable = F.size(cells) >= len(HEADER_FIELDS)
-    for test in tests:
-        parsable = parsable & test
+    parsable = reduce(and_, tests, F.size(cells) >= len(HEADER_FIELDS))
     return F.coalesce(parsable, F.lit(False))
 
 
-def parse_hunk(cell: Column) -> Column:
-    """``position:sign:literal`` as a struct; null when it cannot be read.
+def parse_hunks(cells: Column, readable: bool = True) -> Column:
+    """``position:sign:literal`` cells as structs; unreadable ones are skipped.
 
     A literal of at most two characters is an empty text. Position and sign
-    stay texts, since they are searchable as written.
+    stay texts, since they are searchable as written. The steps are separate
+    transforms so that each value is computed once. With ``readable=False``
+    the result is the cells that are skipped.
     """
-    first = F.instr(cell, ":")
-    rest = cell.substr(first + 1, F.length(cell))
-    second = F.instr(rest, ":")
-    literal = rest.substr(second + 1, F.length(rest))
-    text = F.when(F.length(literal) <= 2, "").otherwise(unescape(unquote(literal)))
-    hunk = F.struct(
-        cell.substr(F.lit(1), first - 1).alias("pos"),
-        rest.substr(F.lit(1), second - 1).alias("sign"),
-        text.alias("text"),
+    parts = F.transform(
+        cells, lambda c: F.struct(c.alias("cell"), F.split(c, ":", 3).alias("parts"))
+    )
+    bare = F.transform(
+        parts,
+        lambda h: F.struct(
+            h.cell.alias("cell"),
+            F.get(h.parts, F.lit(0)).alias("pos"),
+            F.get(h.parts, F.lit(1)).alias("sign"),
+            _literal(F.get(h.parts, F.lit(2))).alias("literal"),
+        ),
+    )
+    hunks = F.transform(
+        bare,
+        lambda h: F.struct(
+            h.pos.alias("pos"),
+            h.sign.alias("sign"),
+            unescape(h.literal).alias("text"),
+            F.when(F.lit(not readable), h.cell).alias("cell"),
+        ),
+    )
+    if not readable:
+        return F.transform(F.filter(hunks, lambda h: h.text.isNull()), lambda h: h.cell)
+    return F.transform(
+        F.filter(hunks, lambda h: h.text.isNotNull()),
+        lambda h: F.struct(h.pos.alias("pos"), h.sign.alias("sign"), h.text.alias("text")),
     )
-    return F.when((first > 0) & (second > 0) & text.isNotNull(), hunk)
 
 
-def parse_hunks(cells: Column) -> Column:
-    """All readable hunks of an array of cells; unreadable ones are skipped."""
-    return F.filter(F.transform(cells, parse_hunk), lambda h: h.isNotNull())
+def _literal(rest: Column) -> Column:
+    return F.when(F.length(rest) <= 2, "").otherwise(unquote(rest))
 
 
 def _hunk_cells(cells: Column) -> Column:
@@ -102,13 +126,13 @@ def parse_revisions(lines: DataFrame, keep=None) -> DataFrame:
     through, so file and line stay available for ordering.
     """
     extra = [c for c in lines.columns if c != "value"]
-    cells = _cells(F.col("value"))
+    cells = F.col("cells")
     parsed = (
-        lines.withColumn("cells", cells)
-        .where(_parsable(F.col("cells")))
+        _with_cells(lines)
+        .where(_parsable(cells))
         .select(
-            *[c.alias(n) for n, c in _header(F.col("cells")).items()],
-            parse_hunks(_hunk_cells(F.col("cells"))).cast("array<" + HUNK.simpleString() + ">").alias("hunks"),
+            *[c.alias(n) for n, c in _header(cells).items()],
+            parse_hunks(_hunk_cells(cells)).cast(REVISION["hunks"].dataType).alias("hunks"),
             *extra,
         )
     )
@@ -118,28 +142,28 @@ def parse_revisions(lines: DataFrame, keep=None) -> DataFrame:
 
 def corrupt_lines(lines: DataFrame) -> DataFrame:
     """The lines ``parse_revisions`` leaves out, with the reason."""
-    cells = _cells(F.col("value"))
-    return lines.where(~_parsable(cells)).withColumn(
-        "reason",
+    cells = F.col("cells")
+    whole = reduce(
+        and_, [_whole(F.get(cells, F.lit(i))) for i in range(len(HEADER_FIELDS))]
+    )
+    reason = (
         F.when(F.size(cells) < len(HEADER_FIELDS), "too few columns")
-        .when(~F.coalesce(_all_whole(cells), F.lit(False)), "empty column")
-        .otherwise("wrong type"),
+        .when(~whole, "empty column")
+        .otherwise("wrong type")
     )
-
-
-def _all_whole(cells: Column) -> Column:
-    whole = F.lit(True)
-    for i in range(len(HEADER_FIELDS)):
-        whole = whole & _whole(F.get(cells, F.lit(i)))
-    return whole
+    return _with_cells(lines).where(~_parsable(cells)).select(*lines.columns, reason.alias("reason"))
 
 
 def skipped_hunks(lines: DataFrame) -> DataFrame:
     """The hunk cells that cannot be read, one row each."""
-    cells = _cells(F.col("value"))
-    bad = F.filter(_hunk_cells(cells), lambda c: parse_hunk(c).isNull())
-    return lines.where(_parsable(cells)).select(
-        F.get(cells, F.lit(0)).try_cast("bigint").alias("rev_id"), F.explode(bad).alias("hunk")
+    cells = F.col("cells")
+    return (
+        _with_cells(lines)
+        .where(_parsable(cells))
+        .select(
+            F.get(cells, F.lit(0)).try_cast("bigint").alias("rev_id"),
+            F.explode(parse_hunks(_hunk_cells(cells), readable=False)).alias("hunk"),
+        )
     )
 
 

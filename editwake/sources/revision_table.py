@@ -4,7 +4,8 @@ Stored tables are Parquet, partitioned by ``id_range`` (revision ids in steps
 of ``ID_RANGE``) and ordered by time inside. A revision never changes its
 range, so an upsert rewrites exactly the ranges its ids fall into and leaves
 the rest of the table alone; ids grow with time, so a time filter skips nearly
-all row groups by their minima and maxima.
+all row groups by their minima and maxima. Ranges should be so wide that one
+holds some gigabytes.
 """
 
 from collections.abc import Sequence
@@ -21,6 +22,9 @@ from editwake.session import shared_dir
 from editwake.sources.diff_files import POSITION
 
 ID_RANGE = 1_000_000
+# Into how many tasks the writing of a range is spread, and its copies further.
+SLICES = 64
+COPY_SALTS = 16
 _STORED = T.StructType([*REVISION.fields, T.StructField("id_range", T.LongType())])
 
 
@@ -84,13 +88,29 @@ def table_stats(revisions: DataFrame) -> DataFrame:
 
 
 def write_revisions(
-    revisions: DataFrame, path: str, mode: str = "errorifexists", width: int = ID_RANGE
+    revisions: DataFrame,
+    path: str,
+    mode: str = "errorifexists",
+    width: int = ID_RANGE,
+    copies: bool = False,
 ) -> None:
-    """Store revisions. Range partitioning by (id_range, timestamp) keeps every
-    output task even, also where one range holds most of the rows."""
+    """Store revisions, each id range in several files ordered by time.
+
+    Rows are shuffled once, by slices of their range, so that a range with
+    most of the rows is written by many tasks; there is no sampling pass as
+    for a range partitioning. With ``copies`` of ids, the rows of a slice are
+    spread further by the task they come from.
+    """
+    placed = revisions.withColumns(
+        {
+            "id_range": id_range(width=width),
+            "_slice": F.floor(F.col("rev_id") / max(width // SLICES, 1)),
+            "_salt": F.spark_partition_id() % COPY_SALTS if copies else F.lit(0),
+        }
+    )
     (
-        revisions.withColumn("id_range", id_range(width=width))
-        .repartitionByRange("id_range", "timestamp")
+        placed.repartition("id_range", "_slice", "_salt")
+        .drop("_slice", "_salt")
         .sortWithinPartitions("id_range", "timestamp")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
@@ -106,7 +126,7 @@ def read_revisions(spark: SparkSession, path: str) -> DataFrame:
 
 def append_table(new: DataFrame, path: str, width: int = ID_RANGE) -> None:
     """Add rows to a stored table without looking at what is there."""
-    write_revisions(new.select(*REVISION.names), path, "append", width)
+    write_revisions(new.select(*REVISION.names), path, "append", width, copies=True)
 
 
 def upsert_table(
