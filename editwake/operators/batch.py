@@ -1,5 +1,6 @@
 """Many saved queries at once, and the cleaning of their terms."""
 
+import json
 from functools import reduce
 from math import ceil
 
@@ -13,6 +14,12 @@ from editwake.schema import TEXT_FIELDS
 # Clauses evaluated in one pass over the revisions.
 CLAUSES_PER_PASS = 10_000
 
+# A phrase is looked for only where its middle characters occur; from so many
+# phrases on, finding those in one go is cheaper than testing each phrase.
+ANCHOR = 8
+ANCHORED_FIELDS = ("added", "removed")
+MIN_ANCHORS = 64
+
 # Fields whose ranges are in number order.
 NUMBER_FIELDS = ("rev_id", "page_id", "namespace", "user_id", "added_size", "removed_size")
 
@@ -24,6 +31,18 @@ def _as_regexp(pattern: Column) -> Column:
     return F.concat(F.lit("(?s)^"), open_ended, F.lit("$"))
 
 
+def _anchor() -> Column:
+    """The middle characters of a phrase in a long field, if it has enough."""
+    value = F.col("value")
+    middle = value.substr((F.floor((F.length(value) - ANCHOR) / 2) + 1).cast("int"), F.lit(ANCHOR))
+    anchored = (
+        (F.col("kind") == "phrase")
+        & F.col("field").isin(*ANCHORED_FIELDS)
+        & (F.length(value) >= ANCHOR)
+    )
+    return F.when(anchored, middle)
+
+
 def compile_queries(clauses: DataFrame) -> DataFrame:
     """One row per query, with its must, should and must_not clauses as arrays."""
     clause = F.struct(
@@ -34,6 +53,7 @@ def compile_queries(clauses: DataFrame) -> DataFrame:
         .alias("value"),
         "lo",
         "hi",
+        _anchor().alias("anchor"),
     )
 
     def having(occur: str) -> Column:
@@ -49,51 +69,83 @@ def _constant(queries: DataFrame) -> Column:
     return F.from_json(F.lit(text), f"array<{queries.schema.simpleString()}>")
 
 
-def _field_text(clause: Column) -> Column:
-    """The value of the field a clause names, as it is written in a query."""
-    cases = {name: F.col(name).cast("string") for name in NUMBER_FIELDS}
+def _anchors_present(clauses: DataFrame) -> Column:
+    """Which anchors of the clauses occur in the revision, by field; null if not looked up."""
+    anchors = clauses.select("field", _anchor().alias("anchor")).where("anchor IS NOT NULL")
+    # A bounded number of short strings, as the clauses themselves.
+    by_field = {
+        row["field"]: row["anchors"]
+        for row in anchors.groupBy("field").agg(F.collect_set("anchor").alias("anchors")).collect()
+    }
+
+    def present(field: str) -> Column:
+        wanted = by_field.get(field, [])
+        if len(wanted) < MIN_ANCHORS:
+            return F.lit(None).cast("array<string>")
+        listed = F.from_json(F.lit(json.dumps(wanted)), "array<string>")
+        return F.array_intersect(ngrams(F.col(field), ANCHOR), listed)
+
+    return F.struct(*[present(f).alias(f) for f in ANCHORED_FIELDS])
+
+
+def _texts() -> Column:
+    """All fields as they are written in a query."""
+    cases = {name: F.col(name) for name in TEXT_FIELDS}
     cases["timestamp"] = derive.iso_timestamp(F.col("timestamp"))
+    cases |= {name: F.col(name).cast("string") for name in NUMBER_FIELDS}
     cases["minor"] = F.initcap(F.col("minor").cast("string"))
     cases["action"] = F.col("action")
-    # The last case is tried first: most clauses are phrases in added text.
-    cases |= {name: F.col(name) for name in reversed(TEXT_FIELDS)}
+    return F.struct(*[text.alias(name) for name, text in cases.items()])
+
+
+def _field_text(clause: Column, texts: Column) -> Column:
+    """The text of the field a clause names; the most searched are tried first."""
     value = F.lit(None).cast("string")
-    for name, text in cases.items():
-        value = F.when(clause.field == name, text).otherwise(value)
+    for name in reversed((*TEXT_FIELDS, "timestamp", *NUMBER_FIELDS, "minor", "action")):
+        value = F.when(clause.field == name, texts.getField(name)).otherwise(value)
     return value
 
 
-def _in_range(clause: Column) -> Column:
+def _in_range(clause: Column, value: Column) -> Column:
     """Inclusive; numbers in number order, anything else as text; null is open."""
 
     def between(value: Column, lo: Column, hi: Column) -> Column:
         return (lo.isNull() | (value >= lo)) & (hi.isNull() | (value <= hi))
 
-    number = _field_text(clause).try_cast("bigint")
+    number = value.try_cast("bigint")
     numeric = between(number, clause.lo.try_cast("bigint"), clause.hi.try_cast("bigint"))
-    text = between(_field_text(clause), clause.lo, clause.hi)
+    text = between(value, clause.lo, clause.hi)
     return F.when(clause.field.isin(*NUMBER_FIELDS), numeric).otherwise(text)
 
 
-def _holds(clause: Column, n: int) -> Column:
+def _may_occur(clause: Column, present: Column) -> Column:
+    """False only where the anchor of a phrase is known not to occur."""
+    occurs = F.lit(None).cast("boolean")
+    for field in ANCHORED_FIELDS:
+        found = F.array_contains(present.getField(field), clause.anchor)
+        occurs = F.when(clause.field == field, found).otherwise(occurs)
+    return F.coalesce(occurs, F.lit(True))
+
+
+def _holds(clause: Column, row: Column, n: int) -> Column:
     """Whether a clause is true of the revision; false where its field is null."""
-    text = _field_text(clause)
+    text = _field_text(clause, row.texts)
     of_gram = F.exists(ngrams(text, n), lambda g: F.regexp_like(g, clause.value))
     wildcard = F.when(clause.field.isin(*TEXT_FIELDS), of_gram).otherwise(
         F.regexp_like(text, clause.value)
     )
     test = (
-        F.when(clause.kind == "phrase", text.contains(clause.value))
+        F.when(clause.kind == "phrase", _may_occur(clause, row.present) & text.contains(clause.value))
         .when(clause.kind == "term", text == clause.value)
-        .when(clause.kind == "range", _in_range(clause))
+        .when(clause.kind == "range", _in_range(clause, text))
         .when(clause.kind == "wildcard", wildcard)
     )
     return F.coalesce(test, F.lit(False))
 
 
-def _matches(query: Column, n: int) -> Column:
+def _matches(query: Column, row: Column, n: int) -> Column:
     def holds(clause: Column) -> Column:
-        return _holds(clause, n)
+        return _holds(clause, row, n)
 
     return (
         F.forall(query.must, holds)
@@ -118,7 +170,8 @@ def match_saved_queries(
     and at least one should clause unless there are musts or no shoulds.
 
     The queries are one constant array, so a single pass without any shuffle
-    answers all of them; there is no join. Beyond ``clauses_per_pass`` clauses
+    answers all of them; there is no join. Of many phrases, only those whose
+    middle occurs in the revision are looked for. Beyond ``clauses_per_pass`` clauses
     the queries are split into several passes, so the constant stays small
     whatever their number.
     """
@@ -126,8 +179,16 @@ def match_saved_queries(
     share = F.pmod(F.xxhash64("query_id"), F.lit(passes))
     matched = []
     for i in range(passes):
-        listed = _constant(compile_queries(clauses.where(share == i)))
-        found = F.transform(F.filter(listed, lambda q: _matches(q, n)), lambda q: q.query_id)
+        part = clauses.where(share == i)
+        listed = _constant(compile_queries(part))
+        row = F.struct(_texts().alias("texts"), _anchors_present(part).alias("present"))
+        # A transform of one element, so that the row is prepared once.
+        found = F.transform(
+            F.array(row),
+            lambda row: F.transform(
+                F.filter(listed, lambda q: _matches(q, row, n)), lambda q: q.query_id
+            ),
+        )[0]
         matched.append(revisions.select(F.explode(found).alias("query_id"), "rev_id", "timestamp"))
     return reduce(DataFrame.unionByName, matched)
 
