@@ -191,7 +191,7 @@ def postings_hits(v):
 def postings_hits_by_scan(v):
     """Every gram is too frequent for a broadcast of candidates."""
     postings = ps.build_postings(v.revisions)
-    found = ps.postings_search(v.revisions, postings, "ion of the", broadcast_rows=1)
+    found = ps.postings_search(v.revisions, postings, "ion of the", broadcast_ids=1)
     return found.select("rev_id")
 
 

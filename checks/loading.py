@@ -145,7 +145,7 @@ def table_upserted(v):
     """The same on a stored table, of which only the touched id ranges are rewritten."""
     path = work_path(v.spark, "table")
     revision_table.write_revisions(v.revisions, path, width=PART)
-    revision_table.upsert_table(v.spark, v.upsert_batch, path, ("seq",), width=PART)
+    revision_table.upsert_table(v.spark, v.upsert_batch, path, ("seq",))
     return versions(revision_table.read_revisions(v.spark, path))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from editwake.functions.derive import with_derived
 from editwake.functions.text import escape
+from editwake.plans.layout import step
 from editwake.schema import CLAUSE, REVISION
 from editwake.sources.diff_files import format_diff_lines
 
@@ -202,7 +203,7 @@ class Views:
         packed = dated.groupBy(
             "series",
             F.date_format("timestamp", "yyyy-MM").alias("date"),
-            F.floor(F.col("rev_id") / PART).alias("part"),
+            step("rev_id", PART).alias("part"),
         ).agg(F.count("*").alias("hits"), F.array_sort(F.collect_list("rev_id")).alias("ids"))
         return packed.withColumn("ids", F.array_join("ids", ";")).drop("part")
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from editwake.functions.grams import DEFAULT_GRAM, literal_ngrams, ngrams
 from editwake.functions.predicates import phrase
-from editwake.plans.layout import BROADCAST_ROWS
+from editwake.plans.layout import BROADCAST_IDS
+from editwake.sources.revision_table import id_range, range_width
 
 # How a stored table is divided, and into how many tasks each bucket's writing.
 BUCKETS = 64
@@ -104,14 +105,15 @@ def postings_search(
     field: str = "added",
     n: int = DEFAULT_GRAM,
     frequencies: DataFrame | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_ids: int = BROADCAST_IDS,
 ) -> DataFrame:
     """Revisions whose field contains ``text``.
 
     The frequency of the rarest gram bounds the number of candidates before
     any posting is read. Within the bound, the grams up to it are intersected
-    and the ids broadcast, so no revision text is shuffled. Beyond it, a scan
-    reads less than the join would move, and gives the same rows.
+    and the ids broadcast, so no revision text is shuffled; of a stored table
+    only the id ranges with candidates are read. Beyond the bound, a scan reads
+    less than the join would move, and gives the same rows.
     """
     tokens = literal_ngrams(text, n)
     exact = phrase(field, text)
@@ -125,8 +127,15 @@ def postings_search(
     known = dict(counted.collect())
     if len(known) < len(tokens):
         return revisions.where(F.lit(False))
-    rare = [g for g in tokens if known[g] <= broadcast_rows]
+    rare = [g for g in tokens if known[g] <= broadcast_ids]
     if not rare:
         return revisions.where(exact)
     ids = candidates(postings, rare)
-    return revisions.join(F.broadcast(ids), "rev_id", "left_semi").where(exact)
+    keys = ["rev_id"]
+    width = range_width(revisions)
+    if width is not None:
+        # Joined on the partition column, the candidates prune partitions.
+        kind = revisions.schema["id_range"].dataType
+        ids = ids.withColumn("id_range", id_range(width=width).cast(kind))
+        keys.append("id_range")
+    return revisions.join(F.broadcast(ids), keys, "left_semi").where(exact)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from editwake.functions.derive import normalise_date, period_key
 from editwake.operators.hits import select_fields
+from editwake.plans.layout import step
 
 # Ids per part of a packed trend: about a megabyte of ids in one list.
 PART_WIDTH = 100_000
@@ -54,7 +55,7 @@ def trend_with_fields(
         .groupBy("period", *names)
         .agg(F.count("*").alias("copies"))
     )
-    part = F.floor(F.col("rev_id") / part_width).alias("part")
+    part = step("rev_id", part_width).alias("part")
     values = F.array_sort(F.collect_list(F.struct(*names, "copies"))).alias("values")
     packed = rows.groupBy("period", part).agg(F.sum("copies").alias("hits"), values)
     return packed.orderBy("period", "part")

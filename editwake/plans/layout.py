@@ -13,12 +13,19 @@ from pyspark.sql import functions as F
 # What a broadcast side may have at most, in rows and in bytes of its texts.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 256 * 2**20
+# Bare ids are smaller: 16 bytes each once hashed.
+BROADCAST_IDS = 10_000_000
 
 # Ids per bucket of an ordering; also the most rows one rank window sorts when
 # ids are unique.
 RANK_WIDTH = 1_000_000
 
 
+def step(value: str | Column, width: int) -> Column:
+    """The step of a given width a number falls into, by whole-number division."""
+    return F.call_function("div", F.col(value) if isinstance(value, str) else value, F.lit(width))
+
+
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS, text_bytes: Column | None = None) -> bool:
     """Whether ``df`` is proven small enough to broadcast.
 
@@ -51,14 +58,14 @@ def distinct_ids(ids: DataFrame, key: str = "rev_id") -> DataFrame:
 
 
 def keep_ids(
-    df: DataFrame, ids: DataFrame, key: str = "rev_id", rows: int = BROADCAST_ROWS
+    df: DataFrame, ids: DataFrame, key: str = "rev_id", rows: int = BROADCAST_IDS
 ) -> DataFrame:
     """Rows whose key is among ``ids``."""
     return df.join(small_side(distinct_ids(ids, key), rows), key, "left_semi")
 
 
 def drop_ids(
-    df: DataFrame, ids: DataFrame, key: str = "rev_id", rows: int = BROADCAST_ROWS
+    df: DataFrame, ids: DataFrame, key: str = "rev_id", rows: int = BROADCAST_IDS
 ) -> DataFrame:
     """Rows whose key is not among ``ids``."""
     return df.join(small_side(distinct_ids(ids, key), rows), key, "left_anti")
@@ -90,7 +97,7 @@ def with_rank(
     together. With ``up_to`` the buckets past the cut are dropped before
     anything is sorted.
     """
-    bucketed = df.withColumn("_bucket", F.floor(F.col(order) / width))
+    bucketed = df.withColumn("_bucket", step(order, width))
     counted = bucketed.groupBy(*by, "_bucket").agg(F.count("*").alias("_rows"))
     offsets = _bucket_offsets(counted, by)
     if up_to is not None:

@@ -14,9 +14,8 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from editwake.plans.layout import BROADCAST_ROWS, drop_ids, keep_ids
+from editwake.plans.layout import BROADCAST_IDS, drop_ids, keep_ids, step
 from editwake.schema import REVISION
 from editwake.session import shared_dir
 from editwake.sources.diff_files import POSITION
@@ -25,11 +24,10 @@ ID_RANGE = 1_000_000
 # Into how many tasks the writing of a range is spread, and its copies further.
 SLICES = 64
 COPY_SALTS = 16
-_STORED = T.StructType([*REVISION.fields, T.StructField("id_range", T.LongType())])
 
 
 def id_range(rev_id: str | Column = "rev_id", width: int = ID_RANGE) -> Column:
-    return F.floor((F.col(rev_id) if isinstance(rev_id, str) else rev_id) / width)
+    return step(rev_id, width)
 
 
 def latest_revision(revisions: DataFrame, order: Sequence[str] = POSITION) -> DataFrame:
@@ -52,25 +50,25 @@ def upsert_revisions(
     base: DataFrame,
     new: DataFrame,
     order: Sequence[str] = POSITION,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_ids: int = BROADCAST_IDS,
 ) -> DataFrame:
     """``base`` without the revisions that ``new`` has again, and the last of those."""
-    kept = missing_revisions(base, new, broadcast_rows)
+    kept = missing_revisions(base, new, broadcast_ids)
     return kept.unionByName(latest_revision(new, order).select(*base.columns))
 
 
 def missing_revisions(
-    base: DataFrame, new: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+    base: DataFrame, new: DataFrame, broadcast_ids: int = BROADCAST_IDS
 ) -> DataFrame:
     """Rows of ``base`` whose rev_id does not occur in ``new``."""
-    return drop_ids(base, new, rows=broadcast_rows)
+    return drop_ids(base, new, rows=broadcast_ids)
 
 
 def lookup_revisions(
-    revisions: DataFrame, ids: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+    revisions: DataFrame, ids: DataFrame, broadcast_ids: int = BROADCAST_IDS
 ) -> DataFrame:
     """The stored rows of the given ids."""
-    return keep_ids(revisions, ids, rows=broadcast_rows)
+    return keep_ids(revisions, ids, rows=broadcast_ids)
 
 
 def merge_tables(*tables: DataFrame) -> DataFrame:
@@ -101,10 +99,12 @@ def write_revisions(
     for a range partitioning. With ``copies`` of ids, the rows of a slice are
     spread further by the task they come from.
     """
-    placed = revisions.withColumns(
+    # The width goes into the files, so that no reader has to be told.
+    marked = revisions.withMetadata("rev_id", {"id_range": width})
+    placed = marked.withColumns(
         {
             "id_range": id_range(width=width),
-            "_slice": F.floor(F.col("rev_id") / max(width // SLICES, 1)),
+            "_slice": step("rev_id", max(width // SLICES, 1)),
             "_salt": F.spark_partition_id() % COPY_SALTS if copies else F.lit(0),
         }
     )
@@ -121,11 +121,29 @@ def write_revisions(
 
 def read_revisions(spark: SparkSession, path: str) -> DataFrame:
     """A stored table, with ``id_range`` as an extra column."""
-    return spark.read.schema(_STORED).parquet(path)
+    return spark.read.parquet(path)
 
 
-def append_table(new: DataFrame, path: str, width: int = ID_RANGE) -> None:
-    """Add rows to a stored table without looking at what is there."""
+def range_width(table: DataFrame) -> int | None:
+    """Ids per range of a stored table; None for any other DataFrame."""
+    if not {"rev_id", "id_range"} <= set(table.columns):
+        return None
+    return table.schema["rev_id"].metadata.get("id_range")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return read_revisions(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def append_table(spark: SparkSession, new: DataFrame, path: str, width: int = ID_RANGE) -> None:
+    """Add rows to a stored table, copies included. ``width`` is for a new table."""
+    table = _stored(spark, path)
+    width = width if table is None else range_width(table)
     write_revisions(new.select(*REVISION.names), path, "append", width, copies=True)
 
 
@@ -135,9 +153,9 @@ def upsert_table(
     path: str,
     order: Sequence[str] = POSITION,
     width: int = ID_RANGE,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_ids: int = BROADCAST_IDS,
 ) -> None:
-    """Upsert into a stored table, creating it if needed.
+    """Upsert into a stored table, creating it with ranges of ``width`` if needed.
 
     Rewrites only the id ranges that ``new`` touches. Repeating the call with
     the same batch changes nothing, so a replayed stream batch is harmless.
@@ -146,18 +164,16 @@ def upsert_table(
     # Used three times below; a checkpoint in the shared folder survives the
     # loss of executors and fixes the batch while the table is rewritten.
     batch = latest_revision(new, order).select(*REVISION.names).checkpoint()
-    try:
-        table = read_revisions(spark, path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    table = _stored(spark, path)
+    if table is None:
         write_revisions(batch, path, width=width)
         return
+    width = range_width(table)
     # One number per id range: bounded by the id space, not by the batch.
     touched = [r[0] for r in batch.select(id_range(width=width)).distinct().collect()]
     if not touched:
         return
     stored = table.where(F.col("id_range").isin(touched)).select(*REVISION.names)
-    merged = missing_revisions(stored, batch, broadcast_rows).unionByName(batch)
+    merged = missing_revisions(stored, batch, broadcast_ids).unionByName(batch)
     write_revisions(merged, path, "overwrite", width)
     spark.catalog.refreshByPath(path)

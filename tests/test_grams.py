@@ -132,7 +132,7 @@ def test_postings_find_what_a_scan_finds(spark, tmp_path):
         for text in ("help page", "page 1", "he", "nothing", "elp"):
             wanted = [i for i, t in enumerate(TITLES) if text in t]
             for rows in (1000, 3, 0):
-                found = ps.postings_search(data, postings, text, "title", broadcast_rows=rows)
+                found = ps.postings_search(data, postings, text, "title", broadcast_ids=rows)
                 assert column(found, "rev_id") == wanted
     candidates = ps.candidates(built, g.literal_ngrams("help page", 3))
     assert column(candidates) == [0, 1, 2]
@@ -151,3 +151,15 @@ def test_hashed_postings(spark):
     data = spark.createDataFrame(list(enumerate(TITLES)), "rev_id long, title string")
     built = ps.build_postings(data, "title", analyze=g.analyzer(3, 4, 1234))
     assert column(ps.candidates(built, [token("hel", 1234)])) == [0, 1, 2, 4, 5]
+
+
+def test_candidates_prune_id_ranges(spark, revisions, tmp_path):
+    from editwake.sources import revision_table
+
+    path = str(tmp_path / "table")
+    revision_table.upsert_table(spark, revisions, path, width=2)
+    table = revision_table.read_revisions(spark, path)
+    assert revision_table.range_width(table) == 2
+    found = ps.postings_search(table, ps.build_postings(revisions), "worldly")
+    assert column(found, "rev_id") == [502]
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()

@@ -133,7 +133,7 @@ def test_upsert_keeps_the_later_version(lines, revisions):
     base = revisions.drop(*diff_files.POSITION)
     upserted = revision_table.upsert_revisions(base, later(lines))
     assert {r.rev_id: r.namespace for r in upserted.collect()} == {501: 1, 502: 0}
-    shuffled = revision_table.upsert_revisions(base, later(lines), broadcast_rows=0)
+    shuffled = revision_table.upsert_revisions(base, later(lines), broadcast_ids=0)
     assert sorted(map(str, shuffled.collect())) == sorted(map(str, upserted.collect()))
 
 
@@ -161,10 +161,10 @@ def test_stored_table(spark, lines, revisions):
     path = work_path(spark, "stored")
     revision_table.upsert_table(spark, revisions, path, width=10)
     for _ in range(2):
-        revision_table.upsert_table(spark, later(lines), path, width=10)
+        revision_table.upsert_table(spark, later(lines), path)
         stored = revision_table.read_revisions(spark, path)
         assert {r.rev_id: r.namespace for r in stored.collect()} == {501: 1, 502: 0}
-    revision_table.append_table(revisions, path, width=10)
+    revision_table.append_table(spark, revisions, path)
     stored = revision_table.read_revisions(spark, path)
     assert column(stored, "rev_id") == [501, 501, 502, 502]
 
@@ -175,7 +175,7 @@ def test_upsert_leaves_other_ranges_alone(spark, revisions):
     revision_table.upsert_table(spark, base, path, width=10)
     files = "_metadata.file_path"
     before = set(column(revision_table.read_revisions(spark, path).where("rev_id = 50200").select(files)))
-    revision_table.upsert_table(spark, base.where("rev_id = 50100"), path, width=10)
+    revision_table.upsert_table(spark, base.where("rev_id = 50100"), path)
     after = set(column(revision_table.read_revisions(spark, path).where("rev_id = 50200").select(files)))
     assert before == after
 
