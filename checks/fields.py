@@ -7,7 +7,6 @@ from editwake.functions import derive
 from editwake.functions import predicates as p
 from editwake.functions.text import (
     safe_query_name,
-    template_comment_query,
     template_comment_variants,
     template_fragments,
     unescape,
@@ -329,22 +328,15 @@ _UPPER = "upper(left(name, 1)) || lower(substr(name, 2))"
 
 @query(
     f"""SELECT name, '<!-- Template:' || {_LOWER} || ' -->;<!-- Template:' || {_UPPER}
-         || ' -->;<!-- Added using Template:' || {_LOWER} || ' -->;<!-- Added using Template:'
-         || {_UPPER} || ' -->' AS comments,
-         '"<!-- Template:' || {_LOWER} || ' -->" OR "<!-- Template:' || {_UPPER}
-         || ' -->" OR "<!-- Added using Template:' || {_LOWER}
-         || ' -->" OR "<!-- Added using Template:' || {_UPPER} || ' -->"' AS query,
-         'results/' || {_LOWER} || '.txt' AS output
-       FROM (SELECT DISTINCT 'Uw-' || upper(lang) || source AS name FROM documents)"""
+          || ' -->;<!-- Added using Template:' || {_LOWER} || ' -->;<!-- Added using Template:'
+          || {_UPPER} || ' -->' AS comments
+        FROM (SELECT DISTINCT 'Uw-' || upper(lang) || source AS name FROM documents)"""
 )
 def template_comments(v):
     name = F.concat(F.lit("Uw-"), F.upper("lang"), F.col("source"))
     names = v.documents.select(name.alias("name")).distinct()
-    return names.select(
-        "name",
-        F.array_join(template_comment_variants(F.col("name")), ";").alias("comments"),
-        F.inline(F.array(template_comment_query(F.col("name")))),
-    )
+    comments = template_comment_variants(F.col("name"))
+    return names.select("name", F.array_join(comments, ";").alias("comments"))
 
 
 @query(

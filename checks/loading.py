@@ -201,6 +201,19 @@ def query_names(v):
     return query_files.name_queries(listed).select("ordinal", "output")
 
 
+@query(
+    "SELECT text AS query, 'named ' || CAST(item_id AS VARCHAR) || '.csv' AS output"
+    " FROM benchmark"
+)
+def query_file_read(v):
+    """Queries of several lines with output names, written as CSV and read again."""
+    name = F.concat(F.lit("named "), F.col("item_id").cast("string"), F.lit(".csv"))
+    path = work_path(v.spark, "queries")
+    rows = v.table("benchmark").select("text", name.alias("output"))
+    rows.write.csv(path, escape='"')
+    return query_files.read_query_file(v.spark, path).select("query", "output")
+
+
 @query(
     "SELECT doc_id, replace(source || '/' || lang || ':' || 'x', '/', '__') AS name0,"
     " replace(replace('User:' || source || '/' || lang, '/', '__'), ':', '__') AS name"

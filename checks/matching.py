@@ -82,7 +82,7 @@ def template_trend_distinct(v):
 
 
 @query(
-    "SELECT day AS period, count(*) AS hits FROM matches WHERE rev_id % 6 = 3 GROUP BY day",
+    "SELECT day AS period, count(*) AS hits FROM matches WHERE namespace = 3 GROUP BY day",
     ("matches",),
 )
 def template_trend_by_day(v):
@@ -90,6 +90,18 @@ def template_trend_by_day(v):
     return template_trend(v.revisions, v.template_history, now(), namespace=3, daily=True)
 
 
+@query(
+    """SELECT month AS period, count(*) AS hits FROM (
+         SELECT month FROM (SELECT *, row_number() OVER (
+             PARTITION BY title, valid_from, valid_to ORDER BY rev_id) AS n FROM matches)
+         WHERE n <= 1) GROUP BY month""",
+    ("matches",),
+)
+def template_trend_capped(v):
+    """At most one hit for each version of a template."""
+    return template_trend(v.revisions, v.template_history, now(), max_revs=1)
+
+
 COMMENTED = """
 SELECT r.rev_id, n.name FROM revisions r JOIN (
   SELECT DISTINCT 'Uw-' || source AS name FROM documents) n
@@ -146,6 +158,25 @@ def revisions_looked_up(v):
     return found.select("rev_id", "title", F.md5("added").alias("added"))
 
 
+_LOWER = "lower(left(name, 1)) || substr(name, 2)"
+_UPPER = "upper(left(name, 1)) || lower(substr(name, 2))"
+
+
+@query(
+    f"""SELECT '"<!-- Template:' || {_LOWER} || ' -->" OR "<!-- Template:' || {_UPPER}
+          || ' -->" OR "<!-- Added using Template:' || {_LOWER}
+          || ' -->" OR "<!-- Added using Template:' || {_UPPER} || ' -->"' AS query,
+          'results/' || {_LOWER} || '.txt' AS output
+        FROM (SELECT trim(CASE WHEN doc_id % 9 > 0 THEN 'Uw-' || source || upper(lang) END) AS name
+              FROM documents) WHERE name <> ''"""
+)
+def template_comment_queries(v):
+    """Queries for lines with template names, some of them blank."""
+    name = F.concat(F.lit(" Uw-"), "source", F.upper("lang"), F.lit(" "))
+    lines = v.documents.select(F.when(F.col("doc_id") % 9 > 0, name).otherwise(" ").alias("name"))
+    return templates.template_comment_queries(lines)
+
+
 # --- streams ------------------------------------------------------------------
 
 

@@ -9,7 +9,8 @@ from editwake.functions import predicates as p
 from editwake.operators import hits as h
 from editwake.operators import trends as t
 from editwake.plans.search import phrase_trend, search
-from editwake.sources.trend_files import extract_rev_ids
+from editwake.session import work_path
+from editwake.sources.trend_files import extract_rev_ids, read_trend_csv
 
 THE = "contains(added, 'the ')"
 
@@ -185,3 +186,20 @@ def series_ranked(v):
 @query("SELECT CAST(rev_id AS VARCHAR) AS rev_id FROM results", ("results",))
 def rev_ids_extracted(v):
     return extract_rev_ids(v.result_rows)
+
+
+@query(
+    """SELECT CAST(rev_id AS VARCHAR) AS rev_id FROM results
+       UNION ALL SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 3 = 2""",
+    ("results",),
+)
+def rev_ids_of_files(v):
+    """Ids out of trend files that hold comments, and rows too short or too long."""
+    path = work_path(v.spark, "results")
+    v.result_rows.select("date", "hits", "ids").write.csv(f"{path}/good", escape='"')
+    doc = F.col("doc_id").cast("string")
+    odd = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# note,1,"), doc))
+    odd = odd.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("2006-01,1,"), doc, F.lit(",more")))
+    odd = odd.otherwise(F.concat(F.lit("2006-01,1,"), doc, F.lit(";"), F.repeat(F.lit("9"), 30)))
+    v.documents.select(odd.alias("value")).write.text(f"{path}/odd")
+    return extract_rev_ids(read_trend_csv(v.spark, [f"{path}/good", f"{path}/odd"], exactly=True))

@@ -278,7 +278,7 @@ CTES = {
             lambda f: length(f) >= 4) AS fragments
         FROM history""",
     "matches": """
-        SELECT i.title, i.valid_from, i.valid_to, r.rev_id, r.ts, r.month, r.day
+        SELECT i.title, i.valid_from, i.valid_to, r.rev_id, r.ts, r.month, r.day, r.namespace
         FROM intervals i JOIN revisions r ON r.ts >= i.valid_from AND r.ts <= i.valid_to
         WHERE len(i.fragments) > 0
           AND len(list_filter(i.fragments, lambda f: NOT contains(r.added, f))) = 0""",

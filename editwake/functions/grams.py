@@ -58,9 +58,8 @@ def ngrams_range(s: Column, low: int, high: int) -> Column:
 def hashable_ngrams(s: Column, low: int, high: int, max_chars: int | None = None) -> Column:
     """The grams that are hashed: those up to the first that overruns the end.
 
-    The text is trimmed first. ``max_chars`` limits the text as the original
-    loader did (1024); the default reads all of it, since a search must see
-    whole texts.
+    The text is trimmed first and read whole, since a search must see all of
+    it; ``max_chars`` (1024, say) is for tokens of the beginning only.
     """
     text = s if max_chars is None else F.substring(s, 1, max_chars)
     # Trimmed of everything up to the space, control characters too.

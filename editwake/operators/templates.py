@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from editwake.functions.text import (
+    template_comment_query,
     template_comment_variants,
     template_fragments,
     template_name_variants,
@@ -140,6 +141,12 @@ def match_templates(
     )
 
 
+def template_comment_queries(names: DataFrame, name: str = "name") -> DataFrame:
+    """A query and an output path for each template name; blank lines give none."""
+    named = names.where(F.trim(F.col(name)) != "")
+    return named.select(F.inline(F.array(template_comment_query(F.col(name)))))
+
+
 _COMMENT_START = r"<!-- (?:Added using )?Template:"
 
 

@@ -61,14 +61,18 @@ def template_trend(
     daily: bool = False,
     distinct: bool = False,
     allow_empty: bool = False,
+    max_revs: int | None = None,
 ) -> DataFrame:
     """The trend of substituted templates, all titles in one job.
 
     Counts add up over the versions of a template, or with ``distinct`` each
-    revision counts once per period.
+    revision counts once per period. ``max_revs`` caps the hits of each
+    version; by default all count.
     """
     wanted = revisions if namespace is None else revisions.where(revisions.namespace == namespace)
     matches = match_templates(wanted, template_intervals(history, now), allow_empty)
+    if max_revs is not None:
+        matches = hit_ops.cap_hits(matches, max_revs, ["title", "valid_from", "valid_to"])
     by = "day" if daily else "month"
     if distinct:
         return trend_ops.combine_trends_distinct(matches, by)

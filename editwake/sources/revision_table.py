@@ -140,10 +140,17 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def _width_of(table: DataFrame) -> int:
+    width = range_width(table)
+    if width is None:
+        raise ValueError("not a stored revision table: its files tell no range width")
+    return width
+
+
 def append_table(spark: SparkSession, new: DataFrame, path: str, width: int = ID_RANGE) -> None:
     """Add rows to a stored table, copies included. ``width`` is for a new table."""
     table = _stored(spark, path)
-    width = width if table is None else range_width(table)
+    width = width if table is None else _width_of(table)
     write_revisions(new.select(*REVISION.names), path, "append", width, copies=True)
 
 
@@ -168,7 +175,7 @@ def upsert_table(
     if table is None:
         write_revisions(batch, path, width=width)
         return
-    width = range_width(table)
+    width = _width_of(table)
     # One number per id range: bounded by the id space, not by the batch.
     touched = [r[0] for r in batch.select(id_range(width=width)).distinct().collect()]
     if not touched:

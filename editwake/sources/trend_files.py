@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from editwake.functions import derive
 
-_SCHEMA = "date string, hits string, ids string"
+# A fourth column tells which rows have more than three.
+_SCHEMA = "date string, hits string, ids string, more string"
 
 
 def joined_ids(values: Column, as_links: bool = False) -> Column:
@@ -33,15 +34,21 @@ def write_trend_csv(trend: DataFrame, path: str, as_links: bool = False) -> None
     trend_rows(trend, as_links).write.csv(path, escape='"')
 
 
-def read_trend_csv(spark: SparkSession, paths, series: str | None = None) -> DataFrame:
+def read_trend_csv(
+    spark: SparkSession, paths, series: str | None = None, exactly: bool = False
+) -> DataFrame:
     """Trend files without comments and without rows that lack the ids.
 
     A ``#`` anywhere in the first column makes a row a comment. ``series``
-    labels all the files, for merging.
+    labels all the files, for merging. ``exactly`` leaves out rows with more
+    than three columns as well, for the extraction of ids.
     """
     rows = spark.read.schema(_SCHEMA).csv(paths, escape='"')
     label = F.lit(series) if series is not None else F.col("_metadata.file_path")
-    return rows.where(~F.col("date").contains("#") & F.col("ids").isNotNull()).select(
+    kept = ~F.col("date").contains("#") & F.col("ids").isNotNull()
+    if exactly:
+        kept = kept & F.col("more").isNull()
+    return rows.where(kept).select(
         label.alias("series"), "date", F.col("hits").try_cast("bigint").alias("hits"), "ids"
     )
 
