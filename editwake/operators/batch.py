@@ -14,15 +14,22 @@ from editwake.schema import TEXT_FIELDS
 # Clauses evaluated in one pass over the revisions.
 CLAUSES_PER_PASS = 10_000
 
-# A phrase is looked for only where its middle characters occur; from so many
-# phrases on, finding those in one go is cheaper than testing each phrase.
-ANCHOR = 8
+# A phrase is looked for only where a word from inside it occurs; from so many
+# phrases on, finding those words in one go is cheaper than testing each phrase.
 ANCHORED_FIELDS = ("added", "removed")
 MIN_ANCHORS = 64
 
 # Fields whose ranges are in number order.
 NUMBER_FIELDS = ("rev_id", "page_id", "namespace", "user_id", "added_size", "removed_size")
 
+# Clauses name their field and kind by position, which is quick to look up.
+FIELDS = (*TEXT_FIELDS, "timestamp", *NUMBER_FIELDS, "minor", "action")
+KINDS = ("phrase", "term", "range", "wildcard")
+
+
+def _position(name: str, names: tuple[str, ...]) -> Column:
+    return F.array_position(F.array(*[F.lit(n) for n in names]), F.col(name)).cast("int") - 1
+
 
 def _as_regexp(pattern: Column) -> Column:
     """A wildcard as a regular expression for a whole string."""
@@ -32,25 +39,26 @@ def _as_regexp(pattern: Column) -> Column:
 
 
 def _anchor() -> Column:
-    """The middle characters of a phrase in a long field, if it has enough."""
-    value = F.col("value")
-    middle = value.substr((F.floor((F.length(value) - ANCHOR) / 2) + 1).cast("int"), F.lit(ANCHOR))
-    anchored = (
-        (F.col("kind") == "phrase")
-        & F.col("field").isin(*ANCHORED_FIELDS)
-        & (F.length(value) >= ANCHOR)
-    )
-    return F.when(anchored, middle)
+    """The longest word inside a phrase in a long field, if there is one.
+
+    It has a space on both sides, so wherever the phrase occurs it is one of
+    the words of the text.
+    """
+    words = F.split("value", " ", -1)
+    inside = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    sized = F.transform(inside, lambda w: F.struct(F.length(w).alias("size"), w.alias("word")))
+    longest = F.array_max(sized)
+    anchored = (F.col("kind") == "phrase") & F.col("field").isin(*ANCHORED_FIELDS)
+    return F.when(anchored & (longest.size > 2), longest.word)
 
 
 def compile_queries(clauses: DataFrame) -> DataFrame:
     """One row per query, with its must, should and must_not clauses as arrays."""
+    regexp = F.when(F.col("kind") == "wildcard", _as_regexp(F.col("value")))
     clause = F.struct(
-        "field",
-        "kind",
-        F.when(F.col("kind") == "wildcard", _as_regexp(F.col("value")))
-        .otherwise(F.col("value"))
-        .alias("value"),
+        _position("field", FIELDS).alias("field"),
+        _position("kind", KINDS).alias("kind"),
+        F.coalesce(regexp, "value").alias("value"),
         "lo",
         "hi",
         _anchor().alias("anchor"),
@@ -70,9 +78,9 @@ def _constant(queries: DataFrame) -> Column:
 
 
 def _anchors_present(clauses: DataFrame) -> Column:
-    """Which anchors of the clauses occur in the revision, by field; null if not looked up."""
+    """Which anchors occur in each anchored field; null where there are too few to ask."""
     anchors = clauses.select("field", _anchor().alias("anchor")).where("anchor IS NOT NULL")
-    # A bounded number of short strings, as the clauses themselves.
+    # A bounded number of words, as the clauses themselves.
     by_field = {
         row["field"]: row["anchors"]
         for row in anchors.groupBy("field").agg(F.collect_set("anchor").alias("anchors")).collect()
@@ -83,27 +91,18 @@ def _anchors_present(clauses: DataFrame) -> Column:
         if len(wanted) < MIN_ANCHORS:
             return F.lit(None).cast("array<string>")
         listed = F.from_json(F.lit(json.dumps(wanted)), "array<string>")
-        return F.array_intersect(ngrams(F.col(field), ANCHOR), listed)
+        return F.array_intersect(F.split(field, " ", -1), listed)
 
-    return F.struct(*[present(f).alias(f) for f in ANCHORED_FIELDS])
+    return F.array(*[present(f) for f in ANCHORED_FIELDS])
 
 
 def _texts() -> Column:
-    """All fields as they are written in a query."""
-    cases = {name: F.col(name) for name in TEXT_FIELDS}
-    cases["timestamp"] = derive.iso_timestamp(F.col("timestamp"))
-    cases |= {name: F.col(name).cast("string") for name in NUMBER_FIELDS}
-    cases["minor"] = F.initcap(F.col("minor").cast("string"))
-    cases["action"] = F.col("action")
-    return F.struct(*[text.alias(name) for name, text in cases.items()])
-
-
-def _field_text(clause: Column, texts: Column) -> Column:
-    """The text of the field a clause names; the most searched are tried first."""
-    value = F.lit(None).cast("string")
-    for name in reversed((*TEXT_FIELDS, "timestamp", *NUMBER_FIELDS, "minor", "action")):
-        value = F.when(clause.field == name, texts.getField(name)).otherwise(value)
-    return value
+    """All fields as they are written in a query, in the order of FIELDS."""
+    special = {
+        "timestamp": derive.iso_timestamp(F.col("timestamp")),
+        "minor": F.initcap(F.col("minor").cast("string")),
+    }
+    return F.array(*[special.get(name, F.col(name).cast("string")) for name in FIELDS])
 
 
 def _in_range(clause: Column, value: Column) -> Column:
@@ -114,48 +113,49 @@ def _in_range(clause: Column, value: Column) -> Column:
 
     number = value.try_cast("bigint")
     numeric = between(number, clause.lo.try_cast("bigint"), clause.hi.try_cast("bigint"))
-    text = between(value, clause.lo, clause.hi)
-    return F.when(clause.field.isin(*NUMBER_FIELDS), numeric).otherwise(text)
+    numbers = [FIELDS.index(name) for name in NUMBER_FIELDS]
+    return F.when(clause.field.isin(numbers), numeric).otherwise(
+        between(value, clause.lo, clause.hi)
+    )
 
 
-def _may_occur(clause: Column, present: Column) -> Column:
-    """False only where the anchor of a phrase is known not to occur."""
-    occurs = F.lit(None).cast("boolean")
-    for field in ANCHORED_FIELDS:
-        found = F.array_contains(present.getField(field), clause.anchor)
-        occurs = F.when(clause.field == field, found).otherwise(occurs)
-    return F.coalesce(occurs, F.lit(True))
+def _may_occur(clause: Column, row: Column) -> Column:
+    """False only where the anchor of a phrase is known not to occur.
+
+    The anchored fields are the first of FIELDS, so one position serves both.
+    """
+    return F.coalesce(F.array_contains(F.get(row.present, clause.field), clause.anchor), F.lit(True))
 
 
 def _holds(clause: Column, row: Column, n: int) -> Column:
     """Whether a clause is true of the revision; false where its field is null."""
-    text = _field_text(clause, row.texts)
+    text = F.get(row.texts, clause.field)
     of_gram = F.exists(ngrams(text, n), lambda g: F.regexp_like(g, clause.value))
-    wildcard = F.when(clause.field.isin(*TEXT_FIELDS), of_gram).otherwise(
+    wildcard = F.when(clause.field < len(TEXT_FIELDS), of_gram).otherwise(
         F.regexp_like(text, clause.value)
     )
     test = (
-        F.when(clause.kind == "phrase", _may_occur(clause, row.present) & text.contains(clause.value))
-        .when(clause.kind == "term", text == clause.value)
-        .when(clause.kind == "range", _in_range(clause, text))
-        .when(clause.kind == "wildcard", wildcard)
+        F.when(
+            clause.kind == KINDS.index("phrase"),
+            _may_occur(clause, row) & text.contains(clause.value),
+        )
+        .when(clause.kind == KINDS.index("term"), text == clause.value)
+        .when(clause.kind == KINDS.index("range"), _in_range(clause, text))
+        .when(clause.kind == KINDS.index("wildcard"), wildcard)
     )
     return F.coalesce(test, F.lit(False))
 
 
 def _matches(query: Column, row: Column, n: int) -> Column:
+    """What must not be is tested last: few queries come that far."""
+
     def holds(clause: Column) -> Column:
         return _holds(clause, row, n)
 
-    return (
-        F.forall(query.must, holds)
-        & ~F.exists(query.must_not, holds)
-        & (
-            (F.size(query.must) > 0)
-            | (F.size(query.should) == 0)
-            | F.exists(query.should, holds)
-        )
+    wanted = (
+        (F.size(query.must) > 0) | (F.size(query.should) == 0) | F.exists(query.should, holds)
     )
+    return F.forall(query.must, holds) & wanted & ~F.exists(query.must_not, holds)
 
 
 def match_saved_queries(
@@ -170,8 +170,8 @@ def match_saved_queries(
     and at least one should clause unless there are musts or no shoulds.
 
     The queries are one constant array, so a single pass without any shuffle
-    answers all of them; there is no join. Of many phrases, only those whose
-    middle occurs in the revision are looked for. Beyond ``clauses_per_pass`` clauses
+    answers all of them; there is no join. Of many phrases, only those with a
+    word that occurs in the revision are looked for. Beyond ``clauses_per_pass`` clauses
     the queries are split into several passes, so the constant stays small
     whatever their number.
     """

@@ -68,8 +68,8 @@ def test_saved_queries_equal_single_queries(spark, revisions, monkeypatch, per_p
 
 def test_anchors_lose_nothing(spark, monkeypatch):
     random = Random(5)
-    texts = ["".join(random.choice("ab ") for _ in range(60)) for _ in range(50)]
-    phrases = [t[i : i + n] for t in texts[:20] for i, n in ((3, 8), (0, 20), (40, 9), (10, 5))]
+    texts = ["".join(random.choice("aabb ") for _ in range(60)) for _ in range(50)]
+    phrases = [t[i : i + n] for t in texts[:20] for i, n in ((3, 8), (0, 20), (30, 25), (10, 5))]
     names = [f for f in CLAUSE.names]
     saved = spark.createDataFrame(
         [clause(i, 0, "must", "added", "phrase", x) for i, x in enumerate(phrases)], CLAUSE
