@@ -5,6 +5,8 @@ only narrow the candidates down, and ``contains`` decides.
 """
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from editwake.sources.revision_table import id_range, range_width
 # How a stored table is divided, and into how many tasks each bucket's writing.
 BUCKETS = 64
 SALTS = 16
+WORD_BITS = 60
 
 
 def build_postings(
@@ -69,6 +72,15 @@ def write_postings(
     )
 
 
+def append_postings(postings: DataFrame, path: str) -> None:
+    """Add the postings of new or changed revisions to a stored table.
+
+    Grams of earlier versions stay; they only make more candidates, so a search
+    of the revisions as they are now remains exact.
+    """
+    write_postings(postings, path, "append")
+
+
 def of_grams(rows: DataFrame, tokens: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
     """Rows of the given grams; in a stored table only their buckets are read."""
     wanted = rows.where(F.col("gram").isin(list(tokens)))
@@ -86,14 +98,23 @@ def gram_frequencies(postings: DataFrame) -> DataFrame:
 def candidates(postings: DataFrame, tokens: Sequence[str]) -> DataFrame:
     """Ids of the revisions that have every token.
 
-    The tokens are literals, so the filter reaches the Parquet scan; counts are
-    partly summed before the shuffle by id.
+    The tokens are literals, so the filter reaches the Parquet scan. Each token
+    is one bit of a number, so postings that occur twice do no harm, and the
+    bits of a task's rows are united before the shuffle by id.
     """
+    groups = [tokens[i : i + WORD_BITS] for i in range(0, len(tokens), WORD_BITS)]
+    masks = []
+    for group in groups:
+        bit = F.lit(0).cast("bigint")
+        for i, token in enumerate(group):
+            bit = F.when(F.col("gram") == token, F.lit(1 << i).cast("bigint")).otherwise(bit)
+        masks.append(F.bit_or(bit))
+    complete = [F.col(f"mask{i}") == (1 << len(group)) - 1 for i, group in enumerate(groups)]
     return (
         of_grams(postings, tokens)
         .groupBy("rev_id")
-        .agg(F.count("*").alias("found"))
-        .where(F.col("found") == len(tokens))
+        .agg(*[mask.alias(f"mask{i}") for i, mask in enumerate(masks)])
+        .where(reduce(and_, complete))
         .select("rev_id")
     )
 

@@ -163,3 +163,24 @@ def test_candidates_prune_id_ranges(spark, revisions, tmp_path):
     found = ps.postings_search(table, ps.build_postings(revisions), "worldly")
     assert column(found, "rev_id") == [502]
     assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_appended_postings_of_changed_revisions(spark, tmp_path):
+    path = str(tmp_path / "postings")
+    old = spark.createDataFrame(list(enumerate(TITLES)), "rev_id long, title string")
+    ps.write_postings(ps.build_postings(old, "title"), path)
+    changed = spark.createDataFrame([(0, "other page"), (4, "help page"), (9, "page 1")], old.schema)
+    ps.append_postings(ps.build_postings(changed, "title"), path)
+    now = old.where("rev_id NOT IN (0, 4)").unionByName(changed)
+    stored = spark.read.parquet(path)
+    for text in ("help page", "page 1", "other", "page"):
+        wanted = column(now.where(F.col("title").contains(text)), "rev_id")
+        assert column(ps.postings_search(now, stored, text, "title"), "rev_id") == wanted
+
+
+def test_candidates_of_long_texts(spark):
+    text = "".join(chr(97 + i * i % 26) + chr(97 + i % 25) for i in range(90))
+    data = spark.createDataFrame([(1, text), (2, text[:100]), (3, text[20:])], "rev_id long, title string")
+    tokens = g.literal_ngrams(text, 3)
+    assert len(tokens) > 2 * ps.WORD_BITS
+    assert column(ps.candidates(ps.build_postings(data, "title"), tokens)) == [1]

@@ -16,10 +16,14 @@ def drop(spark, folder, name, *lines):
 
 
 def test_ingest_in_steps(spark):
-    source, table, state = (work_path(spark, n) for n in ("in", "table", "state"))
+    source, table, state, rejects = (
+        work_path(spark, n) for n in ("in", "table", "state", "rejects")
+    )
 
     def run():
-        jobs.stream_ingest(spark, source, table, state, width=100, max_files=1).awaitTermination()
+        jobs.stream_ingest(
+            spark, source, table, state, width=100, max_files=1, rejects=rejects
+        ).awaitTermination()
         return {r.rev_id: r.namespace for r in read_revisions(spark, table).collect()}
 
     drop(spark, source, "a", FIRST, SECOND, "broken line")
@@ -29,6 +33,8 @@ def test_ingest_in_steps(spark):
     again = FIRST.replace("\t3\t'Sandbox'", "\t5\t'Sandbox'")
     drop(spark, source, "b", moved, again, SECOND.replace("502", "903"))
     assert run() == {501: 5, 502: 0, 903: 0}
+    bad = spark.read.parquet(rejects).collect()
+    assert [(r.value, r.reason) for r in bad] == [("broken line", "too few columns")]
 
 
 def test_ingest_with_load_filter(spark):
