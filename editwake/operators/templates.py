@@ -148,6 +148,18 @@ def template_comment_queries(names: DataFrame, name: str = "name") -> DataFrame:
 
 
 _COMMENT_START = r"<!-- (?:Added using )?Template:"
+_COMMENT_END = " -->"
+
+
+def _mentions(revisions: DataFrame, field: str) -> DataFrame:
+    """What follows the start of a template comment, up to the next comment end."""
+    # Looked ahead at, so that one comment may begin inside another.
+    found = F.regexp_extract_all(
+        F.col(field), F.lit(rf"(?s){_COMMENT_START}(?=(.*?){_COMMENT_END})"), F.lit(1)
+    )
+    return revisions.where(F.col(field).contains("Template:")).withColumn(
+        "key", F.explode(F.array_distinct(found))
+    )
 
 
 def match_template_comments(
@@ -158,33 +170,25 @@ def match_template_comments(
 ) -> DataFrame:
     """Pairs of revision and template name where a comment of the template occurs.
 
-    The names are read out of the comments and joined by equality; nothing is
-    compared with every name. A comment end inside a name cuts the join key on
-    both sides, and ``contains`` settles the rest.
+    The names are read out of the comments and joined by equality, without the
+    texts; nothing is compared with every name. A name that holds a comment end
+    itself, which no title does, is cut there and then looked for in the text.
     """
-    # The name is looked ahead at, so that one comment may begin inside another.
-    found = F.regexp_extract_all(
-        F.col(field), F.lit(rf"(?s){_COMMENT_START}(?=(.*?) -->)"), F.lit(1)
-    )
-    mentions = revisions.where(F.col(field).contains("Template:")).select(
-        "rev_id", field, F.explode(F.array_distinct(found)).alias("key")
-    )
-    variants = names.select(
-        "name",
-        template_comment_variants(F.col("name")).alias("comments"),
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    template_name_variants(F.col("name")),
-                    lambda v: F.substring_index(F.concat(v, F.lit(" -->")), " -->", 1),
-                )
-            )
-        ).alias("key"),
-    ).distinct()
-    small = small_side(variants, broadcast_rows, F.octet_length("name") * 6)
-    return (
-        mentions.join(small, "key")
-        .where(F.exists("comments", lambda c: F.col(field).contains(c)))
-        .select("rev_id", "name")
-        .distinct()
+    named = names.select("name").distinct()
+    variants = named.select(
+        "name", F.explode(F.array_distinct(template_name_variants(F.col("name")))).alias("variant")
     )
+    cut = F.substring_index(F.concat("variant", F.lit(_COMMENT_END)), _COMMENT_END, 1)
+    keyed = variants.withColumn("key", cut)
+    plain = keyed.where(F.col("key") == F.col("variant")).select("key", "name")
+    small = small_side(plain, broadcast_rows, F.octet_length("name") * 2)
+    mentions = _mentions(revisions, field)
+    pairs = mentions.select("rev_id", "key").join(small, "key").select("rev_id", "name")
+    odd = keyed.where(F.col("key") != F.col("variant")).select("key", "name").distinct()
+    if not odd.isEmpty():
+        occurs = F.exists(
+            template_comment_variants(F.col("name")), lambda c: F.col(field).contains(c)
+        )
+        looked_up = mentions.select("rev_id", field, "key").join(odd, "key").where(occurs)
+        pairs = pairs.unionByName(looked_up.select("rev_id", "name"))
+    return pairs.distinct()
