@@ -3,10 +3,13 @@
 from pyspark.sql import functions as F
 
 from checks.registry import query
+from checks.views import PART
 from editwake.functions import grams as g
 from editwake.functions import predicates as p
 from editwake.operators import postings as ps
 from editwake.operators.trends import first_pass_precision
+from editwake.session import work_path
+from editwake.sources import revision_table
 
 # Grams are long; lists are compared by digest.
 CHARS = "(SELECT doc_id, string_split(text, '') AS c, len(string_split(text, '')) AS n FROM documents)"
@@ -195,6 +198,26 @@ def postings_hits_by_scan(v):
     return found.select("rev_id")
 
 
+@query(
+    f"""SELECT rev_id, namespace FROM revisions WHERE contains(added, 'ion of the')
+          AND rev_id NOT IN (SELECT rev_id FROM batch)
+        UNION ALL SELECT rev_id, namespace FROM batch WHERE contains(added, 'ion of the')
+        QUALIFY row_number() OVER (PARTITION BY rev_id ORDER BY seq DESC) = 1""",
+    ("batch",),
+)
+def postings_hits_stored(v):
+    """A stored table and its postings, both brought up to date, then searched."""
+    table, index = work_path(v.spark, "table"), work_path(v.spark, "postings")
+    revision_table.write_revisions(v.revisions, table, width=PART)
+    ps.write_postings(ps.build_postings(v.revisions), index, buckets=8)
+    revision_table.upsert_table(v.spark, v.upsert_batch, table, ("seq",))
+    latest = revision_table.latest_revision(v.upsert_batch, ("seq",))
+    ps.append_postings(v.spark, ps.build_postings(latest), index)
+    revisions = revision_table.read_revisions(v.spark, table)
+    found = ps.postings_search(revisions, v.spark.read.parquet(index), "ion of the")
+    return found.select("rev_id", "namespace")
+
+
 TOKENS = g.literal_ngrams("ion of the", 3)
 
 

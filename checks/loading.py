@@ -149,6 +149,19 @@ def table_upserted(v):
     return versions(revision_table.read_revisions(v.spark, path))
 
 
+@query(
+    "SELECT rev_id, namespace, md5(added) AS added FROM revisions"
+    " UNION ALL SELECT rev_id, namespace, md5(added) FROM batch",
+    ("batch",),
+)
+def table_appended(v):
+    """Rows added to a stored table, copies included."""
+    path = work_path(v.spark, "table")
+    revision_table.write_revisions(v.revisions, path, width=PART)
+    revision_table.append_table(v.spark, v.upsert_batch.drop("seq"), path)
+    return versions(revision_table.read_revisions(v.spark, path))
+
+
 @query(LATEST, ("batch",))
 def latest_versions(v):
     return versions(revision_table.latest_revision(v.upsert_batch, ("seq",)))

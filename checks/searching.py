@@ -71,7 +71,7 @@ def joined(values: str):
 
 
 @query(
-    f"""SELECT day AS period, 0 AS part, count(*) AS hits, {VALUES} AS vals
+    f"""SELECT day AS period, CAST(0 AS BIGINT) AS part, count(*) AS hits, {VALUES} AS vals
         FROM revisions WHERE {THE} GROUP BY day""",
     ("revisions",),
 )
@@ -175,7 +175,8 @@ def series_merged(v):
 
 
 @query(
-    """SELECT series, hits, row_number() OVER (ORDER BY hits DESC, series) AS rank
+    """SELECT series, hits,
+         CAST(row_number() OVER (ORDER BY hits DESC, series) AS INTEGER) AS rank
        FROM (SELECT series, count(*) AS hits FROM results GROUP BY series)""",
     ("results",),
 )

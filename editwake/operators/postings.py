@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from editwake.functions.grams import DEFAULT_GRAM, literal_ngrams, ngrams
@@ -56,7 +56,9 @@ def write_postings(
     by several tasks. Hashing needs no sampling pass over the texts, as ranges
     of grams would.
     """
-    salted = postings.withColumns(
+    # The number of buckets goes into the files, so that no reader has to be told.
+    marked = postings.withMetadata("gram", {"buckets": buckets})
+    salted = marked.withColumns(
         {
             "bucket": gram_bucket(F.col("gram"), buckets),
             "_salt": F.pmod(F.xxhash64("rev_id"), F.lit(salts)),
@@ -72,19 +74,29 @@ def write_postings(
     )
 
 
-def append_postings(postings: DataFrame, path: str) -> None:
+def append_postings(spark: SparkSession, postings: DataFrame, path: str) -> None:
     """Add the postings of new or changed revisions to a stored table.
 
     Grams of earlier versions stay; they only make more candidates, so a search
     of the revisions as they are now remains exact.
     """
-    write_postings(postings, path, "append")
+    buckets = _buckets(spark.read.parquet(path))
+    if buckets is None:
+        raise ValueError("not a stored postings table: its files tell no number of buckets")
+    write_postings(postings, path, "append", buckets)
 
 
-def of_grams(rows: DataFrame, tokens: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+def _buckets(postings: DataFrame) -> int | None:
+    if "bucket" not in postings.columns:
+        return None
+    return postings.schema["gram"].metadata.get("buckets")
+
+
+def of_grams(rows: DataFrame, tokens: Sequence[str]) -> DataFrame:
     """Rows of the given grams; in a stored table only their buckets are read."""
     wanted = rows.where(F.col("gram").isin(list(tokens)))
-    if "bucket" in rows.columns:
+    buckets = _buckets(rows)
+    if buckets is not None:
         numbers = [gram_bucket(F.lit(t), buckets) for t in tokens]
         wanted = wanted.where(F.col("bucket").isin(numbers))
     return wanted
