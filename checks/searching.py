@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from checks.registry import query
 from checks.views import PART
-from editwake.functions import derive
 from editwake.functions import predicates as p
 from editwake.operators import hits as h
 from editwake.operators import trends as t

@@ -1,6 +1,6 @@
 """Building blocks that keep joins and orderings even at any scale.
 
-* a side is broadcast only after a bounded count proved that it is small;
+* a side is broadcast only after a count proved that it is small;
 * ranks and leads are computed per bucket of a numeric key plus a small table
   of bucket totals, so no key and no ordering ends up in a single task.
 """
