@@ -5,6 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from editwake.llm.collisions import near_duplicates
 from editwake.llm.common import prepare, table
 from editwake.llm.pieces import encode_documents
 
@@ -28,3 +29,9 @@ def op1_sentencepiece(spark, sf_dir):
     """Token counts and digests of all documents."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     return encode_documents(table(spark, sf_dir, "documents"), model)
+
+
+@query
+def op8_minhash_near_dedup(spark, sf_dir):
+    """Components of all documents by sets of three-word shingles, 85 percent alike."""
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
