@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from editwake.llm.collisions import near_duplicates
 from editwake.llm.common import prepare, table
+from editwake.llm.hamming import near_vectors
 from editwake.llm.pieces import encode_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +32,35 @@ def op1_sentencepiece(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), model)
 
 
+@query
+def op4_embedding_near_dedup(spark, sf_dir):
+    """Links, components and keepers of all vectors, from a cosine of 0.98 on."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op4_embedding_near_dedup"] = """
+WITH RECURSIVE sound AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v,
+        sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE))) AS norm
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b
+    FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98
+), reached AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION
+    SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT a AS vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(b) AS component_id,
+    a = min(b) AS kept
+FROM reached LEFT JOIN counted USING (a)
+GROUP BY a
+"""
+
+
 @query
 def op8_minhash_near_dedup(spark, sf_dir):
     """Components of all documents by sets of three-word shingles, 85 percent alike."""
