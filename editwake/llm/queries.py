@@ -9,6 +9,7 @@ from editwake.llm.collisions import near_duplicates
 from editwake.llm.common import prepare, table
 from editwake.llm.hamming import near_vectors
 from editwake.llm.pieces import encode_documents
+from editwake.llm.toxicity import score, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +66,10 @@ GROUP BY a
 def op8_minhash_near_dedup(spark, sf_dir):
     """Components of all documents by sets of three-word shingles, 85 percent alike."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    """Scores of all documents by a model of the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
