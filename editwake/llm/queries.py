@@ -9,6 +9,7 @@ from editwake.llm.collisions import near_duplicates
 from editwake.llm.common import prepare, table
 from editwake.llm.hamming import near_vectors
 from editwake.llm.pieces import encode_documents
+from editwake.llm.quality import judge
 from editwake.llm.toxicity import score, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +34,12 @@ def op1_sentencepiece(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), model)
 
 
+@query
+def op2_quality_rules(spark, sf_dir):
+    """Counts and verdicts of all documents by voting rules."""
+    return judge(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_embedding_near_dedup(spark, sf_dir):
     """Links, components and keepers of all vectors, from a cosine of 0.98 on."""
