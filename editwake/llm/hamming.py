@@ -55,8 +55,8 @@ def learn_rotations(sample: np.ndarray, count: int, seed: int = SEED) -> tuple[n
     """The mean, and ``count`` projections with one column for each bit."""
     mean = sample.mean(axis=0)
     centred = sample - mean
-    _, _, directions = np.linalg.svd(centred, full_matrices=True)
-    projected = centred @ directions.T
+    directions = np.linalg.eigh(centred.T @ centred)[1]
+    projected = centred @ directions
     rng = np.random.default_rng(seed)
     found = []
     for _ in range(count):
@@ -65,7 +65,7 @@ def learn_rotations(sample: np.ndarray, count: int, seed: int = SEED) -> tuple[n
             signs = np.where(projected @ rotation >= 0, 1.0, -1.0)
             u, _, v = np.linalg.svd(projected.T @ signs)
             rotation = u @ v
-        found.append(directions.T @ rotation)
+        found.append(directions @ rotation)
     return mean, np.stack(found)
 
 
