@@ -13,6 +13,7 @@ from editwake.llm.curriculum import mix
 from editwake.llm.hamming import near_vectors
 from editwake.llm.pieces import encode_documents
 from editwake.llm.quality import judge
+from editwake.llm.secret_scan import digest, scan
 from editwake.llm.toxicity import score, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,6 +122,12 @@ FROM counted, range(n)
 """
 
 
+@query
+def op6_secret_scan(spark, sf_dir):
+    """Secrets of all documents: counts, a digest of the base spans, and all spans."""
+    return digest(scan(table(spark, sf_dir, "documents")))
+
+
 @query
 def op8_minhash_near_dedup(spark, sf_dir):
     """Components of all documents by sets of three-word shingles, 85 percent alike."""
