@@ -15,6 +15,9 @@ from editwake.llm.pieces import encode_documents
 from editwake.llm.quality import judge
 from editwake.llm.secret_scan import digest, scan
 from editwake.llm.toxicity import score, train
+from editwake.llm.url_models import fit
+from editwake.llm.url_models import judge as judge_urls
+from editwake.llm.word_pieces import marked_pieces, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +47,13 @@ def op2_quality_rules(spark, sf_dir):
     return judge(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_token_counts(spark, sf_dir):
+    """Words and greedy word pieces of all documents."""
+    pieces = marked_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts(table(spark, sf_dir, "documents"), pieces)
+
+
 @query
 def op4_embedding_near_dedup(spark, sf_dir):
     """Links, components and keepers of all vectors, from a cosine of 0.98 on."""
@@ -128,6 +138,14 @@ def op6_secret_scan(spark, sf_dir):
     return digest(scan(table(spark, sf_dir, "documents")))
 
 
+@query
+def op7_url_filter(spark, sf_dir):
+    """Verdicts on all pages by rules, and by the models that are learned from them."""
+    pages = table(spark, sf_dir, "pages")
+    judged = judge_urls(pages, fit(pages))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 @query
 def op8_minhash_near_dedup(spark, sf_dir):
     """Components of all documents by sets of three-word shingles, 85 percent alike."""
