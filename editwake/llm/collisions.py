@@ -39,6 +39,7 @@ MISSED = 1e-5  # chance that a pair just at the threshold agrees in too few coor
 CELLS = 18  # bits of a cell of the table of frequencies: its size is fixed
 BLOCK = 512  # members of a list that are compared with each other at once
 MEMO = 500_000  # words a worker remembers
+KEEPERS = 2_000_000  # ids of documents to keep that are broadcast at most
 CHUNK = 8_192  # shingles at a time
 
 RNG = np.random.default_rng(8)
@@ -143,13 +144,14 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
                 first.append(a)
                 second.append(b)
                 packed.append(signature(found).tobytes() if found.size else None)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64())]
-            columns += [pa.array(second, pa.int64()), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "size", "d1", "d2", "signature"])
+            columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64())]
+            columns += [pa.array(first, pa.int64()), pa.array(second, pa.int64())]
+            columns.append(pa.array(packed, pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "size", "d1", "d2", "signature"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, size long, d1 long, d2 long, signature binary"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    schema = f"id {kind}, text_hash long, size long, d1 long, d2 long, signature binary"
+    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, schema)
 
 
 def _cell_counts(classes: DataFrame) -> np.ndarray:
@@ -356,20 +358,9 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    words: int = 5,
-    percent: int = 80,
-) -> DataFrame:
-    """One row per document with the smallest id of its component.
-
-    Documents are linked when their sets of shingles of ``words`` words, ASCII
-    letters in lower case, have ``percent`` of their union in common; a text
-    with fewer words is one shingle. Columns: the id, ``n_shingles``,
-    ``component_id`` and ``kept`` (whether the id is the smallest).
-    """
+def _components(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """One row per row: id, hash of the text, set size, smallest id of the component, and whether
+    its class is the one that stands for the component."""
     spark = prepare(docs.sparkSession)
     matches = matches_for(percent / 100)
     sketches = written(_sketches(docs, id_col, text_col, words), "sketches")
@@ -427,17 +418,75 @@ def near_duplicates(
 
     found = connected(links.unionAll(more))
     rooted = classes.join(found, "node", "left").select(
-        "d1", "d2", "first", F.coalesce("component", "node").alias("root")
+        "node", "d1", "d2", "first", F.coalesce("component", "node").alias("root")
     )
+    rooted = written(rooted, "rooted")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_class = rooted.join(smallest, "root").select("d1", "d2", "component_id")
+    named = rooted.join(smallest, "root")
+    first = named.where(F.col("first").eqNullSafe(F.col("component_id")))
+    first = first.groupBy(F.col("root").alias("top")).agg(F.min("node").alias("keeper"))
+    of_class = named.join(first, F.col("root") == F.col("top"), "left").select(
+        "d1", "d2", "component_id", (F.col("node") == F.col("keeper")).alias("stands")
+    )
     return (
         sketches.drop("signature")
         .join(of_class, ["d1", "d2"], "left")
         .select(
-            F.col("id").alias(id_col),
-            F.col("size").alias("n_shingles"),
+            "id",
+            "text_hash",
+            "size",
             F.coalesce("component_id", "id").alias("component_id"),
+            F.coalesce("stands", F.lit(True)).alias("stands"),
         )
-        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
     )
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 5,
+    percent: int = 80,
+) -> DataFrame:
+    """One row per document with the smallest id of its component.
+
+    Documents are linked when their sets of shingles of ``words`` words, ASCII
+    letters in lower case, have ``percent`` of their union in common; a text
+    with fewer words is one shingle. Columns: the id, ``n_shingles``,
+    ``component_id`` and ``kept`` (whether the id is the smallest).
+    """
+    return _components(docs, id_col, text_col, words, percent).select(
+        F.col("id").alias(id_col),
+        F.col("size").alias("n_shingles"),
+        "component_id",
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
+
+
+def drop_near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 5,
+    percent: int = 80,
+) -> DataFrame:
+    """The documents with one of each component: the one of the smallest id.
+
+    Texts without words are in no component and stay. Of rows that repeat an id
+    and a text, one stays.
+    """
+    found = _components(docs, id_col, text_col, words, percent)
+    keeps = F.col("stands") & F.col("id").eqNullSafe(F.col("component_id"))
+    keepers = found.where(keeps).groupBy("id", "text_hash")
+    keepers = written(keepers.agg(F.count("*").alias("n"), F.max("size").alias("size")), "keepers")
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("k.id")) & (F.xxhash64(f"d.{text_col}") == F.col("k.text_hash"))
+    again = (F.col("n") > 1) & (F.col("size") > 0)
+
+    def rows(which: DataFrame) -> DataFrame:
+        side = small_side(which.select("id", "text_hash"), rows=KEEPERS).alias("k")
+        return docs.alias("d").join(side, same, "left_semi")
+
+    once = rows(keepers.where(~again))
+    if keepers.where(again).isEmpty():
+        return once
+    return once.unionAll(rows(keepers.where(again)).dropDuplicates([id_col, text_col]))
