@@ -117,7 +117,7 @@ def hashable_sql(text: str) -> str:
 
 def tokens_sql(grams: str) -> str:
     """The token of each distinct gram."""
-    hashed = murmur_sql("gram", 1234).replace("{source}", f"(SELECT DISTINCT gram FROM {grams})")
+    hashed = murmur_sql("gram", 4711).replace("{source}", f"(SELECT DISTINCT gram FROM {grams})")
     return f"""(SELECT gram, {INT6} AS token FROM (
       SELECT gram, lpad(hex(hash), 8, '0') AS y FROM ({hashed})))"""
 
@@ -134,7 +134,7 @@ GRAMS_OF_TITLE = hashable_sql(TITLE)
 def hashed_ngrams_of_titles(v):
     """Index tokens of short texts, in order."""
     title = F.concat_ws(" ", "source", "lang", F.col("doc_id").cast("string"), F.lit(""))
-    tokens = g.hashed_ngrams(title, 2, 3, 1234)
+    tokens = g.hashed_ngrams(title, 2, 3, 4711)
     return v.documents.select("doc_id", F.array_join(tokens, " ").alias("tokens"))
 
 
@@ -149,7 +149,7 @@ def hashed_tokens_of_texts(v):
     )
     counted = grams.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
     return (
-        g.with_gram_tokens(counted, 1234, 3, "token")
+        g.with_gram_tokens(counted, 4711, 3, "token")
         .groupBy("token")
         .agg(F.sum("n").alias("grams"), F.count_distinct("doc_id").alias("documents"))
     )
@@ -218,6 +218,36 @@ def postings_hits_stored(v):
     return found.select("rev_id", "namespace")
 
 
+def searched(v, text: str, **options):
+    postings = ps.build_postings(v.revisions, **options)
+    return ps.postings_search(v.revisions, postings, text).select("rev_id")
+
+
+@query("SELECT rev_id FROM revisions WHERE contains(added, ' of the ')", ("revisions",))
+def postings_hits_hashed(v):
+    """Postings of hashed grams of 3 and 4 characters; the phrase has spaces around."""
+    return searched(v, " of the ", analyze=g.analyzer(3, 4, 77))
+
+
+@query("SELECT rev_id FROM revisions WHERE contains(added, 'ion of the')", ("revisions",))
+def postings_hits_ranged(v):
+    return searched(v, "ion of the", analyze=g.analyzer(3, 4))
+
+
+@query("SELECT rev_id FROM revisions WHERE contains(added, 'ion of the')", ("revisions",))
+def postings_hits_of_four(v):
+    return searched(v, "ion of the", n=4)
+
+
+@query("SELECT rev_id FROM revisions WHERE contains(added, 'ion of the')", ("revisions",))
+def postings_hits_with_old_counts(v):
+    """The counts are of a tenth of the table: they lack tokens and understate others."""
+    postings = ps.build_postings(v.revisions)
+    old = ps.gram_frequencies(ps.build_postings(v.revisions.where("rev_id % 10 = 0")))
+    found = ps.postings_search(v.revisions, postings, "ion of the", frequencies=old)
+    return found.select("rev_id")
+
+
 TOKENS = g.literal_ngrams("ion of the", 3)
 
 

@@ -202,12 +202,43 @@ def stream_ingested(v):
     return stored.select("rev_id", "namespace", F.md5("added").alias("added"))
 
 
+@query(
+    """SELECT rev_id, namespace FROM revisions
+       WHERE rev_id NOT IN (SELECT rev_id FROM batch)
+       UNION ALL SELECT rev_id, namespace FROM batch
+       QUALIFY row_number() OVER (PARTITION BY rev_id ORDER BY seq DESC) = 1""",
+    ("batch",),
+)
+def stream_ingested_in_one_file_batches(v):
+    """Later files have paths before the earlier ones; each file is a batch of its own."""
+    source, table, state = (work_path(v.spark, n) for n in ("source", "table", "state"))
+    new = v.upsert_batch
+    steps = (v.revisions, new.where(F.col("seq") == 1), new.where(F.col("seq") == 2))
+    for folder, revisions in zip("zyx", steps):
+        format_diff_lines(revisions).coalesce(1).write.text(f"{source}/{folder}")
+    jobs.stream_ingest(
+        v.spark, source, table, state, width=10_000, max_files=1
+    ).awaitTermination()
+    return revision_table.read_revisions(v.spark, table).select("rev_id", "namespace")
+
+
 def streamed(v, name: str):
     source = work_path(v.spark, name)
     v.diff_lines.write.text(source)
     return jobs.read_revision_stream(v.spark, source)
 
 
+def streamed_newest_first(v, name: str, files: int = 4):
+    """The newest revisions come first, one file a batch, and some come twice."""
+    source = work_path(v.spark, name)
+    last = v.revisions.agg(F.max("rev_id")).first()[0] + 1
+    for k in reversed(range(files)):
+        low, high = k * last // files, (k + 1) * last // files + last // 20
+        part = v.revisions.where((F.col("rev_id") >= low) & (F.col("rev_id") < high))
+        format_diff_lines(part).coalesce(1).write.text(f"{source}/{k}")
+    return jobs.read_revision_stream(v.spark, source, max_files=1)
+
+
 @query(
     "SELECT day AS period, count(*) AS hits FROM revisions WHERE contains(added, 'the ') GROUP BY day",
     ("revisions",),
@@ -227,6 +258,26 @@ def stream_trend_by_month(v):
     return jobs.final_counts(v.spark, trend, work_path(v.spark, "months-out"))
 
 
+@query(
+    "SELECT day AS period, count(*) AS hits FROM revisions WHERE contains(added, 'the ') GROUP BY day",
+    ("revisions",),
+)
+def stream_trend_newest_first(v):
+    trend = jobs.stream_trend(streamed_newest_first(v, "newest"), p.phrase("added", "the "), "day")
+    return jobs.final_counts(v.spark, trend, work_path(v.spark, "newest-out"))
+
+
+@query(
+    "SELECT month AS period, count(*) AS hits FROM revisions WHERE contains(added, 'the ')"
+    " GROUP BY month",
+    ("revisions",),
+)
+def stream_trend_newest_first_by_month(v):
+    lines = streamed_newest_first(v, "newest-months")
+    trend = jobs.stream_trend(lines, p.phrase("added", "the "), "month")
+    return jobs.final_counts(v.spark, trend, work_path(v.spark, "newest-months-out"))
+
+
 @query("SELECT query_id, rev_id FROM found", ("found",))
 def stream_matched(v):
     matches = jobs.stream_match(streamed(v, "matched"), v.clauses)

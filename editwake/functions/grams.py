@@ -6,6 +6,7 @@ text would be quadratic.
 """
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +70,8 @@ def hashable_ngrams(s: Column, low: int, high: int, max_chars: int | None = None
     return F.transform(_grams_of(F.slice(windows, 1, reached), low), lambda g: g.gram)
 
 
+_TRIMMED = "".join(map(chr, range(0x21)))
+
 _M = 0x5BD1E995  # fixed value: the multiplier of MurmurHash2
 _MASK = 0xFFFFFFFF
 _GRAM_BYTES = 4  # most bytes of a character in UTF-8
@@ -185,13 +188,49 @@ def identity_token(s: Column) -> Column:
     return F.array(s)
 
 
-def analyzer(n: int = 3, n_max: int = 0, seed: int = -1) -> Callable[[Column], Column]:
+@dataclass(frozen=True)
+class Analyzer:
     """The tokenizer the settings select: hashed, ranged or fixed grams."""
-    if n_max and n and seed >= 0:
-        return lambda s: hashed_ngrams(s, n, n_max, seed)
-    if n_max and n:
-        return lambda s: ngrams_range(s, n, n_max)
-    return lambda s: ngrams(s, n)
+
+    n: int = DEFAULT_GRAM
+    n_max: int = 0
+    seed: int = -1
+
+    @property
+    def ranged(self) -> bool:
+        return bool(self.n and self.n_max)
+
+    @property
+    def hashed(self) -> bool:
+        return self.ranged and self.seed >= 0
+
+    def __call__(self, s: Column) -> Column:
+        if self.hashed:
+            return hashed_ngrams(s, self.n, self.n_max, self.seed)
+        return ngrams_range(s, self.n, self.n_max) if self.ranged else ngrams(s, self.n)
+
+    def sure_grams(self, text: str) -> list[str]:
+        """Grams that any text with this literal inside has among its analysed ones.
+
+        The longest suffice, as the shorter ones are inside them. Of a hashed
+        text the white space around it and the last, short windows are not
+        analysed, so only what is sure to be in front of them counts.
+        """
+        if not self.ranged:
+            return literal_ngrams(text, self.n)
+        if self.hashed:
+            return literal_ngrams(text.strip(_TRIMMED), self.n_max)
+        size = max(min(len(text), self.n_max), self.n)
+        return literal_ngrams(text, size)
+
+    def token(self, gram: Column) -> Column:
+        """The token that stands for a gram."""
+        return gram_token(gram, self.seed, self.n_max) if self.hashed else gram
+
+
+def analyzer(n: int = DEFAULT_GRAM, n_max: int = 0, seed: int = -1) -> Analyzer:
+    """The tokenizer of these settings."""
+    return Analyzer(n, n_max, seed)
 
 
 def analyze(s: Column, n: int = 3, n_max: int = 0, seed: int = -1) -> Column:

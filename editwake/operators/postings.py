@@ -1,24 +1,24 @@
 """Substring search by n-gram postings: ``(gram, rev_id)`` rows.
 
-The table pays when many searches follow one build. Any search is exact: grams
-only narrow the candidates down, and ``contains`` decides.
+The table pays when many searches follow one build. Tokens only narrow the
+candidates down, and ``contains`` decides, so a search finds exactly the
+revisions that the postings cover and that contain the text.
 """
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editwake.functions.grams import DEFAULT_GRAM, literal_ngrams, ngrams
+from editwake.functions.grams import DEFAULT_GRAM, Analyzer
 from editwake.functions.predicates import phrase
-from editwake.plans.layout import BROADCAST_IDS
+from editwake.plans.layout import BROADCAST_IDS, fits
 from editwake.sources.revision_table import id_range, range_width
 
-# How a stored table is divided, and into how many tasks each bucket's writing.
+# How a stored table is divided; the number of its writers follows its size.
 BUCKETS = 64
-SALTS = 16
 WORD_BITS = 60
 
 
@@ -26,16 +26,19 @@ def build_postings(
     revisions: DataFrame,
     field: str = "added",
     n: int = DEFAULT_GRAM,
-    analyze: Callable[[Column], Column] | None = None,
+    analyze: Analyzer | None = None,
 ) -> DataFrame:
-    """The distinct grams of each revision's field; no shuffle.
+    """The distinct tokens of each revision's field; no shuffle.
 
     Distinctness holds per row, so ``revisions`` should have unique ids, as
     after an upsert. ``analyze`` replaces the fixed n-grams, for example by
-    ``analyzer(3, 4, seed)`` for hashed ones.
+    ``analyzer(3, 4, seed)`` for hashed ones. The field and the settings are
+    kept with the column of tokens, so that a search analyses its text alike.
     """
-    tokens = analyze(F.col(field)) if analyze else ngrams(F.col(field), n)
-    return revisions.select(F.explode(F.array_distinct(tokens)).alias("gram"), "rev_id")
+    analyze = analyze or Analyzer(n)
+    settings = {"field": field, "n": analyze.n, "n_max": analyze.n_max, "seed": analyze.seed}
+    tokens = F.explode(F.array_distinct(analyze(F.col(field)))).alias("gram")
+    return revisions.select(tokens, "rev_id").withMetadata("gram", settings)
 
 
 def gram_bucket(gram: Column, buckets: int = BUCKETS) -> Column:
@@ -47,26 +50,20 @@ def write_postings(
     path: str,
     mode: str = "errorifexists",
     buckets: int = BUCKETS,
-    salts: int = SALTS,
 ) -> None:
     """Store postings by bucket of the gram, ordered by gram inside.
 
     A lookup opens the buckets of its grams and there skips the row groups of
-    other grams. Ids salt the shuffle: a gram that occurs everywhere is written
-    by several tasks. Hashing needs no sampling pass over the texts, as ranges
-    of grams would.
+    other grams. The rows are rebalanced by bucket: adaptive execution splits
+    large buckets and unites small ones by their bytes, so the number of
+    writers follows the input and a gram that occurs everywhere is written by
+    several tasks. No sampling pass is needed, as ranges of grams would.
     """
     # The number of buckets goes into the files, so that no reader has to be told.
-    marked = postings.withMetadata("gram", {"buckets": buckets})
-    salted = marked.withColumns(
-        {
-            "bucket": gram_bucket(F.col("gram"), buckets),
-            "_salt": F.pmod(F.xxhash64("rev_id"), F.lit(salts)),
-        }
-    )
+    marked = postings.withMetadata("gram", {**_settings(postings), "buckets": buckets})
     (
-        salted.repartition("bucket", "_salt")
-        .drop("_salt")
+        marked.withColumn("bucket", gram_bucket(F.col("gram"), buckets))
+        .hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "gram", "rev_id")
         .write.mode(mode)
         .partitionBy("bucket")
@@ -86,10 +83,33 @@ def append_postings(spark: SparkSession, postings: DataFrame, path: str) -> None
     write_postings(postings, path, "append", buckets)
 
 
+def _settings(postings: DataFrame) -> dict:
+    return dict(postings.schema["gram"].metadata or {})
+
+
 def _buckets(postings: DataFrame) -> int | None:
-    if "bucket" not in postings.columns:
-        return None
-    return postings.schema["gram"].metadata.get("buckets")
+    return _settings(postings).get("buckets") if "bucket" in postings.columns else None
+
+
+def _analyzer(postings: DataFrame, field: str, n: int | None) -> Analyzer:
+    """What the postings were built with; refuses a search that asks for something else."""
+    known = _settings(postings)
+    if "n" not in known:
+        raise ValueError("not a postings table: its columns tell no analyzer")
+    if known["field"] != field:
+        raise ValueError(f"these are postings of {known['field']}, not of {field}")
+    if n not in (None, known["n"]):
+        raise ValueError(f"these postings have grams of {known['n']}, not {n}")
+    return Analyzer(known["n"], known["n_max"], known["seed"])
+
+
+def sure_tokens(spark: SparkSession, analyze: Analyzer, text: str) -> list[str]:
+    """Tokens that every text with this literal inside has in its postings."""
+    grams = analyze.sure_grams(text)
+    if not grams or not analyze.hashed:
+        return grams
+    hashed = F.transform(F.array(*map(F.lit, grams)), analyze.token)
+    return list(dict.fromkeys(spark.range(1).select(hashed).first()[0]))
 
 
 def of_grams(rows: DataFrame, tokens: Sequence[str]) -> DataFrame:
@@ -136,34 +156,43 @@ def postings_search(
     postings: DataFrame,
     text: str,
     field: str = "added",
-    n: int = DEFAULT_GRAM,
+    n: int | None = None,
     frequencies: DataFrame | None = None,
     broadcast_ids: int = BROADCAST_IDS,
 ) -> DataFrame:
-    """Revisions whose field contains ``text``.
-
-    The frequency of the rarest gram bounds the number of candidates before
-    any posting is read. Within the bound, the grams up to it are intersected
-    and the ids broadcast, so no revision text is shuffled; of a stored table
-    only the id ranges with candidates are read. Beyond the bound, a scan reads
-    less than the join would move, and gives the same rows.
+    """Revisions whose field contains ``text``, of those that the postings cover.
+
+    The text is analysed as the postings were; other fields or lengths of grams
+    than theirs are refused. The frequency of the rarest token bounds the
+    number of candidates before any posting is read. Within the bound, the
+    tokens up to it are intersected and the ids broadcast, so no revision text
+    is shuffled; of a stored table only the id ranges with candidates are read.
+    Beyond the bound, a scan reads less than the join would move, and gives the
+    same rows. ``frequencies`` saves counting; they may be older than the
+    postings, as only the postings say what does not occur.
     """
-    tokens = literal_ngrams(text, n)
+    tokens = sure_tokens(revisions.sparkSession, _analyzer(postings, field, n), text)
     exact = phrase(field, text)
     if not tokens:
         return revisions.where(exact)
-    if frequencies is None:
-        counted = gram_frequencies(of_grams(postings, tokens))
-    else:
-        counted = frequencies.where(F.col("gram").isin(tokens)).select("gram", "revisions")
-    # At most one row per gram of the query text.
-    known = dict(counted.collect())
-    if len(known) < len(tokens):
-        return revisions.where(F.lit(False))
-    rare = [g for g in tokens if known[g] <= broadcast_ids]
+    # At most one row per token of the query text.
+    known = {}
+    if frequencies is not None:
+        told = frequencies.where(F.col("gram").isin(tokens)).select("gram", "revisions")
+        known = dict(told.collect())
+    unknown = [t for t in tokens if t not in known]
+    if unknown:
+        counted = dict(gram_frequencies(of_grams(postings, unknown)).collect())
+        if len(counted) < len(unknown):
+            return revisions.where(F.lit(False))
+        known |= counted
+    rare = [t for t in tokens if known[t] <= broadcast_ids]
     if not rare:
         return revisions.where(exact)
     ids = candidates(postings, rare)
+    # Counts of another table prove nothing about these candidates.
+    if frequencies is not None and not fits(ids, broadcast_ids):
+        return revisions.where(exact)
     keys = ["rev_id"]
     width = range_width(revisions)
     if width is not None:

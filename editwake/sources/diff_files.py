@@ -10,14 +10,16 @@ from editwake.functions import derive
 from editwake.functions.text import escape, unescape, unquote
 from editwake.schema import HEADER_FIELDS, REVISION
 
-# Where a line stands: a split of a file knows its offset, and ids increase
-# inside a split, whichever task reads it.
-POSITION = ("file", "block", "line")
+# Where a line stands: files in the order they were modified, then by path; a
+# split of a file knows its offset, and ids increase inside a split, whichever
+# task reads it.
+POSITION = ("modified", "file", "block", "line")
 
 
 def split_position() -> list[Column]:
     """The file and split a line is read from; only right above the scan."""
     return [
+        F.col("_metadata.file_modification_time").alias("modified"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
     ]

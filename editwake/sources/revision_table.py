@@ -30,15 +30,22 @@ def id_range(rev_id: str | Column = "rev_id", width: int = ID_RANGE) -> Column:
     return step(rev_id, width)
 
 
-def latest_revision(revisions: DataFrame, order: Sequence[str] = POSITION) -> DataFrame:
+def latest_revision(
+    revisions: DataFrame, order: Sequence[str] = POSITION, broadcast_ids: int = BROADCAST_IDS
+) -> DataFrame:
     """One row per rev_id, the last in ``order``; the order columns go away.
 
-    An aggregate rather than a window: copies of a revision collapse before
-    the shuffle, however many there are of one id.
+    Ids that occur once, most of them, are told by a count of the bare ids, and
+    their rows stay where they are. Only rows of the others are aggregated by
+    id; their copies collapse before the shuffle, however many there are.
     """
     rest = [c for c in revisions.columns if c != "rev_id" and c not in order]
+    counted = revisions.groupBy("rev_id").agg(F.count("*").alias("n"))
+    repeated = counted.where("n > 1").select("rev_id")
+    once = drop_ids(revisions, repeated, rows=broadcast_ids).select("rev_id", *rest)
     last = F.max_by(F.struct(*rest), F.struct(*order)).alias("last")
-    return revisions.groupBy("rev_id").agg(last).select("rev_id", "last.*")
+    again = keep_ids(revisions, repeated, rows=broadcast_ids).groupBy("rev_id").agg(last)
+    return once.unionByName(again.select("rev_id", "last.*"))
 
 
 def append_revisions(table: DataFrame, new: DataFrame) -> DataFrame:
@@ -161,16 +168,23 @@ def upsert_table(
     order: Sequence[str] = POSITION,
     width: int = ID_RANGE,
     broadcast_ids: int = BROADCAST_IDS,
+    keep_order: bool = False,
 ) -> None:
     """Upsert into a stored table, creating it with ranges of ``width`` if needed.
 
     Rewrites only the id ranges that ``new`` touches. Repeating the call with
     the same batch changes nothing, so a replayed stream batch is harmless.
+    With ``keep_order`` the table keeps the place of each revision in ``order``
+    as ``loaded``, and a stored revision gives way only to one not before it.
     """
     shared_dir(spark)
-    # Used three times below; a checkpoint in the shared folder survives the
+    kept = list(REVISION.names)
+    if keep_order:
+        new = new.withColumn("loaded", F.struct(*order))
+        kept.append("loaded")
+    # Used several times below; a checkpoint in the shared folder survives the
     # loss of executors and fixes the batch while the table is rewritten.
-    batch = latest_revision(new, order).select(*REVISION.names).checkpoint()
+    batch = latest_revision(new, order, broadcast_ids).select(*kept).checkpoint()
     table = _stored(spark, path)
     if table is None:
         write_revisions(batch, path, width=width)
@@ -180,7 +194,13 @@ def upsert_table(
     touched = [r[0] for r in batch.select(id_range(width=width)).distinct().collect()]
     if not touched:
         return
-    stored = table.where(F.col("id_range").isin(touched)).select(*REVISION.names)
+    if ("loaded" in table.columns) != keep_order:
+        raise ValueError("the table was made with another choice of keep_order")
+    stored = table.where(F.col("id_range").isin(touched)).select(*kept)
+    if keep_order:
+        places = stored.select("rev_id", F.col("loaded").alias("there"))
+        older = batch.select("rev_id", "loaded").join(places, "rev_id").where("there > loaded")
+        batch = drop_ids(batch, older, rows=broadcast_ids)
     merged = missing_revisions(stored, batch, broadcast_ids).unionByName(batch)
     write_revisions(merged, path, "overwrite", width)
     spark.catalog.refreshByPath(path)

@@ -33,7 +33,7 @@ SECOND = "502\t8\t0\tu'Other page'\t1014749333\tu'na\\u00efve'\tFalse\t42\tu'Edi
 
 @pytest.fixture(scope="session")
 def lines(spark):
-    return spark.createDataFrame([(FIRST, "f", 0, 0), (SECOND, "f", 0, 1)], "value string, file string, block long, line long")
+    return spark.createDataFrame([(FIRST, None, "f", 0, 0), (SECOND, None, "f", 0, 1)], "value string, modified timestamp, file string, block long, line long")
 
 
 @pytest.fixture(scope="session")

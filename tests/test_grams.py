@@ -1,6 +1,7 @@
 import base64
 import re
 
+import pytest
 from conftest import column
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -36,7 +37,7 @@ def one(spark, text, expression):
 
 
 def test_fixed_grams(spark):
-    assert one(spark, "cadabra", lambda s: g.ngrams(s, 3)) == ["cad", "ada", "dab", "abr", "bra"]
+    assert one(spark, "marimba", lambda s: g.ngrams(s, 3)) == ["mar", "ari", "rim", "imb", "mba"]
     assert one(spark, "ab", lambda s: g.ngrams(s, 3)) == []
     assert one(spark, "", lambda s: g.ngrams(s, 1)) == []
     assert one(spark, "a\nb", lambda s: g.ngrams(s, 2)) == ["a\n", "\nb"]
@@ -54,12 +55,12 @@ def test_ranged_grams_and_offsets(spark):
 
 def test_hashed_grams_stop_at_the_first_overrun(spark):
     def tokens(text, low, high):
-        return one(spark, text, lambda s: g.hashed_ngrams(s, low, high, 11))
+        return one(spark, text, lambda s: g.hashed_ngrams(s, low, high, 29))
 
-    assert tokens("test", 1, 5) == [token(x, 11) for x in ("t", "te", "tes", "test")]
-    wanted = ["cad", "cada", "ada", "adab", "dab", "dabr", "abr", "abra", "bra"]
-    assert tokens("cadabra", 3, 4) == [token(x, 11) for x in wanted]
-    assert set(tokens("help", 3, 4)) == {token(x, 11) for x in ("hel", "help", "elp")}
+    assert tokens("lamp", 1, 5) == [token(x, 29) for x in ("l", "la", "lam", "lamp")]
+    wanted = ["mar", "mari", "ari", "arim", "rim", "rimb", "imb", "imba", "mba"]
+    assert tokens("marimba", 3, 4) == [token(x, 29) for x in wanted]
+    assert set(tokens("glow", 3, 4)) == {token(x, 29) for x in ("glo", "glow", "low")}
     assert tokens("ab", 3, 4) == []
 
 
@@ -71,7 +72,7 @@ def test_hashable_grams_read_whole_texts_unless_told(spark):
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.text(max_size=40), min_size=1, max_size=50), st.sampled_from([0, 11, -1]))
+@given(st.lists(st.text(max_size=40), min_size=1, max_size=50), st.sampled_from([0, 29, -1]))
 def test_grams_against_brute_force(spark, texts, seed):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
     data = spark.createDataFrame([(t,) for t in texts], "s string")
@@ -103,38 +104,38 @@ def test_grams_against_brute_force(spark, texts, seed):
 
 
 def test_tokens_of_rows(spark):
-    grams = ["abc", "äöü", "", "help", "日本語語"]
+    grams = ["abc", "äöü", "", "tide", "日本語語"]
     data = spark.createDataFrame([(x, x) for x in grams], "gram string, name string")
-    found = {r.name: r.gram for r in g.with_gram_tokens(data, 1234, 4).collect()}
-    assert found == {x: token(x, 1234) for x in grams}
+    found = {r.name: r.gram for r in g.with_gram_tokens(data, 4711, 4).collect()}
+    assert found == {x: token(x, 4711) for x in grams}
 
 
 def test_analyzer_settings(spark):
     assert one(spark, "abcd", g.analyze) == ["abc", "bcd"]
     assert one(spark, "abcd", lambda s: g.analyze(s, 3, 4)) == ["abc", "abcd", "bcd"]
-    hashed = one(spark, "abcd", lambda s: g.analyze(s, 3, 4, 11))
-    assert hashed == [token(x, 11) for x in ("abc", "abcd", "bcd")]
+    hashed = one(spark, "abcd", lambda s: g.analyze(s, 3, 4, 29))
+    assert hashed == [token(x, 29) for x in ("abc", "abcd", "bcd")]
     assert one(spark, "abcd", g.identity_token) == ["abcd"]
 
 
-TITLES = ["help page 1", "help page 2", "help page", "page 1", "help", "page help"]
+TITLES = ["tide pool 1", "tide pool 2", "tide pool", "pool 1", "tide", "pool tide"]
 
 
 def test_postings_find_what_a_scan_finds(spark, tmp_path):
     data = spark.createDataFrame(list(enumerate(TITLES)), "rev_id long, title string")
     built = ps.build_postings(data, "title")
     path = str(tmp_path / "postings")
-    ps.write_postings(built, path, buckets=4, salts=2)
+    ps.write_postings(built, path, buckets=4)
     for postings in (built, spark.read.parquet(path)):
-        for text in ("help page", "page 1", "he", "nothing", "elp"):
+        for text in ("tide pool", "pool 1", "ti", "nothing", "ide"):
             wanted = [i for i, t in enumerate(TITLES) if text in t]
             for rows in (1000, 3, 0):
                 found = ps.postings_search(data, postings, text, "title", broadcast_ids=rows)
                 assert column(found, "rev_id") == wanted
-    plan = ps.of_grams(spark.read.parquet(path), ["hel"])._jdf.queryExecution().executedPlan()
+    plan = ps.of_grams(spark.read.parquet(path), ["tid"])._jdf.queryExecution().executedPlan()
     # The bucket of a literal is known when planning.
     assert re.search(r"bucket#\d+ = \d", plan.toString())
-    candidates = ps.candidates(built, g.literal_ngrams("help page", 3))
+    candidates = ps.candidates(built, g.literal_ngrams("tide pool", 3))
     assert column(candidates) == [0, 1, 2]
 
 
@@ -143,14 +144,32 @@ def test_stored_postings(spark, tmp_path):
     path = str(tmp_path / "postings")
     ps.write_postings(ps.build_postings(data, "title"), path)
     stored = spark.read.parquet(path)
-    found = ps.postings_search(data, stored, "page 1", "title")
+    found = ps.postings_search(data, stored, "pool 1", "title")
     assert column(found, "rev_id") == [0, 3]
 
 
 def test_hashed_postings(spark):
     data = spark.createDataFrame(list(enumerate(TITLES)), "rev_id long, title string")
-    built = ps.build_postings(data, "title", analyze=g.analyzer(3, 4, 1234))
-    assert column(ps.candidates(built, [token("hel", 1234)])) == [0, 1, 2, 4, 5]
+    built = ps.build_postings(data, "title", analyze=g.analyzer(3, 4, 4711))
+    assert column(ps.candidates(built, [token("tid", 4711)])) == [0, 1, 2, 4, 5]
+
+
+def test_searches_are_analysed_as_the_postings_are(spark):
+    texts = [*TITLES, " pool 1 ", "\tx pool", "pool", "po", "é😀pool one", ""]
+    data = spark.createDataFrame(list(enumerate(texts)), "rev_id long, title string")
+    for analyze in (g.analyzer(3, 4, 5), g.analyzer(2, 5, 0), g.analyzer(3, 4), g.analyzer(4), g.analyzer(2)):
+        built = ps.build_postings(data, "title", analyze=analyze)
+        for text in ("pool 1", " pool", "pool", "ool ", "po", " ", "e", "😀p", "tide pool 1", "zz"):
+            wanted = [i for i, t in enumerate(texts) if text in t]
+            assert column(ps.postings_search(data, built, text, "title"), "rev_id") == wanted
+
+
+def test_other_postings_are_refused(spark):
+    data = spark.createDataFrame(list(enumerate(TITLES)), "rev_id long, title string")
+    built = ps.build_postings(data, "title")
+    for postings, options in ((built, {}), (built, {"field": "title", "n": 4}), (built.select("rev_id", F.col("gram").alias("gram", metadata={})), {"field": "title"})):
+        with pytest.raises(ValueError):
+            ps.postings_search(data, postings, "pool", **options)
 
 
 def test_candidates_prune_id_ranges(spark, revisions, tmp_path):
@@ -169,11 +188,11 @@ def test_appended_postings_of_changed_revisions(spark, tmp_path):
     path = str(tmp_path / "postings")
     old = spark.createDataFrame(list(enumerate(TITLES)), "rev_id long, title string")
     ps.write_postings(ps.build_postings(old, "title"), path)
-    changed = spark.createDataFrame([(0, "other page"), (4, "help page"), (9, "page 1")], old.schema)
+    changed = spark.createDataFrame([(0, "other pool"), (4, "tide pool"), (9, "pool 1")], old.schema)
     ps.append_postings(spark, ps.build_postings(changed, "title"), path)
     now = old.where("rev_id NOT IN (0, 4)").unionByName(changed)
     stored = spark.read.parquet(path)
-    for text in ("help page", "page 1", "other", "page"):
+    for text in ("tide pool", "pool 1", "other", "pool"):
         wanted = column(now.where(F.col("title").contains(text)), "rev_id")
         assert column(ps.postings_search(now, stored, text, "title"), "rev_id") == wanted
 

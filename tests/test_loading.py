@@ -7,7 +7,7 @@ from editwake.operators.hits import select_fields
 from editwake.session import work_path
 from editwake.sources import diff_files, query_files, revision_table, trend_files
 
-POSITION = "value string, file string, block long, line long"
+POSITION = "value string, modified timestamp, file string, block long, line long"
 
 
 def parse(spark, *rows):
@@ -38,7 +38,7 @@ def test_actions(spark):
         3: "\t0:-1:u'minus'",
         4: "\t0:1:u'plus'\t5:-1:u'minus'",
     }
-    found = parse(spark, *[(f"{i}{head}{tail}", "f", 0, i) for i, tail in rows.items()])
+    found = parse(spark, *[(f"{i}{head}{tail}", None, "f", 0, i) for i, tail in rows.items()])
     actions = {r.rev_id: r.action for r in found.collect()}
     assert actions == {1: "removal", 2: "addition", 3: "removal", 4: "both"}
 
@@ -72,7 +72,7 @@ def test_corrupt_lines_do_not_stop_a_file(spark):
         "": "too few columns",
         FIRST: None,
     }
-    lines = spark.createDataFrame([(r, "f", 0, i) for i, r in enumerate(rows)], POSITION)
+    lines = spark.createDataFrame([(r, None, "f", 0, i) for i, r in enumerate(rows)], POSITION)
     bad = {r.value: r.reason for r in diff_files.corrupt_lines(lines).collect()}
     assert bad == {r: reason for r, reason in rows.items() if reason}
     assert column(diff_files.parse_revisions(lines), "rev_id") == [501]

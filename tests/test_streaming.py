@@ -37,6 +37,16 @@ def test_ingest_in_steps(spark):
     assert [(r.value, r.reason) for r in bad] == [("broken line", "too few columns")]
 
 
+def test_the_file_modified_last_wins_however_batches_are_cut(spark):
+    for max_files in (None, 1):
+        source, table, state = (work_path(spark, n) for n in ("in", "table", "state"))
+        drop(spark, source, "z", FIRST)
+        drop(spark, source, "a", FIRST.replace("\t3\t'Sandbox'", "\t5\t'Sandbox'"), "broken")
+        jobs.stream_ingest(spark, source, table, state, max_files=max_files).awaitTermination()
+        assert column(read_revisions(spark, table), "namespace") == [5]
+        assert column(spark.read.parquet(f"{table}-rejects"), "value") == ["broken"]
+
+
 def test_ingest_with_load_filter(spark):
     source, table, state = (work_path(spark, n) for n in ("in", "table", "state"))
     drop(spark, source, "a", FIRST, SECOND)
@@ -53,13 +63,15 @@ def edits(days):
 
 def test_running_trend_equals_batch(spark):
     source = work_path(spark, "in")
-    # Days in order, one file a time; copies within the lateness count once.
-    for k, days in enumerate([range(0, 3), range(2, 5), range(5, 40)]):
+    # The newest days first, one file a time; copies count once.
+    for k, days in enumerate([range(5, 40), range(2, 6), range(0, 3)]):
         drop(spark, source, f"f{k}", *edits(days))
     lines = spark.createDataFrame([(x,) for x in edits(range(40))], "value string")
     predicate = p.phrase("added", "world")
     for by in ("day", "month"):
-        stream = jobs.stream_trend(jobs.read_revision_stream(spark, source), predicate, by)
+        stream = jobs.stream_trend(
+            jobs.read_revision_stream(spark, source, max_files=1), predicate, by
+        )
         found = jobs.final_counts(spark, stream, work_path(spark, "out"))
         batch = trend(parse_revisions(lines).where(predicate), by)
         assert {r.period: r.hits for r in found.collect()} == {r.period: r.hits for r in batch.collect()}
@@ -68,7 +80,8 @@ def test_running_trend_equals_batch(spark):
 def test_closed_days_are_appended(spark):
     source, out = work_path(spark, "in"), work_path(spark, "out")
     drop(spark, source, "a", *edits(range(0, 10)))
-    stream = jobs.stream_trend(jobs.read_revision_stream(spark, source), F.lit(True), "day")
+    lines = jobs.read_revision_stream(spark, source)
+    stream = jobs.stream_trend(lines, F.lit(True), "day", lateness="1 day")
     jobs.append_to(stream, out).awaitTermination()
     closed = spark.read.parquet(out)
     # The last days stay open for late revisions.

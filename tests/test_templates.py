@@ -20,10 +20,10 @@ def fragments(spark, text):
 
 
 def test_fragments(spark):
-    assert fragments(spark, "abcd\n") == ["abcd"]
-    assert fragments(spark, "abcd<noinclude>efghij</noinclude>") == ["abcd"]
-    assert fragments(spark, "abcd\n<noinclude>\nefghij\n</noinclude>\n") == ["abcd"]
-    assert fragments(spark, "abc") == []
+    assert fragments(spark, "please sign\n") == ["please sign"]
+    assert fragments(spark, "one<noinclude>hidden</noinclude>two<noinclude>x</noinclude>") == ["onetwo"]
+    assert fragments(spark, "your edit\n<noinclude>\n[[Category:Notes]]\n</noinclude>\n\n") == ["your edit"]
+    assert fragments(spark, "no\nhm\n") == []
     text = "Hello {{PAGENAME}} there{{#if:x|y}}\nSee {{{1}}}, it's __NOTOC__done{{tl|x}} <includeonly>only</includeonly> now~~~~"
     assert fragments(spark, text) == ["Hello ", " there", "See ", ", it", "done", "tl|x", "only", " now"]
 
