@@ -247,6 +247,13 @@ def fuzzy_hits(v):
     )
 
 
+@query("SELECT rev_id FROM revisions WHERE action = 'addition'", ("revisions",))
+def regexp_keywords(v):
+    """On a keyword field the expression must be the whole value."""
+    of_whole, of_part = p.regexp("action", "add.*|rem"), p.regexp("action", "both|oth|dditio")
+    return v.revisions.where(of_whole & p.none_of(of_part)).select("rev_id")
+
+
 @query("SELECT rev_id FROM revisions WHERE regexp_matches(added, 'th[aeiou]+ (of|on) ')", ("revisions",))
 def regexp_hits(v):
     return v.revisions.where(p.regexp("added", "th[aeiou]+ (of|on) ")).select("rev_id")

@@ -64,9 +64,10 @@ def hunks_parsed(v):
 
 
 @query(
-    """SELECT doc_id AS rev_id, CASE doc_id % 4 WHEN 0 THEN 'too few columns'
+    """SELECT rev_id, CASE rev_id % 4 WHEN 0 THEN 'too few columns'
          WHEN 1 THEN 'wrong type' WHEN 2 THEN 'empty column' END AS reason
-       FROM documents WHERE doc_id % 4 <> 3"""
+       FROM revisions WHERE rev_id % 4 <> 3""",
+    ("revisions",),
 )
 def lines_corrupt(v):
     """What stands in for the lines that end a load: too short, mistyped, emptied."""
@@ -85,7 +86,9 @@ def lines_kept(v):
     return kept.groupBy("rev_id", F.md5("added").alias("added")).agg(F.count("*").alias("lines"))
 
 
-@query("SELECT doc_id AS rev_id, 'no colons here' AS hunk FROM documents WHERE doc_id % 4 = 3")
+@query(
+    "SELECT rev_id, 'no colons here' AS hunk FROM revisions WHERE rev_id % 4 = 3", ("revisions",)
+)
 def hunks_skipped(v):
     return diff_files.skipped_hunks(v.damaged_lines)
 
@@ -215,16 +218,48 @@ def query_names(v):
 
 
 @query(
-    "SELECT text AS query, 'named ' || CAST(item_id AS VARCHAR) || '.csv' AS output"
-    " FROM benchmark"
+    """SELECT row_number() OVER (ORDER BY item_id % 3, item_id)::INTEGER AS ordinal, text AS query,
+         'named ' || CAST(item_id AS VARCHAR) || '.csv' AS output FROM benchmark"""
 )
 def query_file_read(v):
-    """Queries of several lines with output names, written as CSV and read again."""
+    """Queries of several lines with output names, in three files of different sizes."""
+    return query_files.read_query_file(v.spark, query_folder(v, F.col("text")))
+
+
+def query_folder(v, text):
     name = F.concat(F.lit("named "), F.col("item_id").cast("string"), F.lit(".csv"))
     path = work_path(v.spark, "queries")
-    rows = v.table("benchmark").select("text", name.alias("output"))
-    rows.write.csv(path, escape='"')
-    return query_files.read_query_file(v.spark, path).select("query", "output")
+    for k in range(3):
+        part = v.table("benchmark").where(F.col("item_id") % 3 == k).orderBy("item_id")
+        part.select(text, name).coalesce(1).write.csv(f"{path}/{k}", escape='"')
+    return [f"{path}/{k}" for k in range(3)]
+
+
+@query(
+    """SELECT 'named ' || CAST(item_id AS VARCHAR) || '.csv' AS output, month AS date, count(*) AS hits
+       FROM benchmark JOIN revisions ON contains(added, string_split(text, chr(10))[1])
+       WHERE iso >= '2006-02' AND iso <= '2006-09-30' AND namespace = 3 GROUP BY ALL""",
+    ("revisions",),
+)
+def query_files_to_outputs(v):
+    """From query files by way of saved queries to a folder of CSV for each of them."""
+    first = F.get(F.split("text", "\n", -1), F.lit(0))
+    named = query_files.read_query_file(v.spark, query_folder(v, first))
+    clauses = query_files.query_clauses(named, "2006-02", "2006-09-30", 3)
+    trends = trends_by_query(match_saved_queries(v.revisions, clauses))
+    path = work_path(v.spark, "outputs")
+    trend_files.write_per_query(query_files.named_trends(trends, named), path)
+    return v.spark.read.schema("date string, hits bigint, output string").csv(path)
+
+
+@query(
+    """SELECT to_json({'hits_all': 0, 'parsed_query': 'nothing', 'debug_unchecked': 0, 'hits': [],
+         'query': 'asked'})::VARCHAR AS response FROM documents WHERE doc_id = 0"""
+)
+def trend_response_without_hits(v):
+    """No hits are a count of 0, and the request is echoed."""
+    trend = t.trend(v.revisions.where(p.phrase("added", "\u0001 in no text")))
+    return trend_files.trend_json(trend, F.lit("nothing"), F.lit(0), request=F.lit("asked"))
 
 
 @query(

@@ -52,14 +52,15 @@ VALUES = "string_agg(CAST(rev_id AS VARCHAR) || '/' || user_text, ';' ORDER BY r
 
 
 @query(
-    f"""SELECT month AS period, rev_id // {PART} AS part, count(*) AS hits, {VALUES} AS vals
-        FROM revisions WHERE {THE} GROUP BY ALL""",
+    f"""SELECT month AS period, rev_id // {PART} AS part, count(*) AS hits, {VALUES} AS vals,
+          sum(count(*)) OVER (PARTITION BY month)::BIGINT AS period_hits
+        FROM revisions WHERE {THE} GROUP BY month, rev_id // {PART}""",
     ("revisions",),
 )
 def trend_with_values(v):
     """Field values per month, in parts of bounded size."""
     packed = t.trend_with_fields(the_hits(v), "month", ["rev_id", "user_text"], part_width=PART)
-    return packed.select("period", "part", "hits", joined("values"))
+    return packed.select("period", "part", "hits", "period_hits", joined("values"))
 
 
 def joined(values: str):
@@ -70,13 +71,14 @@ def joined(values: str):
 
 
 @query(
-    f"""SELECT day AS period, CAST(0 AS BIGINT) AS part, count(*) AS hits, {VALUES} AS vals
-        FROM revisions WHERE {THE} GROUP BY day""",
+    f"""SELECT day AS period, rev_id // 100000 AS part, count(*) AS hits, {VALUES} AS vals,
+          sum(count(*)) OVER (PARTITION BY day)::BIGINT AS period_hits
+        FROM revisions WHERE {THE} GROUP BY day, rev_id // 100000""",
     ("revisions",),
 )
 def trend_with_values_by_day(v):
     found = search(v.revisions, p.phrase("added", "the "), "day", ["rev_id", "user_text"])
-    return found.select("period", "part", "hits", joined("values"))
+    return found.select("period", "part", "hits", "period_hits", joined("values"))
 
 
 @query(
@@ -102,30 +104,29 @@ def hits_skipped(v):
     return h.skipped(the_hits(v), 100)
 
 
-@query(f"SELECT rev_id FROM revisions WHERE {THE} ORDER BY rev_id LIMIT 1000", ("revisions",))
+@query(f"SELECT rev_id, added FROM revisions WHERE {THE} ORDER BY rev_id LIMIT 70", ("revisions",))
 def hits_limited(v):
-    """The default cap of a request."""
-    return h.limit_hits(the_hits(v), 1000).select("rev_id")
+    return h.limit_hits(the_hits(v), 70).select("rev_id", "added")
 
 
 @query(
-    f"SELECT rev_id FROM revisions WHERE {THE} ORDER BY rev_id LIMIT 1100", ("revisions",)
+    f"SELECT rev_id, added FROM revisions WHERE {THE} ORDER BY rev_id LIMIT 300", ("revisions",)
 )
 def hits_limited_by_range(v):
     """A cap too large for a top-n, located by counts per id range."""
-    return h.limit_hits(the_hits(v), 1100, width=PART).select("rev_id")
+    return h.limit_hits(the_hits(v), 300, width=PART, small=10).select("rev_id", "added")
 
 
 @query(
     f"""SELECT lang, rev_id, rank FROM (SELECT lang, rev_id,
           row_number() OVER (PARTITION BY lang ORDER BY rev_id) AS rank
-        FROM revisions WHERE contains(added, 'e')) WHERE rank <= 150""",
+        FROM revisions WHERE contains(added, 'e')) WHERE rank <= 25""",
     ("revisions",),
 )
 def hits_capped_by_group(v):
     langs = v.documents.select(F.col("doc_id").alias("rev_id"), "lang")
     hits = v.revisions.where(p.phrase("added", "e")).select("rev_id").join(langs, "rev_id")
-    return h.cap_hits(hits, 150, ["lang"], width=PART)
+    return h.cap_hits(hits, 25, ["lang"], width=PART)
 
 
 @query(

@@ -20,6 +20,7 @@ EPOCH = 1136073600  # fixed value: 2006-01-01T00:00:00Z
 STEP = 7 * 3600
 NOW = "2030-01-01 00:00:00"
 FRESH = 10_000_000  # added to an id to make a new one
+BARE = 20_000_000  # added to an id to make one without hunks
 PART = 300  # ids per part of a packed trend
 
 
@@ -67,12 +68,12 @@ class Views:
             (doc % 4 == 0).alias("minor"),
             F.when(doc % 5 != 0, doc % 53).alias("user_id"),
             F.concat(F.lit("User"), (doc % 53).cast("string")).alias("user_text"),
-            F.when(doc % 29 == 28, F.array().cast(hunks_type()))
-            .when(doc % 10 == 0, F.concat(hunks, F.array(mark)))
-            .otherwise(hunks)
-            .alias("hunks"),
+            F.when(doc % 10 == 0, F.concat(hunks, F.array(mark))).otherwise(hunks).alias("hunks"),
         )
-        return with_derived(header).select(*REVISION.names)
+        bare = header.where("rev_id % 29 = 28").withColumns(
+            {"rev_id": F.col("rev_id") + BARE, "hunks": F.array().cast(hunks_type())}
+        )
+        return with_derived(header.unionByName(bare)).select(*REVISION.names)
 
     @cached_property
     def diff_lines(self) -> DataFrame:
@@ -129,7 +130,12 @@ class Views:
             F.concat(F.lit("Template:Uw-"), (F.col("doc_id") % 4).cast("string")).alias("title"),
             F.timestamp_seconds(F.lit(EPOCH) + F.col("doc_id") * STEP).alias("rev_ts"),
             F.concat(
-                word(1), F.lit("{{PAGENAME}}"), word(3), F.lit("<noinclude>usage notes</noinclude>")
+                word(1),
+                F.lit("{{PAGENAME}}"),
+                word(3),
+                F.lit("<noinclude>usage notes: "),
+                "text",
+                F.lit("</noinclude>"),
             ).alias("text"),
         )
 
@@ -218,7 +224,7 @@ _TS = f"make_timestamp(({EPOCH} + doc_id * {STEP}) * 1000000)"
 
 CTES = {
     "docs": "SELECT *, string_split(text, chr(10)) AS lines FROM documents",
-    "headers": f"""
+    "heads": f"""
         SELECT doc_id AS rev_id, doc_id % 97 AS page_id, CAST(doc_id % 6 AS INTEGER) AS namespace,
           CASE WHEN doc_id % 10 = 0 THEN 'Uw-' || source
                ELSE 'Page ' || CAST(doc_id % 97 AS VARCHAR) END AS title,
@@ -228,8 +234,7 @@ CTES = {
           doc_id % 4 = 0 AS minor,
           CASE WHEN doc_id % 5 <> 0 THEN doc_id % 53 END AS user_id,
           'User' || CAST(doc_id % 53 AS VARCHAR) AS user_text,
-          CASE WHEN doc_id % 29 = 28 THEN []
-               ELSE list_concat(
+          list_concat(
                  list_transform(lines, lambda line, i:
                    {{'pos': CAST((i - 1) * 100 AS VARCHAR),
                      'sign': CASE WHEN (doc_id + i - 1) % 4 = 3 THEN '-1' ELSE '1' END,
@@ -237,10 +242,14 @@ CTES = {
                  CASE WHEN doc_id % 10 = 0
                       THEN [{{'pos': CAST(len(lines) * 100 AS VARCHAR), 'sign': '1',
                               'text': '<!-- Template:uw-' || source || ' -->'}}]
-                      ELSE [] END)
-          END AS hunks,
+                      ELSE [] END) AS hunks,
           lang, source
         FROM docs""",
+    "headers": f"""
+        SELECT * FROM heads
+        UNION ALL BY NAME
+        SELECT * REPLACE (rev_id + {BARE} AS rev_id, list_filter(hunks, lambda h: false) AS hunks)
+        FROM heads WHERE rev_id % 29 = 28""",
     "texts": """
         SELECT *,
           coalesce(array_to_string(list_transform(list_filter(hunks, lambda h: h.sign <> '-1'),
@@ -265,7 +274,7 @@ CTES = {
         SELECT 'Template:Uw-' || CAST(doc_id % 4 AS VARCHAR) AS title, {_TS} AS rev_ts,
           coalesce(string_split(lines[1], ' ')[2], '') || '{{{{PAGENAME}}}}'
             || coalesce(string_split(lines[1], ' ')[4], '')
-            || '<noinclude>usage notes</noinclude>' AS text
+            || '<noinclude>usage notes: ' || text || '</noinclude>' AS text
         FROM docs""",
     "intervals": f"""
         SELECT title, text, rev_ts AS valid_from,
@@ -300,7 +309,8 @@ CTES = {
 
 # Which views each one reads.
 NEEDS = {
-    "headers": ("docs",),
+    "heads": ("docs",),
+    "headers": ("heads",),
     "texts": ("headers",),
     "revisions": ("texts",),
     "batch": ("revisions",),

@@ -123,13 +123,17 @@ def fuzzy(field: str | Column, text: str, distance: int, n: int = DEFAULT_N) ->
     """Within an edit distance of a gram of a text field, or of a keyword value."""
     if not _is_text(field):
         return F.levenshtein(_column(field).cast("string"), F.lit(text), distance) >= 0
+    if abs(len(text) - n) > distance:
+        return F.lit(False)  # each edit changes the length by one at most
     return F.exists(
         grams.ngrams(_column(field), n), lambda g: F.levenshtein(g, F.lit(text), distance) >= 0
     )
 
 
 def regexp(field: str | Column, pattern: str) -> Column:
-    """A regular expression found in the field."""
+    """A regular expression found in a text field, or that is a whole keyword value."""
+    if not _is_text(field):
+        return _column(field).cast("string").rlike(rf"\A(?:{pattern})\z")
     return _column(field).rlike(pattern)
 
 
@@ -210,6 +214,17 @@ _PARTIAL_DATETIME = (
 )
 
 
+def names_real_time(bound: str) -> bool:
+    """``is_partial_datetime`` of a bound that is known when planning."""
+    if not re.match(_PARTIAL_DATETIME, bound):
+        return False
+    day = re.match(r"([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})", bound)
+    try:
+        return day is None or bool(datetime(*map(int, day.groups())))
+    except ValueError:
+        return False
+
+
 def is_partial_datetime(s: Column) -> Column:
     """Whether a text is an ISO time or a start of one, and names a real day.
 
@@ -247,8 +262,8 @@ def trend_predicate(
 ) -> Column:
     """What a trend is drawn of: a phrase or a predicate, a time range, a namespace."""
     for bound in (start, end):
-        if bound and bound not in ("0", "Z") and not re.match(_PARTIAL_DATETIME, bound):
-            raise ValueError(f"invalid datetime: {bound}")
+        if bound and bound not in ("0", "Z") and not names_real_time(bound):
+            raise ValueError(f"neither a time nor the start of one: {bound}")
     tests = [phrase(field, query) if isinstance(query, str) else query]
     if start or end:
         tests.append(ts_range(start or "0", end or "Z", month=month))

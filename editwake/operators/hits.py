@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from editwake.functions.text import unescape
-from editwake.plans.layout import RANK_WIDTH, with_rank
+from editwake.plans.layout import RANK_WIDTH, small_side, with_rank
 from editwake.schema import ESCAPED_FIELDS
 
 # Up to here a limit is one row-number or top-n step that keeps n rows per task.
@@ -19,10 +19,12 @@ def hits_all(hits: DataFrame) -> DataFrame:
 
 
 def select_fields(hits: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """The wanted fields of each hit, header texts without their escapes."""
-    return hits.select(
-        *[unescape(F.col(f)).alias(f) if f in ESCAPED_FIELDS else F.col(f) for f in fields]
-    )
+    """The wanted fields of each hit, header texts without their escapes.
+
+    A text that cannot be unescaped is given as it is stored.
+    """
+    plain = lambda f: F.coalesce(unescape(F.col(f)), F.col(f)).alias(f)
+    return hits.select(*[plain(f) if f in ESCAPED_FIELDS else F.col(f) for f in fields])
 
 
 def ungrouped(hits: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
@@ -31,16 +33,31 @@ def ungrouped(hits: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
 
 
 def limit_hits(
-    hits: DataFrame, max_revs: int, order: str = "rev_id", width: int = RANK_WIDTH
+    hits: DataFrame,
+    max_revs: int,
+    order: str = "rev_id",
+    width: int = RANK_WIDTH,
+    small: int = SMALL_LIMIT,
 ) -> DataFrame:
     """The first ``max_revs`` hits in ``order``.
 
-    A small limit is a top-n. A large one would gather n rows of every task in
-    one, so the cut is located by counting per id range instead.
+    A limit of up to ``small`` is a top-n. A large one would gather n rows of
+    every task in one, so the last value within the limit is located on the
+    bare ids, by counting per id range; the hits themselves are then filtered
+    by it where they are. Of hits with that very value, copies of one id, as
+    many stay as the limit leaves room for.
     """
-    if max_revs <= SMALL_LIMIT:
+    if max_revs <= small:
         return hits.orderBy(order).limit(max_revs)
-    return with_rank(hits, order, up_to=max_revs, width=width).drop("rank")
+    ranked = with_rank(hits.select(order), order, up_to=max_revs, width=width)
+    last = ranked.groupBy(order).agg(F.count("*").alias("n"), F.max("rank").alias("rank"))
+    cut = last.where(F.col("rank") == max_revs).first()
+    if cut is None:
+        return hits
+    value = F.lit(cut[order])
+    return hits.where(F.col(order) < value).unionAll(
+        hits.where(F.col(order) == value).limit(cut["n"])
+    )
 
 
 def cap_hits(
@@ -52,10 +69,18 @@ def cap_hits(
 ) -> DataFrame:
     """The first ``max_revs`` hits of each query, with their rank.
 
-    Located by counting per query and id range, so a query that holds most of
-    the hits is not sorted in one task.
+    Located on the bare ids, by counting per query and id range, so a query
+    that holds most of the hits is not sorted in one task; hits beyond the last
+    value of their query are dropped where they are, before anything of them
+    is moved.
     """
-    return with_rank(hits, order, by, up_to=max_revs, width=width)
+    ids = with_rank(hits.select(*by, order), order, by, up_to=max_revs, width=width)
+    cuts = ids.groupBy(*by).agg(F.max(order).alias("_cut"))
+    same = [F.col(f"h.{k}").eqNullSafe(F.col(f"c.{k}")) for k in by]
+    within = hits.alias("h").join(
+        small_side(cuts).alias("c"), [*same, F.col(f"h.{order}") <= F.col("c._cut")], "left_semi"
+    )
+    return with_rank(within, order, by, up_to=max_revs, width=width)
 
 
 def skipped(matches: DataFrame, max_revs: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from editwake.functions.derive import normalise_date, period_key
 from editwake.operators.hits import select_fields
-from editwake.plans.layout import step
+from editwake.plans.layout import small_side, step
 
 # Ids per part of a packed trend: about a megabyte of ids in one list.
 PART_WIDTH = 100_000
@@ -45,8 +45,8 @@ def trend_with_fields(
     A period can hold any share of all hits, so its list is cut into parts by
     id range: ``(period, part)`` has at most ``part_width`` revisions. Equal
     rows are carried once with their number of ``copies``; they collapse before
-    the shuffle. ``hits`` counts copies, so summing it over the parts of a
-    period gives the period's count.
+    the shuffle. ``hits`` counts the copies of a part, ``period_hits`` those of
+    the whole period, which is the same however many parts it has.
     """
     kept = hits.withColumn("period", period_key(F.col(ts), by))
     names = ["rev_id", *[f for f in fields if f != "rev_id"]]
@@ -58,7 +58,9 @@ def trend_with_fields(
     part = step("rev_id", part_width).alias("part")
     values = F.array_sort(F.collect_list(F.struct(*names, "copies"))).alias("values")
     packed = rows.groupBy("period", part).agg(F.sum("copies").alias("hits"), values)
-    return packed.orderBy("period", "part")
+    totals = kept.groupBy("period").agg(F.count("*").alias("period_hits"))
+    # A row per day or month.
+    return packed.join(small_side(totals), "period").orderBy("period", "part")
 
 
 def combine_trends(trends: DataFrame) -> DataFrame:

@@ -65,10 +65,16 @@ def write_per_query(trends: DataFrame, path: str, as_links: bool = False) -> Non
 
 
 def trend_json(
-    trend: DataFrame, query: Column, skipped: Column, by: tuple[str, ...] = ()
+    trend: DataFrame,
+    query: Column,
+    skipped: Column,
+    by: tuple[str, ...] = (),
+    request: Column | None = None,
 ) -> DataFrame:
     """The response to a trend request as one JSON object.
 
+    ``request`` is echoed as ``query``, if given.
+
     ``hits`` is an array of period and count, one entry per calendar period.
     A packed trend gives one object per part instead, with the field values,
     since a list of all hits has no bound.
@@ -79,7 +85,7 @@ def trend_json(
     entries = F.array_sort(F.collect_list(F.struct(*entry)))
     return (
         trend.groupBy(*keys)
-        .agg(F.sum("hits").alias("hits_all"), entries.alias("hits"))
+        .agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("hits_all"), entries.alias("hits"))
         .select(
             *keys,
             F.to_json(
@@ -88,6 +94,7 @@ def trend_json(
                     query.alias("parsed_query"),
                     skipped.alias("debug_unchecked"),
                     "hits",
+                    *([] if request is None else [request.alias("query")]),
                 )
             ).alias("response"),
         )
