@@ -97,6 +97,13 @@ def _fixed_length_patterns(pattern: str, n: int) -> list[str]:
     ]
 
 
+def text_wildcard(pattern: str, n: int = DEFAULT_N) -> str:
+    """A wildcard against a gram of a text field as an expression over the text; one that
+    finds nothing if no gram can match."""
+    patterns = _fixed_length_patterns(pattern, n)
+    return "(?s)" + "|".join(patterns) if patterns else "(?!)"
+
+
 def wildcard(field: str | Column, pattern: str, n: int = DEFAULT_N) -> Column:
     """``?`` and ``*`` against a gram of a text field, or a whole keyword value.
 

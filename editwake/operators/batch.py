@@ -1,6 +1,10 @@
-"""Many saved queries at once, and the cleaning of their terms."""
+"""Many saved queries at once, and the cleaning of their terms.
+
+Clauses have a field, a kind (``phrase``, ``term``, ``range``, ``wildcard``,
+``prefix`` or ``regexp``), a value or two bounds, and say whether they must,
+should or must not hold.
+"""
 
-import json
 from functools import reduce
 from math import ceil
 
@@ -8,29 +12,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from editwake.functions import derive
-from editwake.functions.grams import DEFAULT_GRAM, ngrams
+from editwake.functions.grams import DEFAULT_GRAM
+from editwake.functions.predicates import text_wildcard
+from editwake.plans.layout import BROADCAST_BYTES, BROADCAST_ROWS
 from editwake.schema import TEXT_FIELDS
+from editwake.session import shared_dir
 
-# Clauses evaluated in one pass over the revisions.
+# What one constant array of queries without a key may hold.
 CLAUSES_PER_PASS = 10_000
-
-# A phrase is looked for only where a word from inside it occurs; from so many
-# phrases on, finding those words in one go is cheaper than testing each phrase.
-ANCHORED_FIELDS = ("added", "removed")
-MIN_ANCHORS = 64
+BYTES_PER_PASS = 8 * 2**20
 
 # Fields whose ranges are in number order.
 NUMBER_FIELDS = ("rev_id", "page_id", "namespace", "user_id", "added_size", "removed_size")
 
 # Clauses name their field and kind by position, which is quick to look up.
 FIELDS = (*TEXT_FIELDS, "timestamp", *NUMBER_FIELDS, "minor", "action")
-KINDS = ("phrase", "term", "range", "wildcard")
+KINDS = ("phrase", "term", "range", "wildcard", "prefix", "regexp")
+
+# Phrases are found by a word inside them in the long fields, terms by equality
+# in those that have many values; other clauses are tested where these lead.
+WORD_FIELDS = ("added", "removed")
+VALUE_FIELDS = ("rev_id", "page_id", "user_id", "title", "user_text")
+KEY_FIELDS = (*WORD_FIELDS, *VALUE_FIELDS)
 
 
 def _position(name: str, names: tuple[str, ...]) -> Column:
     return F.array_position(F.array(*[F.lit(n) for n in names]), F.col(name)).cast("int") - 1
 
 
+def _literal(text: Column) -> Column:
+    return F.regexp_replace(text, r"([\\.\[\]{}()+*?^$|#&-])", r"\\$1")
+
+
 def _as_regexp(pattern: Column) -> Column:
     """A wildcard as a regular expression for a whole string."""
     literal = F.regexp_replace(pattern, r"([\\.\[\]{}()+^$|#&-])", r"\\$1")
@@ -38,8 +51,8 @@ def _as_regexp(pattern: Column) -> Column:
     return F.concat(F.lit("(?s)^"), open_ended, F.lit("$"))
 
 
-def _anchor() -> Column:
-    """The longest word inside a phrase in a long field, if there is one.
+def _inner_word() -> Column:
+    """The longest word inside a phrase, if there is one of more than two characters.
 
     It has a space on both sides, so wherever the phrase occurs it is one of
     the words of the text.
@@ -48,114 +61,174 @@ def _anchor() -> Column:
     inside = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     sized = F.transform(inside, lambda w: F.struct(F.length(w).alias("size"), w.alias("word")))
     longest = F.array_max(sized)
-    anchored = (F.col("kind") == "phrase") & F.col("field").isin(*ANCHORED_FIELDS)
-    return F.when(anchored & (longest.size > 2), longest.word)
+    return F.when(longest.size > 2, longest.word)
+
+
+def _key() -> Column:
+    """What a revision must have for a clause to hold, as a position among KEY_FIELDS and a text."""
+    phrase = (F.col("kind") == "phrase") & F.col("field").isin(*WORD_FIELDS)
+    term = (F.col("kind") == "term") & F.col("field").isin(*VALUE_FIELDS)
+    text = F.when(phrase, _inner_word()).when(term, F.col("value"))
+    key = F.struct(_position("field", KEY_FIELDS).alias("place"), text.alias("text"))
+    return F.when(text.isNotNull(), key)
+
+
+def _compiled_wildcards(clauses: DataFrame, n: int) -> DataFrame:
+    """Clauses whose wildcards and prefixes on text fields are expressions over the whole text.
 
+    The distinct patterns of the clauses pass through the driver.
+    """
+    on_text = F.col("field").isin(*TEXT_FIELDS) & F.col("kind").isin("wildcard", "prefix")
+    pattern = F.when(F.col("kind") == "prefix", F.concat("value", F.lit("*"))).otherwise(F.col("value"))
+    marked = clauses.withColumn("pattern", F.when(on_text, pattern))
+    patterns = [r[0] for r in marked.where("pattern IS NOT NULL").select("pattern").distinct().collect()]
+    rows = [(p, text_wildcard(p, n)) for p in patterns]
+    known = clauses.sparkSession.createDataFrame(rows, "pattern string, expression string")
+    return marked.join(F.broadcast(known), "pattern", "left").drop("pattern")
+
+
+def compile_queries(clauses: DataFrame, n: int = DEFAULT_GRAM) -> DataFrame:
+    """One row per query, with its must, should and must_not clauses as arrays, and its keys.
 
-def compile_queries(clauses: DataFrame) -> DataFrame:
-    """One row per query, with its must, should and must_not clauses as arrays."""
-    regexp = F.when(F.col("kind") == "wildcard", _as_regexp(F.col("value")))
+    One of the keys is in every revision that the query holds for: the best of
+    a must clause, or those of all should clauses where one of these has to
+    hold. A query without such keys has none.
+    """
+    value = F.col("value")
+    regexp = (
+        F.when(F.col("expression").isNotNull(), F.col("expression"))
+        .when(F.col("kind") == "wildcard", _as_regexp(value))
+        .when(F.col("kind") == "prefix", F.concat(F.lit("(?s)^"), _literal(value)))
+        .when(
+            (F.col("kind") == "regexp") & ~F.col("field").isin(*TEXT_FIELDS),
+            F.concat(F.lit(r"\A(?:"), value, F.lit(r")\z")),
+        )
+    )
     clause = F.struct(
         _position("field", FIELDS).alias("field"),
         _position("kind", KINDS).alias("kind"),
-        F.coalesce(regexp, "value").alias("value"),
+        F.coalesce(regexp, value).alias("value"),
         "lo",
         "hi",
-        _anchor().alias("anchor"),
+        _key().alias("key"),
     )
 
     def having(occur: str) -> Column:
         return F.collect_list(F.when(F.col("occur") == occur, clause)).alias(occur)
 
-    return clauses.groupBy("query_id").agg(having("must"), having("should"), having("must_not"))
+    grouped = _compiled_wildcards(clauses, n).groupBy("query_id").agg(
+        having("must"), having("should"), having("must_not")
+    )
+    keyed = F.filter("must", lambda c: c.key.isNotNull())
+    # The longest text is the least likely to occur.
+    best = F.array_max(
+        F.transform(keyed, lambda c: F.struct(F.length(c.key.text).alias("size"), c.key.alias("key")))
+    )
+    by_should = (
+        (F.size("must") == 0)
+        & (F.size("should") > 0)
+        & F.forall("should", lambda c: c.key.isNotNull())
+    )
+    keys = F.when(F.size(keyed) > 0, F.array(best.key)).when(
+        by_should, F.array_distinct(F.transform("should", lambda c: c.key))
+    )
+    return grouped.withColumn("keys", keys)
 
 
 def _constant(queries: DataFrame) -> Column:
-    """Compiled queries, a bounded number of clauses, as a constant array."""
+    """Compiled queries, a bounded number of clauses and bytes, as a constant array."""
     rows = queries.select(F.struct(*queries.columns).alias("query"))
     text = rows.agg(F.to_json(F.collect_list("query")).alias("text")).first()["text"]
     return F.from_json(F.lit(text), f"array<{queries.schema.simpleString()}>")
 
 
-def _anchors_present(clauses: DataFrame) -> Column:
-    """Which anchors occur in each anchored field; null where there are too few to ask."""
-    anchors = clauses.select("field", _anchor().alias("anchor")).where("anchor IS NOT NULL")
-    # A bounded number of words, as the clauses themselves.
-    by_field = {
-        row["field"]: row["anchors"]
-        for row in anchors.groupBy("field").agg(F.collect_set("anchor").alias("anchors")).collect()
-    }
-
-    def present(field: str) -> Column:
-        wanted = by_field.get(field, [])
-        if len(wanted) < MIN_ANCHORS:
-            return F.lit(None).cast("array<string>")
-        listed = F.from_json(F.lit(json.dumps(wanted)), "array<string>")
-        return F.array_intersect(F.split(field, " ", -1), listed)
-
-    return F.array(*[present(f) for f in ANCHORED_FIELDS])
+def _text_of(name: str) -> Column:
+    """A field as it is written in a query."""
+    if name == "timestamp":
+        return derive.iso_timestamp(F.col(name))
+    if name == "minor":
+        return F.initcap(F.col(name).cast("string"))
+    return F.col(name).cast("string")
 
 
-def _texts() -> Column:
-    """All fields as they are written in a query, in the order of FIELDS."""
-    special = {
-        "timestamp": derive.iso_timestamp(F.col("timestamp")),
-        "minor": F.initcap(F.col("minor").cast("string")),
-    }
-    return F.array(*[special.get(name, F.col(name).cast("string")) for name in FIELDS])
+def _texts(used: set[str]) -> Column:
+    """The fields that clauses name, in the places of FIELDS; the others are not read."""
+    none = F.lit(None).cast("string")
+    return F.array(*[_text_of(name) if name in used else none for name in FIELDS])
 
 
 def _in_range(clause: Column, value: Column) -> Column:
-    """Inclusive; numbers in number order, anything else as text; null is open."""
-
-    def between(value: Column, lo: Column, hi: Column) -> Column:
-        return (lo.isNull() | (value >= lo)) & (hi.isNull() | (value <= hi))
-
-    number = value.try_cast("bigint")
-    numeric = between(number, clause.lo.try_cast("bigint"), clause.hi.try_cast("bigint"))
-    numbers = [FIELDS.index(name) for name in NUMBER_FIELDS]
-    return F.when(clause.field.isin(numbers), numeric).otherwise(
-        between(value, clause.lo, clause.hi)
-    )
+    """Inclusive; numbers in number order, anything else as text.
 
+    A null bound is open; of a number range, a bound that is no number matches nothing.
+    """
 
-def _may_occur(clause: Column, row: Column) -> Column:
-    """False only where the anchor of a phrase is known not to occur.
+    def between(value: Column, read) -> Column:
+        above = clause.lo.isNull() | (value >= read(clause.lo))
+        return above & (clause.hi.isNull() | (value <= read(clause.hi)))
 
-    The anchored fields are the first of FIELDS, so one position serves both.
-    """
-    return F.coalesce(F.array_contains(F.get(row.present, clause.field), clause.anchor), F.lit(True))
+    numbers = [FIELDS.index(name) for name in NUMBER_FIELDS]
+    number = between(value.try_cast("bigint"), lambda bound: bound.try_cast("bigint"))
+    return F.when(clause.field.isin(numbers), number).otherwise(between(value, lambda bound: bound))
 
 
-def _holds(clause: Column, row: Column, n: int) -> Column:
+def _holds(clause: Column, texts: Column) -> Column:
     """Whether a clause is true of the revision; false where its field is null."""
-    text = F.get(row.texts, clause.field)
-    of_gram = F.exists(ngrams(text, n), lambda g: F.regexp_like(g, clause.value))
-    wildcard = F.when(clause.field < len(TEXT_FIELDS), of_gram).otherwise(
-        F.regexp_like(text, clause.value)
-    )
+    text = F.get(texts, clause.field)
+    kind = {name: KINDS.index(name) for name in KINDS}
     test = (
-        F.when(
-            clause.kind == KINDS.index("phrase"),
-            _may_occur(clause, row) & text.contains(clause.value),
-        )
-        .when(clause.kind == KINDS.index("term"), text == clause.value)
-        .when(clause.kind == KINDS.index("range"), _in_range(clause, text))
-        .when(clause.kind == KINDS.index("wildcard"), wildcard)
+        F.when(clause.kind == kind["phrase"], text.contains(clause.value))
+        .when(clause.kind == kind["term"], text == clause.value)
+        .when(clause.kind == kind["range"], _in_range(clause, text))
+        .otherwise(F.regexp_like(text, clause.value))
     )
     return F.coalesce(test, F.lit(False))
 
 
-def _matches(query: Column, row: Column, n: int) -> Column:
+def _matches(query, texts: Column) -> Column:
     """What must not be is tested last: few queries come that far."""
 
     def holds(clause: Column) -> Column:
-        return _holds(clause, row, n)
-
-    wanted = (
-        (F.size(query.must) > 0) | (F.size(query.should) == 0) | F.exists(query.should, holds)
+        return _holds(clause, texts)
+
+    must, should, must_not = (query[c] for c in ("must", "should", "must_not"))
+    wanted = (F.size(must) > 0) | (F.size(should) == 0) | F.exists(should, holds)
+    return F.forall(must, holds) & wanted & ~F.exists(must_not, holds)
+
+
+def _match_keyed(revisions: DataFrame, queries: DataFrame, used: set[str], places: list[int]) -> DataFrame:
+    """Queries meet the revisions that have one of their keys, by equality, and are tested there."""
+    values = F.array(
+        *[
+            F.split(F.coalesce(F.col(name), F.lit("")), " ", -1)
+            if name in WORD_FIELDS
+            else F.array(_text_of(name))
+            for name in (KEY_FIELDS[p] for p in places)
+        ]
+    )
+    rows = revisions.select("rev_id", "timestamp", _texts(used).alias("texts"), values.alias("values"))
+    rows = rows.select("*", F.posexplode("values").alias("at", "words"))
+    place = F.element_at(F.array(*map(F.lit, places)), F.col("at") + 1)
+    rows = rows.select(
+        "rev_id", "timestamp", "texts", "values", place.alias("place"), F.explode(F.array_distinct("words")).alias("text")
+    )
+    keyed = queries.select("*", F.posexplode("keys").alias("number", "key")).select(
+        "*", F.col("key.place").alias("place"), F.col("key.text").alias("text")
+    )
+    listed = F.array(*map(F.lit, places))
+
+    def is_there(key: Column) -> Column:
+        there = F.get("values", F.array_position(listed, key.place).cast("int") - 1)
+        return F.coalesce(F.array_contains(there, key.text), F.lit(False))
+
+    # A query that has several of its keys in a revision counts with the first.
+    again = F.exists(F.slice("keys", 1, F.col("number")), is_there)
+    query = {c: F.col(c) for c in ("must", "should", "must_not")}
+    return (
+        rows.join(F.broadcast(keyed), ["place", "text"])
+        .where(_matches(query, F.col("texts")) & ~again)
+        .select("query_id", "rev_id", "timestamp")
     )
-    return F.forall(query.must, holds) & wanted & ~F.exists(query.must_not, holds)
 
 
 def match_saved_queries(
@@ -163,33 +236,66 @@ def match_saved_queries(
     clauses: DataFrame,
     n: int = DEFAULT_GRAM,
     clauses_per_pass: int = CLAUSES_PER_PASS,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Each revision with each saved query it satisfies.
 
     A query holds when all its must clauses do, none of its must_not clauses,
     and at least one should clause unless there are musts or no shoulds.
 
-    The queries are one constant array, so a single pass without any shuffle
-    answers all of them; there is no join. Of many phrases, only those with a
-    word that occurs in the revision are looked for. Beyond ``clauses_per_pass`` clauses
-    the queries are split into several passes, so the constant stays small
-    whatever their number.
+    Most queries have a key: a word or a value without which they cannot hold.
+    The revisions' words and values are joined with the keys by equality, so a
+    query is tested only where it may hold, and one scan serves them all, as
+    long as the queries may be broadcast; beyond ``broadcast_rows`` keys, or
+    too many bytes, there are several. The others are a constant array that is
+    tested on every revision, cut into passes by clauses and bytes. Only the
+    fields that clauses name are read, and nothing is shuffled.
     """
-    passes = max(1, ceil(clauses.count() / clauses_per_pass))
-    share = F.pmod(F.xxhash64("query_id"), F.lit(passes))
+    used = {r[0] for r in clauses.select("field").distinct().collect()}
+    if used - set(FIELDS):
+        raise ValueError(f"no such fields: {sorted(used - set(FIELDS))}")
+    kinds = {r[0] for r in clauses.select("kind").distinct().collect()}
+    if kinds - set(KINDS):
+        raise ValueError(f"no such kinds of clauses: {sorted(kinds - set(KINDS))}")
+    shared_dir(clauses.sparkSession)
+    compiled = compile_queries(clauses, n).checkpoint()
+    keyed = compiled.where("keys IS NOT NULL")
+    rest = compiled.where("keys IS NULL").drop("keys")
+    size = F.length(F.to_json(F.struct("must", "should", "must_not"))).cast("bigint")
+    count = F.size("must") + F.size("should") + F.size("must_not")
     matched = []
+
+    measured = keyed.agg(
+        F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("keys"),
+        F.coalesce(F.sum(size * F.size("keys")), F.lit(0)).alias("bytes"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("keys", lambda k: k.place))))).alias("places"),
+    ).first()
+    passes = ceil(max(measured["keys"] / broadcast_rows, measured["bytes"] / BROADCAST_BYTES))
+    share = F.pmod(F.xxhash64("query_id"), F.lit(max(1, passes)))
     for i in range(passes):
-        part = clauses.where(share == i)
-        listed = _constant(compile_queries(part))
-        row = F.struct(_texts().alias("texts"), _anchors_present(part).alias("present"))
-        # A transform of one element, so that the row is prepared once.
-        found = F.transform(
-            F.array(row),
-            lambda row: F.transform(
-                F.filter(listed, lambda q: _matches(q, row, n)), lambda q: q.query_id
-            ),
-        )[0]
-        matched.append(revisions.select(F.explode(found).alias("query_id"), "rev_id", "timestamp"))
+        matched.append(_match_keyed(revisions, keyed.where(share == i), used, measured["places"]))
+
+    measured = rest.agg(
+        F.count("*").alias("queries"), F.sum(count).alias("clauses"), F.sum(size).alias("bytes"), F.max(size).alias("most")
+    ).first()
+    if measured["queries"]:
+        if measured["most"] > BYTES_PER_PASS:
+            raise ValueError("a query without a key has too many clauses to test on every revision")
+        passes = ceil(max(measured["clauses"] / clauses_per_pass, measured["bytes"] / BYTES_PER_PASS))
+        share = F.pmod(F.xxhash64("query_id"), F.lit(passes))
+        for i in range(passes):
+            listed = _constant(rest.where(share == i))
+            # A transform of one element, so that the texts are prepared once.
+            found = F.transform(
+                F.array(_texts(used)),
+                lambda texts: F.transform(
+                    F.filter(listed, lambda q: _matches(q, texts)), lambda q: q.query_id
+                ),
+            )[0]
+            matched.append(revisions.select(F.explode(found).alias("query_id"), "rev_id", "timestamp"))
+    if not matched:
+        none = F.lit(None).cast(clauses.schema["query_id"].dataType).alias("query_id")
+        return revisions.select(none, "rev_id", "timestamp").where(F.lit(False))
     return reduce(DataFrame.unionByName, matched)
 
 

@@ -1,3 +1,4 @@
+import re
 from random import Random
 
 import pytest
@@ -50,13 +51,12 @@ def saved_queries():
 
 
 @pytest.mark.parametrize("per_pass", [10_000, 3])
-@pytest.mark.parametrize("min_anchors", [64, 1])
-def test_saved_queries_equal_single_queries(spark, revisions, monkeypatch, per_pass, min_anchors):
-    monkeypatch.setattr(batch, "MIN_ANCHORS", min_anchors)
+@pytest.mark.parametrize("keys_per_pass", [10_000, 2])
+def test_saved_queries_equal_single_queries(spark, revisions, per_pass, keys_per_pass):
     queries = saved_queries()
     rows = [c for clauses, _ in queries.values() for c in clauses]
     saved = spark.createDataFrame(rows, CLAUSE)
-    found = batch.match_saved_queries(revisions, saved, clauses_per_pass=per_pass)
+    found = batch.match_saved_queries(revisions, saved, 3, per_pass, keys_per_pass)
     got = sorted((r.query_id, r.rev_id) for r in found.collect())
     wanted = [
         (number, rev_id)
@@ -66,7 +66,7 @@ def test_saved_queries_equal_single_queries(spark, revisions, monkeypatch, per_p
     assert got == wanted
 
 
-def test_anchors_lose_nothing(spark, monkeypatch):
+def test_keys_lose_nothing(spark):
     random = Random(5)
     texts = ["".join(random.choice("aabb ") for _ in range(60)) for _ in range(50)]
     phrases = [t[i : i + n] for t in texts[:20] for i, n in ((3, 8), (0, 20), (30, 25), (10, 5))]
@@ -80,10 +80,50 @@ def test_anchors_lose_nothing(spark, monkeypatch):
     blank |= {n: F.lit(0) for n in ("page_id", "namespace", "user_id", "added_size", "removed_size")}
     edits = edits.withColumns(blank | {"minor": F.lit(False), "timestamp": F.timestamp_seconds(F.lit(0))})
     wanted = sorted((q, i) for q, x in enumerate(phrases) for i, t in rows if x in t)
-    for least in (1, 10**9):
-        monkeypatch.setattr(batch, "MIN_ANCHORS", least)
-        found = batch.match_saved_queries(edits, saved)
-        assert sorted((r.query_id, r.rev_id) for r in found.collect()) == wanted
+    found = batch.match_saved_queries(edits, saved)
+    assert sorted((r.query_id, r.rev_id) for r in found.collect()) == wanted
+    # As alternatives, each revision still counts once, copies of it as often as they come.
+    either = saved.withColumns({"occur": F.lit("should"), "query_id": F.lit(7).cast("long")})
+    twice = edits.unionAll(edits)
+    found = sorted(r.rev_id for r in batch.match_saved_queries(twice, either).collect())
+    assert found == sorted(2 * list({i for _, i in wanted}))
+
+
+def test_bounds_and_expressions(spark, revisions):
+    cases = {
+        1: (clause(1, 0, "must", "namespace", "range", lo="x", hi="y"), []),
+        2: (clause(2, 0, "must", "namespace", "range", lo="x"), []),
+        3: (clause(3, 0, "must", "namespace", "range", lo="1"), [501]),
+        4: (clause(4, 0, "must", "action", "regexp", "add"), []),
+        5: (clause(5, 0, "must", "action", "regexp", "add.*|both"), [501, 502]),
+        6: (clause(6, 0, "must", "added", "regexp", "w[aeiou]r"), [501, 502]),
+        7: (clause(7, 0, "must", "title", "prefix", "San"), [501]),
+        8: (clause(8, 0, "must", "action", "prefix", "bo"), [501]),
+        9: (clause(9, 0, "must", "added", "wildcard", "four"), []),
+    }
+    found = batch.match_saved_queries(revisions, spark.createDataFrame([c for c, _ in cases.values()], CLAUSE))
+    assert sorted((r.query_id, r.rev_id) for r in found.collect()) == [(q, i) for q, (_, ids) in cases.items() for i in ids]
+
+
+def test_only_named_fields_are_read(spark, revisions, tmp_path):
+    path = str(tmp_path / "revisions")
+    revisions.write.parquet(path)
+    stored = spark.read.parquet(path)
+    for saved, read in (
+        (clause(1, 0, "must", "namespace", "term", "3"), {"rev_id", "timestamp", "namespace"}),
+        (clause(1, 0, "must", "added", "phrase", "one inner word"), {"rev_id", "timestamp", "added"}),
+    ):
+        found = batch.match_saved_queries(stored, spark.createDataFrame([saved], CLAUSE))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        schemas = set(re.findall(r"ReadSchema: struct<([^>]*)>", plan))
+        assert {c.split(":")[0] for s in schemas for c in s.split(",")} == read
+
+
+def test_unknown_fields_and_kinds_are_refused(spark, revisions):
+    for saved in (clause(1, 0, "must", "colour", "term", "3"), clause(1, 0, "must", "title", "sounds_like", "3")):
+        with pytest.raises(ValueError):
+            batch.match_saved_queries(revisions, spark.createDataFrame([saved], CLAUSE))
+    assert batch.match_saved_queries(revisions, spark.createDataFrame([], CLAUSE)).collect() == []
 
 
 def test_terms_inside_others(spark):
