@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.registry import query
-from checks.views import NOW
+from checks.views import EPOCH, NOW
 from editwake.functions import predicates as p
 from editwake.functions.derive import iso_timestamp
 from editwake.operators import batch, templates
@@ -52,8 +52,31 @@ def template_matches(v):
 
 @query(MATCHES, ("matches",))
 def template_matches_shuffled(v):
-    """Too many interval pieces to broadcast: joined by key and salt."""
-    return matched(v, broadcast_rows=1, salts=3)
+    """Too many intervals to broadcast: both sides are shuffled by month."""
+    found = matched(v, broadcast_rows=1)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    if "SortMergeJoin [key" not in plan or "BroadcastHashJoin [key" in plan:
+        raise AssertionError("the join was meant to be shuffled")
+    return found
+
+
+@query(
+    """SELECT b.item_id AS item, r.rev_id FROM benchmark b JOIN revisions r
+         ON r.ts >= make_timestamp(1136073600000000) AND contains(r.added, string_split(b.text, chr(10))[1])
+       WHERE length(string_split(b.text, chr(10))[1]) >= 4""",
+    ("revisions",),
+)
+def template_matches_by_word(v):
+    """Items as templates of one line each, found by a word inside the line."""
+    line = F.get(F.split("text", "\n", -1), F.lit(0))
+    items = v.table("benchmark").where(F.length(line) >= 4).select(
+        F.col("item_id").cast("string").alias("title"),
+        F.array(line).alias("fragments"),
+        F.timestamp_seconds(F.lit(EPOCH)).alias("valid_from"),
+        now().alias("valid_to"),
+    )
+    found = templates.match_templates(v.revisions, items)
+    return found.select(F.col("title").cast("bigint").alias("item"), "rev_id")
 
 
 @query(

@@ -11,10 +11,6 @@ from editwake.functions.text import (
 )
 from editwake.plans.layout import BROADCAST_ROWS, fits, small_side, with_next
 
-# Copies of each interval piece in the shuffled join, and as many shares of
-# each day or month of revisions.
-SALTS = 32
-
 
 def title_prefix(revisions: DataFrame, namespace: int, prefix: str) -> DataFrame:
     """Distinct titles of a namespace that start with a prefix."""
@@ -91,54 +87,93 @@ def _longest(fragments: Column) -> Column:
     return F.coalesce(F.array_max(sized).text, F.lit(""))
 
 
+def _inner_word(fragments: Column) -> Column:
+    """The longest word inside a fragment, with spaces on both sides; null if there is none."""
+    inside = F.flatten(
+        F.transform(
+            fragments,
+            lambda f: F.slice(F.split(f, " ", -1), 2, F.greatest(F.size(F.split(f, " ", -1)) - 2, F.lit(0))),
+        )
+    )
+    sized = F.transform(inside, lambda w: F.struct(F.length(w).alias("size"), w.alias("word")))
+    longest = F.array_max(sized)
+    return F.when(longest.size > 2, longest.word)
+
+
+def _holding(joined: DataFrame, field: str) -> DataFrame:
+    """Pairs whose time and fragments fit, the cheap tests first."""
+    text = F.col(field)
+    return (
+        joined.where(F.col("timestamp").between(F.col("valid_from"), F.col("valid_to")))
+        .where(text.contains(F.col("anchor")))
+        .where(F.forall("fragments", lambda f: text.contains(f)))
+        .select("title", "valid_from", "valid_to", "rev_id", "timestamp")
+    )
+
+
+def _by_word(revisions: DataFrame, intervals: DataFrame, field: str) -> DataFrame:
+    """Revisions meet the intervals that have one of their words inside a fragment."""
+    words = revisions.select(
+        "rev_id", "timestamp", field, F.explode(F.array_distinct(F.split(field, " ", -1))).alias("word")
+    )
+    return _holding(words.join(F.broadcast(intervals), "word"), field)
+
+
+def _by_time(revisions: DataFrame, intervals: DataFrame, field: str, broadcast_rows: int) -> DataFrame:
+    """Revisions meet the intervals of their time."""
+    size = F.aggregate("fragments", F.lit(0), lambda total, f: total + F.octet_length(f))
+    ts = F.col("timestamp")
+    rows = revisions.select("rev_id", "timestamp", field)
+    keys = F.explode(_interval_keys(F.col("valid_from"), F.col("valid_to"))).alias("key")
+    pieces = intervals.select("*", keys)
+    if fits(pieces, broadcast_rows, size):
+        dated = rows.withColumn("key", F.explode(F.array(_day(ts), _month(ts))))
+        return _holding(dated.join(F.broadcast(pieces), "key"), field)
+    months = F.sequence(
+        F.date_trunc("month", "valid_from"), F.col("valid_to"), F.expr("interval 1 month")
+    )
+    whole = intervals.where("valid_from <= valid_to").select(
+        "*", F.explode(F.transform(months, _month)).alias("key")
+    )
+    return _holding(rows.withColumn("key", _month(ts)).join(whole.hint("merge"), "key"), field)
+
+
 def match_templates(
     revisions: DataFrame,
     intervals: DataFrame,
     allow_empty: bool = False,
     field: str = "added",
     broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Each revision with each interval it falls into and whose fragments it has.
 
     ``intervals`` are those of ``template_intervals``. Intervals without
     fragments match nothing, or with ``allow_empty`` everything in their time.
 
-    Time is an equi-join on day or month keys. The keys of an interval do not
-    overlap, so no pair is found twice; a revision meets only the versions
-    current on its day. With few enough interval pieces these are broadcast
-    and the revision texts stay where they are; with more, both sides are
-    shuffled by key and salt, so that a busy day is not one task.
+    An interval with a word inside a fragment is found by that word: the
+    revisions' words are joined with it by equality, so what is tested is close
+    to what matches. The others are found by their time, an equi-join on day or
+    month keys that never overlap: every revision is tested against the version
+    of each such title that was current. Few enough intervals are broadcast and
+    the texts stay where they are; more are joined by month with both sides
+    shuffled once, where skewed months are split at run time.
     """
     wanted = intervals if allow_empty else intervals.where(F.size("fragments") > 0)
-    pieces = wanted.select(
+    wanted = wanted.select(
         "title",
         "valid_from",
         "valid_to",
         "fragments",
         _longest(F.col("fragments")).alias("anchor"),
-        F.explode(_interval_keys(F.col("valid_from"), F.col("valid_to"))).alias("key"),
+        _inner_word(F.col("fragments")).alias("word"),
     )
-    ts = F.col("timestamp")
-    dated = revisions.withColumn("key", F.explode(F.array(_day(ts), _month(ts))))
-    keys = ["key"]
     size = F.aggregate("fragments", F.lit(0), lambda total, f: total + F.octet_length(f))
-    if fits(pieces, broadcast_rows, size):
-        pieces = F.broadcast(pieces)
-    else:
-        salt = F.pmod(F.xxhash64("rev_id"), F.lit(salts)).cast("int")
-        dated = dated.withColumn("salt", salt)
-        pieces = pieces.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        keys.append("salt")
-    text = F.col(field)
-    return (
-        dated.select("rev_id", "timestamp", field, *keys)
-        .join(pieces, keys)
-        .where(ts.between(F.col("valid_from"), F.col("valid_to")))
-        .where(text.contains(F.col("anchor")))
-        .where(F.forall("fragments", lambda f: text.contains(f)))
-        .select("title", "valid_from", "valid_to", "rev_id", "timestamp")
-    )
+    keyed = wanted.where("word IS NOT NULL")
+    if not fits(keyed, broadcast_rows, size):
+        return _by_time(revisions, wanted.drop("word"), field, broadcast_rows)
+    rest = wanted.where("word IS NULL").drop("word")
+    by_time = _by_time(revisions, rest, field, broadcast_rows)
+    return _by_word(revisions, keyed, field).unionByName(by_time)
 
 
 def template_comment_queries(names: DataFrame, name: str = "name") -> DataFrame:

@@ -44,12 +44,12 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS, text_bytes: Column | None =
 def small_side(
     df: DataFrame, rows: int = BROADCAST_ROWS, text_bytes: Column | None = None
 ) -> DataFrame:
-    """``df`` marked for broadcast if it is proven small, else unchanged.
+    """``df`` marked for broadcast if it is proven small, else for a sorted join.
 
-    Unmarked, Spark chooses: a shuffled join with a runtime Bloom filter on the
-    large side, and skewed partitions split at run time.
+    Unmarked, Spark might broadcast on an estimate that knows nothing of
+    generated rows. In the sorted join skewed partitions are split at run time.
     """
-    return F.broadcast(df) if fits(df, rows, text_bytes) else df
+    return F.broadcast(df) if fits(df, rows, text_bytes) else df.hint("merge")
 
 
 def distinct_ids(ids: DataFrame, key: str = "rev_id") -> DataFrame:

@@ -94,7 +94,7 @@ def expected(history, edits, allow_empty=False):
 @pytest.mark.parametrize("rows", [1_000_000, 0])
 def test_matches_equal_brute_force(spark, history, edits, allow_empty, rows):
     intervals = tp.template_intervals(history, F.lit(NOW))
-    found = tp.match_templates(edits, intervals, allow_empty, broadcast_rows=rows, salts=3)
+    found = tp.match_templates(edits, intervals, allow_empty, broadcast_rows=rows)
     got = sorted((r.title, r.valid_from, r.valid_to, r.rev_id) for r in found.collect())
     assert got == expected(history, edits, allow_empty)
 
