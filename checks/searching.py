@@ -9,6 +9,7 @@ from editwake.operators import hits as h
 from editwake.operators import trends as t
 from editwake.plans.search import phrase_trend, search
 from editwake.session import work_path
+from editwake.sources import revision_table
 from editwake.sources.trend_files import extract_rev_ids, read_trend_csv
 
 THE = "contains(added, 'the ')"
@@ -32,6 +33,24 @@ def phrase_trend_by_day(v):
     return phrase_trend(v.revisions, "the ", daily=True)
 
 
+@query(
+    f"""SELECT month AS period, count(*) AS hits FROM revisions
+        WHERE {THE} AND iso >= '2006-02' AND iso <= '2006-03-15T10:00:00Z' GROUP BY month""",
+    ("revisions",),
+)
+def phrase_trend_of_ranges(v):
+    """Of a stored table only the id ranges of the time are read."""
+    path = work_path(v.spark, "table")
+    revision_table.write_revisions(v.revisions, path, width=20)
+    bounds = ("2006-02", "2006-03-15T10:00:00Z")
+    table = revision_table.read_revisions(v.spark, path, *bounds)
+    found = phrase_trend(table, "the ", *bounds)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    if "PartitionFilters: [id_range" not in plan:
+        raise AssertionError("no range was left out")
+    return found
+
+
 @query(
     "SELECT month AS period, count(*) AS hits FROM revisions WHERE added_size = 0"
     " OR NOT regexp_matches(added, '(?s)\\. [A-Z]') GROUP BY month",

@@ -3,11 +3,16 @@
 Stored tables are Parquet, partitioned by ``id_range`` (revision ids in steps
 of ``ID_RANGE``) and ordered by time inside. A revision never changes its
 range, so an upsert rewrites exactly the ranges its ids fall into and leaves
-the rest of the table alone; ids grow with time, so a time filter skips nearly
-all row groups by their minima and maxima. Ranges should be so wide that one
-holds some gigabytes.
+the rest of the table alone. Ranges should be so wide that one holds some
+gigabytes.
+
+Files are never overwritten. A manifest, one small file per state of the table,
+names the folders of each range with their first and last time; ids grow with
+time, so a time filter skips nearly all ranges, and inside them row groups by
+their minima and maxima. Folders that no manifest in use names may be removed.
 """
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -15,6 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from editwake.functions.predicates import ts_range
 from editwake.plans.layout import BROADCAST_IDS, drop_ids, keep_ids, step
 from editwake.schema import REVISION
 from editwake.session import shared_dir
@@ -23,6 +29,7 @@ from editwake.sources.diff_files import POSITION
 ID_RANGE = 1_000_000
 # Into how many tasks the writing of a range is spread, and its copies further.
 SLICES = 64
+MANIFEST = "id_range bigint, version string, first timestamp, last timestamp, n_rows bigint"
 COPY_SALTS = 16
 
 
@@ -92,19 +99,13 @@ def table_stats(revisions: DataFrame) -> DataFrame:
     )
 
 
-def write_revisions(
-    revisions: DataFrame,
-    path: str,
-    mode: str = "errorifexists",
-    width: int = ID_RANGE,
-    copies: bool = False,
-) -> None:
-    """Store revisions, each id range in several files ordered by time.
+def _write_version(revisions: DataFrame, path: str, width: int, copies: bool) -> list[tuple]:
+    """Store revisions beside what there is, each id range in several files ordered by time.
 
     Rows are shuffled once, by slices of their range, so that a range with
     most of the rows is written by many tasks; there is no sampling pass as
     for a range partitioning. With ``copies`` of ids, the rows of a slice are
-    spread further by the task they come from.
+    spread further by the task they come from. Returns the manifest's rows.
     """
     # The width goes into the files, so that no reader has to be told.
     marked = revisions.withMetadata("rev_id", {"id_range": width})
@@ -115,20 +116,77 @@ def write_revisions(
             "_salt": F.spark_partition_id() % COPY_SALTS if copies else F.lit(0),
         }
     )
+    version = uuid.uuid4().hex
+    folder = f"{path}/data/version={version}"
     (
         placed.repartition("id_range", "_slice", "_salt")
         .drop("_slice", "_salt")
         .sortWithinPartitions("id_range", "timestamp")
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("id_range")
-        .parquet(path)
+        .write.partitionBy("id_range")
+        .parquet(folder)
     )
+    stored = revisions.sparkSession.read.schema("timestamp timestamp, id_range bigint").parquet(folder)
+    bounds = stored.groupBy("id_range").agg(F.min("timestamp"), F.max("timestamp"), F.count("*"))
+    # One row per id range: bounded by the id space, not by the rows.
+    return [(r[0], version, *r[1:]) for r in bounds.collect()]
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, list] | None:
+    """The number and the rows of the newest manifest; None where there is no table."""
+    try:
+        every = spark.read.schema(f"{MANIFEST}, number int").parquet(f"{path}/manifest")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    number = every.agg(F.max("number")).first()[0]
+    rows = every.where(F.col("number") == number).drop("number").collect()
+    return number, [tuple(r) for r in rows if r["version"]]
+
+
+def _switch(spark: SparkSession, path: str, number: int, rows: list[tuple]) -> None:
+    """Make these ranges the table: one small file appears at once, or not at all.
+
+    A second writer of the same number fails, and so loses nothing. The row
+    without a version keeps the manifest of an empty table from being no table.
+    """
+    listed = spark.createDataFrame([(None, "", None, None, 0), *rows], MANIFEST)
+    listed.coalesce(1).write.parquet(f"{path}/manifest/number={number}")
+
+
+def write_revisions(
+    revisions: DataFrame, path: str, width: int = ID_RANGE, copies: bool = False
+) -> None:
+    """Store revisions as a new table."""
+    spark = revisions.sparkSession
+    if _manifest(spark, path) is not None:
+        raise ValueError(f"there is a table in {path}")
+    _switch(spark, path, 1, _write_version(revisions, path, width, copies))
+
 
+def read_revisions(
+    spark: SparkSession, path: str, start: str | None = None, end: str | None = None
+) -> DataFrame:
+    """A stored table as it is now, with ``id_range`` as an extra column.
 
-def read_revisions(spark: SparkSession, path: str) -> DataFrame:
-    """A stored table, with ``id_range`` as an extra column."""
-    return spark.read.parquet(path)
+    With time bounds as ``ts_range`` takes them, only the id ranges are read
+    that hold revisions of that time, by the bounds in the manifest; rows
+    outside the bounds remain in these, for the predicate to drop.
+    """
+    found = _manifest(spark, path)
+    if found is None:
+        raise ValueError(f"there is no table in {path}")
+    rows = found[1]
+    if not rows:
+        return spark.createDataFrame([], REVISION).withColumn("id_range", F.lit(0))
+    folders = [f"{path}/data/version={version}/id_range={k}" for k, version, *_ in rows]
+    table = spark.read.option("basePath", f"{path}/data").parquet(*folders).drop("version")
+    if start is None and end is None:
+        return table
+    listed = spark.createDataFrame(rows, MANIFEST)
+    wanted = listed.where(ts_range(start, None, "last") & ts_range(None, end, "first"))
+    ranges = sorted(r[0] for r in wanted.select("id_range").distinct().collect())
+    return table.where(F.col("id_range").isin(ranges))
 
 
 def range_width(table: DataFrame) -> int | None:
@@ -138,15 +196,6 @@ def range_width(table: DataFrame) -> int | None:
     return table.schema["rev_id"].metadata.get("id_range")
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return read_revisions(spark, path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
 def _width_of(table: DataFrame) -> int:
     width = range_width(table)
     if width is None:
@@ -156,9 +205,10 @@ def _width_of(table: DataFrame) -> int:
 
 def append_table(spark: SparkSession, new: DataFrame, path: str, width: int = ID_RANGE) -> None:
     """Add rows to a stored table, copies included. ``width`` is for a new table."""
-    table = _stored(spark, path)
-    width = width if table is None else _width_of(table)
-    write_revisions(new.select(*REVISION.names), path, "append", width, copies=True)
+    number, rows = _manifest(spark, path) or (0, [])
+    width = _width_of(read_revisions(spark, path)) if rows else width
+    added = _write_version(new.select(*REVISION.names), path, width, copies=True)
+    _switch(spark, path, number + 1, rows + added)
 
 
 def upsert_table(
@@ -172,8 +222,10 @@ def upsert_table(
 ) -> None:
     """Upsert into a stored table, creating it with ranges of ``width`` if needed.
 
-    Rewrites only the id ranges that ``new`` touches. Repeating the call with
-    the same batch changes nothing, so a replayed stream batch is harmless.
+    Rewrites only the id ranges that ``new`` touches, as new files beside the
+    old ones; the table changes when its manifest does, so a writer that is
+    lost in between leaves the table as it was. Repeating the call with the
+    same batch changes nothing, so a replayed stream batch is harmless.
     With ``keep_order`` the table keeps the place of each revision in ``order``
     as ``loaded``, and a stored revision gives way only to one not before it.
     """
@@ -185,10 +237,11 @@ def upsert_table(
     # Used several times below; a checkpoint in the shared folder survives the
     # loss of executors and fixes the batch while the table is rewritten.
     batch = latest_revision(new, order, broadcast_ids).select(*kept).checkpoint()
-    table = _stored(spark, path)
-    if table is None:
-        write_revisions(batch, path, width=width)
+    number, rows = _manifest(spark, path) or (0, [])
+    if not rows:
+        _switch(spark, path, number + 1, _write_version(batch, path, width, copies=False))
         return
+    table = read_revisions(spark, path)
     width = _width_of(table)
     # One number per id range: bounded by the id space, not by the batch.
     touched = [r[0] for r in batch.select(id_range(width=width)).distinct().collect()]
@@ -202,5 +255,5 @@ def upsert_table(
         older = batch.select("rev_id", "loaded").join(places, "rev_id").where("there > loaded")
         batch = drop_ids(batch, older, rows=broadcast_ids)
     merged = missing_revisions(stored, batch, broadcast_ids).unionByName(batch)
-    write_revisions(merged, path, "overwrite", width)
-    spark.catalog.refreshByPath(path)
+    replaced = _write_version(merged, path, width, copies=False)
+    _switch(spark, path, number + 1, [r for r in rows if r[0] not in touched] + replaced)

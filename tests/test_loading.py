@@ -1,3 +1,4 @@
+import pytest
 from conftest import FIRST, SECOND, column
 from pyspark.sql import functions as F
 
@@ -180,6 +181,43 @@ def test_upsert_leaves_other_ranges_alone(spark, revisions):
     assert before == after
 
 
+def test_a_lost_writer_leaves_the_table_as_it_was(spark, lines, revisions, monkeypatch):
+    path = work_path(spark, "lost")
+    revision_table.upsert_table(spark, revisions, path, width=10)
+    switch = revision_table._switch
+
+    def lost(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(revision_table, "_switch", lost)
+    for change in (revision_table.upsert_table, revision_table.append_table):
+        with pytest.raises(KeyboardInterrupt):
+            change(spark, later(lines), path)
+        stored = revision_table.read_revisions(spark, path)
+        assert {r.rev_id: r.namespace for r in stored.collect()} == {501: 3, 502: 0}
+    monkeypatch.setattr(revision_table, "_switch", switch)
+    revision_table.upsert_table(spark, later(lines), path)
+    assert column(revision_table.read_revisions(spark, path), "namespace") == [0, 1]
+    with pytest.raises(ValueError):
+        revision_table.write_revisions(revisions, path)
+    with pytest.raises(ValueError):
+        revision_table.read_revisions(spark, path + "-none")
+
+
+def test_time_bounds_choose_ranges(spark, revisions):
+    path = work_path(spark, "times")
+    base = revisions.withColumn("rev_id", F.col("rev_id") * 100)
+    revision_table.upsert_table(spark, base, path, width=10)
+    for bounds, ids in (
+        ((None, None), [50100, 50200]), (("2002-02-26", None), [50200]), ((None, "2002-02-26"), [50100]),
+        (("2003", None), []), (("2002", "2003"), [50100, 50200]),
+    ):
+        assert column(revision_table.read_revisions(spark, path, *bounds), "rev_id") == ids
+    empty = work_path(spark, "empty")
+    revision_table.upsert_table(spark, base.limit(0), empty)
+    assert revision_table.read_revisions(spark, empty).collect() == []
+
+
 def test_query_file(spark):
     path = work_path(spark, "queries")
     text = "\n".join(["hello", '"a:b!<c>",named.csv', '"say ""x"" now"', '"two\nlines"'] + ["q" * 200] * 8)
