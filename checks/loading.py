@@ -10,6 +10,7 @@ from editwake.functions.text import safe_title_name
 from editwake.operators import trends as t
 from editwake.operators.batch import match_saved_queries, trends_by_query
 from editwake.plans.layout import with_rank
+from editwake.plans import search
 from editwake.session import work_path
 from editwake.sources import diff_files, query_files, revision_table, trend_files
 
@@ -293,6 +294,45 @@ def trend_csv_read_back(v):
     return trend_files.read_trend_csv(v.spark, path).select("date", "hits", "ids")
 
 
+@query(
+    """SELECT '# title, "quoted"' AS date, NULL::BIGINT AS hits
+       UNION ALL SELECT month, count(*) FROM revisions WHERE contains(added, 'the ') GROUP BY month""",
+    ("revisions",),
+)
+def trend_csv_with_comments(v):
+    """A comment row in front, which readers of trends leave out."""
+    path = work_path(v.spark, "commented")
+    trend = t.trend(v.revisions.where(p.phrase("added", "the ")))
+    trend_files.write_trend_csv(trend, path, comments=['title, "quoted"'])
+    assert trend_files.read_trend_csv(v.spark, path).isEmpty()  # no ids
+    return v.spark.read.schema("date string, hits bigint").csv(path, escape='"')
+
+
+ANSWERS = {
+    "month": """SELECT to_json({'hits_all': sum(n)::BIGINT, 'parsed_query': '"the "',
+          'debug_unchecked': (SELECT greatest(count(*) - 70, 0) FROM revisions WHERE contains(added, 'the ')),
+          'hits': list({'period': month, 'hits': n} ORDER BY month), 'query': {'q': '"the "',
+          'collapse_hits': 'month', 'max_revs': 70, 'version': '0.1', 'format': 'json', 'fields': []}})
+        ::VARCHAR AS response FROM (SELECT month, count(*) AS n FROM capped GROUP BY month)""",
+    "no": """SELECT to_json({'hits_all': count(*), 'parsed_query': '"the "',
+          'debug_unchecked': (SELECT greatest(count(*) - 70, 0) FROM revisions WHERE contains(added, 'the ')),
+          'hits': list({'rev_id': rev_id} ORDER BY rev_id), 'query': {'q': '"the "',
+          'collapse_hits': 'no', 'max_revs': 70, 'version': '0.1', 'format': 'json', 'fields': ['rev_id']}})
+        ::VARCHAR AS response FROM capped""",
+}
+CAPPED = "(SELECT * FROM revisions WHERE contains(added, 'the ') ORDER BY rev_id LIMIT 70)"
+
+
+@query(
+    " UNION ALL ".join(a.replace("FROM capped", f"FROM {CAPPED}") for a in ANSWERS.values()), ("revisions",)
+)
+def requests_answered(v):
+    """Requests with a cap, by month and as a list of hits."""
+    by_month = search.answer(v.revisions, '{"q": "\\"the \\"", "collapse_hits": "month", "max_revs": 70}')
+    listed = search.answer(v.revisions, '{"q": "\\"the \\"", "max_revs": 70, "fields": "rev_id"}')
+    return by_month.unionAll(listed)
+
+
 @query(PACKED.replace("CAST(rev_id AS VARCHAR)", """'=HYPERLINK("http://enwp.org/?diff='
   || CAST(rev_id AS VARCHAR) || '","' || CAST(rev_id AS VARCHAR) || '")'"""), ("revisions",))
 def trend_rows_linked(v):

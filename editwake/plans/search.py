@@ -1,13 +1,18 @@
 """Whole searches, from a question to a trend."""
 
+import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from editwake.functions.predicates import trend_predicate
+from editwake.functions.derive import period_key
+from editwake.functions.predicates import all_grams, phrase, trend_predicate
 from editwake.operators import hits as hit_ops
 from editwake.operators import trends as trend_ops
 from editwake.operators.templates import match_templates, template_intervals
+from editwake.sources.query_files import REQUEST_DEFAULTS
 
 
 def search(
@@ -32,6 +37,58 @@ def search(
     return trend_ops.trend(hits, collapse_hits)
 
 
+def answer(revisions: DataFrame, request: str, field: str = "added") -> DataFrame:
+    """The response to a JSON request for a text, as one row of JSON.
+
+    A quoted ``q`` is a phrase, else all its grams must occur; expressions with
+    operators, fields or brackets are refused, as there is no parser. The hits
+    are those within the request's cap: counted, listed with ``fields``, or
+    either of it per period. The request is echoed with its defaults filled in.
+    """
+    asked = {**REQUEST_DEFAULTS, **json.loads(request)}
+    fields = asked.get("fields") or []
+    fields = [fields] if isinstance(fields, str) else fields
+    asked["fields"], text, by = fields, asked["q"], asked["collapse_hits"]
+    if len(text) > 1 and text[0] == text[-1] == '"':
+        test = phrase(field, text[1:-1].replace('\\"', '"'))
+    elif re.search(r'[:()\[\]{}"~^*?]|(^|\s)(AND|OR|NOT|[-+])', text):
+        raise ValueError(f"not a plain text: {text}")
+    else:
+        test = all_grams(field, text)
+    found = revisions.where(test)
+    hits = hit_ops.limit_hits(found, int(asked["max_revs"]))
+    beyond = hit_ops.skipped(found, int(asked["max_revs"]))
+    named = list(dict.fromkeys(["rev_id", *fields]))
+    values = hit_ops.select_fields(hits, named)
+    entry = F.struct(*(fields or ["rev_id"]))
+    if by in ("day", "month"):
+        dated = hits.withColumn("period", period_key(F.col("timestamp"), by))
+        rows = hit_ops.select_fields(dated, ["period", *named])
+        # At most as many values as the request allows hits.
+        listed = [F.array_sort(F.collect_list(entry)).alias("values")] if fields else []
+        periods = rows.groupBy("period").agg(F.count("*").alias("hits"), *listed)
+        columns = F.struct("period", "hits", *(["values"] if fields else []))
+        shown = periods.agg(
+            F.coalesce(F.sum("hits"), F.lit(0)).alias("hits_all"), F.array_sort(F.collect_list(columns)).alias("hits")
+        )
+    elif fields:
+        shown = values.agg(F.count("*").alias("hits_all"), F.array_sort(F.collect_list(entry)).alias("hits"))
+    else:
+        shown = values.agg(F.count("*").alias("hits_all"), F.count("*").alias("hits"))
+    response = F.struct(
+        "hits_all",
+        F.lit(text).alias("parsed_query"),
+        F.col("skipped").alias("debug_unchecked"),
+        "hits",
+        F.from_json(
+            F.lit(json.dumps(asked)),
+            "q string, collapse_hits string, max_revs int, version string, format string, fields array<string>",
+        ).alias("query"),
+    )
+    # Both sides are one row.
+    return shown.crossJoin(beyond).select(F.to_json(response).alias("response"))
+
+
 def phrase_trend(
     revisions: DataFrame,
     query: str | Column,

@@ -1,5 +1,7 @@
 """Trend files: ``date,count[,id;id;...]`` rows, ``#`` comments."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +31,16 @@ def trend_rows(trend: DataFrame, as_links: bool = False) -> DataFrame:
     return trend.orderBy(*order).select(*keep, *columns)
 
 
-def write_trend_csv(trend: DataFrame, path: str, as_links: bool = False) -> None:
-    """Write a trend as CSV in date order."""
-    trend_rows(trend, as_links).write.csv(path, escape='"')
+def write_trend_csv(
+    trend: DataFrame, path: str, as_links: bool = False, comments: Sequence[str] = ()
+) -> None:
+    """Write a trend as CSV in date order, after comment rows (a title, a precision)."""
+    rows = trend_rows(trend, as_links)
+    if comments:
+        marked = [(f"# {text}",) for text in comments]
+        notes = trend.sparkSession.createDataFrame(marked, "date string").coalesce(1)
+        rows = notes.unionByName(rows, allowMissingColumns=True).select(*rows.columns)
+    rows.write.csv(path, escape='"')
 
 
 def read_trend_csv(
