@@ -21,7 +21,6 @@ of one id and several texts take part with each. An id of null is kept apart
 from the others: it is the smallest of a component only if all ids there are null.
 """
 
-from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -30,15 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editwake.llm.common import prepare, runs, text_bytes, written
+from editwake.llm.common import held, prepare, runs, text_bytes, written
 from editwake.llm.components import connected
 from editwake.plans.layout import keep_ids, small_side
 
 COORDINATES = 64
 MISSED = 1e-5  # chance that a pair just at the threshold agrees in too few coordinates
 CELLS = 18  # bits of a cell of the table of frequencies: its size is fixed
-BLOCK = 512  # members of a list that are compared with each other at once
-MEMO = 500_000  # words a worker remembers
+BLOCK = 256  # members of a list that are compared with each other at once
+RANGE = 500_000  # shingles of the sets of a block that are compared at once
+MEMO = 300_000  # words a worker remembers
 KEEPERS = 2_000_000  # ids of documents to keep that are broadcast at most
 CHUNK = 8_192  # shingles at a time
 
@@ -91,10 +91,9 @@ class Shingler:
         return np.unique(total)
 
 
-@lru_cache(maxsize=4)
 def shingler(words: int) -> Shingler:
-    """One of each kind for a worker, so that its words are remembered."""
-    return Shingler(words)
+    """One for a worker, so that its words are remembered."""
+    return held(("shingler", words), lambda: Shingler(words))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -306,20 +305,28 @@ def _possible(members: DataFrame, counts, percent: int, least: int) -> DataFrame
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets, by products of bounded 0/1 matrices."""
-    rows = np.repeat(np.arange(len(sets)), [s.size for s in sets])
-    values, place, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.cumsum(seen > 1) - 1
-    shared = seen[place] > 1
-    rows, columns = rows[shared], rank[place[shared]]
-    total = np.zeros((len(sets), len(sets)), dtype=np.float64)
-    order = np.argsort(columns, kind="stable")
-    rows, columns = rows[order], columns[order]
-    for at in range(0, int(rank[-1]) + 1 if rank.size else 0, CHUNK):
-        lo, hi = np.searchsorted(columns, [at, at + CHUNK])
-        part = np.zeros((len(sets), CHUNK), dtype=np.float32)
-        part[rows[lo:hi], columns[lo:hi] - at] = 1
-        total += part @ part.T
+    """Sizes of the intersections of all sets, by products of bounded 0/1 matrices.
+
+    ``sets`` are sorted. They are cut into ranges of values, so that what is
+    held besides them does not depend on how large they are.
+    """
+    total = np.zeros((len(sets), len(sets)))
+    ranges = sum(s.size for s in sets) // RANGE + 1
+    edges = [np.uint64(2**64 * i // ranges) for i in range(1, ranges)]
+    cuts = np.array([[0, *np.searchsorted(s, edges), s.size] for s in sets])
+    for k in range(ranges):
+        parts = [s[lo:hi] for s, lo, hi in zip(sets, cuts[:, k], cuts[:, k + 1])]
+        rows = np.repeat(np.arange(len(sets)), [p.size for p in parts])
+        _, place, seen = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        columns = (np.cumsum(seen > 1) - 1)[place]
+        shared = seen[place] > 1
+        order = np.argsort(columns[shared], kind="stable")
+        rows, columns = rows[shared][order], columns[shared][order]
+        for at in range(0, int(columns[-1]) + 1 if columns.size else 0, CHUNK):
+            lo, hi = np.searchsorted(columns, [at, at + CHUNK])
+            part = np.zeros((len(sets), CHUNK), dtype=np.float32)
+            part[rows[lo:hi], columns[lo:hi] - at] = 1
+            total += part @ part.T
     return total
 
 
@@ -331,7 +338,7 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
         for group in runs(batches, keys):
             one, two = _sides(group)
             nodes, label = group["node"].to_numpy(), group["label"].to_numpy()
-            sets = [np.asarray(s, dtype=np.int64) for s in group["shingles"].to_numpy()]
+            sets = [np.asarray(s).view(np.uint64) for s in group["shingles"].to_numpy()]
             sizes = np.array([s.size for s in sets])
             common = _intersections(sets)[np.ix_(one, two)]
             union = sizes[one][:, None] + sizes[two] - common

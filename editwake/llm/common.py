@@ -1,6 +1,6 @@
 """What several operators share: sessions, tables and sorted streams of rows."""
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from editwake.session import configure, work_path
 
-# Rows of an Arrow batch. Texts may be long, so batches are kept short.
+# Rows and bytes of an Arrow batch. Texts may be long, so batches are kept short.
 BATCH_ROWS = 1_000
+BATCH_BYTES = 4 * 2**20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """The session with the settings the operators count on."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -31,6 +33,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict = {}
+
+
+def held(key, build: Callable):
+    """What a worker keeps between batches and tasks, for one use at a time.
+
+    Memos of words make up most of a worker's memory. Those of the operator
+    that ran before are dropped, so that a pipeline's stages do not add up.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """Texts as UTF-8; null is empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]

@@ -14,12 +14,11 @@ are read. Null and empty texts have no tokens. Repeated rows come out alike.
 
 import re
 from collections import deque
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from editwake.llm.common import prepare
+from editwake.llm.common import held, prepare
 
 WORD = re.compile(r"\w+|[^\w\s]")
 MEMO = 500_000  # words a worker remembers
@@ -95,11 +94,11 @@ class Automaton:
         return len(words), sum(found) + unknown, unknown
 
 
-@lru_cache(maxsize=2)
 def automaton_of(pieces: tuple[str, ...], mark: str) -> Automaton:
     """The automaton, built once in each worker; first pieces carry the mark."""
-    first = frozenset(p[len(mark) :] for p in pieces if p.startswith(mark))
-    return Automaton(first - {""}, frozenset(p for p in pieces if not p.startswith(mark)) - {""})
+    first = frozenset(p[len(mark) :] for p in pieces if p.startswith(mark)) - {""}
+    further = frozenset(p for p in pieces if not p.startswith(mark)) - {""}
+    return held(("automaton", pieces, mark), lambda: Automaton(first, further))
 
 
 def marked_pieces(model_path: str) -> tuple[str, ...]:

@@ -85,6 +85,17 @@ def test_passages_that_many_share(spark):
     assert result(spark, rows, words=3, percent=85) == brute(rows, 3, 85)
 
 
+@pytest.mark.parametrize("size", [1, 7, 500_000])
+def test_intersections_in_ranges(monkeypatch, size):
+    monkeypatch.setattr(collisions, "RANGE", size)
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    sets = [np.unique(rng.choice(values, n)) for n in (1, 5, 20, 40, 60, 3)]
+    want = [[len(np.intersect1d(a, b)) if i != j else None for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    got = collisions._intersections(sets)
+    assert all(got[i][j] == w for i, row in enumerate(want) for j, w in enumerate(row) if w is not None)
+
+
 def test_matches_leave_few_out():
     rng = np.random.default_rng(3)
     common = rng.integers(0, 2**63, 850, dtype=np.uint64)
