@@ -151,3 +151,11 @@ def test_pushdown(spark, tmp_path, revisions):
     for name in ("StringContains(added", "GreaterThanOrEqual(timestamp", "LessThan(timestamp", "EqualTo(namespace"):
         assert name in pushed
     assert "hunks" not in pushed
+
+
+def test_impossible_days_are_refused():
+    for bound in ("2006-02-31", "2006-13", "2006-02-30T10", "soon"):
+        with pytest.raises(ValueError):
+            p.trend_predicate("x", bound)
+    for bound in ("2006", "2006-2", "2008-02-29", "2006-02-28T10:00:00Z"):
+        assert p.names_real_time(bound)

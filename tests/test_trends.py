@@ -1,3 +1,4 @@
+import json
 from collections import Counter, defaultdict
 from random import Random
 
@@ -9,7 +10,7 @@ from editwake.functions import derive
 from editwake.operators import hits as h
 from editwake.operators import trends as t
 from editwake.plans.layout import with_next, with_rank
-from editwake.plans.search import phrase_trend, search
+from editwake.plans.search import answer, phrase_trend, search
 from editwake.sources import trend_files
 
 ROWS = "rev_id long, timestamp timestamp, title string, added string"
@@ -183,3 +184,39 @@ def test_next_equals_a_plain_window(spark):
             "key", "s", "text", F.unix_timestamp("next_ts").alias("n")
         )
         assert {(r.key, r.s, r.text): r.n for r in found.collect()} == wanted
+
+
+def test_limits_with_copies_of_ids(spark):
+    rows = [(i // 2, f"t{i}") for i in range(40)]
+    hits = spark.createDataFrame(rows, "rev_id long, added string")
+    for cap in (1, 7, 8, 39, 40, 99):
+        found = [r.rev_id for r in h.limit_hits(hits, cap, width=5, small=0).collect()]
+        assert sorted(found) == [r[0] for r in rows[:cap]]
+
+
+def test_fields_that_cannot_be_unescaped_stay(spark):
+    hits = spark.createDataFrame([(r"moved C:\users here",), (r"a\nb",), (None,)], "comment string")
+    assert [r.comment for r in h.select_fields(hits, ["comment"]).collect()] == [r"moved C:\users here", "a\nb", None]
+
+
+def test_totals_do_not_depend_on_parts(spark, revisions):
+    wide = revisions.withColumn("rev_id", F.col("rev_id") * 1000)
+    for width in (10, 10**9):
+        found = t.trend_with_fields(wide, "month", part_width=width).collect()
+        assert {(r.period, r.period_hits) for r in found} == {("2002-02", 2)}
+
+
+def test_answers(spark, revisions):
+    def asked(**request):
+        return json.loads(answer(revisions, json.dumps(request)).first()[0])
+
+    one = asked(q='"world"', collapse_hits="day")
+    assert one["hits_all"] == 2 and [x["hits"] for x in one["hits"]] == [1, 1]
+    assert one["query"]["max_revs"] == 1000 and one["query"]["fields"] == []
+    capped = asked(q='"world"', max_revs=1, fields=["rev_id", "title"])
+    assert capped["hits"] == [{"rev_id": 501, "title": "Sandbox"}] and capped["debug_unchecked"] == 1
+    assert asked(q="nowhere to be found")["hits_all"] == 0
+    assert asked(q='"\u0001"', collapse_hits="month")["hits"] == []
+    for q in ("title:x", "a OR b", "(a)", "a*"):
+        with pytest.raises(ValueError):
+            answer(revisions, json.dumps({"q": q}))
