@@ -2,7 +2,7 @@
 
 A text is the logarithms of the counts of its words, of their beginnings and of
 their runs of four bytes, hashed into a fixed number of places and scaled to
-length one. Places that labels tell apart are weighed by the logarithm of their
+about length one. Places that labels tell apart are weighed by the logarithm of their
 odds, the others are left out. A logistic model is fitted on labelled texts; in addition, texts
 are paired with counterfactuals in which each identity term is swapped for
 another of its kind (texts without one get a neutral mention), and the squared
@@ -17,6 +17,7 @@ An id that is repeated counts once for each pair of document and label. Without
 labels of both kinds, scores are the share of rows labelled 1, or 0 without any.
 """
 
+import hashlib
 import math
 import re
 import zlib
@@ -28,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from editwake.llm.common import prepare
+from editwake.llm.common import held, prepare, written
 
 PLACES = 17  # bits of a place of a feature
+MASK = 2**PLACES - 1
 POSITIVES, NEGATIVES, LONGEST = 2_000, 6_000, 100_000  # bounds of the sample to fit on
 PAIRED = 2_000  # texts without an identity term that get a counterfactual
 EPOCHS, RATE, WEIGHT, DECAY = 12, 0.3, 2.0, 1e-6
-EVIDENCE = 2.0  # standard deviations by which a place's shares must differ
+EVIDENCE = 3.0  # standard deviations by which a place's shares must differ
 PENALTY = 4.0  # of a squared change of the score
-MEMO = 200_000  # words a worker remembers
+MEMO = 400_000  # words a worker remembers
 SEED = 9
 
 #: Terms that name a group, by kind; terms of a kind are swapped for each other.
@@ -51,6 +53,15 @@ IDENTITIES = {
 }
 
 WORD = re.compile(r"\w+")
+LOGS = [math.log1p(n) for n in range(256)]
+
+
+def places_of(word: str) -> list[int]:
+    """The places of a word, of its runs of four bytes and of its beginnings."""
+    raw = b"<" + word.encode("utf-8", "replace") + b">"
+    parts = [raw, *[raw[i : i + 4] for i in range(len(raw) - 3)]]
+    parts += [word[:n].encode("utf-8", "replace") + b"^" for n in range(2, min(9, len(word)))]
+    return [zlib.crc32(p) & MASK for p in parts]
 
 
 class Features:
@@ -62,11 +73,7 @@ class Features:
     def of_word(self, word: str) -> np.ndarray:
         found = self.memo.get(word)
         if found is None:
-            raw = b"<" + word.encode("utf-8", "replace") + b">"
-            parts = [raw, *(raw[i : i + 4] for i in range(len(raw) - 3))]
-            parts += [f"{word[:n]}^".encode("utf-8", "replace") for n in range(2, 9) if len(word) > n]
-            hashed = [zlib.crc32(p) for p in parts]
-            found = np.array(hashed, dtype=np.uint32).view(np.int32) & (2**PLACES - 1)
+            found = np.array(places_of(word), dtype=np.int32)
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[word] = found
@@ -78,14 +85,21 @@ class Features:
         if not counts:
             return np.empty(0, np.int64), np.empty(0)
         places = [self.of_word(w) for w in counts]
-        weights = np.repeat(list(counts.values()), [p.size for p in places])
+        sizes = [p.size for p in places]
+        weights = np.repeat(list(counts.values()), sizes)
         total = np.bincount(np.concatenate(places), weights, 2**PLACES)
         full = np.flatnonzero(total)
-        values = np.log1p(total[full])
-        return full, values / np.sqrt(values @ values)
+        return full, np.log1p(total[full]) / length(sizes, counts.values())
+
 
+def length(sizes, counts) -> float:
+    """The length that values are scaled by: each word's places as if they were its own."""
+    return math.sqrt(sum(n * LOGS[c] ** 2 if c < 256 else n * math.log1p(c) ** 2 for n, c in zip(sizes, counts)))
 
-FEATURES = Features()
+
+def features() -> Features:
+    """One for each worker, so that words are remembered."""
+    return held("toxicity-features", Features)
 
 
 def _swaps(identities: dict[str, list[str]]) -> tuple[re.Pattern, dict[str, list[str]]]:
@@ -112,112 +126,194 @@ def counterfactual(text: str, identities: dict[str, list[str]] = IDENTITIES) ->
 
 @dataclass
 class Model:
-    """Weights of the places, and the bias."""
+    """Weights of the places, and the bias; ``key`` tells models apart."""
 
     weights: np.ndarray
     bias: float
-
-    def score(self, places: np.ndarray, values: np.ndarray) -> float:
+    key: str = ""
+
+    def __post_init__(self):
+        self.key = hashlib.sha256(self.weights.tobytes() + str(self.bias).encode()).hexdigest()
+
+
+class Scorer:
+    """Scores by a model. Few words have places with a weight; of the others the number suffices."""
+
+    def __init__(self, model: Model):
+        self.bias = model.bias
+        full = np.flatnonzero(model.weights)
+        self.weights = dict(zip(full.tolist(), model.weights[full].tolist()))
+        self.sizes: dict[str, int] = {}
+        self.weighted: dict[str, list[int]] = {}
+
+    def learn(self, word: str) -> int:
+        """Remember a word; how many places it has."""
+        if len(self.sizes) >= MEMO:
+            self.sizes.clear()
+            self.weighted.clear()
+        places = places_of(word)
+        found = [p for p in places if p in self.weights]
+        if found:
+            self.weighted[word] = found
+        self.sizes[word] = len(places)
+        return len(places)
+
+    def __call__(self, text: str) -> float:
         """From 0 to 1; higher is more likely toxic."""
-        z = self.bias + float(self.weights[places] @ values)
+        counts = Counter(WORD.findall(text.lower()))
+        known, learn = self.sizes.get, self.learn
+        sizes = [known(word) or learn(word) for word in counts]
+        total: dict[int, int] = {}
+        for word in filter(self.weighted.__contains__, counts):
+            for place in self.weighted[word]:
+                total[place] = total.get(place, 0) + counts[word]
+        z = self.bias
+        if total:
+            said = math.fsum(self.weights[p] * math.log1p(n) for p, n in total.items())
+            z += said / length(sizes, counts.values())
         return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
 
 
+def scorer_of(sent) -> Scorer:
+    """The scorer of a model that was sent to the workers."""
+    return held(("toxicity", sent.value.key), lambda: Scorer(sent.value))
+
+
 def is_held_out(id_col: str) -> Column:
     """Whether a row is never learned from: its id's checksum leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample_of(
-    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str
-) -> list[tuple]:
-    """The rows to fit on: label, places and values, and those of the counterfactual if it counts."""
+def pair_features(text: str) -> tuple[np.ndarray, ...]:
+    """Places and values of a text, and those of the change to its counterfactual."""
+    places, values = features()(text)
+    other, other_values = features()(counterfactual(text)[0])
+    both, at = np.unique(np.concatenate([other, places]), return_inverse=True)
+    return places, values, both, np.bincount(at, np.concatenate([other_values, -values]), both.size)
+
+
+def weighed(places: np.ndarray, values: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without the places that say nothing, and the others by their evidence."""
+    kept = scale[places] != 0
+    return places[kept], values[kept] * scale[places[kept]]
+
+
+def evidence(seen: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The log odds of each place, or 0 where the difference is within EVIDENCE deviations.
+
+    ``seen`` counts texts by label and place, ``rows`` texts by label.
+    """
+    if not rows.all():
+        return np.zeros(seen.shape[1])
+    odds = np.diff(np.log(seen + 1) - np.log(rows[:, None] + 2), axis=0)[0]
+    share = (seen.sum(axis=0) + 1) / rows.sum()
+    gap = np.diff(seen / rows[:, None], axis=0)[0]
+    return np.where(np.abs(gap) > EVIDENCE * np.sqrt(share * (1 / rows).sum()), odds, 0.0)
+
+
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """The rows to fit on, as a table of packed places and values."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
     known = known.where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~is_held_out("id"))
+    turn = F.xxhash64("id", F.lit(SEED))
     picked = [
-        known.where(F.col("label") == label).orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(n)
+        known.where(F.col("label") == label).orderBy(turn, "id").limit(n)
         for label, n in ((1, POSITIVES), (0, NEGATIVES))
     ]
     # At most POSITIVES + NEGATIVES rows.
     chosen = F.broadcast(picked[0].unionAll(picked[1]))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST).join(chosen, "id")
+    mentioned = turn % ((POSITIVES + NEGATIVES) // PAIRED) == 0
 
     def run(batches):
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            paired = []
-            for text in batch.column(1).to_pylist():
-                changed, swapped = counterfactual(text or "")
-                paired.append(swapped)
-                for at, version in ((0, text or ""), (2, changed)):
-                    places, values = FEATURES(version)
-                    out[at].append(places.astype(np.int32).tobytes())
-                    out[at + 1].append(values.astype(np.float32).tobytes())
-            packed = [pa.array(c, pa.binary()) for c in out]
+            for text, mention in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                text = text or ""
+                found = pair_features(text)
+                paired = mention or counterfactual(text)[1]
+                for i, numbers in enumerate(found):
+                    kind = np.float32 if i % 2 else np.int32
+                    out[i].append(numbers.astype(kind).tobytes() if i < 2 or paired else None)
             columns = [batch.column(0).cast(pa.string()), batch.column(2).cast(pa.int32())]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(paired, pa.bool_()), *packed],
-                ["id", "label", "paired", "p", "v", "cp", "cv"],
-            )
+            columns += [pa.array(c, pa.binary()) for c in out]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "label", "p", "v", "cp", "cv"])
 
-    schema = "id string, label int, paired boolean, p binary, v binary, cp binary, cv binary"
-    made = rows.select("id", "text", "label").mapInArrow(run, schema)
-    turn = F.xxhash64("id", F.lit(SEED))
-    mention = (turn % ((POSITIVES + NEGATIVES) // PAIRED) == 0) | F.col("paired")
-    kept = [F.when(mention, F.col(c)).alias(c) for c in ("cp", "cv")]
-    found = made.select("id", "label", "p", "v", *kept).collect()
-    numbers = lambda raw, kind: np.frombuffer(bytes(raw), dtype=kind)
-    return [
-        (
-            r["label"],
-            *(numbers(r["p"], np.int32), numbers(r["v"], np.float32)),
-            *((numbers(r["cp"], np.int32), numbers(r["cv"], np.float32)) if r["cp"] is not None else (None, None)),
-        )
-        for r in sorted(found, key=lambda r: (r["id"], r["label"], bytes(r["p"]), bytes(r["v"])))
-    ]
+    schema = "id string, label int, p binary, v binary, cp binary, cv binary"
+    made = rows.select("id", "text", "label", mentioned.alias("mentioned")).mapInArrow(run, schema)
+    return written(made, "toxicity-sample")
 
 
-def evidence(sample: list[tuple]) -> np.ndarray:
-    """The log odds of each place, or 0 where the difference is within EVIDENCE deviations."""
-    rows = np.zeros(2)
+def _places(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int32)
+
+
+def _evidence_of(sample: DataFrame) -> np.ndarray:
+    """The evidence of each place, counted where the sample is."""
+
+    def run(batches):
+        seen = np.zeros((2, 2**PLACES), dtype=np.int64)
+        for batch in batches:
+            labels = batch.column(0).to_numpy()
+            for label in (0, 1):
+                own = batch.column(1).filter(pa.array(labels == label))
+                seen[label] += np.bincount(_places(own), minlength=2**PLACES)
+        label, place = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (label, place, seen[label, place])], ["label", "place", "n"])
+
+    counted = sample.select("label", "p").mapInArrow(run, "label long, place long, n long")
+    found = counted.groupBy("label", "place").agg(F.sum("n").alias("n")).toPandas()
     seen = np.zeros((2, 2**PLACES))
-    for label, places, *_ in sample:
-        rows[label] += 1
-        seen[label, places] += 1
-    odds = np.diff(np.log(seen + 1) - np.log(rows[:, None] + 2), axis=0)[0]
-    share = (seen.sum(axis=0) + 1) / rows.sum()
-    gap = np.diff(seen / rows[:, None], axis=0)[0]
-    return np.where(np.abs(gap) > EVIDENCE * np.sqrt(share * (1 / rows).sum()), odds, 0.0)
+    seen[found["label"].to_numpy(), found["place"].to_numpy()] = found["n"].to_numpy()
+    rows = np.zeros(2)
+    for label, n in sample.groupBy("label").count().collect():
+        rows[label] = n
+    return evidence(seen, rows)
+
 
+def _weighed(sample: DataFrame, scale) -> list[tuple]:
+    """The sample as it is fitted, without the places that say nothing."""
 
-def fit(sample: list[tuple], penalty: float = PENALTY) -> Model:
-    """Logistic regression by adaptive steps, with penalised changes within counterfactual pairs."""
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for row in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                for i in (0, 2):
+                    pair = (None, None)
+                    if row[i] is not None:
+                        numbers = np.frombuffer(row[i], np.int32), np.frombuffer(row[i + 1], np.float32)
+                        places, values = weighed(*numbers, scale.value)
+                        pair = places.tobytes(), values.astype(np.float32).tobytes()
+                    out[i].append(pair[0])
+                    out[i + 1].append(pair[1])
+            columns = [*batch.columns[:2], *(pa.array(c, pa.binary()) for c in out)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    unpacked = lambda raw, kind: None if raw is None else np.frombuffer(bytes(raw), kind)
+    found = [
+        (r["id"], r["label"], *(unpacked(r[c], np.int32 if c in ("p", "cp") else np.float32) for c in ("p", "v", "cp", "cv")))
+        for r in sample.mapInArrow(run, sample.schema).toLocalIterator()
+    ]
+    return [r[1:] for r in sorted(found, key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))]
+
+
+def fit(sample: list[tuple], scale: np.ndarray, penalty: float = PENALTY) -> Model:
+    """Logistic regression by adaptive steps, with penalised changes within counterfactual pairs.
+
+    A row of the sample is a label, weighed places and values, and those of the change or None.
+    """
     weights = np.zeros(2**PLACES)
     ones = sum(row[0] for row in sample)
     if not 0 < ones < len(sample):
         share = ones / len(sample) if sample else 0.0
         return Model(weights, 30.0 if share == 1 else -30.0)
-    scale = evidence(sample)
-
-    def scaled(places, values):
-        kept = scale[places] != 0
-        return places[kept], values[kept] * scale[places[kept]]
-
-    texts, changes = [], []
-    for _, places, values, other, other_values in sample:
-        texts.append(scaled(places, values))
-        if other is None:
-            changes.append(None)
-            continue
-        both, at = np.unique(np.concatenate([other, places]), return_inverse=True)
-        changes.append(scaled(both, np.bincount(at, np.concatenate([other_values, -values]))))
     squares = np.full(2**PLACES, 1e-8)
     bias, bias_squares = -2.0, 1e-8
     rng = np.random.default_rng(SEED)
     for _ in range(EPOCHS):
         for k in rng.permutation(len(sample)):
-            label, (places, values) = sample[k][0], texts[k]
+            label, places, values, both, change = sample[k]
             z = np.clip(bias + weights[places] @ values, -30, 30)
             error = (1 / (1 + np.exp(-z)) - label) * (WEIGHT if label else 1.0)
             step = error * values + DECAY * weights[places]
@@ -225,11 +321,10 @@ def fit(sample: list[tuple], penalty: float = PENALTY) -> Model:
             weights[places] -= RATE * step / np.sqrt(squares[places])
             bias_squares += error * error
             bias -= 0.1 * error / np.sqrt(bias_squares)
-            if penalty and changes[k] is not None:
-                places, change = changes[k]
-                step = penalty * (weights[places] @ change) * change
-                squares[places] += step * step
-                weights[places] -= RATE * step / np.sqrt(squares[places])
+            if penalty and both is not None:
+                step = penalty * (weights[both] @ change) * change
+                squares[both] += step * step
+                weights[both] -= RATE * step / np.sqrt(squares[both])
     return Model(weights * scale, float(bias))
 
 
@@ -241,8 +336,10 @@ def train(
     label_col: str = "toxic",
 ) -> Model:
     """Fit a model on the labelled documents that are not held out."""
-    prepare(docs.sparkSession)
-    return fit(sample_of(docs, labels, id_col, text_col, label_col))
+    spark = prepare(docs.sparkSession)
+    sample = _sample(docs, labels, id_col, text_col, label_col)
+    scale = _evidence_of(sample)
+    return fit(_weighed(sample, spark.sparkContext.broadcast(scale)), scale)
 
 
 def score(
@@ -260,7 +357,8 @@ def score(
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            scores = [sent.value.score(*FEATURES(text or "")) for text in texts]
+            scorer = scorer_of(sent)
+            scores = [scorer(text or "") for text in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64())], [id_col, "score"]
             )
@@ -288,7 +386,8 @@ def drop_toxic(
     def run(batches):
         for batch in batches:
             texts = batch.column(place).to_pylist()
-            clean = [sent.value.score(*FEATURES(text or "")) < threshold for text in texts]
+            scorer = scorer_of(sent)
+            clean = [scorer(text or "") < threshold for text in texts]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

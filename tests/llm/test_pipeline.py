@@ -7,7 +7,7 @@ from test_collisions import brute
 import corpus_pipeline as pipeline
 from editwake.llm.collisions import drop_near_duplicates
 from editwake.llm.secret_scan import redacted, spans_of
-from editwake.llm.toxicity import FEATURES, train
+from editwake.llm.toxicity import Scorer, train
 
 DATA = "/root/testdata/sf0.01"
 
@@ -33,7 +33,8 @@ def test_columns_and_stages(stages):
 
 def test_toxicity_rejects_what_the_model_finds(spark, stages):
     model = train(stages[0], spark.read.parquet(f"{DATA}/labels.parquet"))
-    want = [r for r in rows(stages[0]) if model.score(*FEATURES(r[1] or "")) < 0.3]
+    score = Scorer(model)
+    want = [r for r in rows(stages[0]) if score(r[1] or "") < 0.3]
     assert Counter(rows(stages[1])) == Counter(want)
 
 

@@ -5,14 +5,33 @@ import numpy as np
 import pytest
 
 from editwake.llm import queries
-from editwake.llm.toxicity import FEATURES, IDENTITIES, counterfactual, drop_toxic, fit, score, train
+from editwake.llm.toxicity import (
+    IDENTITIES,
+    PENALTY,
+    PLACES,
+    counterfactual,
+    drop_toxic,
+    evidence,
+    fit,
+    pair_features,
+    Scorer,
+    score,
+    train,
+    weighed,
+)
 
 DATA = "/root/testdata/sf0.1"
 
 
-def row(text, label):
-    changed, _ = counterfactual(text)
-    return (label, *FEATURES(text), *FEATURES(changed))
+def fitted(rows, penalty):
+    """A model of texts and labels, without tables."""
+    seen, found = np.zeros((2, 2**PLACES)), []
+    for text, label in rows:
+        found.append((label, *pair_features(text)))
+        seen[label, found[-1][1]] += 1
+    scale = evidence(seen, np.bincount([label for _, label in rows], minlength=2))
+    sample = [(r[0], *weighed(*r[1:3], scale), *weighed(*r[3:], scale)) for r in found]
+    return fit(sample, scale, penalty)
 
 
 def biased(seed, count):
@@ -32,16 +51,16 @@ def biased(seed, count):
 
 
 def test_counterfactuals_lower_the_score_of_neutral_mentions():
-    sample = [row(*r) for r in biased(1, 600)]
-    free, regular = fit(sample, penalty=0), fit(sample)
+    rows = biased(1, 600)
+    free, regular = fitted(rows, 0), fitted(rows, PENALTY)
     gaps = []
     for model in (free, regular):
-        one, two = (model.score(*FEATURES(f"we went to see a {g} house by the river")) for g in ("muslim", "christian"))
+        one, two = (Scorer(model)(f"we went to see a {g} house by the river") for g in ("muslim", "christian"))
         gaps.append(abs(one - two))
     assert gaps[1] < 0.3 * gaps[0]
-    neutral = [free.score(*FEATURES("people said the muslim day was long")), regular.score(*FEATURES("people said the muslim day was long"))]
+    neutral = [Scorer(m)("people said the muslim day was long") for m in (free, regular)]
     assert neutral[1] < neutral[0]
-    assert regular.score(*FEATURES("people said that the idiot scum went")) > 0.5
+    assert Scorer(regular)("people said that the idiot scum went") > 0.5
 
 
 def test_counterfactual_texts():
