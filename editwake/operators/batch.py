@@ -5,6 +5,7 @@ Clauses have a field, a kind (``phrase``, ``term``, ``range``, ``wildcard``,
 should or must not hold.
 """
 
+from collections.abc import Collection
 from functools import reduce
 from math import ceil
 
@@ -87,12 +88,14 @@ def _compiled_wildcards(clauses: DataFrame, n: int) -> DataFrame:
     return marked.join(F.broadcast(known), "pattern", "left").drop("pattern")
 
 
-def compile_queries(clauses: DataFrame, n: int = DEFAULT_GRAM) -> DataFrame:
+def compile_queries(
+    clauses: DataFrame, n: int = DEFAULT_GRAM, kinds: Collection[str] = KINDS
+) -> DataFrame:
     """One row per query, with its must, should and must_not clauses as arrays, and its keys.
 
     One of the keys is in every revision that the query holds for: the best of
     a must clause, or those of all should clauses where one of these has to
-    hold. A query without such keys has none.
+    hold. A query without such keys has none. ``kinds`` are those that occur.
     """
     value = F.col("value")
     regexp = (
@@ -116,7 +119,11 @@ def compile_queries(clauses: DataFrame, n: int = DEFAULT_GRAM) -> DataFrame:
     def having(occur: str) -> Column:
         return F.collect_list(F.when(F.col("occur") == occur, clause)).alias(occur)
 
-    grouped = _compiled_wildcards(clauses, n).groupBy("query_id").agg(
+    if {"wildcard", "prefix"} & set(kinds):
+        clauses = _compiled_wildcards(clauses, n)
+    else:
+        clauses = clauses.withColumn("expression", F.lit(None).cast("string"))
+    grouped = clauses.groupBy("query_id").agg(
         having("must"), having("should"), having("must_not")
     )
     keyed = F.filter("must", lambda c: c.key.isNotNull())
@@ -251,14 +258,15 @@ def match_saved_queries(
     tested on every revision, cut into passes by clauses and bytes. Only the
     fields that clauses name are read, and nothing is shuffled.
     """
-    used = {r[0] for r in clauses.select("field").distinct().collect()}
+    # At most one row per field and kind there is.
+    named = clauses.select("field", "kind").distinct().collect()
+    used, kinds = {r[0] for r in named}, {r[1] for r in named}
     if used - set(FIELDS):
         raise ValueError(f"no such fields: {sorted(used - set(FIELDS))}")
-    kinds = {r[0] for r in clauses.select("kind").distinct().collect()}
     if kinds - set(KINDS):
         raise ValueError(f"no such kinds of clauses: {sorted(kinds - set(KINDS))}")
     shared_dir(clauses.sparkSession)
-    compiled = compile_queries(clauses, n).checkpoint()
+    compiled = compile_queries(clauses, n, kinds).checkpoint()
     keyed = compiled.where("keys IS NOT NULL")
     rest = compiled.where("keys IS NULL").drop("keys")
     size = F.length(F.to_json(F.struct("must", "should", "must_not"))).cast("bigint")
