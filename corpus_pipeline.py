@@ -7,7 +7,9 @@ SentencePiece encoding and decoding. Stages take a session, documents and the
 folder of the tables; all but the last return the columns of documents.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 from editwake.llm.collisions import drop_near_duplicates
@@ -42,9 +44,22 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the mixed documents."""
+    """Token counts and digests of the mixed documents, in training order.
+
+    Documents have no column for the position, but the files of a written table
+    are numbered in its order, and so are the rows of a file. Spark reads files
+    in another order; the short results are sorted back. Rows that are read from
+    no files come as they are.
+    """
     prepare(spark)
-    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    place = ("_file", "_row")
+    try:
+        placed = docs.withColumns({"_file": F.col("_metadata.file_name"), "_row": F.col("_metadata.row_index")})
+        placed.schema  # fails here without files
+    except AnalysisException:
+        return encode_documents(docs, model)
+    return encode_documents(placed, model, keep=place).orderBy(F.length("_file"), *place).drop(*place)
 
 
 STAGES = [

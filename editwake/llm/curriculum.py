@@ -138,6 +138,25 @@ def positions(mixed: DataFrame) -> DataFrame:
     return taken.withColumn("position", reached(share, F.col("slope"))).orderBy("position", "id", "size", "copy")
 
 
+def taken_in_order(mixed: DataFrame) -> DataFrame:
+    """One row per row of documents with the words ``taken`` of it, in training order.
+
+    The copies are written in the order of their positions and counted from
+    there. A document stands at the first position it is taken at, one that is
+    not taken at the end.
+    """
+    keys = ["id", "source", "size"]
+    mixed = written(mixed, "places")
+    timed = written(positions(mixed).select(*keys, "position"), "training-order")
+    found = timed.groupBy(*keys).agg(F.sum("size").alias("taken"), F.min("position").alias("position")).alias("f")
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(f"m.{key}").eqNullSafe(F.col(f"f.{key}"))
+    joined = mixed.alias("m").join(found, same, "left").orderBy(F.asc_nulls_last("f.position"), "m.id", "m.size")
+    rows = F.explode(F.sequence(F.lit(1).cast("long"), F.col("m.n")))
+    return joined.select("m.*", F.coalesce("f.taken", F.lit(0)).cast("long").alias("taken"), "f.position", rows).drop("col")
+
+
 def mixed_documents(
     docs: DataFrame,
     weights: tuple[float, ...] = (1, 2, 3),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from editwake.llm.chat import digests, formatted, text_parts
 from editwake.llm.collisions import near_duplicates
 from editwake.llm.common import prepare, table
-from editwake.llm.curriculum import mix
+from editwake.llm.curriculum import mix, taken_in_order
 from editwake.llm.hamming import near_vectors
 from editwake.llm.pieces import encode_documents
 from editwake.llm.quality import judge
@@ -85,12 +85,9 @@ GROUP BY a
 
 @query
 def op5_source_mixing(spark, sf_dir):
-    """What a mix of all documents takes of each, in weights 1, 2, 3 by source."""
-    places = mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3))
-    rows = places.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    return rows.select(
-        F.col("id").alias("doc_id"), "size", "source_size", "target", F.expr("copies * size").alias("taken")
-    )
+    """What a mix of all documents takes of each, in weights 1, 2, 3 by source; in training order."""
+    rows = taken_in_order(mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3)))
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 ORACLES["op5_source_mixing"] = """

@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from editwake.llm import queries
+from editwake.llm import curriculum, queries
 from editwake.llm.curriculum import mix, mixed_documents, positions, reached
 from oracle import same_as_sql
 from pyspark.sql import functions as F
@@ -59,3 +59,17 @@ def test_positions_follow_the_integrals_of_the_schedules(spark):
 def test_no_python_in_the_plan(spark):
     plan = queries.QUERIES["op5_source_mixing"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_the_query_comes_from_positions_in_training_order(spark, monkeypatch):
+    folder = "/root/testdata/sf0.01"
+    timed = positions(mix(spark.read.parquet(f"{folder}/documents.parquet"))).collect()
+    first = {}
+    for r in timed:
+        first.setdefault(r.id, r.position)
+    rows = queries.QUERIES["op5_source_mixing"](spark, folder).collect()
+    found = [first.get(r.doc_id, 2.0) for r in rows]
+    assert found == sorted(found) and 0 < found.count(2.0) < len(found)
+    # Without positions nothing is taken.
+    monkeypatch.setattr(curriculum, "positions", lambda mixed: positions(mixed).where("position < 0"))
+    assert {r.taken for r in queries.QUERIES["op5_source_mixing"](spark, folder).collect()} == {0}

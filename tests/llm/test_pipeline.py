@@ -95,3 +95,15 @@ def test_stages_take_odd_rows(spark):
             assert now.columns == docs.columns
             now = spark.createDataFrame(now.collect(), schema)
         assert pipeline.STAGES[-1][1](spark, now, DATA).count() == now.count()
+
+
+def test_the_result_is_in_training_order(spark, stages, tmp_path):
+    path = str(tmp_path / "mixed")
+    order = [r.doc_id for r in pipeline.mixing(spark, stages[3], DATA).collect()]
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "300")
+    try:
+        pipeline.mixing(spark, stages[3], DATA).write.parquet(path)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    found = pipeline.sentencepiece(spark, spark.read.parquet(path), DATA).collect()
+    assert [r.doc_id for r in found] == order
