@@ -9,8 +9,9 @@ and the next shorter context as much as it has different successors.
 
 Counts are taken of all URLs that rules decide, but for a fold by the URL's
 checksum, on which the threshold is set: it is where the shares of wrong
-verdicts of both kinds are least in sum. Counts are kept by hash in a table of
-fixed size, whatever the input. A URL that is null or has no host is allowed if
+verdicts of both kinds are least in sum. Counts are exact: written tables of
+grams and contexts that grow with the input, which the different grams of the
+URLs to score are joined with. A URL that is null or has no host is allowed if
 no rule fits, as there is nothing to judge; if examples of a kind are missing,
 all others are allowed. Repeated rows count as often as they come.
 """
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from editwake.llm.common import prepare, written
 
 ORDER = 5  # characters of the longest context
-SLOTS = 20  # bits of a place in the tables of counts: their size is fixed
+BITS = 9  # of a sign in a gram's number
+SHORT = 1  # orders whose counts are few, whatever the input
 FOLDS = 5  # one fold calibrates
 BINS, REACH = 800, 8.0  # of the histogram of differences, and its range in nats a character
 ALLOW, BLOCK = "allow", "block"
@@ -70,62 +72,114 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _scrambled(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+def grams_of(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each byte and end of a URL, and the byte after its ORDER predecessors.
 
-
-def places(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte of each URL and its end, and each order: place of the context and of the
-    context with the byte. Also the number of the URL that each byte is of."""
+    A sign is the byte plus one, the end is as byte 0, and before the start there
+    are zeros; ORDER + 1 signs of ``BITS`` each make a number, the last sign lowest.
+    """
     joined = b"".join(u + b"\0" for u in urls)
-    signs = np.frombuffer(joined, dtype=np.uint8).astype(np.uint64) + np.uint64(1)
-    lengths = np.array([len(u) + 1 for u in urls])
+    signs = np.frombuffer(joined, dtype=np.uint8).astype(np.int64) + 1
+    lengths = np.array([len(u) + 1 for u in urls], dtype=np.int64)
     owner = np.repeat(np.arange(len(urls)), lengths)
     offset = np.arange(signs.size) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    contexts = np.empty((ORDER + 1, signs.size), dtype=np.int64)
-    grams = np.empty_like(contexts)
-    code = np.zeros(signs.size, dtype=np.uint64)
-    shift = np.uint64(64 - SLOTS)
-    for order in range(ORDER + 1):
-        if order:
-            before = np.zeros_like(signs)
-            before[order:] = signs[:-order]
-            before[offset < order] = 0  # before the start there is nothing
-            code = code * np.uint64(257) + before
-        key = _scrambled(code * np.uint64(8) + np.uint64(order))
-        contexts[order] = (key >> shift).astype(np.int64)
-        grams[order] = (_scrambled(key + signs * np.uint64(0xD6E8FEB86659FD93)) >> shift).astype(np.int64)
-    return contexts, grams, owner
+    code = signs.copy()
+    for order in range(1, ORDER + 1):
+        before = np.zeros_like(signs)
+        before[order:] = signs[:-order]
+        before[offset < order] = 0  # before the start there is nothing
+        code |= before << (BITS * order)
+    return owner, code
+
+
+def _counted(said: DataFrame, key: str) -> DataFrame:
+    """How often each gram occurs for each value of a long column; partial counts."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            owner, code = grams_of(_texts(batch.column(1)))
+            pairs = np.stack([batch.column(0).to_numpy()[owner], code])
+            pairs = pairs[:, np.lexsort(pairs)]
+            first = np.flatnonzero(np.append(True, (np.diff(pairs) != 0).any(axis=0)))
+            times = np.diff(np.append(first, pairs.shape[1]))
+            columns = [pa.array(c) for c in (*pairs[:, first], times)]
+            yield pa.RecordBatch.from_arrays(columns, [key, "code", "n"])
+
+    return said.select(F.col(key).cast("long"), "said").mapInArrow(run, f"{key} long, code long, n long")
+
+
+def _shorter(order: Column) -> Column:
+    """The gram of an order that ends a longest gram, with the order in the bits above."""
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), (order + 1) * BITS) - 1
+    return F.col("code").bitwiseAND(mask).bitwiseOR(_tag(order))
+
+
+def _tag(order: Column) -> Column:
+    return F.shiftleft(order.cast("long"), (ORDER + 1) * BITS)
+
+
+def _context(order: Column, gram: Column) -> Column:
+    """The context of a gram, with the order."""
+    bare = gram.bitwiseAND(F.lit(2 ** ((ORDER + 1) * BITS) - 1))
+    return F.shiftright(bare, BITS).bitwiseOR(_tag(order))
 
 
 @dataclass
 class Ratio:
-    """Counts of both models by place, and the threshold of the difference."""
+    """Exact counts of both models as written tables, and the threshold of the difference."""
 
-    counts: np.ndarray  # of a context with a byte, by model
-    totals: np.ndarray  # of a context
-    kinds: np.ndarray  # different successors of a context
+    grams: DataFrame  # gram, order, n0 and n1: counts by model
+    contexts: DataFrame  # context, order, t0 and t1: occurrences; k0 and k1: different successors
     threshold: float = 0.0
     known: bool = True
 
+    def logs(self, codes: DataFrame) -> DataFrame:
+        """For different longest grams the log-likelihood of the last sign as rejected less as accepted."""
+        orders = F.explode(F.sequence(F.lit(0), F.lit(ORDER)))
+        asked = codes.withColumn("order", orders).withColumn("gram", _shorter(F.col("order")))
+        asked = asked.withColumn("context", _context(F.col("order"), F.col("gram")))
+        # Grams of up to SHORT + 1 signs are few whatever the input, but each is asked for by many.
+        found = None
+        for few in (True, False):
+            side = lambda df, few=few: F.broadcast(df) if few else df.hint("merge")
+            part = F.col("order") <= SHORT if few else F.col("order") > SHORT
+            joined = (
+                asked.where(part)
+                .join(side(self.contexts.where(part).drop("order")), "context")
+                .join(side(self.grams.where(part).drop("order")), "gram", "left")
+                .select("code", F.struct("order", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n0", "n1", "t0", "t1", "k0", "k1"))).alias("seen"))
+            )
+            found = joined if found is None else found.unionAll(joined)
+        seen = found.groupBy("code").agg(F.sort_array(F.collect_list("seen")).alias("seen"))
+
+        def log(m: int) -> Column:
+            mix = lambda p, x: F.when(x[f"k{m}"] > 0, (x[f"n{m}"] + x[f"k{m}"] * p) / (x[f"t{m}"] + x[f"k{m}"])).otherwise(p)
+            return F.log(F.aggregate("seen", F.lit(1 / 257), mix))
+
+        return seen.select("code", (log(1) - log(0)).alias("log"))
+
+    def scored(self, said: DataFrame) -> DataFrame:
+        """``row`` and ``difference``, a character, of texts with different ``row``; 0 for an empty text."""
+        counted = written(_counted(said, "row"), "asked-grams")
+        logs = self.logs(counted.select("code").distinct())
+        sums = counted.join(logs.hint("merge"), "code", "left").groupBy("row")
+        sums = sums.agg(F.sum(F.col("n") * F.coalesce("log", F.lit(0.0))).alias("log"), F.sum("n").alias("signs"))
+        return sums.select("row", F.when(F.col("signs") > 1, F.col("log") / F.col("signs")).otherwise(0.0).alias("difference"))
+
     def differences(self, urls: list[bytes]) -> np.ndarray:
-        """Log-likelihood as rejected less that as accepted, a character; 0 for an empty URL."""
+        """Log-likelihood as rejected less that as accepted, a character; for a few texts on the driver."""
         if not urls:
             return np.empty(0)
-        contexts, grams, owner = places(urls)
-        logs = []
-        for model in (0, 1):
-            p = np.full(owner.size, 1 / 257)
-            for context, gram in zip(contexts, grams):
-                kinds = self.kinds[model, context]
-                seen = np.maximum(self.totals[model, context] + kinds, 1)
-                mixed = (self.counts[model, gram] + kinds * p) / seen
-                p = np.where(kinds > 0, np.minimum(mixed, 1.0), p)
-            logs.append(np.log(p))
+        owner, code = grams_of(urls)
+        codes, at = np.unique(code, return_inverse=True)
+        spark = self.grams.sparkSession
+        logs = self.logs(spark.createDataFrame([(int(c),) for c in codes], "code long")).collect()
+        log = dict(map(tuple, logs))
+        each = np.array([log.get(int(c), 0.0) for c in codes])[at]
         lengths = np.bincount(owner, minlength=len(urls))
-        total = np.bincount(owner, logs[1] - logs[0], minlength=len(urls))
-        return np.where(lengths > 1, total / lengths, 0.0)
+        return np.where(lengths > 1, np.bincount(owner, each, minlength=len(urls)) / lengths, 0.0)
 
 
 def _judged(pages: DataFrame, url_col: str, rules) -> DataFrame:
@@ -146,49 +200,25 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 def fit(pages: DataFrame, url_col: str = "url", rules=RULES) -> Ratio:
     """Count and calibrate on all URLs that rules decide."""
-    spark = prepare(pages.sparkSession)
-    judged = written(_judged(pages, url_col, rules), "judged-urls")
-
-    def count(batches):
-        # By model and place, over the whole partition: a table of fixed size.
-        total = np.zeros((2, 2**SLOTS), dtype=np.int64)
-        context_of = np.zeros((2, 2**SLOTS), dtype=np.int64)
-        for batch in batches:
-            model = batch.column(1).to_numpy()
-            texts = _texts(batch.column(0))
-            for m in (0, 1):
-                own = [t for t, k in zip(texts, model) if k == m]
-                if own:
-                    contexts, grams, _ = places(own)
-                    total[m] += np.bincount(grams.ravel(), minlength=2**SLOTS)
-                    np.maximum.at(context_of[m], grams.ravel(), contexts.ravel())
-        for m in (0, 1):
-            full = np.flatnonzero(total[m])
-            columns = [np.full(full.size, m), full, context_of[m, full], total[m, full]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["model", "gram", "context", "n"])
-
-    schema = "model long, gram long, context long, n long"
-    counted = judged.where("NOT held").select("said", "model").mapInArrow(count, schema)
-    table = counted.groupBy("model", "gram").agg(F.max("context").alias("context"), F.sum("n").alias("n")).toPandas()
-    counts, totals, kinds = (np.zeros((2, 2**SLOTS), dtype=np.float32) for _ in range(3))
-    model, context = table["model"].to_numpy(), table["context"].to_numpy()
-    counts[model, table["gram"].to_numpy()] = table["n"].to_numpy()
-    np.add.at(totals, (model, context), table["n"].to_numpy())
-    np.add.at(kinds, (model, context), 1)
-    ratio = Ratio(counts, totals, kinds, known=bool(set(model) == {0, 1}))
-    sent = spark.sparkContext.broadcast(ratio)
-
-    def histogram(batches):
-        total = np.zeros((2, BINS), dtype=np.int64)
-        for batch in batches:
-            found = sent.value.differences(_texts(batch.column(0)))
-            bins = np.clip((found + REACH) * BINS / (2 * REACH), 0, BINS - 1).astype(np.int64)
-            np.add.at(total, (batch.column(1).to_numpy(), bins), 1)
-        model, bin_ = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (model, bin_, total[model, bin_])], ["model", "bin", "n"])
-
-    held = judged.where("held").select("said", "model").mapInArrow(histogram, "model long, bin long, n long")
-    ratio.threshold = calibrated(held.groupBy("model", "bin").agg(F.sum("n").alias("n")).collect())
+    prepare(pages.sparkSession)
+    judged = _judged(pages, url_col, rules).withColumn("row", F.monotonically_increasing_id())
+    judged = written(judged, "judged-urls")
+    longest = _counted(judged.where("NOT held"), "model").groupBy("model", "code").agg(F.sum("n").alias("n"))
+    orders = F.explode(F.sequence(F.lit(0), F.lit(ORDER)))
+    by_model = [F.sum(F.when(F.col("model") == m, F.col("n")).otherwise(0)).alias(f"n{m}") for m in (0, 1)]
+    grams = longest.withColumn("order", orders).groupBy(_shorter(F.col("order")).alias("gram"), "order").agg(*by_model)
+    grams = written(grams, "url-grams")
+    sums = [F.sum(f"n{m}").alias(f"t{m}") for m in (0, 1)] + [F.count_if(F.col(f"n{m}") > 0).alias(f"k{m}") for m in (0, 1)]
+    context = _context(F.col("order"), F.col("gram")).alias("context")
+    contexts = written(grams.groupBy(context, "order").agg(*sums), "url-contexts")
+    every = contexts.where("order = 0").first()
+    ratio = Ratio(grams, contexts, known=bool(every and every["t0"] and every["t1"]))
+    if ratio.known:
+        bins = F.floor((F.col("difference") + REACH) * BINS / (2 * REACH))
+        held = judged.where("held").select("row", "model", "said")
+        scored = ratio.scored(held).join(held.select("row", "model"), "row")
+        scored = scored.withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), bins)))
+        ratio.threshold = calibrated(scored.groupBy("model", "bin").agg(F.count("*").alias("n")).collect())
     return ratio
 
 
@@ -213,31 +243,20 @@ def judge(
     rules=RULES,
 ) -> DataFrame:
     """One row per page: the id, ``host``, ``path``, ``rule``, ``verdict`` and the ``difference``."""
-    spark = prepare(pages.sparkSession)
-    sent = spark.sparkContext.broadcast(ratio)
+    prepare(pages.sparkSession)
     url = F.col(url_col)
     host, path = host_of(url), path_of(url)
     rule, verdict = rule_of(host, path, rules)
     ruled = pages.select(
         F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("verdict"),
-        F.when(verdict.isNull(), F.concat(host, tail_of(url))).alias("said"),
+        F.when(verdict.isNull() & (host != ""), F.concat(host, tail_of(url))).alias("said"),
     )
-
-    def run(batches):
-        for batch in batches:
-            known = batch.column(4).to_pylist()
-            texts = _texts(batch.column(5))
-            open_ = [i for i, v in enumerate(known) if v is None]
-            scores: list = [None] * len(known)
-            if sent.value.known:
-                asked = [i for i in open_ if batch.column(1)[i].as_py()]
-                for i, d in zip(asked, sent.value.differences([texts[i] for i in asked]).tolist()):
-                    scores[i] = d
-            for i in open_:
-                known[i] = BLOCK if scores[i] is not None and scores[i] > sent.value.threshold else ALLOW
-            columns = [*batch.columns[:4], pa.array(known, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "host", "path", "rule", "verdict", "difference"])
-
-    kind = pages.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, host string, path string, rule string, verdict string, difference double"
-    return ruled.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    ruled = written(ruled.withColumn("row", F.monotonically_increasing_id()), "ruled-pages")
+    if ratio.known:
+        scored = ruled.join(ratio.scored(ruled.where("said IS NOT NULL")), "row", "left")
+    else:
+        scored = ruled.withColumn("difference", F.lit(None).cast("double"))
+    open_ = F.when(F.col("difference") > ratio.threshold, BLOCK).otherwise(ALLOW)
+    return scored.select(
+        F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", open_).alias("verdict"), "difference"
+    )

@@ -126,3 +126,17 @@ def test_threshold_is_where_errors_are_least():
     edge = lambda b: (b + 1) * 2 * url_models.REACH / url_models.BINS - url_models.REACH
     assert edge(20) <= url_models.calibrated(rows) < edge(30)
     assert url_models.calibrated([]) == 0.0
+
+
+def test_counts_are_exact_for_millions_of_grams(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    pages = [(i, f"http://{'x' * (i % 2)}.com/{word(45)}") for i in range(12_000)]
+    rules = (("allow", "com/"), ("block", "x.com/"))
+    ratio = fit(spark.createDataFrame(pages, "page_id long, url string"), rules=rules)
+    assert ratio.grams.count() > 2**20
+    said = [(i % 2, url[7:].encode()) for i, url in pages if zlib.crc32(url.encode()) % FOLDS]
+    texts = [t for _, t in said[:4]] + [f"{word(30)}.org/{word(9)}".encode() for _ in range(40)]
+    plain = [Plain([t for kind, t in said if kind == m]) for m in (0, 1)]
+    want = np.array([(plain[1].log(t) - plain[0].log(t)) / (len(t) + 1) for t in texts])
+    assert np.abs(ratio.differences(texts) - want).max() < 1e-9
