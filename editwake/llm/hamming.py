@@ -5,7 +5,11 @@ little error; the signs are a binary code of the vector. Several rotations are
 learned from different starts, and their codes are cut into substrings. Each
 substring is a table of buckets: vectors whose substrings agree meet there, and
 are reranked with the original vectors. ``tables_for`` tells how many tables
-lose at most a pair in ``1 / MISSED`` at the threshold.
+lose at most a pair in ``1 / MISSED`` at the threshold. For that the signs are
+taken about the origin, where the angle of a pair is known, and not about the
+mean. Vectors that have a direction in common then crowd into few buckets; if
+the tables would compare more pairs than there are, all pairs of a label are
+compared once instead, and none is lost.
 
 Equal vectors are one class. A bucket is compared in pairs of blocks of bounded
 size by matrix products; a pair that meets in several tables counts in the
@@ -73,7 +77,7 @@ def substrings(vectors: np.ndarray, mean: np.ndarray, rotations: np.ndarray, bit
     """The bucket of each vector in each table."""
     signs = np.concatenate([(vectors - mean) @ r >= 0 for r in rotations], axis=1)
     weights = 1 << np.arange(bits, dtype=np.int64)
-    per = rotations.shape[1] // bits
+    per = rotations.shape[1] // max(1, bits)
     out = np.empty((len(vectors), tables), dtype=np.int64)
     for t in range(tables):
         at = t // per * rotations.shape[1] + t % per * bits
@@ -81,6 +85,12 @@ def substrings(vectors: np.ndarray, mean: np.ndarray, rotations: np.ndarray, bit
     return out
 
 
+def meetings(codes: np.ndarray) -> float:
+    """In how many tables two vectors meet on average."""
+    shares = (np.unique(column, return_counts=True)[1] / len(column) for column in codes.T)
+    return float(sum((share * share).sum() for share in shares))
+
+
 def matrix(packed: list[bytes], size: int) -> np.ndarray:
     """Packed vectors as rows of doubles of length one."""
     width = len(packed[0]) // max(1, size) if packed else 8
@@ -222,7 +232,11 @@ def near_vectors(
     sample = matrix([bytes(r[0]) for r in sampled.collect()], size)
     if not len(sample):
         sample = np.zeros((1, max(1, size)))
-    learned = learn_rotations(sample, -(-tables // max(1, size // bits)))
+    # With its opposites the sample is centred at the origin, where the angle is that of the threshold.
+    both = np.concatenate([sample, -sample])
+    learned = learn_rotations(both, -(-tables // max(1, size // bits)))
+    if meetings(substrings(sample, *learned, bits, tables)) >= 1:
+        bits, tables = 0, 1
     index = spark.sparkContext.broadcast(learned)
 
     keys = ["label", "number", "bucket"]

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from editwake.llm import hamming
 from editwake.llm.hamming import learn_rotations, near_vectors, tables_for
@@ -97,3 +98,20 @@ def test_rotation_lowers_the_error_and_balances():
     error = [((p - np.where(p >= 0, 1, -1)) ** 2).sum() for p in (projected, (sample - mean) @ first)]
     assert error[0] < error[1]
     assert tables_for(0.98, 10) == 13
+
+
+@pytest.mark.parametrize("common", [0.6, 0.8, 0.94])
+def test_recall_with_a_common_direction(spark, common):
+    rng = np.random.default_rng(3)
+    mean = np.zeros(64)
+    mean[0] = math.sqrt(common)
+    rows = []
+    for g in range(400):
+        a, b = rng.standard_normal((2, 64))
+        a[0] = b[0] = 0
+        a = mean + math.sqrt(1 - common) * a / np.linalg.norm(a)
+        b -= (a @ b) / (a @ a) * a
+        b /= np.linalg.norm(b)
+        rows += [(2 * g, a.tolist(), 0), (2 * g + 1, (0.981 * a + math.sqrt(1 - 0.981**2) * b).tolist(), 0)]
+    found = sum(r[1] for r in result(spark, rows)) / sum(r[1] for r in brute(rows))
+    assert found >= 0.99
