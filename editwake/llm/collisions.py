@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editwake.llm.common import held, prepare, runs, text_bytes, written
+from editwake.llm.common import Memo, held, prepare, runs, text_bytes, written
 from editwake.llm.components import connected
 from editwake.plans.layout import keep_ids, small_side
 
@@ -38,7 +38,6 @@ MISSED = 1e-5  # chance that a pair just at the threshold agrees in too few coor
 CELLS = 18  # bits of a cell of the table of frequencies: its size is fixed
 BLOCK = 256  # members of a list that are compared with each other at once
 RANGE = 500_000  # shingles of the sets of a block that are compared at once
-MEMO = 300_000  # words a worker remembers
 KEEPERS = 2_000_000  # ids of documents to keep that are broadcast at most
 CHUNK = 8_192  # shingles at a time
 
@@ -69,19 +68,12 @@ class Shingler:
 
     def __init__(self, words: int):
         self.words = words
-        self.memo: dict[bytes, int] = {}
+        self.memo = Memo(xxhash.xxh3_64_intdigest)
 
     def __call__(self, text: bytes) -> np.ndarray:
         """The distinct shingles of a text, sorted; words are split at ASCII white space."""
-        memo, known = self.memo, []
-        for word in text.lower().split():
-            code = memo.get(word)
-            if code is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                code = memo[word] = xxhash.xxh3_64_intdigest(word)
-            known.append(code)
-        codes = np.array(known, dtype=np.uint64)
+        memo = self.memo
+        codes = np.array([memo[word] for word in text.lower().split()], dtype=np.uint64)
         if not codes.size:
             return codes
         size = min(self.words, codes.size)

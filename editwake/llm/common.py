@@ -1,5 +1,7 @@
-"""What several operators share: sessions, tables and sorted streams of rows."""
+"""What several operators share: sessions, tables, memos and sorted streams of rows."""
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -10,7 +12,10 @@ from editwake.session import configure, work_path
 
 # Rows and bytes of an Arrow batch. Texts may be long, so batches are kept short.
 BATCH_ROWS = 1_000
-BATCH_BYTES = 4 * 2**20
+BATCH_BYTES = 2 * 2**20
+# Keys a worker remembers, besides as many older ones, and how long they may be.
+MEMO = 60_000
+MEMO_KEY = 64
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -36,6 +41,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 _HELD: dict = {}
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the machine, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def held(key, build: Callable):
     """What a worker keeps between batches and tasks, for one use at a time.
 
@@ -44,10 +58,37 @@ def held(key, build: Callable):
     """
     if key not in _HELD:
         _HELD.clear()
+        release()
         _HELD[key] = build()
     return _HELD[key]
 
 
+class Memo(dict):
+    """The values of a function for the keys that were asked for lately.
+
+    At most ``MEMO`` keys and as many older ones are kept, none longer than
+    ``MEMO_KEY``, so the bytes are bounded too. When it is full the keys become
+    the older ones; those that are asked for again come back, so words that
+    occur often stay.
+    """
+
+    def __init__(self, value_of: Callable, entries: int = MEMO):
+        self.value_of, self.entries = value_of, entries
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.value_of(key)
+            if len(key) > MEMO_KEY:
+                return value
+        if len(self) >= self.entries:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """Texts as UTF-8; null is empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]

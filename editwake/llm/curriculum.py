@@ -167,12 +167,12 @@ def mixed_documents(
     """The documents in training order, each as often as it is taken, with their own columns."""
     timed = positions(mix(docs, weights, id_col, text_col, source_col))
     timed = timed.select("id", F.col("source").alias("s"), "size", "copy", "position").alias("m")
-    words = word_count(F.col(text_col))
-    sized = docs.select(*docs.columns, words.alias("_words")).alias("d")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    sized = docs.select(row.alias("row"), word_count(F.col(f"`{text_col}`")).alias("words")).alias("d")
     same = (
-        F.col(f"d.{id_col}").eqNullSafe(F.col("m.id"))
-        & F.col(f"d.{source_col}").eqNullSafe(F.col("m.s"))
-        & (F.col("d._words") == F.col("m.size"))
+        F.col(f"d.row.`{id_col}`").eqNullSafe(F.col("m.id"))
+        & F.col(f"d.row.`{source_col}`").eqNullSafe(F.col("m.s"))
+        & (F.col("d.words") == F.col("m.size"))
     )
     ordered = sized.join(timed, same).orderBy("m.position", "m.id", "m.copy")
-    return ordered.select(*(F.col(f"d.`{c}`") for c in docs.columns))
+    return ordered.select(*(F.col(f"d.row.`{c}`") for c in docs.columns))

@@ -63,10 +63,10 @@ def op4_embedding_near_dedup(spark, sf_dir):
 ORACLES["op4_embedding_near_dedup"] = """
 WITH RECURSIVE sound AS (
     SELECT vec_id, label, embedding::DOUBLE[] AS v,
-        sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE))) AS norm
+        sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm
     FROM embeddings
     WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), links AS (
     SELECT a.vec_id AS a, b.vec_id AS b
     FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id

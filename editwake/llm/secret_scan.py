@@ -166,7 +166,14 @@ def spans_of(text: str) -> list[Span]:
     """All spans of a text by start and kind; literals inside base spans are not repeated."""
     base = base_spans(text)
     more = literal_spans(text) if "=" in text or ":" in text else []
-    added = [s for s in dict.fromkeys(more) if not any(b.start < s.end and s.start < b.end for b in base)]
+    added, at, reached = [], 0, 0
+    # Both lists are sorted: of the base spans that begin before a literal ends, the furthest end decides.
+    for s in sorted(set(more)):
+        while at < len(base) and base[at].start < s.end:
+            reached = max(reached, base[at].end)
+            at += 1
+        if reached <= s.start:
+            added.append(s)
     return sorted(base + added)
 
 
@@ -218,24 +225,26 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The documents with secrets replaced, and the count of characters brought up to date."""
     prepare(docs.sparkSession)
-    place = docs.columns.index(text_col)
-    counted = docs.columns.index(chars_col) if chars_col in docs.columns else None
 
-    def run(batches):
-        for batch in batches:
-            texts, changed = batch.column(place).to_pylist(), []
-            columns = list(batch.columns)
-            for i, text in enumerate(texts):
-                spans = spans_of(text) if text else []
-                if spans:
-                    texts[i] = redacted(text, spans)
-                    changed.append(i)
-            columns[place] = pa.array(texts, batch.schema.field(place).type)
-            if counted is not None:
-                counts = columns[counted].to_pylist()
-                for i in changed:
-                    counts[i] = len(texts[i])
-                columns[counted] = pa.array(counts, batch.schema.field(counted).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return docs.mapInArrow(run, docs.schema)
+    @F.arrow_udf("string")
+    def hidden(texts: pa.Array) -> pa.Array:
+        found = texts.to_pylist()
+        for i, text in enumerate(found):
+            if spans := spans_of(text or ""):
+                found[i] = redacted(text, spans)
+            else:
+                found[i] = None
+        return pa.array(found, pa.string())
+
+    # Only changed texts come back from the workers.
+    text, changed = F.col(f"`{text_col}`"), F.col("_made.changed")
+    kept = [F.col(f"_made.row.`{c}`") for c in docs.columns]
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    made = docs.select(F.struct(row.alias("row"), hidden(text).alias("changed")).alias("_made"))
+    new = F.coalesce(changed, F.col(f"_made.row.`{text_col}`")).alias(text_col)
+    kept[docs.columns.index(text_col)] = new
+    if chars_col in docs.columns:
+        old = F.col(f"_made.row.`{chars_col}`")
+        count = F.when(changed.isNotNull(), F.length(changed)).otherwise(old)
+        kept[docs.columns.index(chars_col)] = count.cast(docs.schema[chars_col].dataType).alias(chars_col)
+    return made.select(*kept)

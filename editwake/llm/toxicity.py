@@ -9,9 +9,8 @@ another of its kind (texts without one get a neutral mention), and the squared
 change of the score within a pair is penalised. So the weights cannot lean on
 which group is mentioned.
 
-The fit reads at most ``POSITIVES`` and ``NEGATIVES`` labelled rows with texts of
-``LONGEST`` characters at most, picked by a hash of the id; scoring reads all
-texts whole. Null texts are empty; an empty text has the score of the bias
+The fit reads at most ``POSITIVES`` and ``NEGATIVES`` labelled rows, picked by a
+hash of the id; their texts and all texts that are scored are read whole. Null texts are empty; an empty text has the score of the bias
 alone. Labels other than 0 and 1, and labels without a document, are not used.
 An id that is repeated counts once for each pair of document and label. Without
 labels of both kinds, scores are the share of rows labelled 1, or 0 without any.
@@ -29,16 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from editwake.llm.common import held, prepare, written
+from editwake.llm.common import Memo, held, prepare, written
 
 PLACES = 17  # bits of a place of a feature
 MASK = 2**PLACES - 1
-POSITIVES, NEGATIVES, LONGEST = 2_000, 6_000, 100_000  # bounds of the sample to fit on
+POSITIVES, NEGATIVES = 2_000, 6_000  # rows of the sample to fit on, at most
 PAIRED = 2_000  # texts without an identity term that get a counterfactual
 EPOCHS, RATE, WEIGHT, DECAY = 12, 0.3, 2.0, 1e-6
 EVIDENCE = 3.0  # standard deviations by which a place's shares must differ
 PENALTY = 4.0  # of a squared change of the score
-MEMO = 400_000  # words a worker remembers
 SEED = 9
 
 #: Terms that name a group, by kind; terms of a kind are swapped for each other.
@@ -68,23 +66,14 @@ class Features:
     """Places of words, remembered up to a bound."""
 
     def __init__(self):
-        self.memo: dict[str, np.ndarray] = {}
-
-    def of_word(self, word: str) -> np.ndarray:
-        found = self.memo.get(word)
-        if found is None:
-            found = np.array(places_of(word), dtype=np.int32)
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[word] = found
-        return found
+        self.memo = Memo(lambda word: np.array(places_of(word), dtype=np.int32))
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The places of a text and their values."""
         counts = Counter(WORD.findall(text.lower()))
         if not counts:
             return np.empty(0, np.int64), np.empty(0)
-        places = [self.of_word(w) for w in counts]
+        places = [self.memo[w] for w in counts]
         sizes = [p.size for p in places]
         weights = np.repeat(list(counts.values()), sizes)
         total = np.bincount(np.concatenate(places), weights, 2**PLACES)
@@ -143,30 +132,24 @@ class Scorer:
         self.bias = model.bias
         full = np.flatnonzero(model.weights)
         self.weights = dict(zip(full.tolist(), model.weights[full].tolist()))
-        self.sizes: dict[str, int] = {}
-        self.weighted: dict[str, list[int]] = {}
-
-    def learn(self, word: str) -> int:
-        """Remember a word; how many places it has."""
-        if len(self.sizes) >= MEMO:
-            self.sizes.clear()
-            self.weighted.clear()
+        self.memo = Memo(self.learn)
+
+    def learn(self, word: str) -> tuple[int, tuple[int, ...]]:
+        """How many places a word has, and those of them that have a weight."""
         places = places_of(word)
-        found = [p for p in places if p in self.weights]
-        if found:
-            self.weighted[word] = found
-        self.sizes[word] = len(places)
-        return len(places)
+        found = tuple(p for p in places if p in self.weights)
+        return len(places), found
 
     def __call__(self, text: str) -> float:
         """From 0 to 1; higher is more likely toxic."""
         counts = Counter(WORD.findall(text.lower()))
-        known, learn = self.sizes.get, self.learn
-        sizes = [known(word) or learn(word) for word in counts]
+        memo, sizes = self.memo, []
         total: dict[int, int] = {}
-        for word in filter(self.weighted.__contains__, counts):
-            for place in self.weighted[word]:
-                total[place] = total.get(place, 0) + counts[word]
+        for word, n in counts.items():
+            size, found = memo[word]
+            sizes.append(size)
+            for place in found:
+                total[place] = total.get(place, 0) + n
         z = self.bias
         if total:
             said = math.fsum(self.weights[p] * math.log1p(n) for p, n in total.items())
@@ -223,7 +206,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     # At most POSITIVES + NEGATIVES rows.
     chosen = F.broadcast(picked[0].unionAll(picked[1]))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST).join(chosen, "id")
+    rows = texts.join(chosen, "id")
     mentioned = turn % ((POSITIVES + NEGATIVES) // PAIRED) == 0
 
     def run(batches):
@@ -381,13 +364,10 @@ def drop_toxic(
     """The rows whose score is below the threshold, with all their columns."""
     spark = prepare(docs.sparkSession)
     sent = spark.sparkContext.broadcast(model)
-    place = docs.columns.index(text_col)
 
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(place).to_pylist()
-            scorer = scorer_of(sent)
-            clean = [scorer(text or "") < threshold for text in texts]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        scorer = scorer_of(sent)
+        return pa.array([scorer(text or "") < threshold for text in texts.to_pylist()], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(clean(F.col(f"`{text_col}`")))

@@ -18,10 +18,9 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from editwake.llm.common import held, prepare
+from editwake.llm.common import Memo, held, prepare
 
 WORD = re.compile(r"\w+|[^\w\s]")
-MEMO = 500_000  # words a worker remembers
 NONE = -1
 
 
@@ -59,7 +58,7 @@ class Automaton:
                     at = self.link[at]
                 if at != NONE:
                     self.link[child], self.popped[child] = self.children[at][c], count
-        self.memo: dict[str, int] = {}
+        self.memo = Memo(self.count)
 
     def count(self, word: str) -> int:
         """Pieces of a word, or 0 if no pieces fit."""
@@ -82,14 +81,7 @@ class Automaton:
         """Words, tokens and unknown words of a text."""
         memo = self.memo
         words = WORD.findall(text)
-        found = []
-        for word in words:
-            n = memo.get(word)
-            if n is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                n = memo[word] = self.count(word)
-            found.append(n)
+        found = [memo[word] for word in words]
         unknown = found.count(0)
         return len(words), sum(found) + unknown, unknown
 
