@@ -14,10 +14,12 @@ from editwake.llm.hamming import near_vectors
 from editwake.llm.pieces import encode_documents
 from editwake.llm.quality import judge
 from editwake.llm.secret_scan import digest, scan
+from editwake.llm.token_files import read_tokens, token_index, write_tokens
 from editwake.llm.toxicity import score, train
 from editwake.llm.url_models import fit
 from editwake.llm.url_models import judge as judge_urls
 from editwake.llm.word_pieces import marked_pieces, token_counts
+from editwake.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -190,3 +192,12 @@ SELECT conv_id, count(*) AS n_turns,
     sum(length('<|im_start|>' || name || chr(10) || content || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
 FROM quoted GROUP BY conv_id
 """
+
+
+@query
+def op11_token_files(spark, sf_dir):
+    """Place, length and checksum of the ids of all documents, read back from ORC files."""
+    path = work_path(spark, "tokens")
+    model = public_tokenizers.path("word_bpe_49k.json")
+    write_tokens(table(spark, sf_dir, "documents"), path, model, end_id=2)
+    return token_index(read_tokens(spark, path))
