@@ -1,7 +1,6 @@
-"""Whole texts as packed token ids by the tokenizer libraries, a word at a time.
+"""Whole texts as token ids by the tokenizer libraries.
 
-A text is cut where no token can span the cut, so its ids are those of the parts
-in a row. Words occur again and again: their ids are remembered, and those that
+Where no token can hold white space a text is encoded a word at a time. Words occur again and again: their ids are remembered, and those that
 are not known yet are encoded by the library together.
 """
 
@@ -13,7 +12,11 @@ from collections.abc import Callable
 
 from editwake.llm.common import MEMO, MEMO_KEY, held
 
+MARK = "▁"  # stands for a space inside pieces
 WORDS = re.compile(r"[^ \t\n\r]+")
+LONG_RUN = re.compile(r"[^ ]{2000}|\s{2000}")
+# The fixed pattern that byte-level models cut texts by.
+BYTE_LEVEL = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class PartEncoder:
@@ -76,3 +79,68 @@ def word_encoder(model: str) -> PartEncoder:
     words = words and pattern.endswith(r"[^\s\p{L}\p{N}]+") and " " not in pattern
     cut = WORDS.findall if words else lambda text: [text] if text else []
     return held(("words", model), lambda: PartEncoder(cut, library(model)))
+
+
+def byte_of_char() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabularies: visible ones for themselves."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def _byte_level(model: str, vocabulary: dict[str, int], surface: list[bytes]) -> Callable[[str], list[int]]:
+    """Encoding of whole texts; their special tokens are ordinary text.
+
+    Where a model's ids are in the order of its merges, as ranks are, the faster
+    of the two libraries is used; it is slow in long runs without a space.
+    """
+    import tiktoken
+
+    rules = json.loads(model)
+    merges = rules["model"]["merges"]
+    joined = ["".join(m if isinstance(m, list) else m.split(" ")) for m in merges]
+    steps = rules["pre_tokenizer"] or {}
+    plain = [t["id"] for t in rules["added_tokens"]]
+    general = library(model, plain=True)
+    if (
+        [vocabulary[t] for t in joined] != [*range(256, 256 + len(joined))]
+        or steps.get("type") != "ByteLevel"
+        or not steps.get("use_regex", True)
+        or steps["add_prefix_space"]
+        or rules["normalizer"] is not None
+    ):
+        return lambda text: general([text])[0]
+    ranks = {s: i for i, s in enumerate(surface) if i not in plain}
+    ranked = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: general([text])[0] if LONG_RUN.search(text) else ranked.encode_ordinary(text)
+
+
+class BytePieces:
+    """Two encoders of a space and a text, byte-level and by pieces, and the bytes of their ids."""
+
+    def __init__(self, byte_model: str, piece_model: bytes):
+        import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
+
+        rules = json.loads(byte_model)
+        vocabulary = rules["model"]["vocab"] | {t["content"]: t["id"] for t in rules["added_tokens"]}
+        of_char = byte_of_char()
+        self.byte_surface = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            self.byte_surface[i] = bytes(of_char.get(c, 0x3F) for c in token)
+        self.byte_ids = _byte_level(byte_model, vocabulary, self.byte_surface)
+
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.ParseFromString(piece_model)
+        self.piece_surface = [
+            bytes([int(p.piece[1:-1], 16)]) if p.type == p.BYTE else p.piece.replace(MARK, " ").encode()
+            for p in proto.pieces
+        ]
+        pieces = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
+        # The model adds the space at the start itself.
+        self.piece_ids = lambda text: pieces.encode(text[1:], num_threads=1)
+
+
+def byte_pieces(byte_model: str, piece_model: bytes) -> BytePieces:
+    """Both models, built once in each worker."""
+    return held(("byte-pieces", byte_model, piece_model), lambda: BytePieces(byte_model, piece_model))

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from editwake.llm.alignment import alignments
 from editwake.llm.chat import digests, formatted, text_parts
 from editwake.llm.collisions import near_duplicates
 from editwake.llm.common import prepare, table
@@ -201,3 +202,10 @@ def op11_token_files(spark, sf_dir):
     model = public_tokenizers.path("word_bpe_49k.json")
     write_tokens(table(spark, sf_dir, "documents"), path, model, end_id=2)
     return token_index(read_tokens(spark, path))
+
+
+@query
+def op13_token_alignment(spark, sf_dir):
+    """Groups and links between the tokens of two tokenizers, over all documents."""
+    models = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignments(table(spark, sf_dir, "documents"), *models)
