@@ -12,6 +12,7 @@ from editwake.llm.collisions import near_duplicates
 from editwake.llm.common import prepare, table
 from editwake.llm.curriculum import mix, taken_in_order
 from editwake.llm.hamming import near_vectors
+from editwake.llm.negatives import hard_negatives
 from editwake.llm.pieces import encode_documents
 from editwake.llm.quality import judge
 from editwake.llm.secret_scan import digest, scan
@@ -204,6 +205,40 @@ def op11_token_files(spark, sf_dir):
     return token_index(read_tokens(spark, path))
 
 
+@query
+def op12_hard_negatives(spark, sf_dir):
+    """Hard negatives of the vectors whose id is divisible by 100, after every seventh label moved on."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH sound AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+        list_dot_product(a.v, b.v)::BIGINT AS score
+    FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+), ranked AS (
+    SELECT anchor_id, positive_id, positive_score, s.other AS negative_id, s.score AS negative_score,
+        row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.other) AS place
+    FROM positives JOIN scored s USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, place::INT AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE place <= 10
+"""
+
+
 @query
 def op13_token_alignment(spark, sf_dir):
     """Groups and links between the tokens of two tokenizers, over all documents."""
