@@ -303,7 +303,6 @@ def stream_trend_newest_first_by_month(v):
 
 @query("SELECT query_id, rev_id FROM found", ("found",))
 def stream_matched(v):
-    matches = jobs.stream_match(streamed(v, "matched"), v.clauses)
     out = work_path(v.spark, "matches")
-    jobs.append_to(matches, out).awaitTermination()
-    return v.spark.read.parquet(out).select("query_id", "rev_id")
+    jobs.stream_match(streamed(v, "matched"), v.clauses, out).awaitTermination()
+    return jobs.read_matches(v.spark, out).select("query_id", "rev_id")

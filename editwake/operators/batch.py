@@ -13,13 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from editwake.functions import derive
-from editwake.functions.grams import DEFAULT_GRAM
-from editwake.functions.predicates import text_wildcard
-from editwake.plans.layout import BROADCAST_BYTES, BROADCAST_ROWS
+from editwake.functions.grams import DEFAULT_GRAM, ngrams
+from editwake.plans.layout import BROADCAST_BYTES, BROADCAST_ROWS, meet, small_side
 from editwake.schema import TEXT_FIELDS
 from editwake.session import shared_dir
 
-# What one constant array of queries without a key may hold.
+# What one constant array of queries without a key may hold; a larger query has one of its own.
 CLAUSES_PER_PASS = 10_000
 BYTES_PER_PASS = 8 * 2**20
 
@@ -30,11 +29,17 @@ NUMBER_FIELDS = ("rev_id", "page_id", "namespace", "user_id", "added_size", "rem
 FIELDS = (*TEXT_FIELDS, "timestamp", *NUMBER_FIELDS, "minor", "action")
 KINDS = ("phrase", "term", "range", "wildcard", "prefix", "regexp")
 
-# Phrases are found by a word inside them in the long fields, terms by equality
-# in those that have many values; other clauses are tested where these lead.
+# Phrases are found by a word inside them in the long fields, or by a gram where
+# they have none; terms by equality in the fields that have many values. Other
+# clauses are tested where these lead. Keys name their field by position.
 WORD_FIELDS = ("added", "removed")
 VALUE_FIELDS = ("rev_id", "page_id", "user_id", "title", "user_text")
 KEY_FIELDS = (*WORD_FIELDS, *VALUE_FIELDS)
+GRAM_PLACES = len(KEY_FIELDS)  # the word fields again, by gram
+
+# Revisions whose grams tell rare ones from frequent ones. Which gram a phrase is
+# found by changes the work, never the outcome.
+SAMPLE = 2_000
 
 
 def _position(name: str, names: tuple[str, ...]) -> Column:
@@ -66,36 +71,97 @@ def _inner_word() -> Column:
 
 
 def _key() -> Column:
-    """What a revision must have for a clause to hold, as a position among KEY_FIELDS and a text."""
+    """What a revision must have for a clause to hold, as a place and a text."""
     phrase = (F.col("kind") == "phrase") & F.col("field").isin(*WORD_FIELDS)
     term = (F.col("kind") == "term") & F.col("field").isin(*VALUE_FIELDS)
     text = F.when(phrase, _inner_word()).when(term, F.col("value"))
-    key = F.struct(_position("field", KEY_FIELDS).alias("place"), text.alias("text"))
-    return F.when(text.isNotNull(), key)
+    place = _position("field", KEY_FIELDS)
+
+    def key(place: Column, text: Column) -> Column:
+        return F.struct(place.alias("place"), text.alias("text"))
+
+    gram = F.when(phrase & F.col("gram").isNotNull(), key(place + GRAM_PLACES, F.col("gram")))
+    return F.when(text.isNotNull(), key(place, text)).otherwise(gram)
 
 
-def _compiled_wildcards(clauses: DataFrame, n: int) -> DataFrame:
-    """Clauses whose wildcards and prefixes on text fields are expressions over the whole text.
+def _with_grams(clauses: DataFrame, revisions: DataFrame | None) -> DataFrame:
+    """Clauses with the rarest ``gram`` of each phrase that has no inner word.
 
-    The distinct patterns of the clauses pass through the driver.
+    How often grams occur is counted in a bounded sample of the revisions.
+    """
+    alone = (F.col("kind") == "phrase") & F.col("field").isin(*WORD_FIELDS) & _inner_word().isNull()
+    alone = alone & (F.length("value") >= DEFAULT_GRAM)
+    if revisions is None:
+        return clauses.withColumn("gram", F.lit(None).cast("string"))
+    windows = F.explode(F.array_distinct(ngrams(F.col("value"), DEFAULT_GRAM)))
+    phrases = clauses.where(alone).select("field", "value").distinct().select("field", "value", windows.alias("gram"))
+    # Fields that no such phrase names are not read; there are two at most.
+    fields = [r[0] for r in phrases.select("field").distinct().collect()]
+    if not fields:
+        return clauses.withColumn("gram", F.lit(None).cast("string"))
+    picked = revisions.select("rev_id").distinct().orderBy(F.xxhash64("rev_id")).limit(SAMPLE)
+    sample = revisions.select("rev_id", *fields).join(F.broadcast(picked), "rev_id")
+    seen = [
+        sample.select(F.lit(name).alias("field"), F.explode(F.array_distinct(ngrams(F.col(name), DEFAULT_GRAM))).alias("gram"))
+        for name in fields
+    ]
+    counts = reduce(DataFrame.unionAll, seen).groupBy("field", "gram").agg(F.count("*").alias("n"))
+    rated = phrases.join(counts, ["field", "gram"], "left")
+    rated = rated.groupBy("field", "value").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
+    chosen = rated.select("field", "value", F.lit("phrase").alias("kind"), F.col("best.gram").alias("gram")).checkpoint()
+    return clauses.join(small_side(chosen, text_bytes=F.octet_length("value")), ["field", "value", "kind"], "left")
+
+
+def _with_expressions(clauses: DataFrame, n: int) -> DataFrame:
+    """Clauses whose wildcards and prefixes on text fields are an ``expression`` over the whole text.
+
+    A gram has exactly n characters, so what the stars stand for has some number
+    of characters in all; there is an alternative for each way to share them out.
     """
     on_text = F.col("field").isin(*TEXT_FIELDS) & F.col("kind").isin("wildcard", "prefix")
     pattern = F.when(F.col("kind") == "prefix", F.concat("value", F.lit("*"))).otherwise(F.col("value"))
-    marked = clauses.withColumn("pattern", F.when(on_text, pattern))
-    patterns = [r[0] for r in marked.where("pattern IS NOT NULL").select("pattern").distinct().collect()]
-    rows = [(p, text_wildcard(p, n)) for p in patterns]
-    known = clauses.sparkSession.createDataFrame(rows, "pattern string, expression string")
-    return marked.join(F.broadcast(known), "pattern", "left").drop("pattern")
+    pieces = F.split(pattern, r"\*+", -1)
+    slack = F.lit(n) - F.length(F.array_join(pieces, ""))
+
+    def literal(piece: Column) -> Column:
+        return F.replace(_literal(piece), F.lit(r"\?"), F.lit("."))
+
+    def way(text: Column, left: Column) -> Column:
+        return F.struct(text.alias("text"), left.alias("left"))
+
+    def gap(size: Column) -> Column:
+        return F.when(size > 0, F.concat(F.lit(".{"), size.cast("string"), F.lit("}"))).otherwise("")
+
+    def longer(ways: Column, piece: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                ways,
+                lambda w: F.transform(
+                    F.sequence(F.lit(0), w.left),
+                    lambda k: way(F.concat(w.text, gap(k), literal(piece)), w.left - k),
+                ),
+            )
+        )
+
+    first = F.array(way(literal(pieces[0]), slack))
+    ways = F.aggregate(F.slice(pieces, 2, F.size(pieces)), first, longer)
+    whole = F.transform(F.filter(ways, lambda w: w.left == 0), lambda w: w.text)
+    some = F.when((slack >= 0) & (F.size(whole) > 0), F.concat(F.lit("(?s)"), F.array_join(whole, "|")))
+    return clauses.withColumn("expression", F.when(on_text, F.coalesce(some, F.lit("(?!)"))))
 
 
 def compile_queries(
-    clauses: DataFrame, n: int = DEFAULT_GRAM, kinds: Collection[str] = KINDS
+    clauses: DataFrame,
+    n: int = DEFAULT_GRAM,
+    kinds: Collection[str] = KINDS,
+    revisions: DataFrame | None = None,
 ) -> DataFrame:
     """One row per query, with its must, should and must_not clauses as arrays, and its keys.
 
     One of the keys is in every revision that the query holds for: the best of
     a must clause, or those of all should clauses where one of these has to
-    hold. A query without such keys has none. ``kinds`` are those that occur.
+    hold. A query without such keys has none. ``kinds`` are those that occur;
+    phrases without an inner word have a gram as key where ``revisions`` are given.
     """
     value = F.col("value")
     regexp = (
@@ -120,10 +186,10 @@ def compile_queries(
         return F.collect_list(F.when(F.col("occur") == occur, clause)).alias(occur)
 
     if {"wildcard", "prefix"} & set(kinds):
-        clauses = _compiled_wildcards(clauses, n)
+        clauses = _with_expressions(clauses, n)
     else:
         clauses = clauses.withColumn("expression", F.lit(None).cast("string"))
-    grouped = clauses.groupBy("query_id").agg(
+    grouped = _with_grams(clauses, revisions).groupBy("query_id").agg(
         having("must"), having("should"), having("must_not")
     )
     keyed = F.filter("must", lambda c: c.key.isNotNull())
@@ -203,37 +269,33 @@ def _matches(query, texts: Column) -> Column:
     return F.forall(must, holds) & wanted & ~F.exists(must_not, holds)
 
 
-def _match_keyed(revisions: DataFrame, queries: DataFrame, used: set[str], places: list[int]) -> DataFrame:
-    """Queries meet the revisions that have one of their keys, by equality, and are tested there."""
-    values = F.array(
-        *[
-            F.split(F.coalesce(F.col(name), F.lit("")), " ", -1)
-            if name in WORD_FIELDS
-            else F.array(_text_of(name))
-            for name in (KEY_FIELDS[p] for p in places)
-        ]
-    )
-    rows = revisions.select("rev_id", "timestamp", _texts(used).alias("texts"), values.alias("values"))
-    rows = rows.select("*", F.posexplode("values").alias("at", "words"))
-    place = F.element_at(F.array(*map(F.lit, places)), F.col("at") + 1)
-    rows = rows.select(
-        "rev_id", "timestamp", "texts", "values", place.alias("place"), F.explode(F.array_distinct("words")).alias("text")
-    )
-    keyed = queries.select("*", F.posexplode("keys").alias("number", "key")).select(
-        "*", F.col("key.place").alias("place"), F.col("key.text").alias("text")
-    )
-    listed = F.array(*map(F.lit, places))
+def _keys_of(place: int) -> Column:
+    """What a revision has that may be a key of a place."""
+    name = KEY_FIELDS[place % GRAM_PLACES]
+    if place >= GRAM_PLACES:
+        found = ngrams(F.col(name), DEFAULT_GRAM)
+    elif name in WORD_FIELDS:
+        found = F.split(name, " ", -1)
+    else:
+        found = F.array(_text_of(name))
+    keys = F.transform(F.array_distinct(found), lambda t: F.struct(F.lit(place).alias("place"), t.alias("text")))
+    return F.coalesce(keys, F.array().cast("array<struct<place:int,text:string>>"))
 
-    def is_there(key: Column) -> Column:
-        there = F.get("values", F.array_position(listed, key.place).cast("int") - 1)
-        return F.coalesce(F.array_contains(there, key.text), F.lit(False))
 
-    # A query that has several of its keys in a revision counts with the first.
-    again = F.exists(F.slice("keys", 1, F.col("number")), is_there)
-    query = {c: F.col(c) for c in ("must", "should", "must_not")}
+def _match_keyed(revisions: DataFrame, queries: DataFrame, used: set[str], places: list[int]) -> DataFrame:
+    """Queries meet the revisions that have one of their keys, by equality, and are tested there.
+
+    Which may hold where is found on ids, words and values alone; the texts come
+    in once, where there is something to test.
+    """
+    keys = queries.select("query_id", F.explode("keys").alias("key")).select("query_id", "key.place", "key.text")
+    words = F.explode(F.concat(*[_keys_of(p) for p in places])).alias("key")
+    words = revisions.select("rev_id", words).select("rev_id", "key.place", "key.text")
+    pairs = words.join(F.broadcast(keys), ["place", "text"]).select("rev_id", "query_id").distinct()
+    met = meet(revisions.select("rev_id", "timestamp", *sorted(used - {"rev_id", "timestamp"})), pairs, "rev_id")
     return (
-        rows.join(F.broadcast(keyed), ["place", "text"])
-        .where(_matches(query, F.col("texts")) & ~again)
+        met.join(F.broadcast(queries.drop("keys")), "query_id")
+        .where(_matches({c: F.col(c) for c in ("must", "should", "must_not")}, _texts(used)))
         .select("query_id", "rev_id", "timestamp")
     )
 
@@ -250,13 +312,13 @@ def match_saved_queries(
     A query holds when all its must clauses do, none of its must_not clauses,
     and at least one should clause unless there are musts or no shoulds.
 
-    Most queries have a key: a word or a value without which they cannot hold.
-    The revisions' words and values are joined with the keys by equality, so a
-    query is tested only where it may hold, and one scan serves them all, as
-    long as the queries may be broadcast; beyond ``broadcast_rows`` keys, or
-    too many bytes, there are several. The others are a constant array that is
-    tested on every revision, cut into passes by clauses and bytes. Only the
-    fields that clauses name are read, and nothing is shuffled.
+    Most queries have a key: a word, a gram or a value without which they cannot
+    hold. What revisions have of these is joined with the keys by equality, without
+    the texts; a query is then tested where it may hold. That is one search for all
+    queries as long as they may be broadcast; beyond ``broadcast_rows`` keys, or
+    too many bytes, there are several. Queries without a key are a constant array
+    that is tested on every revision, cut into passes by clauses and bytes. Only
+    the fields that clauses name are read.
     """
     # At most one row per field and kind there is.
     named = clauses.select("field", "kind").distinct().collect()
@@ -266,7 +328,7 @@ def match_saved_queries(
     if kinds - set(KINDS):
         raise ValueError(f"no such kinds of clauses: {sorted(kinds - set(KINDS))}")
     shared_dir(clauses.sparkSession)
-    compiled = compile_queries(clauses, n, kinds).checkpoint()
+    compiled = compile_queries(clauses, n, kinds, revisions).checkpoint()
     keyed = compiled.where("keys IS NOT NULL")
     rest = compiled.where("keys IS NULL").drop("keys")
     size = F.length(F.to_json(F.struct("must", "should", "must_not"))).cast("bigint")
@@ -284,11 +346,9 @@ def match_saved_queries(
         matched.append(_match_keyed(revisions, keyed.where(share == i), used, measured["places"]))
 
     measured = rest.agg(
-        F.count("*").alias("queries"), F.sum(count).alias("clauses"), F.sum(size).alias("bytes"), F.max(size).alias("most")
+        F.count("*").alias("queries"), F.sum(count).alias("clauses"), F.sum(size).alias("bytes")
     ).first()
     if measured["queries"]:
-        if measured["most"] > BYTES_PER_PASS:
-            raise ValueError("a query without a key has too many clauses to test on every revision")
         passes = ceil(max(measured["clauses"] / clauses_per_pass, measured["bytes"] / BYTES_PER_PASS))
         share = F.pmod(F.xxhash64("query_id"), F.lit(passes))
         for i in range(passes):

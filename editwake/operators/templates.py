@@ -9,7 +9,8 @@ from editwake.functions.text import (
     template_fragments,
     template_name_variants,
 )
-from editwake.plans.layout import BROADCAST_ROWS, fits, small_side, with_next
+from editwake.plans.layout import BROADCAST_ROWS, fits, meet, small_side, with_next
+from editwake.session import shared_dir
 
 
 def title_prefix(revisions: DataFrame, namespace: int, prefix: str) -> DataFrame:
@@ -112,11 +113,22 @@ def _holding(joined: DataFrame, field: str) -> DataFrame:
 
 
 def _by_word(revisions: DataFrame, intervals: DataFrame, field: str) -> DataFrame:
-    """Revisions meet the intervals that have one of their words inside a fragment."""
-    words = revisions.select(
-        "rev_id", "timestamp", field, F.explode(F.array_distinct(F.split(field, " ", -1))).alias("word")
+    """Revisions meet the intervals of their time that have one of their words inside a fragment.
+
+    Words and times are compared first, without the texts, which come in once.
+    """
+    shared_dir(revisions.sparkSession)
+    known = intervals.withColumn("interval", F.monotonically_increasing_id()).checkpoint()
+    words = F.explode(F.array_distinct(F.split(field, " ", -1))).alias("word")
+    words = revisions.select("rev_id", "timestamp", words)
+    pairs = (
+        words.join(F.broadcast(known.select("word", "interval", "valid_from", "valid_to")), "word")
+        .where(F.col("timestamp").between(F.col("valid_from"), F.col("valid_to")))
+        .select("rev_id", "interval")
+        .distinct()
     )
-    return _holding(words.join(F.broadcast(intervals), "word"), field)
+    met = meet(revisions.select("rev_id", "timestamp", field), pairs, "rev_id")
+    return _holding(met.join(F.broadcast(known.drop("word")), "interval"), field)
 
 
 def _by_time(revisions: DataFrame, intervals: DataFrame, field: str, broadcast_rows: int) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from editwake.session import shared_dir
+
 # What a broadcast side may have at most, in rows and in bytes of its texts.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 256 * 2**20
@@ -71,6 +73,18 @@ def drop_ids(
     return df.join(small_side(distinct_ids(ids, key), rows), key, "left_anti")
 
 
+def meet(rows: DataFrame, pairs: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows once for each partner that ``pairs`` gives their key, with the pairs' other columns.
+
+    The pairs are narrow: while there are few the rows stay where they are, else
+    both sides are sorted by the key, and rows without a partner are left out.
+    Needs the shared folder, as the pairs are computed once.
+    """
+    shared_dir(rows.sparkSession)
+    side = small_side(pairs.withColumnRenamed(key, "_met").checkpoint(), limit)
+    return rows.join(side, rows[key].eqNullSafe(side["_met"])).drop("_met")
+
+
 def _bucket_offsets(counted: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rows before each bucket; the input has one row per group and bucket."""
     before = (

@@ -105,6 +105,59 @@ def test_bounds_and_expressions(spark, revisions):
     assert sorted((r.query_id, r.rev_id) for r in found.collect()) == [(q, i) for q, (_, ids) in cases.items() for i in ids]
 
 
+def test_wildcards_as_columns(spark):
+    """Expressions made of Column code are those of the predicate, for patterns of all shapes."""
+    random = Random(8)
+    patterns = {"".join(random.choice("a.*?[") for _ in range(random.randrange(0, 6))) for _ in range(200)}
+    saved = spark.createDataFrame([clause(1, i, "must", "added", "wildcard", x) for i, x in enumerate(patterns)], CLAUSE)
+    texts = ["".join(random.choice("a.[b\n") for _ in range(random.randrange(0, 9))) for _ in range(60)]
+    for n in (1, 3, 5):
+        made = {r.value: r.expression for r in batch._with_expressions(saved, n).collect()}
+        for x in patterns:
+            wanted = re.compile(p.text_wildcard(x, n))
+            assert [bool(re.search(made[x], t)) for t in texts] == [bool(wanted.search(t)) for t in texts], (x, n)
+
+
+def edits_of(spark, rows):
+    """Revisions with these ids and additions; other fields are blank."""
+    edits = spark.createDataFrame(rows, "rev_id long, added string")
+    blank = {n: F.lit("") for n in ("removed", "comment", "title", "user_text", "action")}
+    blank |= {n: F.lit(0) for n in ("page_id", "namespace", "user_id", "added_size", "removed_size")}
+    return edits.withColumns(blank | {"minor": F.lit(False), "timestamp": F.timestamp_seconds(F.lit(0))})
+
+
+def test_phrases_without_an_inner_word_are_found_by_a_gram(spark):
+    random = Random(9)
+    rows = [(i, "".join(random.choice("abc ") for _ in range(80))) for i in range(60)] + [(None, "abcabcabca")]
+    phrases = ["abca", "cab", "bb b", " aa", "cacacaca", "ab", "not there", "abc abc"]
+    saved = spark.createDataFrame([clause(i, 0, "must", "added", "phrase", x) for i, x in enumerate(phrases)], CLAUSE)
+    edits = edits_of(spark, rows)
+    compiled = batch.compile_queries(saved, revisions=edits)
+    # Only the phrase that is shorter than a gram has no key.
+    assert [r.query_id for r in compiled.where("keys IS NULL").collect()] == [phrases.index("ab")]
+    found = batch.match_saved_queries(edits, saved)
+    wanted = sorted((q, str(i)) for q, x in enumerate(phrases) for i, t in rows if x in t)
+    assert sorted((r.query_id, str(r.rev_id)) for r in found.collect()) == wanted
+
+
+def test_long_revisions_meet_many_queries(spark):
+    """Texts do not travel with their words: 20,000 different words each, in a plan without wide pairs."""
+    words = [f"word{i}" for i in range(20_000)]
+    rows = [(i, " ".join(words[i:] + words[:i])) for i in range(40)]
+    saved = [clause(i, 0, "must", "added", "phrase", f"word{7 * i} word{7 * i + 1} word{7 * i + 2}") for i in range(50)]
+    found = batch.match_saved_queries(edits_of(spark, rows), spark.createDataFrame(saved, CLAUSE))
+    wanted = sum(f"word{7 * q} word{7 * q + 1} word{7 * q + 2}" in t for q in range(50) for _, t in rows)
+    assert found.count() == wanted
+
+
+def test_a_query_of_any_length_is_answered(spark, monkeypatch):
+    monkeypatch.setattr(batch, "BYTES_PER_PASS", 200)
+    saved = [clause(1, i, "should", "comment", "phrase", f"no{i}" * 10) for i in range(40)]
+    saved += [clause(1, 99, "should", "added", "phrase", "x"), clause(2, 0, "must", "added", "phrase", "y")]
+    found = batch.match_saved_queries(edits_of(spark, [(1, "ax"), (2, "by"), (3, "c")]), spark.createDataFrame(saved, CLAUSE))
+    assert sorted((r.query_id, r.rev_id) for r in found.collect()) == [(1, 1), (2, 2)]
+
+
 def test_only_named_fields_are_read(spark, revisions, tmp_path):
     path = str(tmp_path / "revisions")
     revisions.write.parquet(path)

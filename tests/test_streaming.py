@@ -95,10 +95,10 @@ def test_matching_new_revisions(spark):
     rows = [(q, 0, "must", "added", "phrase", x, None, None) for q, x in ((1, "world"), (2, "Hello"))]
     saved = spark.createDataFrame(rows, CLAUSE)
     drop(spark, source, "a", FIRST)
-    jobs.append_to(jobs.stream_match(jobs.read_revision_stream(spark, source), saved), out).awaitTermination()
+    jobs.stream_match(jobs.read_revision_stream(spark, source), saved, out).awaitTermination()
     drop(spark, source, "b", SECOND)
-    jobs.append_to(jobs.stream_match(jobs.read_revision_stream(spark, source), saved), out).awaitTermination()
-    found = sorted((r.query_id, r.rev_id) for r in spark.read.parquet(out).collect())
+    jobs.stream_match(jobs.read_revision_stream(spark, source), saved, out).awaitTermination()
+    found = sorted((r.query_id, r.rev_id) for r in jobs.read_matches(spark, out).collect())
     lines = spark.createDataFrame([(FIRST,), (SECOND,)], "value string")
     batch = match_saved_queries(parse_revisions(lines), saved)
     assert found == sorted((r.query_id, r.rev_id) for r in batch.collect())
