@@ -4,25 +4,31 @@ A rotation is learned that turns principal directions into balanced signs with
 little error; the signs are a binary code of the vector. Several rotations are
 learned from different starts, and their codes are cut into substrings. Each
 substring is a table of buckets: vectors whose substrings agree meet there, and
-are reranked with the original vectors. ``tables_for`` tells how many tables
-lose at most a pair in ``1 / MISSED`` at the threshold. For that the signs are
-taken about the origin, where the angle of a pair is known, and not about the
-mean. Vectors that have a direction in common then crowd into few buckets; if
-the tables would compare more pairs than there are, all pairs of a label are
-compared once instead, and none is lost.
+are reranked with the original vectors.
+
+Signs are taken about the mean, so that vectors with a direction in common do not
+crowd into few buckets. Two unit vectors at the threshold are a known chord apart,
+which centring does not change; the angle between what is left of them is then at
+most that of the chord at the shorter of the two. Vectors are therefore dealt into
+bands by their centred length. A pair belongs to the band of its shorter vector, and
+a vector is posted in each band that may hold a shorter partner. ``tables_for``
+tells how many tables of a band lose at most a pair in ``1 / MISSED`` at its least
+length. Only the innermost band, of vectors about a chord from the mean, has no such
+angle: it is one bucket.
 
 Equal vectors are one class. A bucket is compared in pairs of blocks of bounded
 size by matrix products; a pair that meets in several tables counts in the
 first. A block returns one count for each vector and no more links than it has
 vectors, so a bucket may hold any share of the rows.
 
-The rotations are fitted on ``SAMPLE`` vectors at most; all rows are indexed.
-Vectors that are null, zero, of another length than most, or hold null or
-non-finite components link with nothing, as do rows with a null label. Repeated
-rows come out as often as they come in and are copies of each other.
+Vectors of one label and length are compared; each length has rotations of its own.
+These are fitted on ``SAMPLE`` vectors at most in all; all rows are indexed.
+Vectors that are null, empty, zero, or hold null or non-finite components link with
+nothing, as do rows with a null label. Repeated rows come out as often as they come
+in and are copies of each other.
 """
 
-from math import acos, pi
+from math import asin, log, log1p, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -37,58 +43,106 @@ SAMPLE = 20_000  # vectors that the rotations are fitted on
 ROUNDS = 30  # alternations of signs and rotation
 BLOCK = 1_024  # vectors of a bucket that are compared at once
 MISSED = 1e-4  # chance that a pair just at the threshold meets in no table
-SHORTEST, LONGEST = 8, 20  # bits of a substring
+SHORTEST, LONGEST = 6, 24  # bits of a substring
+POSTING = 100  # what posting a vector costs, in comparisons
+OUTER, STEP = 0.8, 1.5  # where the outermost band begins, and how bands follow each other inwards
 SEED = 4
 
 
-def bits_for(rows: int) -> int:
-    """Bits of a substring, so that buckets of unrelated vectors stay about a hundred rows."""
-    return int(np.clip(np.ceil(np.log2(max(1, rows) / 100)), SHORTEST, LONGEST))
-
-
-def tables_for(threshold: float, bits: int) -> int:
-    """Tables that leave a pair at the threshold apart with a chance of MISSED at most.
+def tables_for(angle: float, bits: int) -> int:
+    """Tables that leave a pair at this angle apart with a chance of MISSED at most.
 
     Signs of two vectors at an angle differ with the chance angle / pi.
     """
-    together = (1 - acos(threshold) / pi) ** bits
-    return int(np.ceil(np.log(MISSED) / np.log1p(-together)))
+    return int(np.ceil(log(MISSED) / log1p(-((1 - angle / pi) ** bits))))
+
+
+def bits_for(angle: float, rows: int, size: int) -> int:
+    """Bits of a substring with which posting and comparing the rows of a band costs least."""
+
+    def cost(bits: int) -> float:
+        return tables_for(angle, bits) * (POSTING + rows / 2**bits)
+
+    return min(range(min(SHORTEST, size), min(LONGEST, size) + 1), key=cost)
 
 
-def learn_rotations(sample: np.ndarray, count: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """The mean, and ``count`` projections with one column for each bit."""
-    mean = sample.mean(axis=0)
+def band_edges(threshold: float) -> np.ndarray:
+    """Where bands of centred lengths begin, from the innermost, at 0, outwards."""
+    chord, edges = sqrt(2 - 2 * threshold), [OUTER]
+    while edges[-1] / STEP >= max(chord, 0.05):
+        edges.append(edges[-1] / STEP)
+    return np.array([0.0, *reversed([e for e in edges if e > chord / 2])])
+
+
+def learn_rotations(sample: np.ndarray, mean: np.ndarray, count: int, seed: int = SEED) -> np.ndarray:
+    """``count`` projections of centred vectors, with one column for each bit."""
     centred = sample - mean
     directions = np.linalg.eigh(centred.T @ centred)[1]
     projected = centred @ directions
     rng = np.random.default_rng(seed)
-    found = []
+    found = [np.empty((0, *directions.shape))]
     for _ in range(count):
         rotation, _ = np.linalg.qr(rng.standard_normal((mean.size, mean.size)))
-        for _ in range(ROUNDS):
+        for _ in range(ROUNDS if len(sample) else 0):
             signs = np.where(projected @ rotation >= 0, 1.0, -1.0)
             u, _, v = np.linalg.svd(projected.T @ signs)
             rotation = u @ v
-        found.append(directions @ rotation)
-    return mean, np.stack(found)
-
-
-def substrings(vectors: np.ndarray, mean: np.ndarray, rotations: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """The bucket of each vector in each table."""
-    signs = np.concatenate([(vectors - mean) @ r >= 0 for r in rotations], axis=1)
-    weights = 1 << np.arange(bits, dtype=np.int64)
-    per = rotations.shape[1] // max(1, bits)
-    out = np.empty((len(vectors), tables), dtype=np.int64)
-    for t in range(tables):
-        at = t // per * rotations.shape[1] + t % per * bits
-        out[:, t] = signs[:, at : at + bits] @ weights
-    return out
-
-
-def meetings(codes: np.ndarray) -> float:
-    """In how many tables two vectors meet on average."""
-    shares = (np.unique(column, return_counts=True)[1] / len(column) for column in codes.T)
-    return float(sum((share * share).sum() for share in shares))
+        found.append((directions @ rotation)[None])
+    return np.concatenate(found)
+
+
+class Codes:
+    """The tables of vectors of one length: mean, rotations, and bits and tables of each band."""
+
+    def __init__(self, sample: np.ndarray, threshold: float, size: int):
+        self.mean = sample.mean(axis=0) if len(sample) else np.zeros(size)
+        self.chord = sqrt(max(0.0, 2 - 2 * threshold))
+        self.edges = band_edges(threshold)
+        self.tables = [(0, 0)] * len(self.edges)
+        self.rotations = np.empty((0, size, size))
+        self.sample = sample
+
+    def complete(self, members: dict[int, int]) -> None:
+        """Choose bits and tables of the bands by how many vectors they have; learn the rotations."""
+        size, wanted = self.mean.size, 0
+        for band, rows in members.items():
+            self.tables[band] = (0, 1)
+            if band:
+                angle = 2 * asin(min(1.0, self.chord / (2 * self.edges[band])))
+                bits = bits_for(angle, rows, size)
+                self.tables[band] = (bits, tables_for(angle, bits))
+                wanted = max(wanted, -(-self.tables[band][1] // (size // bits)))
+        self.rotations = learn_rotations(self.sample, self.mean, wanted)
+        self.sample = None
+
+    def lengths(self, vectors: np.ndarray) -> np.ndarray:
+        rest = vectors - self.mean
+        return np.sqrt((rest * rest).sum(axis=1))
+
+    def own(self, lengths: np.ndarray) -> np.ndarray:
+        """The band of each vector."""
+        return np.searchsorted(self.edges, lengths, side="right") - 1
+
+    def posted(self, lengths: np.ndarray, band: int) -> np.ndarray:
+        """Which vectors may belong to a pair of the band."""
+        upper = self.edges[band + 1] if band + 1 < len(self.edges) else np.inf
+        return (lengths >= self.edges[band]) & (lengths - self.chord - 1e-9 < upper)
+
+    def substrings(self, vectors: np.ndarray, band: int, tables: int | None = None) -> np.ndarray:
+        """The bucket of each vector in each table of a band, or in the first ``tables``."""
+        bits, most = self.tables[band]
+        tables = most if tables is None else tables
+        out = np.zeros((len(vectors), tables), dtype=np.int64)
+        if not bits:
+            return out
+        per = self.mean.size // bits
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        centred = vectors - self.mean
+        for r in range(-(-tables // per)):
+            signs = centred @ self.rotations[r] >= 0
+            for t in range(r * per, min(tables, (r + 1) * per)):
+                out[:, t] = signs[:, t % per * bits : (t % per + 1) * bits] @ weights
+        return out
 
 
 def matrix(packed: list[bytes], size: int) -> np.ndarray:
@@ -101,63 +155,106 @@ def matrix(packed: list[bytes], size: int) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def packed_vectors(
-    rows: DataFrame, size: int, id_col: str, vector_col: str, label_col: str
-) -> DataFrame:
-    """Each row with its packed vector, or null where it links with nothing."""
+def packed_vectors(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+    """Each row with its length and packed vector, or null where it links with nothing."""
     kinds = [rows.schema[c].dataType.simpleString() for c in (id_col, label_col)]
     kind = np.float32 if rows.schema[vector_col].dataType.simpleString() == "array<float>" else np.float64
 
     def run(batches):
         for batch in batches:
-            packed = []
+            packed, sizes = [], []
             labelled = batch.column(2).is_valid().to_pylist()
             for values, known in zip(batch.column(1).to_pylist(), labelled):
                 found = None
-                if known and values is not None and len(values) == size and None not in values:
+                if known and values and None not in values:
                     vector = np.array(values, dtype=kind)
                     if np.isfinite(vector).all() and vector.any():
                         found = vector.tobytes()
                 packed.append(found)
-            columns = [batch.column(0), batch.column(2), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "label", "packed"])
+                sizes.append(len(values or ()))
+            columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "label", "size", "packed"])
 
     return rows.select(id_col, vector_col, label_col).mapInArrow(
-        run, f"id {kinds[0]}, label {kinds[1]}, packed binary"
+        run, f"id {kinds[0]}, label {kinds[1]}, size int, packed binary"
     )
 
 
-def _posted(classes: DataFrame, size: int, index, bits: int, tables: int, full: bool) -> DataFrame:
-    """Each class under its bucket of each table, with its vector if ``full``."""
+def _by_size(batch: pa.RecordBatch, size: int, packed: int):
+    """The vectors of a batch, a length at a time, with their rows."""
+    sizes = batch.column(size).to_numpy()
+    for one in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == one)
+        yield one, at, matrix(batch.column(packed).take(pa.array(at)).cast(pa.binary()).to_pylist(), one)
+
+
+def _codes(classes: DataFrame, threshold: float) -> dict[int, Codes]:
+    """The tables for each length there is: one model a length, whatever the number of rows."""
+    sizes = [r["size"] for r in classes.select("size").distinct().collect()]
+    sampled = classes.select("size", "packed").orderBy(F.xxhash64("packed", F.lit(SEED))).limit(SAMPLE)
+    of_size: dict[int, list[bytes]] = {size: [] for size in sizes}
+    for size, packed in sampled.collect():
+        of_size[size].append(bytes(packed))
+    codes = {
+        size: Codes(matrix(packed, size) if packed else np.empty((0, size)), threshold, size)
+        for size, packed in of_size.items()
+    }
+    sent = classes.sparkSession.sparkContext.broadcast(codes)
+
+    def run(batches):
+        for batch in batches:
+            for size, _, vectors in _by_size(batch, 0, 1):
+                own = sent.value[size].own(sent.value[size].lengths(vectors))
+                bands, counts = np.unique(own, return_counts=True)
+                columns = [np.full(len(bands), size, np.int32), bands, counts]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["size", "band", "n"])
+
+    counted = classes.select("size", "packed").mapInArrow(run, "size int, band long, n long")
+    members: dict[int, dict[int, int]] = {size: {} for size in sizes}
+    for size, band, n in counted.groupBy("size", "band").agg(F.sum("n")).collect():
+        members[size][band] = n
+    for size in sizes:
+        codes[size].complete(members[size])
+    return codes
+
+
+def _posted(classes: DataFrame, index, full: bool) -> DataFrame:
+    """Each class under its bucket of each table of its bands, with its vector if ``full``."""
     label = classes.schema["label"].dataType.simpleString()
-    kept = ["node", "label", "copies", "packed"][: 4 if full else 2]
+    kept = ["node", "label", "size", "copies", "packed"][: 5 if full else 3]
 
     def run(batches):
-        mean, rotations = index.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = matrix(batch.column(3).cast(pa.binary()).to_pylist(), size)
-            found = substrings(vectors, mean, rotations, bits, tables)
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), tables))
-            columns = [batch.column(i).take(rows) for i in range(len(kept))]
-            columns += [pa.array(np.tile(np.arange(tables), batch.num_rows)), pa.array(found.ravel())]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, "number", "bucket"])
+            for size, at, vectors in _by_size(batch, 2, 4):
+                codes = index.value[size]
+                lengths = codes.lengths(vectors)
+                for band, (_, tables) in enumerate(codes.tables):
+                    here = np.flatnonzero(codes.posted(lengths, band))
+                    if not tables or not here.size:
+                        continue
+                    found = codes.substrings(vectors[here], band)
+                    rows = pa.array(np.repeat(at[here], tables))
+                    columns = [batch.column(i).take(rows) for i in range(len(kept))]
+                    columns.append(pa.array(np.full(found.size, band)))
+                    columns += [pa.array(np.tile(np.arange(tables), here.size)), pa.array(found.ravel())]
+                    yield pa.RecordBatch.from_arrays(columns, [*kept, "band", "number", "bucket"])
+
+    schema = f"node long, label {label}, size int, copies long, packed binary".split(", ")[: len(kept)]
+    schema += ["band long", "number long", "bucket long"]
+    return classes.select("node", "label", "size", "copies", "packed").mapInArrow(run, ", ".join(schema))
 
-    schema = f"node long, label {label}, copies long, packed binary".split(", ")[: len(kept)]
-    schema += ["number long", "bucket long"]
-    return classes.select("node", "label", "copies", "packed").mapInArrow(run, ", ".join(schema))
 
+BUCKET = ["label", "size", "band", "number", "bucket"]
 
-def _compared(members: DataFrame, size: int, index, bits: int, tables: int, threshold: float) -> DataFrame:
+
+def _compared(members: DataFrame, index, threshold: float) -> DataFrame:
     """Partial counts of links of each node, and links that connect the nodes of a block."""
-    keys = ["label", "number", "bucket", "low", "high"]
+    keys = [*BUCKET, "low", "high"]
 
     def run(batches):
-        mean, rotations = index.value
         for group in runs(batches, keys):
             block = group["block"].to_numpy()
-            low, high = group["low"][0].as_py(), group["high"][0].as_py()
+            size, band, number, low, high = (group[c][0].as_py() for c in ("size", "band", "number", "low", "high"))
             one = np.flatnonzero(block == low)
             two = one if low == high else np.flatnonzero(block == high)
             vectors = matrix(group["packed"].to_pylist(), size)
@@ -166,9 +263,12 @@ def _compared(members: DataFrame, size: int, index, bits: int, tables: int, thre
                 linked &= ~np.eye(one.size, dtype=bool)
             if not linked.any():
                 continue
-            codes = substrings(vectors, mean, rotations, bits, tables)
-            for t in range(group["number"][0].as_py()):
-                linked &= codes[one, t][:, None] != codes[two, t]
+            codes = index.value[size]
+            own = codes.own(codes.lengths(vectors))
+            linked &= np.minimum(own[one][:, None], own[two]) == band
+            earlier = codes.substrings(vectors, band, number)
+            for t in range(number):
+                linked &= earlier[one, t][:, None] != earlier[two, t]
             nodes, copies = group["node"].to_numpy(), group["copies"].to_numpy()
             counts = np.zeros(nodes.size, dtype=np.int64)
             counts[one] += linked @ copies[two]
@@ -211,48 +311,33 @@ def near_vectors(
 ) -> DataFrame:
     """One row per vector: the id, ``n_links``, ``component_id`` and ``kept``.
 
-    Vectors of one label are linked from a cosine of ``threshold`` on, in double
-    precision. ``n_links`` counts the other rows linked directly.
+    Vectors of one label and length are linked from a cosine of ``threshold`` on, in
+    double precision. ``n_links`` counts the other rows linked directly.
     """
     spark = prepare(rows.sparkSession)
-    lengths = rows.where(F.size(vector_col) > 0).groupBy(F.size(vector_col).alias("size")).count()
-    most = lengths.orderBy(F.desc("count"), "size").first()
-    size = most["size"] if most else 0
-    vectors = written(packed_vectors(rows, size, id_col, vector_col, label_col), "vectors")
+    vectors = written(packed_vectors(rows, id_col, vector_col, label_col), "vectors")
     classes = written(
         vectors.where("packed IS NOT NULL")
-        .groupBy("label", "packed")
+        .groupBy("label", "size", "packed")
         .agg(F.min("id").alias("first"), F.count("*").alias("copies"))
         .withColumn("node", F.monotonically_increasing_id()),
         "vector-classes",
     )
-    bits = min(bits_for(classes.count()), max(1, size))
-    tables = tables_for(threshold, bits)
-    sampled = classes.select("packed").orderBy(F.xxhash64("packed", F.lit(SEED))).limit(SAMPLE)
-    sample = matrix([bytes(r[0]) for r in sampled.collect()], size)
-    if not len(sample):
-        sample = np.zeros((1, max(1, size)))
-    # With its opposites the sample is centred at the origin, where the angle is that of the threshold.
-    both = np.concatenate([sample, -sample])
-    learned = learn_rotations(both, -(-tables // max(1, size // bits)))
-    if meetings(substrings(sample, *learned, bits, tables)) >= 1:
-        bits, tables = 0, 1
-    index = spark.sparkContext.broadcast(learned)
-
-    keys = ["label", "number", "bucket"]
-    narrow = _posted(classes, size, index, bits, tables, full=False)
-    large = narrow.groupBy(*keys).agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
+    index = spark.sparkContext.broadcast(_codes(classes, threshold))
+
+    narrow = _posted(classes, index, full=False)
+    large = narrow.groupBy(*BUCKET).agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
     blocks = F.ceil(F.coalesce("members", F.lit(1)) / BLOCK)
     members = (
-        _posted(classes, size, index, bits, tables, full=True)
-        .join(small_side(written(large, "large-buckets")), keys, "left")
+        _posted(classes, index, full=True)
+        .join(small_side(written(large, "large-buckets")), BUCKET, "left")
         .withColumn("block", F.pmod(F.xxhash64("node"), blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         .withColumn("low", F.least("block", "other"))
         .withColumn("high", F.greatest("block", "other"))
         .drop("other", "members")
     )
-    found = written(_compared(members, size, index, bits, tables, threshold), "vector-links")
+    found = written(_compared(members, index, threshold), "vector-links")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     components = connected(found.where("node != parent").select("node", "parent"))
     rooted = (
@@ -263,12 +348,13 @@ def near_vectors(
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_class = rooted.join(smallest, "root").select(
         "label",
+        "size",
         "packed",
         "component_id",
         (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
     return (
-        vectors.join(of_class, ["label", "packed"], "left")
+        vectors.join(of_class, ["label", "size", "packed"], "left")
         .select(
             F.col("id").alias(id_col),
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -73,7 +73,7 @@ WITH RECURSIVE sound AS (
         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), links AS (
     SELECT a.vec_id AS a, b.vec_id AS b
-    FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id
+    FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
     WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98
 ), reached AS (
     SELECT vec_id AS a, vec_id AS b FROM embeddings

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 
 from editwake.llm import hamming
-from editwake.llm.hamming import learn_rotations, near_vectors, tables_for
+from editwake.llm import queries
+from editwake.llm.hamming import Codes, band_edges, learn_rotations, near_vectors, tables_for
+from tests.llm.oracle import same_as_sql
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -26,7 +28,8 @@ def brute(rows, threshold=0.98):
     units = [None if u is None else u / np.linalg.norm(u) for u in units]
     for i in range(n):
         for j in range(i):
-            if units[i] is not None and units[j] is not None and rows[i][2] == rows[j][2] is not None:
+            alike = rows[i][2] == rows[j][2] is not None and len(rows[i][1] or ()) == len(rows[j][1] or ())
+            if units[i] is not None and units[j] is not None and alike:
                 if units[i] @ units[j] >= threshold:
                     links[i] += 1
                     links[j] += 1
@@ -90,14 +93,58 @@ def test_empty_table(spark):
 def test_rotation_lowers_the_error_and_balances():
     rng = np.random.default_rng(0)
     sample = rng.standard_normal((2000, 16)) * np.linspace(0.2, 3, 16) + 5
-    mean, (rotation,) = learn_rotations(sample, 1)
+    mean = sample.mean(axis=0)
+    (rotation,) = learn_rotations(sample, mean, 1)
     projected = (sample - mean) @ rotation
     assert np.allclose(rotation.T @ rotation, np.eye(16))
     assert abs((projected >= 0).mean(axis=0) - 0.5).max() < 0.1
     first = np.linalg.svd(sample - mean, full_matrices=True)[2].T
     error = [((p - np.where(p >= 0, 1, -1)) ** 2).sum() for p in (projected, (sample - mean) @ first)]
     assert error[0] < error[1]
-    assert tables_for(0.98, 10) == 13
+    assert tables_for(math.acos(0.98), 10) == 13
+
+
+def test_lengths_are_compared_apart(spark):
+    """Each length has an index of its own, however few rows have it."""
+    rows = groups(6, [1] * 30 + [4, 9], 0.05, size=8)
+    few = [(1_000, [1.0, 2.0, 3.0, 4.0], 1), (1_001, [1.0, 2.0, 3.0, 4.0], 1), (1_002, [1.0, 2.0, 3.0, 4.1], 1), (1_003, [2.0], 0)]
+    found = result(spark, rows + few)
+    assert found == brute(rows + few)
+    assert [r[1] for r in found if r[0] >= 1_000] == [2, 2, 2, 0]
+
+
+def test_a_pair_is_posted_in_the_band_of_its_shorter_vector():
+    """However long what centring leaves of them, vectors of a pair at the threshold share that band."""
+    rng = np.random.default_rng(7)
+    edges = band_edges(0.98)
+    assert edges[0] == 0 and edges[1] >= 0.2
+    for common in (0.0, 0.5, 0.9, 0.97, 0.99):
+        a = rng.standard_normal((500, 16))
+        a[:, 0] += math.sqrt(common / (1 - common) * 16)
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = rng.standard_normal((500, 16))
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = 0.98 * a + math.sqrt(1 - 0.98**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        codes = Codes(a, 0.98, 16)
+        sides = [codes.lengths(v) for v in (a, b)]
+        shorter = codes.own(np.minimum(*sides))
+        for k, band in enumerate(shorter):
+            assert all(codes.posted(side[k : k + 1], band)[0] for side in sides)
+            if band:
+                x, y = a[k] - codes.mean, b[k] - codes.mean
+                angle = math.acos(x @ y / np.linalg.norm(x) / np.linalg.norm(y))
+                assert angle <= 2 * math.asin(codes.chord / (2 * edges[band])) + 1e-9
+
+
+def test_planted_links_as_sql(spark, tmp_path):
+    """The registered SQL over vectors with links, a common direction, several lengths and odd rows."""
+    rows = groups(8, [1] * 20 + [2, 3, 5], 0.06, size=12)
+    rows = [(i, [x + 1.5 for x in v], label) for i, v, label in rows]
+    rows += [(100, rows[3][1], rows[3][2]), (101, [1.0, 2.0], 1), (102, [2.0, 4.0], 1), (103, None, 1), (104, [0.0] * 12, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.toPandas().to_parquet(tmp_path / "embeddings.parquet")
+    found = same_as_sql(spark, queries, "op4_embedding_near_dedup", tmp_path)
+    assert sum(r[3] for r in found) > 20
 
 
 @pytest.mark.parametrize("common", [0.6, 0.8, 0.94])
