@@ -209,11 +209,19 @@ def _agreeing_pairs(pairs: DataFrame, classes: DataFrame, percent: int, matches:
 
 
 def _sets(
-    docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int
+    docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, nameless: bool
 ) -> DataFrame:
-    """The sets of some classes, made again from one text of each: ``node``, ``shingles``."""
-    first = nodes.select(F.col("first").alias(id_col)).distinct()
-    texts = docs.select(id_col, text_col).join(small_side(first), id_col, "left_semi")
+    """The sets of some classes, made again from one text of each: ``node``, ``shingles``.
+
+    Texts are found by id, or, where all rows of a class have none, by their hash.
+    """
+    first = nodes.where("first IS NOT NULL").select(F.col("first").alias(id_col)).distinct()
+    texts = docs.select(id_col, text_col).join(small_side(first), id_col, "left_semi").select(text_col)
+    if nameless:
+        hashes = nodes.where("first IS NULL").select("text_hash").distinct()
+        others = docs.where(F.col(id_col).isNull()).select(text_col, F.xxhash64(text_col).alias("text_hash"))
+        others = others.join(small_side(hashes), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+        texts = texts.unionAll(others.select(text_col))
 
     def run(batches):
         shingles_of = shingler(words)
@@ -225,7 +233,7 @@ def _sets(
             columns.append(pa.array(lists, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, ["d1", "d2", "shingles"])
 
-    made = texts.select(text_col).mapInArrow(run, "d1 long, d2 long, shingles array<long>")
+    made = texts.mapInArrow(run, "d1 long, d2 long, shingles array<long>")
     wanted = nodes.select("node", "d1", "d2").distinct()
     return made.join(small_side(wanted), ["d1", "d2"]).select("node", "shingles")
 
@@ -366,13 +374,19 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, percent
     classes = written(
         sketches.where("size > 0")
         .groupBy("d1", "d2")
-        .agg(F.min("id").alias("first"), F.first("size").alias("size"), F.first("signature").alias("signature"))
+        .agg(
+            F.min("id").alias("first"),
+            F.min("text_hash").alias("text_hash"),
+            F.first("size").alias("size"),
+            F.first("signature").alias("signature"),
+        )
         .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
     counts = spark.sparkContext.broadcast(_cell_counts(classes))
     postings = written(_postings(classes, counts, COORDINATES - matches + 1), "postings")
-    named = classes.select("node", "first", "d1", "d2")
+    named = classes.select("node", "first", "text_hash", "d1", "d2")
+    nameless = not classes.where("first IS NULL").isEmpty()
 
     lists = postings.groupBy("posting").agg(F.min("node").alias("a"), F.count("*").alias("members"))
     lists = written(lists.where("members > 1"), "lists")
@@ -384,7 +398,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, percent
     )
     pairs = written(_agreeing_pairs(pairs, classes, percent, matches), "pairs")
     ends = [keep_ids(named, pairs.select(F.col(c).alias("node")), "node") for c in ("a", "b")]
-    ones, twos = (_sets(docs, end, id_col, text_col, words) for end in ends)
+    ones, twos = (_sets(docs, end, id_col, text_col, words, nameless) for end in ends)
     both = F.size(F.array_intersect("one", "two"))
     links = (
         twos.toDF("b", "two")
@@ -412,7 +426,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, percent
     members = members.join(classes.select("node", "size", "signature"), "node")
     possible = written(_possible(_blocks(members), counts, percent, matches), "possible")
     wanted = keep_ids(named, possible, "node")
-    sets = _sets(docs, wanted, id_col, text_col, words)
+    sets = _sets(docs, wanted, id_col, text_col, words, nameless)
     more = _block_links(sets.join(small_side(possible), "node"), percent)
 
     found = connected(links.unionAll(more))

@@ -91,7 +91,7 @@ GROUP BY a
 def op5_source_mixing(spark, sf_dir):
     """What a mix of all documents takes of each, in weights 1, 2, 3 by source; in training order."""
     rows = taken_in_order(mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3)))
-    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "position")
 
 
 ORACLES["op5_source_mixing"] = """
@@ -110,7 +110,7 @@ WITH sizes AS (
     WINDOW before AS (ORDER BY 3 * source_size / weight, weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
         rest AS (ORDER BY 3 * source_size / weight, weight ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
 ), targets AS (
-    SELECT source, source_size,
+    SELECT source, source_size, (weight - 2) * 0.5::DOUBLE AS slope,
         least(3.0::DOUBLE * source_size, (SELECT max(level) FROM levels) * weight) AS target
     FROM sources
 ), keyed AS (
@@ -122,14 +122,18 @@ WITH sizes AS (
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words_before
     FROM keyed
 ), counted AS (
-    SELECT p.*, t.source_size, t.target,
+    SELECT p.*, t.source_size, t.target, t.slope,
         CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole
     FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+), taken AS (
+    SELECT *, (size * (whole + CASE
+        WHEN whole < 3 AND words_before + size * n / 2 <= target - whole * source_size THEN 1
+        ELSE 0 END))::BIGINT AS taken, least(1.0::DOUBLE, words_before / target) AS share
+    FROM counted
 )
-SELECT doc_id, size, source_size, target, (size * (whole + CASE
-    WHEN whole < 3 AND words_before + size * n / 2 <= target - whole * source_size THEN 1
-    ELSE 0 END))::BIGINT AS taken
-FROM counted, range(n)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken = 0 THEN NULL WHEN slope = 0 THEN share
+    ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope) END AS position
+FROM taken, range(n)
 """
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from editwake.llm import collisions
-from editwake.llm.collisions import matches_for, near_duplicates
+from editwake.llm.collisions import drop_near_duplicates, matches_for, near_duplicates
 from editwake.llm.components import connected
 
 
@@ -113,3 +113,14 @@ def test_components_of_paths_hubs_and_repeats(spark):
     want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {500: 500, 501: 500}
     assert {r.node: r.component for r in found} == want and len(found) == len(want)
     assert connected(spark.createDataFrame([], "x long, y long")).collect() == []
+
+
+def test_rows_without_an_id_keep_their_links(spark):
+    """Classes of null ids alone have their sets made from their texts."""
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:30], "changed", *words[31:]])
+    rows = [(None, " ".join(words)), (None, " ".join(words)), (None, near), (None, "quite another text of its own here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert drop_near_duplicates(docs).count() == 2
+    found = near_duplicates(docs.unionAll(spark.createDataFrame([(5, near + " more")], docs.schema))).collect()
+    assert sorted(str(r["component_id"]) for r in found) == ["5", "5", "5", "5", "None"]
