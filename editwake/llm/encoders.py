@@ -7,13 +7,18 @@ are not known yet are encoded by the library together.
 import json
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Callable
 
-from editwake.llm.common import MEMO, MEMO_KEY, held
+from editwake.llm.common import MEMO_KEY, held
 
 MARK = "▁"  # stands for a space inside pieces
+PARTS = 150_000  # parts of texts that a worker remembers, besides as many older ones
 WORDS = re.compile(r"[^ \t\n\r]+")
+# All but Latin letters and common signs, which have one form and one lower case each.
+FORMS = re.compile("[^\x00-\u012f\u0131-\u024f\u2010-\u2027]")
+END = b"\xff"  # in no text
 LONG_RUN = re.compile(r"[^ ]{2000}|\s{2000}")
 # The fixed pattern that byte-level models cut texts by.
 BYTE_LEVEL = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -22,11 +27,11 @@ BYTE_LEVEL = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 class PartEncoder:
     """Packed little-endian 32-bit ids of a text.
 
-    ``cut`` divides a text into parts, ``encode`` gives the ids of a list of
+    ``cut`` divides a text into parts, ``encode`` gives the packed ids of a list of
     parts. At most ``entries`` parts and as many older ones are remembered.
     """
 
-    def __init__(self, cut: Callable[[str], list[str]], encode: Callable, entries: int = MEMO):
+    def __init__(self, cut: Callable[[str], list[str]], encode: Callable, entries: int = PARTS):
         self.cut, self.encode, self.entries = cut, encode, entries
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -36,7 +41,7 @@ class PartEncoder:
         found = {p: self.older[p] for p in parts if p in self.older}
         new = [p for p in parts if p not in found]
         for part, ids in zip(new, self.encode(new)):
-            found[part] = array("I", ids).tobytes()
+            found[part] = ids
         if len(self.known) >= self.entries:
             self.older, self.known = self.known, {}
         self.known.update((p, ids) for p, ids in found.items() if len(p) <= MEMO_KEY)
@@ -65,27 +70,109 @@ def library(model: str, plain: bool = False) -> Callable[[list[str]], list[list[
     return encode
 
 
-def word_encoder(model: str) -> PartEncoder:
-    """For a model of the tokenizers library, as text, whose tokens never hold white space.
+def byte_of_char() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabularies: visible ones for themselves."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+class Words:
+    """Packed ids of words by a model that drops white space and marks the ends of words.
 
-    Its rules must drop white space between words, so that words can be encoded
-    alone; others are given whole texts.
+    Texts and words of Latin letters, digits and signs are merged by ranks: the mark is a
+    byte that no text has, which joins the byte before it first of all. All other
+    words, special tokens among them, go to the tokenizers library.
     """
-    rules = json.loads(model)["pre_tokenizer"] or {}
-    steps = rules.get("pretokenizers", [rules])
+
+    def __init__(self, model: str):
+        import tiktoken
+
+        rules = json.loads(model)
+        self.library = library(model)
+        of_char, mark = byte_of_char(), rules["model"]["end_of_word_suffix"] or "</w>"
+        vocabulary = rules["model"]["vocab"]
+        tokens = [(bytes([b]), c) for c, b in of_char.items()]
+        tokens += [(bytes([b, *END]), c + mark) for c, b in of_char.items()]
+        for pair in rules["model"]["merges"]:
+            token = "".join(pair if isinstance(pair, list) else pair.split(" "))
+            end = token.endswith(mark)
+            tokens.append((bytes(of_char[c] for c in token.removesuffix(mark)) + END * end, token))
+        ranks = {raw: rank for rank, (raw, _) in enumerate(tokens) if raw != END + END}
+        self.packed = [vocabulary.get(token, 0).to_bytes(4, "little") for _, token in tokens]
+        coder = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})
+        self.merged = coder._core_bpe.encode_single_piece
+        self.cut = re.compile(_of_plain(_pattern(rules) or "")).findall
+        self.name = re.compile("|".join(re.escape(t["content"]) for t in rules["added_tokens"]) or "(?!)")
+        self.plain = len(ranks) == len(tokens) - 1 and all(token in vocabulary for _, token in tokens)
+
+    def simple(self, text: str) -> bool:
+        """Whether neither the forms of its characters nor special tokens matter to a text."""
+        return not FORMS.search(text) and not self.name.search(text)
+
+    def parts(self, text: str) -> list[str]:
+        """Parts that are encoded alone: what the model takes for words, or what lies between spaces."""
+        return self.cut(text.lower()) if self.simple(text) else WORDS.findall(text)
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        packed, out, odd = self.packed, [], []
+        for at, word in enumerate(words):
+            if word.isascii() and word.isalpha():
+                pieces = (word.lower(),)
+            elif self.simple(word):
+                pieces = self.cut(word.lower())
+            else:
+                odd.append(at)
+                pieces = ()
+            out.append(b"".join([packed[r] for p in pieces for r in self.merged(p.encode() + END)]))
+        for at, ids in zip(odd, self.library([words[i] for i in odd]) if odd else ()):
+            out[at] = array("I", ids).tobytes()
+        return out
+
+
+def _of_plain(pattern: str) -> str:
+    """A pattern of kinds of characters, spelt out for the characters of plain texts."""
+    plain = [chr(c) for c in (*range(0x250), *range(0x2010, 0x2028))]
+    kinds = {k: [re.escape(c) for c in plain if unicodedata.category(c)[0] == k] for k in "LN"}
+    spaces = [re.escape(c) for c in plain if c in "\t\n\x0b\x0c\r\x85" or unicodedata.category(c) == "Zs"]
+    for name, kind in (*((rf"\p{{{k}}}", v) for k, v in kinds.items()), (r"\s", spaces)):
+        pattern = pattern.replace(name, "".join(kind))
+    return pattern
+
+
+def _pattern(rules: dict) -> str | None:
+    """What a model takes for words, if it composes characters, lowers their case and drops white space."""
+    steps = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
     first = steps[0] if steps else {}
     pattern = first.get("pattern", {}).get("Regex", "")
-    words = first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed"
-    words = words and pattern.endswith(r"[^\s\p{L}\p{N}]+") and " " not in pattern
-    cut = WORDS.findall if words else lambda text: [text] if text else []
-    return held(("words", model), lambda: PartEncoder(cut, library(model)))
+    forms = [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])]
+    fits = (
+        (first.get("type"), first.get("behavior"), first.get("invert")) == ("Split", "Removed", True)
+        and [s["type"] for s in steps[1:]] == ["ByteLevel"]
+        and not steps[1]["add_prefix_space"]
+        and not steps[1]["use_regex"]
+        and forms == ["NFC", "Replace", "Lowercase"]
+        and pattern.endswith(r"[^\s\p{L}\p{N}]+")
+        and " " not in pattern
+    )
+    return pattern if fits else None
 
 
-def byte_of_char() -> dict[str, int]:
-    """The characters that stand for bytes in byte-level vocabularies: visible ones for themselves."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+def word_encoder(model: str) -> PartEncoder:
+    """For a model of the tokenizers library, as text, whose tokens never hold white space.
+
+    Such a model's words are encoded alone; others are given whole texts.
+    """
+
+    def build() -> PartEncoder:
+        known = Words(model) if _pattern(json.loads(model)) else None
+        if known is not None and known.plain:
+            return PartEncoder(known.parts, known)
+        general = library(model)
+        cut = WORDS.findall if known is not None else lambda text: [text] if text else []
+        return PartEncoder(cut, lambda parts: [array("I", ids).tobytes() for ids in general(parts)])
+
+    return held(("words", model), build)
 
 
 def _byte_level(model: str, vocabulary: dict[str, int], surface: list[bytes]) -> Callable[[str], list[int]]:
