@@ -224,28 +224,33 @@ def query_names(v):
 )
 def query_file_read(v):
     """Queries of several lines with output names, in three files of different sizes."""
-    return query_files.read_query_file(v.spark, query_folder(v, F.col("text")))
+    named = F.concat(F.lit("named "), F.col("item_id").cast("string"), F.lit(".csv"))
+    return query_files.read_query_file(v.spark, query_folder(v, v.table("benchmark").withColumn("name", named)))
 
 
-def query_folder(v, text):
-    name = F.concat(F.lit("named "), F.col("item_id").cast("string"), F.lit(".csv"))
+def query_folder(v, rows):
+    """Rows with a ``text`` and a ``name`` as three files of different sizes."""
     path = work_path(v.spark, "queries")
     for k in range(3):
-        part = v.table("benchmark").where(F.col("item_id") % 3 == k).orderBy("item_id")
-        part.select(text, name).coalesce(1).write.csv(f"{path}/{k}", escape='"')
+        part = rows.where(F.col("item_id") % 3 == k).orderBy("item_id", "name")
+        part.select("text", "name").coalesce(1).write.csv(f"{path}/{k}", escape='"')
     return [f"{path}/{k}" for k in range(3)]
 
 
 @query(
-    """SELECT 'named ' || CAST(item_id AS VARCHAR) || '.csv' AS output, month AS date, count(*) AS hits
-       FROM benchmark JOIN revisions ON contains(added, string_split(text, chr(10))[1])
-       WHERE iso >= '2006-02' AND iso <= '2006-09-30' AND namespace = 3 GROUP BY ALL""",
+    """SELECT 'named ' || CAST(item_id AS VARCHAR) || '-' || CAST(i AS VARCHAR) || '.csv' AS output,
+         month AS date, count(*) AS hits
+       FROM (SELECT item_id, i, string_split(text, chr(10))[i + 1] AS line FROM (
+               SELECT *, unnest(range(len(string_split(text, chr(10))))) AS i FROM benchmark))
+       JOIN revisions ON contains(added, line)
+       WHERE line <> '' AND iso >= '2006-02' AND iso <= '2006-09-30' AND namespace = 3 GROUP BY ALL""",
     ("revisions",),
 )
 def query_files_to_outputs(v):
-    """From query files by way of saved queries to a folder of CSV for each of them."""
-    first = F.get(F.split("text", "\n", -1), F.lit(0))
-    named = query_files.read_query_file(v.spark, query_folder(v, first))
+    """From query files, a query for each line, by way of saved queries to a folder of CSV for each of them."""
+    lines = v.table("benchmark").select("item_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
+    name = F.concat(F.lit("named "), F.concat_ws("-", "item_id", "i"), F.lit(".csv"))
+    named = query_files.read_query_file(v.spark, query_folder(v, lines.where("text <> ''").withColumn("name", name)))
     clauses = query_files.query_clauses(named, "2006-02", "2006-09-30", 3)
     trends = trends_by_query(match_saved_queries(v.revisions, clauses))
     path = work_path(v.spark, "outputs")

@@ -61,17 +61,19 @@ def template_matches_shuffled(v):
 
 
 @query(
-    """SELECT b.item_id AS item, r.rev_id FROM benchmark b JOIN revisions r
-         ON r.ts >= make_timestamp(1136073600000000) AND contains(r.added, string_split(b.text, chr(10))[1])
-       WHERE length(string_split(b.text, chr(10))[1]) >= 4""",
+    """SELECT b.item_id AS item, r.rev_id
+       FROM (SELECT item_id, list_filter(string_split(text, chr(10)), lambda l: length(l) >= 4) AS lines
+             FROM benchmark) b
+       JOIN revisions r ON r.ts >= make_timestamp(1136073600000000)
+         AND len(list_filter(b.lines, lambda l: NOT contains(r.added, l))) = 0
+       WHERE len(b.lines) > 0""",
     ("revisions",),
 )
 def template_matches_by_word(v):
-    """Items as templates of one line each, found by a word inside the line."""
-    line = F.get(F.split("text", "\n", -1), F.lit(0))
-    items = v.table("benchmark").where(F.length(line) >= 4).select(
+    """Items as templates of their lines, found by a word inside one of them."""
+    items = v.table("benchmark").select(
         F.col("item_id").cast("string").alias("title"),
-        F.array(line).alias("fragments"),
+        F.filter(F.split("text", "\n", -1), lambda line: F.length(line) >= 4).alias("fragments"),
         F.timestamp_seconds(F.lit(EPOCH)).alias("valid_from"),
         now().alias("valid_to"),
     )

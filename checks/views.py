@@ -42,7 +42,6 @@ class Views:
     def revisions(self) -> DataFrame:
         doc = F.col("doc_id")
         lines = F.split("text", "\n", -1)
-        first = F.get(lines, F.lit(0))
         mark = F.struct(
             (F.size(lines) * 100).cast("string").alias("pos"),
             F.lit("1").alias("sign"),
@@ -64,7 +63,7 @@ class Views:
             .otherwise(F.concat(F.lit("Page "), (doc % 97).cast("string")))
             .alias("title"),
             F.timestamp_seconds(F.lit(EPOCH) + doc * STEP).alias("timestamp"),
-            F.concat(escape(first), F.lit("\\n"), "lang").alias("comment"),
+            F.concat(escape(F.col("text")), F.lit("\\n"), "lang").alias("comment"),
             (doc % 4 == 0).alias("minor"),
             F.when(doc % 5 != 0, doc % 53).alias("user_id"),
             F.concat(F.lit("User"), (doc % 53).cast("string")).alias("user_text"),
@@ -121,22 +120,17 @@ class Views:
 
     @cached_property
     def template_history(self) -> DataFrame:
-        words = F.split(F.get(F.split("text", "\n", -1), F.lit(0)), " ", -1)
-
-        def word(i: int):
-            return F.coalesce(F.get(words, F.lit(i)), F.lit(""))
-
+        """Each whole text as a version of a template; what its revision removes is in notes."""
+        noted = F.transform(
+            F.split("text", "\n", -1),
+            lambda line, i: F.when(
+                (F.col("doc_id") + i) % 4 == 3, F.concat(F.lit("<noinclude>"), line, F.lit("</noinclude>"))
+            ).otherwise(line),
+        )
         return self.documents.select(
             F.concat(F.lit("Template:Uw-"), (F.col("doc_id") % 4).cast("string")).alias("title"),
             F.timestamp_seconds(F.lit(EPOCH) + F.col("doc_id") * STEP).alias("rev_ts"),
-            F.concat(
-                word(1),
-                F.lit("{{PAGENAME}}"),
-                word(3),
-                F.lit("<noinclude>usage notes: "),
-                "text",
-                F.lit("</noinclude>"),
-            ).alias("text"),
+            F.concat(F.array_join(noted, "\n"), F.lit("{{PAGENAME}}")).alias("text"),
         )
 
     @cached_property
@@ -229,8 +223,9 @@ CTES = {
           CASE WHEN doc_id % 10 = 0 THEN 'Uw-' || source
                ELSE 'Page ' || CAST(doc_id % 97 AS VARCHAR) END AS title,
           {_TS} AS ts, strftime({_TS}, '%Y-%m-%dT%H:%M:%SZ') AS iso,
-          lines[1] || chr(10) || lang AS comment_out,
-          lines[1] || chr(92) || 'n' || lang AS comment,
+          text || chr(10) || lang AS comment_out,
+          replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'),
+            chr(39), chr(92) || chr(39)) || chr(92) || 'n' || lang AS comment,
           doc_id % 4 = 0 AS minor,
           CASE WHEN doc_id % 5 <> 0 THEN doc_id % 53 END AS user_id,
           'User' || CAST(doc_id % 53 AS VARCHAR) AS user_text,
@@ -272,9 +267,8 @@ CTES = {
         SELECT * REPLACE (rev_id + {FRESH} AS rev_id), 1 AS seq FROM revisions""",
     "history": f"""
         SELECT 'Template:Uw-' || CAST(doc_id % 4 AS VARCHAR) AS title, {_TS} AS rev_ts,
-          coalesce(string_split(lines[1], ' ')[2], '') || '{{{{PAGENAME}}}}'
-            || coalesce(string_split(lines[1], ' ')[4], '')
-            || '<noinclude>usage notes: ' || text || '</noinclude>' AS text
+          array_to_string(list_transform(lines, lambda line, i: CASE WHEN (doc_id + i - 1) % 4 = 3
+            THEN '<noinclude>' || line || '</noinclude>' ELSE line END), chr(10)) || '{{{{PAGENAME}}}}' AS text
         FROM docs""",
     "intervals": f"""
         SELECT title, text, rev_ts AS valid_from,
