@@ -303,6 +303,28 @@ def stream_trend_newest_first_by_month(v):
     return jobs.final_counts(v.spark, trend, work_path(v.spark, "newest-months-out"))
 
 
+@query(
+    """SELECT month AS period, count(*) AS hits FROM (
+         SELECT month, namespace, added FROM revisions WHERE rev_id NOT IN (SELECT rev_id FROM batch)
+         UNION ALL SELECT month, namespace, added FROM batch
+         QUALIFY row_number() OVER (PARTITION BY rev_id ORDER BY seq DESC) = 1)
+       WHERE namespace = 3 AND contains(added, 'the ') GROUP BY month""",
+    ("batch",),
+)
+def stream_trend_of_versions(v):
+    """Three steps of versions, of which later ones stop or start matching; each file is a batch."""
+    source, table, out = (work_path(v.spark, n) for n in ("source", "table", "trend"))
+    new = v.upsert_batch
+    steps = (v.revisions, new.where(F.col("seq") == 1), new.where(F.col("seq") == 2))
+    predicate = p.term("namespace", 3) & p.phrase("added", "the ")
+    for number, revisions in enumerate(steps):
+        format_diff_lines(revisions).coalesce(1).write.text(f"{source}/{number}")
+        jobs.stream_table_trend(
+            v.spark, source, table, out, predicate, max_files=1, width=10_000
+        ).awaitTermination()
+    return jobs.table_trend(v.spark, out)
+
+
 @query("SELECT query_id, rev_id FROM found", ("found",))
 def stream_matched(v):
     out = work_path(v.spark, "matches")

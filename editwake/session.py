@@ -7,8 +7,10 @@ from pyspark.sql import SparkSession
 
 # Runtime settings the operators count on. UTC because period keys and time
 # bounds are UTC text; AQE because it splits skewed join partitions and
-# coalesces small ones without a hand-set partition count.
+# coalesces small ones without a hand-set partition count. Times as numbers have
+# minima and maxima in Parquet files, by which row groups are skipped.
 SETTINGS = {
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -43,3 +45,10 @@ def shared_dir(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/editwake/{name}-{uuid.uuid4().hex}"
+
+
+def folder_names(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder of any store that Spark reads; none where there is no folder."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in store.listStatus(root)] if store.exists(root) else []

@@ -10,20 +10,23 @@ Files are never overwritten. A manifest, one small file per state of the table,
 names the folders of each range with their first and last time; ids grow with
 time, so a time filter skips nearly all ranges, and inside them row groups by
 their minima and maxima. Folders that no manifest in use names may be removed.
+Only the newest manifest is read, and small folders of a range are merged as they
+get many, so the work of an append does not grow with the number of those before.
+A table has one writer at a time: a manifest appears by the rename of its folder,
+which two writers of one number could both try, and not all stores rename at once.
 """
 
 import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from editwake.functions.predicates import ts_range
 from editwake.plans.layout import BROADCAST_IDS, drop_ids, keep_ids, step
 from editwake.schema import REVISION
-from editwake.session import shared_dir
+from editwake.session import folder_names, shared_dir
 from editwake.sources.diff_files import POSITION
 
 ID_RANGE = 1_000_000
@@ -31,6 +34,8 @@ ID_RANGE = 1_000_000
 SLICES = 64
 MANIFEST = "id_range bigint, version string, first timestamp, last timestamp, n_rows bigint"
 COPY_SALTS = 16
+# Folders of a range that are of about one size are merged when there are so many.
+MERGED = 8
 
 
 def id_range(rev_id: str | Column = "rev_id", width: int = ID_RANGE) -> Column:
@@ -131,24 +136,25 @@ def _write_version(revisions: DataFrame, path: str, width: int, copies: bool) ->
     return [(r[0], version, *r[1:]) for r in bounds.collect()]
 
 
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the manifests there are, by the names of their folders alone."""
+    names = folder_names(spark, folder)
+    return sorted(int(n.removeprefix("number=")) for n in names if n.startswith("number="))
+
+
 def _manifest(spark: SparkSession, path: str) -> tuple[int, list] | None:
     """The number and the rows of the newest manifest; None where there is no table."""
-    try:
-        every = spark.read.schema(f"{MANIFEST}, number int").parquet(f"{path}/manifest")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    numbers = _numbers(spark, f"{path}/manifest")
+    if not numbers:
         return None
-    number = every.agg(F.max("number")).first()[0]
-    rows = every.where(F.col("number") == number).drop("number").collect()
-    return number, [tuple(r) for r in rows if r["version"]]
+    rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest/number={numbers[-1]}").collect()
+    return numbers[-1], [tuple(r) for r in rows if r["version"]]
 
 
 def _switch(spark: SparkSession, path: str, number: int, rows: list[tuple]) -> None:
     """Make these ranges the table: one small file appears at once, or not at all.
 
-    A second writer of the same number fails, and so loses nothing. The row
-    without a version keeps the manifest of an empty table from being no table.
+    The row without a version keeps the manifest of an empty table from being no table.
     """
     listed = spark.createDataFrame([(None, "", None, None, 0), *rows], MANIFEST)
     listed.coalesce(1).write.parquet(f"{path}/manifest/number={number}")
@@ -164,6 +170,12 @@ def write_revisions(
     _switch(spark, path, 1, _write_version(revisions, path, width, copies))
 
 
+def _stored(spark: SparkSession, path: str, rows: list[tuple]) -> DataFrame:
+    """The revisions in the folders that rows of a manifest name."""
+    folders = [f"{path}/data/version={version}/id_range={k}" for k, version, *_ in rows]
+    return spark.read.option("basePath", f"{path}/data").parquet(*folders).drop("version")
+
+
 def read_revisions(
     spark: SparkSession, path: str, start: str | None = None, end: str | None = None
 ) -> DataFrame:
@@ -179,8 +191,7 @@ def read_revisions(
     rows = found[1]
     if not rows:
         return spark.createDataFrame([], REVISION).withColumn("id_range", F.lit(0))
-    folders = [f"{path}/data/version={version}/id_range={k}" for k, version, *_ in rows]
-    table = spark.read.option("basePath", f"{path}/data").parquet(*folders).drop("version")
+    table = _stored(spark, path, rows)
     if start is None and end is None:
         return table
     listed = spark.createDataFrame(rows, MANIFEST)
@@ -207,8 +218,48 @@ def append_table(spark: SparkSession, new: DataFrame, path: str, width: int = ID
     """Add rows to a stored table, copies included. ``width`` is for a new table."""
     number, rows = _manifest(spark, path) or (0, [])
     width = _width_of(read_revisions(spark, path)) if rows else width
-    added = _write_version(new.select(*REVISION.names), path, width, copies=True)
-    _switch(spark, path, number + 1, rows + added)
+    rows = rows + _write_version(new.select(*REVISION.names), path, width, copies=True)
+    alike: dict[tuple, list[tuple]] = {}
+    for row in rows:
+        alike.setdefault((row[0], row[4].bit_length() // 2), []).append(row)
+    many = [row for same in alike.values() if len(same) >= MERGED for row in same]
+    if many:
+        merged = _stored(spark, path, many).select(*REVISION.names)
+        rows = [r for r in rows if r not in many] + _write_version(merged, path, width, copies=True)
+    _switch(spark, path, number + 1, rows)
+
+
+def _replacing(batch: DataFrame, stored: DataFrame, broadcast_ids: int) -> DataFrame:
+    """The revisions of a batch that are not older than what is stored of them."""
+    places = stored.select("rev_id", F.col("loaded").alias("there"))
+    older = batch.select("rev_id", "loaded").join(places, "rev_id").where("there > loaded")
+    return drop_ids(batch, older, rows=broadcast_ids)
+
+
+def upsert_changes(
+    spark: SparkSession,
+    new: DataFrame,
+    path: str,
+    order: Sequence[str] = POSITION,
+    broadcast_ids: int = BROADCAST_IDS,
+) -> DataFrame:
+    """What an upsert with ``keep_order`` is going to change: revisions with ``change`` 1 or -1.
+
+    A revision that the batch replaces leaves as it is stored and comes as it will
+    be; older versions than the stored one change nothing. Ask before the upsert.
+    """
+    shared_dir(spark)
+    last = latest_revision(new.withColumn("loaded", F.struct(*order)), order, broadcast_ids)
+    batch = last.select(*REVISION.names, "loaded").checkpoint()
+    found = _manifest(spark, path)
+    if found is None or not found[1]:
+        return batch.drop("loaded").withColumn("change", F.lit(1))
+    table = read_revisions(spark, path)
+    touched = [r[0] for r in batch.select(id_range(width=_width_of(table))).distinct().collect()]
+    stored = keep_ids(table.where(F.col("id_range").isin(touched)), batch, rows=broadcast_ids)
+    coming = _replacing(batch, stored, broadcast_ids)
+    leaving = keep_ids(stored, coming, rows=broadcast_ids).select(*REVISION.names)
+    return coming.drop("loaded").withColumn("change", F.lit(1)).unionByName(leaving.withColumn("change", F.lit(-1)))
 
 
 def upsert_table(
@@ -251,9 +302,7 @@ def upsert_table(
         raise ValueError("the table was made with another choice of keep_order")
     stored = table.where(F.col("id_range").isin(touched)).select(*kept)
     if keep_order:
-        places = stored.select("rev_id", F.col("loaded").alias("there"))
-        older = batch.select("rev_id", "loaded").join(places, "rev_id").where("there > loaded")
-        batch = drop_ids(batch, older, rows=broadcast_ids)
+        batch = _replacing(batch, stored, broadcast_ids)
     merged = missing_revisions(stored, batch, broadcast_ids).unionByName(batch)
     replaced = _write_version(merged, path, width, copies=False)
     _switch(spark, path, number + 1, [r for r in rows if r[0] not in touched] + replaced)

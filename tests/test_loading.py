@@ -263,3 +263,33 @@ def test_trend_files(spark):
     ]
     ids = spark.createDataFrame([("1;22;1;" + "9" * 30,)], "ids string")
     assert column(trend_files.extract_rev_ids(ids)) == ["1", "1", "22"]
+
+
+def test_many_appends_merge_their_folders(spark, revisions, tmp_path):
+    """The work of an append does not grow with those before: folders merge, one manifest is read."""
+    path = str(tmp_path / "table")
+    copies = []
+    for n in range(20):
+        revision_table.append_table(spark, revisions, path, width=1_000)
+        copies.append(len(revision_table._manifest(spark, path)[1]))
+    assert max(copies) <= 2 * revision_table.MERGED
+    assert revision_table.read_revisions(spark, path).count() == 20 * revisions.count()
+    assert revision_table._manifest(spark, path)[0] == 20
+
+
+def test_changes_are_those_of_the_upsert(spark, revisions, tmp_path):
+    path = str(tmp_path / "table")
+    names = ["modified", "line"]
+
+    def batch(df, when):
+        return df.withColumns({"modified": F.timestamp_seconds(F.lit(when)), "line": F.lit(0)})
+
+    first = batch(revisions, 100)
+    found = revision_table.upsert_changes(spark, first, path, names)
+    assert sorted(r.change for r in found.collect()) == [1] * revisions.count()
+    revision_table.upsert_table(spark, first, path, names, width=10, keep_order=True)
+    newer = batch(revisions.where("rev_id = 501").withColumn("added", F.lit("new")), 200)
+    older = batch(revisions.where("rev_id = 502").withColumn("added", F.lit("old")), 50)
+    changes = revision_table.upsert_changes(spark, newer.unionByName(older), path, names).collect()
+    before = {r.rev_id: r.added for r in revisions.collect()}
+    assert sorted((r.rev_id, r.change, r.added) for r in changes) == sorted([(501, 1, "new"), (501, -1, before[501])])

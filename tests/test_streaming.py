@@ -1,3 +1,5 @@
+from pathlib import Path
+
 from conftest import FIRST, SECOND, column
 from pyspark.sql import functions as F
 
@@ -102,3 +104,23 @@ def test_matching_new_revisions(spark):
     lines = spark.createDataFrame([(FIRST,), (SECOND,)], "value string")
     batch = match_saved_queries(parse_revisions(lines), saved)
     assert found == sorted((r.query_id, r.rev_id) for r in batch.collect())
+
+
+def test_a_trend_takes_back_what_is_replaced(spark):
+    """A version that stops matching no longer counts; neither repeated batches nor older files change that."""
+    source, table, out = (work_path(spark, n) for n in ("in", "table", "out"))
+
+    def run():
+        jobs.stream_table_trend(spark, source, table, out, p.phrase("added", "world"), "day", width=10).awaitTermination()
+        return {r.period: r.hits for r in jobs.table_trend(spark, out).collect()}
+
+    drop(spark, source, "a", FIRST, SECOND)
+    assert run() == {"2002-02-25": 1, "2002-02-26": 1}
+    drop(spark, source, "b", SECOND.replace("worldly", "other"))
+    assert run() == {"2002-02-25": 1}
+    # The same batch again, as after a failure between the table's change and the commit.
+    for name in ("1", ".1.crc"):
+        (Path(out.removeprefix("file:")) / "state" / "commits" / name).unlink(missing_ok=True)
+    assert run() == {"2002-02-25": 1}
+    drop(spark, source, "c", SECOND)
+    assert run() == {"2002-02-25": 1, "2002-02-26": 1}
