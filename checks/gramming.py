@@ -1,11 +1,14 @@
 """N-grams, hashes and postings."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from checks.registry import query
 from checks.views import PART
 from editwake.functions import grams as g
 from editwake.functions import predicates as p
+from editwake.operators import boolean as bs
 from editwake.operators import postings as ps
 from editwake.operators.trends import first_pass_precision
 from editwake.session import work_path
@@ -263,3 +266,97 @@ def postings_precision(v):
     candidates = ps.candidates(ps.build_postings(v.revisions), TOKENS)
     hits = v.revisions.where(p.phrase("added", "ion of the"))
     return first_pass_precision(candidates, hits)
+
+
+# --- boolean search on postings -----------------------------------------------
+
+
+def searched(v, ask):
+    postings = ps.build_postings(v.revisions)
+    return bs.search_postings(v.revisions, postings, ask(postings)).select("rev_id")
+
+
+@query(
+    """SELECT rev_id FROM revisions
+       WHERE contains(added, 'ion') AND contains(added, 'the ') AND contains(added, 'and ')""",
+    ("revisions",),
+)
+def postings_with_all(v):
+    return searched(v, lambda g: bs.both(*[bs.has_phrase(g, t) for t in ("ion", "the ", "and ")]))
+
+
+@query(
+    "SELECT rev_id FROM revisions WHERE contains(added, 'xan') OR contains(added, 'jeux') OR contains(added, 'über')",
+    ("revisions",),
+)
+def postings_with_any(v):
+    return searched(v, lambda g: bs.either(*[bs.has_phrase(g, t) for t in ("xan", "jeux", "über")]))
+
+
+@query(
+    """SELECT rev_id FROM revisions WHERE contains(added, 'den ')
+         AND NOT (contains(added, 'the ') OR contains(added, 'ould')) AND namespace <> 3""",
+    ("revisions",),
+)
+def postings_without(v):
+    """A negation and a field outside the postings beside what is searched."""
+
+    def ask(g):
+        none = bs.without(bs.has_phrase(g, "the "), bs.has_phrase(g, "ould"))
+        return bs.both(bs.has_phrase(g, "den "), none, bs.condition(F.col("namespace") != 3))
+
+    return searched(v, ask)
+
+
+@query(
+    """SELECT rev_id FROM revisions WHERE (contains(added, 'th') OR contains(added, 'qu'))
+         AND (contains(added, 'tion') OR NOT contains(added, 'the'))""",
+    ("revisions",),
+)
+def postings_without_needs(v):
+    """Texts shorter than a gram and a negation need nothing: the question becomes a scan."""
+
+    def ask(g):
+        short = bs.either(bs.has_phrase(g, "th"), bs.has_phrase(g, "qu"))
+        return bs.both(short, bs.either(bs.has_phrase(g, "tion"), bs.without(bs.has_phrase(g, "the"))))
+
+    return searched(v, ask)
+
+
+@query(
+    "SELECT rev_id FROM revisions WHERE regexp_matches(added, 'the [a-z]+ (and|of the) [^ ]*ion')", ("revisions",)
+)
+def postings_of_expression(v):
+    """The literals of an expression lead to the revisions it is tested on."""
+    return searched(v, lambda g: bs.has_match(g, "the [a-z]+ (and|of the) [^ ]*ion"))
+
+
+@query("SELECT rev_id FROM revisions WHERE regexp_matches(added, '(?s)q.x|z.z')", ("revisions",))
+def postings_of_wildcards(v):
+    """Wildcards are looked up among the distinct grams."""
+    return searched(v, lambda g: bs.either(bs.has_wildcard(g, "q?x"), bs.has_wildcard(g, "z*z")))
+
+
+@query(
+    f"SELECT DISTINCT rev_id FROM {GRAMS} WHERE levenshtein(gram, 'zwe') <= 1", ("revisions",)
+)
+def postings_of_near_grams(v):
+    """Grams within an edit of a text are looked up among the distinct grams."""
+    return searched(v, lambda g: bs.has_near_gram(g, "zwe", 1))
+
+
+@query(
+    "SELECT rev_id FROM revisions WHERE contains(added, 'ion of the') OR contains(added, 'ther th')", ("revisions",)
+)
+def postings_with_any_stored(v):
+    """Of stored tables only buckets of the grams and ranges with candidates are read."""
+    table, index = work_path(v.spark, "table"), work_path(v.spark, "postings")
+    revision_table.write_revisions(v.revisions, table, width=bs.BLOCK_IDS)
+    ps.write_postings(ps.build_postings(v.revisions), index, buckets=8)
+    postings, revisions = v.spark.read.parquet(index), revision_table.read_revisions(v.spark, table)
+    asked = bs.either(bs.has_phrase(postings, "ion of the"), bs.has_phrase(postings, "ther th"))
+    found = bs.search_postings(revisions, postings, asked)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    if not re.search(r"PartitionFilters: \[[^\]]*id_range#\d+ (IN|=)", plan):
+        raise AssertionError("candidates were meant to prune id ranges")
+    return found.select("rev_id")

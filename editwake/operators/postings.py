@@ -103,6 +103,16 @@ def _analyzer(postings: DataFrame, field: str, n: int | None) -> Analyzer:
     return Analyzer(known["n"], known["n_max"], known["seed"])
 
 
+def plain_grams(postings: DataFrame) -> tuple[str, int]:
+    """The field and the length of the grams of postings that hold texts; refuses others."""
+    known = _settings(postings)
+    if "n" not in known:
+        raise ValueError("not a postings table: its columns tell no analyzer")
+    if Analyzer(known["n"], known["n_max"], known["seed"]).hashed or known["n_max"]:
+        raise ValueError("these postings hold no grams of one length as texts")
+    return known["field"], known["n"]
+
+
 def sure_tokens(spark: SparkSession, analyze: Analyzer, text: str) -> list[str]:
     """Tokens that every text with this literal inside has in its postings."""
     grams = analyze.sure_grams(text)
