@@ -117,18 +117,16 @@ def _by_word(revisions: DataFrame, intervals: DataFrame, field: str) -> DataFram
 
     Words and times are compared first, without the texts, which come in once.
     """
-    shared_dir(revisions.sparkSession)
-    known = intervals.withColumn("interval", F.monotonically_increasing_id()).checkpoint()
     words = F.explode(F.array_distinct(F.split(field, " ", -1))).alias("word")
     words = revisions.select("rev_id", "timestamp", words)
     pairs = (
-        words.join(F.broadcast(known.select("word", "interval", "valid_from", "valid_to")), "word")
+        words.join(F.broadcast(intervals.select("word", "interval", "valid_from", "valid_to")), "word")
         .where(F.col("timestamp").between(F.col("valid_from"), F.col("valid_to")))
         .select("rev_id", "interval")
         .distinct()
     )
     met = meet(revisions.select("rev_id", "timestamp", field), pairs, "rev_id")
-    return _holding(met.join(F.broadcast(known.drop("word")), "interval"), field)
+    return _holding(met.join(F.broadcast(intervals.drop("word")), "interval"), field)
 
 
 def _by_time(revisions: DataFrame, intervals: DataFrame, field: str, broadcast_rows: int) -> DataFrame:
@@ -178,12 +176,16 @@ def match_templates(
         "fragments",
         _longest(F.col("fragments")).alias("anchor"),
         _inner_word(F.col("fragments")).alias("word"),
+        F.monotonically_increasing_id().alias("interval"),
     )
+    # Taken from whole texts, so made once.
+    shared_dir(revisions.sparkSession)
+    wanted = wanted.checkpoint()
     size = F.aggregate("fragments", F.lit(0), lambda total, f: total + F.octet_length(f))
     keyed = wanted.where("word IS NOT NULL")
     if not fits(keyed, broadcast_rows, size):
-        return _by_time(revisions, wanted.drop("word"), field, broadcast_rows)
-    rest = wanted.where("word IS NULL").drop("word")
+        return _by_time(revisions, wanted.drop("word", "interval"), field, broadcast_rows)
+    rest = wanted.where("word IS NULL").drop("word", "interval")
     by_time = _by_time(revisions, rest, field, broadcast_rows)
     return _by_word(revisions, keyed, field).unionByName(by_time)
 

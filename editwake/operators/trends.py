@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from editwake.functions.derive import normalise_date, period_key
 from editwake.operators.hits import select_fields
-from editwake.plans.layout import small_side, step
+from editwake.plans.layout import step
 
 # Ids per part of a packed trend: about a megabyte of ids in one list.
 PART_WIDTH = 100_000
@@ -58,9 +58,9 @@ def trend_with_fields(
     part = step("rev_id", part_width).alias("part")
     values = F.array_sort(F.collect_list(F.struct(*names, "copies"))).alias("values")
     packed = rows.groupBy("period", part).agg(F.sum("copies").alias("hits"), values)
-    totals = kept.groupBy("period").agg(F.count("*").alias("period_hits"))
-    # A row per day or month.
-    return packed.join(small_side(totals), "period").orderBy("period", "part")
+    # From the rows that are shuffled already. One a day or month: bounded by the calendar.
+    totals = rows.groupBy("period").agg(F.sum("copies").alias("period_hits"))
+    return packed.join(F.broadcast(totals), "period").orderBy("period", "part")
 
 
 def combine_trends(trends: DataFrame) -> DataFrame:
