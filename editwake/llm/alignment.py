@@ -4,8 +4,8 @@ Both tokenizers cut the same bytes, so each token has a place where it ends. The
 two arrays of ends are compared at the current index shift: stretches in which
 each token of one is a token of the other are probed with doubling and then
 halving widths, and skipped as one. Where the ends differ, the irregular group is
-walked token by token up to the next common end, which gives its links, and the
-shift changes to that of the tokens after it.
+walked token by token up to the next common end, and the shift changes to that of
+the tokens after it. Inside such a group a link ends wherever a token does.
 
 How many documents hold a pair of ids linked is counted over all. Documents are
 worked on in chunks of ``CHUNK_BYTES`` of text; a chunk gives each of its pairs
@@ -38,15 +38,13 @@ MASK = np.int64(2**32 - 1)
 Segment = tuple[int, int, int, int, bool]
 
 
-def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[Segment], list[int], list[int]]:
-    """Segments of two rows of tokens that end at the same place, and the links of irregular groups.
+def align(ends_a: list[int], ends_b: list[int]) -> list[Segment]:
+    """Segments of two rows of tokens that end at the same place.
 
     A segment is the first token and the one after the last of either side, and
     whether it is a stretch of one-to-one groups or one irregular group.
     """
     segments: list[Segment] = []
-    linked_a: list[int] = []
-    linked_b: list[int] = []
     i = j = 0
     size = len(ends_a)
     while i < size:
@@ -64,19 +62,21 @@ def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[Segment], list[int
         start, first_b = i, j
         a, b = ends_a[i], ends_b[j]
         while a != b:
-            linked_a.append(i)
-            linked_b.append(j)
             if a < b:
                 i += 1
                 a = ends_a[i]
             else:
                 j += 1
                 b = ends_b[j]
-        linked_a.append(i)
-        linked_b.append(j)
         i, j = i + 1, j + 1
         segments.append((start, i, first_b, j, False))
-    return segments, linked_a, linked_b
+    return segments
+
+
+def links(ends_a: np.ndarray, ends_b: np.ndarray, alone_a: np.ndarray, alone_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of linked tokens inside irregular groups: one link ends where a token of either side does."""
+    ends = np.union1d(ends_a[~alone_a], ends_b[~alone_b])
+    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
 
 
 def groups_of(segments: list[Segment], a: list, b: list) -> list[tuple[list, list]]:
@@ -90,7 +90,7 @@ def groups_of(segments: list[Segment], a: list, b: list) -> list[tuple[list, lis
     return out
 
 
-def _marks(segments: list[Segment], size: int, side: int) -> tuple[np.ndarray, np.ndarray]:
+def marks(segments: list[Segment], size: int, side: int) -> tuple[np.ndarray, np.ndarray]:
     """Which tokens of a side are a group of their own, and which are the last of their group."""
     irregular = [s for s in segments if not s[4]]
     ends = [s[side + 1] for s in irregular]
@@ -108,10 +108,11 @@ class Aligned:
 
     def __init__(self, a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray):
         self.a, self.b = a, b
-        ends = [np.cumsum(sizes[ids]).tolist() for ids, sizes in ((a, sizes_a), (b, sizes_b))]
-        self.segments, linked_a, linked_b = align(*ends)
-        alone_a, self.last_a = _marks(self.segments, a.size, 0)
-        alone_b, self.last_b = _marks(self.segments, b.size, 2)
+        ends_a, ends_b = np.cumsum(sizes_a[a]), np.cumsum(sizes_b[b])
+        self.segments = align(ends_a.tolist(), ends_b.tolist())
+        alone_a, self.last_a = marks(self.segments, a.size, 0)
+        alone_b, self.last_b = marks(self.segments, b.size, 2)
+        linked_a, linked_b = links(ends_a, ends_b, alone_a, alone_b)
         firsts = np.concatenate([a[alone_a], a[linked_a]]).astype(np.int64)
         pairs = (firsts << HALF) | np.concatenate([b[alone_b], b[linked_b]])
         self.n_groups = int(self.last_a.sum())
@@ -150,7 +151,7 @@ class Aligner:
         ids = []
         for encode, surface in ((models.byte_ids, models.byte_surface), (models.piece_ids, models.piece_surface)):
             found = encode(whole)
-            if b"".join([surface[i] for i in found]) != raw:
+            if b"".join(map(surface.__getitem__, found)) != raw:
                 return None
             ids.append(np.array(found, dtype=np.int32))
         return Aligned(*ids, *self.sizes)

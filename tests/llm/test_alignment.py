@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from editwake.llm.alignment import align, aligned_groups, alignments, groups_of, packed_links, unpacked_links
+from editwake.llm.alignment import align, aligned_groups, alignments, groups_of, links, marks, packed_links, unpacked_links
 from editwake.llm.encoders import byte_of_char, byte_pieces
 
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -81,14 +81,15 @@ ends = st.lists(st.integers(1, 4), min_size=1, max_size=40).map(lambda s: np.cum
 def test_segments(a, b, tail):
     last = max(a[-1], b[-1]) + 1
     a, b = ([*e, last, *range(last + 1, last + tail)] for e in (a, b))
-    segments, linked_a, linked_b = align(a, b)
+    segments = align(a, b)
+    linked_a, linked_b = links(np.array(a), np.array(b), marks(segments, len(a), 0)[0], marks(segments, len(b), 2)[0])
     groups = groups_of(segments, a, b)
     assert [g[0][-1] for g in groups] == [g[1][-1] for g in groups] == sorted(set(a) & set(b))
     assert sum((g[0] for g in groups), []) == a and sum((g[1] for g in groups), []) == b
     starts_a, starts_b = dict(zip(a, [0, *a])), dict(zip(b, [0, *b]))
-    links = [(a[i], b[j]) for i, j in zip(linked_a, linked_b)]
-    links += [(x, y) for i, to, j, to_j, single in segments if single for x, y in zip(a[i:to], b[j:to_j])]
-    assert sorted(links) == sorted((x, y) for x in a for y in b if starts_a[x] < y and starts_b[y] < x)
+    found = [(a[i], b[j]) for i, j in zip(linked_a, linked_b)]
+    found += [(x, y) for i, to, j, to_j, single in segments if single for x, y in zip(a[i:to], b[j:to_j])]
+    assert sorted(found) == sorted((x, y) for x in a for y in b if starts_a[x] < y and starts_b[y] < x)
 
 
 @settings(max_examples=200, deadline=None)
