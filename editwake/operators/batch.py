@@ -17,6 +17,7 @@ from editwake.functions.grams import DEFAULT_GRAM, ngrams
 from editwake.plans.layout import BROADCAST_BYTES, BROADCAST_ROWS, meet, small_side
 from editwake.schema import TEXT_FIELDS
 from editwake.session import shared_dir
+from editwake.sources.revision_table import in_time, is_stored
 
 # What one constant array of queries without a key may hold; a larger query has one of its own.
 CLAUSES_PER_PASS = 10_000
@@ -300,6 +301,21 @@ def _match_keyed(revisions: DataFrame, queries: DataFrame, used: set[str], place
     )
 
 
+def _in_period(revisions: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Of a stored table the id ranges of the time outside which no query can hold."""
+    if not is_stored(revisions):
+        return revisions
+    timed = (F.col("occur") == "must") & (F.col("field") == "timestamp") & (F.col("kind") == "range")
+    bounds = clauses.groupBy("query_id").agg(F.max(F.when(timed, F.col("lo"))).alias("lo"), F.min(F.when(timed, F.col("hi"))).alias("hi"))
+    # A query without a bound needs all times on that side.
+    start = F.when(F.count_if(F.col("lo").isNull()) == 0, F.min("lo"))
+    end = F.when(F.count_if(F.col("hi").isNull()) == 0, F.max("hi"))
+    try:
+        return in_time(revisions, *bounds.agg(start, end).first())
+    except ValueError:
+        return revisions  # the clauses compare texts, also with what is no time
+
+
 def match_saved_queries(
     revisions: DataFrame,
     clauses: DataFrame,
@@ -318,7 +334,8 @@ def match_saved_queries(
     queries as long as they may be broadcast; beyond ``broadcast_rows`` keys, or
     too many bytes, there are several. Queries without a key are a constant array
     that is tested on every revision, cut into passes by clauses and bytes. Only
-    the fields that clauses name are read.
+    the fields that clauses name are read, and of a stored table the id ranges of
+    the time that the queries are bounded to, if all are.
     """
     # At most one row per field and kind there is.
     named = clauses.select("field", "kind").distinct().collect()
@@ -328,6 +345,7 @@ def match_saved_queries(
     if kinds - set(KINDS):
         raise ValueError(f"no such kinds of clauses: {sorted(kinds - set(KINDS))}")
     shared_dir(clauses.sparkSession)
+    revisions = _in_period(revisions, clauses)
     compiled = compile_queries(clauses, n, kinds, revisions).checkpoint()
     keyed = compiled.where("keys IS NOT NULL")
     rest = compiled.where("keys IS NULL").drop("keys")

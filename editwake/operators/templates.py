@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from editwake.functions.derive import iso_timestamp
 from editwake.functions.text import (
     template_comment_query,
     template_comment_variants,
@@ -11,6 +12,7 @@ from editwake.functions.text import (
 )
 from editwake.plans.layout import BROADCAST_ROWS, fits, meet, small_side, with_next
 from editwake.session import shared_dir
+from editwake.sources.revision_table import in_time, is_stored
 
 
 def title_prefix(revisions: DataFrame, namespace: int, prefix: str) -> DataFrame:
@@ -181,6 +183,9 @@ def match_templates(
     # Taken from whole texts, so made once.
     shared_dir(revisions.sparkSession)
     wanted = wanted.checkpoint()
+    if is_stored(revisions):
+        last = F.max("valid_to") + F.expr("interval 1 second")
+        revisions = in_time(revisions, *wanted.agg(iso_timestamp(F.min("valid_from")), iso_timestamp(last)).first())
     size = F.aggregate("fragments", F.lit(0), lambda total, f: total + F.octet_length(f))
     keyed = wanted.where("word IS NOT NULL")
     if not fits(keyed, broadcast_rows, size):

@@ -13,6 +13,7 @@ from editwake.operators import hits as hit_ops
 from editwake.operators import trends as trend_ops
 from editwake.operators.templates import match_templates, template_intervals
 from editwake.sources.query_files import REQUEST_DEFAULTS
+from editwake.sources.revision_table import in_time
 
 
 def search(
@@ -100,9 +101,12 @@ def phrase_trend(
     field: str = "added",
     max_revs: int | None = None,
 ) -> DataFrame:
-    """The trend of a phrase, or of any predicate, over time."""
+    """The trend of a phrase, or of any predicate, over time.
+
+    Of a stored table only the id ranges that hold revisions of the time are read.
+    """
     return search(
-        revisions,
+        in_time(revisions, start, end),
         trend_predicate(query, start, end, namespace, field),
         "day" if daily else "month",
         ("rev_id",) if with_ids else (),

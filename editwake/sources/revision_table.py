@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from editwake.functions.predicates import ts_range
-from editwake.plans.layout import BROADCAST_IDS, drop_ids, keep_ids, step
+from editwake.plans.layout import BROADCAST_IDS, drop_ids, keep_ids, small_side, step
 from editwake.schema import REVISION
 from editwake.session import folder_names, shared_dir
 from editwake.sources.diff_files import POSITION
@@ -51,12 +51,13 @@ def latest_revision(
     their rows stay where they are. Only rows of the others are aggregated by
     id; their copies collapse before the shuffle, however many there are.
     """
+    shared_dir(revisions.sparkSession)
     rest = [c for c in revisions.columns if c != "rev_id" and c not in order]
     counted = revisions.groupBy("rev_id").agg(F.count("*").alias("n"))
-    repeated = counted.where("n > 1").select("rev_id")
-    once = drop_ids(revisions, repeated, rows=broadcast_ids).select("rev_id", *rest)
+    repeated = small_side(counted.where("n > 1").select("rev_id").checkpoint(), broadcast_ids)
+    once = revisions.join(repeated, "rev_id", "left_anti").select("rev_id", *rest)
     last = F.max_by(F.struct(*rest), F.struct(*order)).alias("last")
-    again = keep_ids(revisions, repeated, rows=broadcast_ids).groupBy("rev_id").agg(last)
+    again = revisions.join(repeated, "rev_id", "left_semi").groupBy("rev_id").agg(last)
     return once.unionByName(again.select("rev_id", "last.*"))
 
 
@@ -188,14 +189,32 @@ def read_revisions(
     found = _manifest(spark, path)
     if found is None:
         raise ValueError(f"there is no table in {path}")
-    rows = found[1]
+    number, rows = found
     if not rows:
         return spark.createDataFrame([], REVISION).withColumn("id_range", F.lit(0))
-    table = _stored(spark, path, rows)
-    if start is None and end is None:
+    # Which state this is goes with the column, so that searches can ask the manifest.
+    table = _stored(spark, path, rows).withMetadata("id_range", {"table": path, "manifest": number})
+    return in_time(table, start, end)
+
+
+def is_stored(table: DataFrame) -> bool:
+    """Whether the columns tell of which state of a stored table they are."""
+    return "id_range" in table.columns and "manifest" in (table.schema["id_range"].metadata or {})
+
+
+def in_time(table: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Of a stored table the id ranges that hold revisions of the time, by the bounds in its manifest.
+
+    Bounds are those of ``ts_range``; rows outside remain for the predicate to
+    drop. Any other DataFrame stays as it is.
+    """
+    if (start is None and end is None) or not is_stored(table):
         return table
-    listed = spark.createDataFrame(rows, MANIFEST)
-    wanted = listed.where(ts_range(start, None, "last") & ts_range(None, end, "first"))
+    state = table.schema["id_range"].metadata
+    spark = table.sparkSession
+    listed = spark.read.schema(MANIFEST).parquet(f"{state['table']}/manifest/number={state['manifest']}")
+    wanted = listed.where("version <> ''").where(ts_range(start, None, "last") & ts_range(None, end, "first"))
+    # One number per id range: bounded by the id space, not by the rows.
     ranges = sorted(r[0] for r in wanted.select("id_range").distinct().collect())
     return table.where(F.col("id_range").isin(ranges))
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from editwake.functions import predicates as p
 from editwake.operators import batch
 from editwake.schema import CLAUSE
+from editwake.session import work_path
+from editwake.sources.revision_table import read_revisions, write_revisions
 
 
 def clause(query, number, occur, field, kind, value=None, lo=None, hi=None):
@@ -201,3 +203,20 @@ def test_terms_against_brute_force(spark):
         (q, v) for q, v in terms if not any(q == o and v in w[:-1] for o, w in terms)
     )
     assert sorted((r.query_id, r.value) for r in batch.prune_contained_terms(data).collect()) == wanted
+
+
+def test_bounded_queries_read_ranges_of_their_time(spark, revisions):
+    path = work_path(spark, "stored")
+    write_revisions(revisions, path, width=1)
+    stored = read_revisions(spark, path)
+    rows = [clause(1, 0, "must", "added", "phrase", "wor"), clause(1, 1, "must", "timestamp", "range", lo="2002-02-26", hi="2003")]
+    cases = [
+        (rows, [502], True),
+        (rows + [clause(2, 0, "must", "added", "phrase", "wor")], [501, 502, 502], False),
+        (rows[:1] + [clause(1, 1, "must", "timestamp", "range", lo="x", hi="y")], [], False),
+    ]
+    for clauses, ids, pruned in cases:
+        found = batch.match_saved_queries(stored, spark.createDataFrame(clauses, CLAUSE))
+        assert sorted(r.rev_id for r in found.collect()) == ids
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert bool(re.search(r"PartitionFilters: \[[^\]]*id_range#\d+ (IN|=)", plan)) == pruned

@@ -161,3 +161,22 @@ def test_comment_matches(spark):
 def test_titles_with_prefix(spark):
     data = spark.createDataFrame([(10, "Uw-a"), (10, "Uw-a"), (9, "Uw-b"), (10, "x")], "namespace int, title string")
     assert column(tp.title_prefix(data, 10, "Uw-")) == ["Uw-a"]
+
+
+def test_stored_tables_are_read_in_the_time_of_the_versions(spark, tmp_path):
+    from editwake.sources.revision_table import read_revisions, write_revisions
+
+    day = 86_400
+    blank = {n: F.lit("") for n in ("removed", "comment", "title", "user_text", "action")}
+    blank |= {n: F.lit(0) for n in ("page_id", "namespace", "user_id", "added_size", "removed_size")}
+    edits = spark.range(40).select(
+        F.col("id").alias("rev_id"), F.timestamp_seconds(F.col("id") * day).alias("timestamp"), F.lit("one big template text").alias("added")
+    ).withColumns(blank | {"minor": F.lit(False)})
+    write_revisions(edits, str(tmp_path / "t"), width=5)
+    stored = read_revisions(spark, str(tmp_path / "t"))
+    at = lambda n: F.timestamp_seconds(F.lit(n * day))
+    intervals = spark.createDataFrame([("A", ["big template text"]), ("B", ["text"])], "title string, fragments array<string>")
+    intervals = intervals.withColumns({"valid_from": at(12), "valid_to": at(14)})
+    found = tp.match_templates(stored, intervals)
+    assert sorted((r.title, r.rev_id) for r in found.collect()) == [(t, i) for t in "AB" for i in (12, 13, 14)]
+    assert "id_range" in found._jdf.queryExecution().sparkPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
