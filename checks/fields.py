@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from checks.registry import query
+from checks.views import SQL_BREAKS
 from editwake.functions import derive
 from editwake.functions import predicates as p
 from editwake.functions.text import (
+    TEMPLATE_NOTES,
     safe_query_name,
     template_comment_variants,
     template_fragments,
@@ -308,13 +310,12 @@ def comments_unescaped(v):
 
 
 @query(
-    """SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(
-           regexp_replace(body, '(?s)<noinclude>.*?</noinclude>', '', 'g'),
-           '\\{\\{[A-Z]+\\}\\}|\\{\\{#[^\\n]*\\}\\}|\\n|__[A-Z]+__|\\{\\{\\{[0-9]\\}\\}\\}|\\{\\{|\\}\\}|#|</?includeonly>|~~~~|~~~|''|"'),
-         lambda f: length(f) >= 4), chr(9))) AS fragments
-       FROM (SELECT doc_id, replace(replace(replace(text, '. ', '{{PAGENAME}}'), ', ', '{{{1}}}'),
+    f"""SELECT doc_id, md5(array_to_string(list_filter(
+           regexp_split_to_array(regexp_replace(body, '{TEMPLATE_NOTES}', '', 'g'), {SQL_BREAKS}),
+           lambda f: length(f) >= 4), chr(9))) AS fragments
+       FROM (SELECT doc_id, replace(replace(replace(text, '. ', '{{{{PAGENAME}}}}'), ', ', '{{{{{{1}}}}}}'),
                ' la ', '<noinclude>about' || chr(10) || 'it</noinclude>') || '~~~~' AS body
-             FROM documents)""".replace("\\\\", "\\")
+             FROM documents)"""
 )
 def fragments_of_wikitext(v):
     """Whole documents as template text, with markup in place of punctuation."""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from editwake.functions.derive import with_derived
-from editwake.functions.text import escape
+from editwake.functions.text import TEMPLATE_BREAKS, TEMPLATE_NOTES, escape
 from editwake.plans.layout import step
 from editwake.schema import CLAUSE, REVISION
 from editwake.sources.diff_files import format_diff_lines
@@ -214,6 +214,9 @@ def hunks_type() -> str:
 
 # --- the SQL side -------------------------------------------------------------
 
+# The fixed pattern as an SQL text.
+SQL_BREAKS = "'" + TEMPLATE_BREAKS.replace("'", "''") + "'"
+
 _TS = f"make_timestamp(({EPOCH} + doc_id * {STEP}) * 1000000)"
 
 CTES = {
@@ -275,9 +278,7 @@ CTES = {
           coalesce(lead(rev_ts) OVER (PARTITION BY title ORDER BY rev_ts, text),
                    TIMESTAMP '2030-01-01 00:00:00') AS valid_to,
           list_filter(
-            regexp_split_to_array(
-              regexp_replace(text, '(?s)<noinclude>.*?</noinclude>', '', 'g'),
-              '\\{{\\{{[A-Z]+\\}}\\}}|\\{{\\{{#[^\\n]*\\}}\\}}|\\n|__[A-Z]+__|\\{{\\{{\\{{[0-9]\\}}\\}}\\}}|\\{{\\{{|\\}}\\}}|#|</?includeonly>|~~~~|~~~|''|"'),
+            regexp_split_to_array(regexp_replace(text, '{TEMPLATE_NOTES}', '', 'g'), {SQL_BREAKS}),
             lambda f: length(f) >= 4) AS fragments
         FROM history""",
     "matches": """

@@ -58,26 +58,10 @@ def unquote(s: Column) -> Column:
     )
 
 
-# Where template wikitext stops being literal text. Magic words,
-# parser functions, line ends, behaviour switches, numbered parameters, braces,
-# section marks, inclusion tags, signatures and quotes.
-TEMPLATE_BREAKS = "|".join(
-    [
-        r"\{\{[A-Z]+\}\}",
-        r"\{\{#[^\n]*\}\}",
-        r"\n",
-        r"__[A-Z]+__",
-        r"\{\{\{[0-9]\}\}\}",
-        r"\{\{",
-        r"\}\}",
-        r"#",
-        r"</?includeonly>",
-        r"~~~~",
-        r"~~~",
-        r"'",
-        r'"',
-    ]
-)
+# Where template wikitext stops being literal text (magic words, parser
+# functions, line ends, behaviour switches, numbered parameters, braces, section marks,
+# inclusion tags, signatures, quotes), and the notes that are no part of it.
+TEMPLATE_BREAKS = r'''\{\{[A-Z]+\}\}|\{\{#[^\n]*\}\}|\n|__[A-Z]+__|\{\{\{[0-9]\}\}\}|\{\{|\}\}|#|</?includeonly>|~~~~|~~~|'|"'''
 TEMPLATE_NOTES = r"(?s)<noinclude>.*?</noinclude>"
 MIN_FRAGMENT = 4
 
