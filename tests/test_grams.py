@@ -154,6 +154,25 @@ def test_hashed_postings(spark):
     assert column(ps.candidates(built, [token("tid", 4711)])) == [0, 1, 2, 4, 5]
 
 
+def test_hashed_postings_count_revisions(spark):
+    """Grams that share a hash count a revision once; grams are hashed in generated code, as rows."""
+    rows = spark.createDataFrame([("same", 1), ("same", 1), ("same", 2)], "gram string, rev_id long")
+    hashed = rows.withMetadata("gram", {"field": "title", "n": 3, "n_max": 4, "seed": 7})
+    assert ps.gram_frequencies(hashed).first()["revisions"] == 2
+    built = ps.build_postings(spark.createDataFrame([(1, "tide")], "rev_id long, title string"), "title", analyze=g.analyzer(3, 4, 7))
+    assert "lambda" not in built._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+
+
+def test_query_helpers_are_not_shadowed():
+    """Two helpers of one name in a module: the later one took the calls of the first."""
+    import ast
+    from pathlib import Path
+
+    for file in Path(__file__).resolve().parents[1].joinpath("checks").glob("*.py"):
+        names = [n.name for n in ast.parse(file.read_text()).body if isinstance(n, ast.FunctionDef)]
+        assert len(names) == len(set(names)), file
+
+
 def test_searches_are_analysed_as_the_postings_are(spark):
     texts = [*TITLES, " pool 1 ", "\tx pool", "pool", "po", "é😀pool one", ""]
     data = spark.createDataFrame(list(enumerate(texts)), "rev_id long, title string")
