@@ -293,3 +293,42 @@ def test_changes_are_those_of_the_upsert(spark, revisions, tmp_path):
     changes = revision_table.upsert_changes(spark, newer.unionByName(older), path, names).collect()
     before = {r.rev_id: r.added for r in revisions.collect()}
     assert sorted((r.rev_id, r.change, r.added) for r in changes) == sorted([(501, 1, "new"), (501, -1, before[501])])
+
+
+def many_revisions(spark, revisions, n=400):
+    ids = spark.range(n).withColumnRenamed("id", "n")
+    return revisions.where("rev_id = 501").crossJoin(ids).withColumn("rev_id", F.col("n") * 7).drop("n")
+
+
+def test_small_widths_do_not_make_a_file_for_each_id(spark, revisions, tmp_path, monkeypatch):
+    """Folders are bounded for a new table, and a range is one file while it is small."""
+    monkeypatch.setattr(revision_table, "MOST_RANGES", 20)
+    path = str(tmp_path / "table")
+    many = many_revisions(spark, revisions)
+    revision_table.write_revisions(many, path, width=10)
+    table = revision_table.read_revisions(spark, path)
+    ranges = table.select("id_range", F.col("_metadata.file_path").alias("file")).distinct().collect()
+    assert 5 <= len(ranges) <= 20
+    assert len({r["id_range"] for r in ranges}) == len(ranges)
+    assert revision_table.range_width(table) % 10 == 0
+    assert column(table, "rev_id") == column(many, "rev_id")
+
+
+def test_the_last_version_is_found_by_places_or_by_rows(spark):
+    rows = [(1, "a", 1), (1, "b", 2), (2, "c", 1), (3, "d", None), (3, "e", 0), (None, "f", 1), (None, "g", 2)]
+    data = spark.createDataFrame(rows, "rev_id long, title string, seq int")
+    for small in (100, 0):
+        last = revision_table.latest_revision(data, ["seq"], broadcast_ids=small)
+        assert {"b", "c", "e"} <= set(column(last, "title")) and 1 == column(last, "title").count("b")
+        assert not {"a", "d"} & set(column(last, "title"))
+    tied = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (2, "c", 1)], data.schema)
+    assert column(revision_table.latest_revision(tied, ["seq"]), "rev_id") == [1, 2]
+
+
+def test_an_upsert_leaves_no_batch_behind(spark, revisions, tmp_path, monkeypatch):
+    folders = []
+    fresh = revision_table.work_path
+    monkeypatch.setattr(revision_table, "work_path", lambda *a: folders.append(fresh(*a)) or folders[-1])
+    revision_table.upsert_table(spark, revisions.withColumn("seq", F.lit(1)), str(tmp_path / "t"), ["seq"])
+    assert folders and not [f for f in folders if revision_table.folder_names(spark, f)]
+    assert revision_table.read_revisions(spark, str(tmp_path / "t")).count() == revisions.count()
