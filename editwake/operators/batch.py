@@ -8,6 +8,7 @@ should or must not hold.
 from collections.abc import Collection
 from functools import reduce
 from math import ceil
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -391,13 +392,45 @@ def trends_by_query(matches: DataFrame, by: str = "month") -> DataFrame:
     return matches.groupBy("query_id", period).agg(F.count("*").alias("hits"))
 
 
-def prune_contained_terms(terms: DataFrame, by: tuple[str, ...] = ("query_id", "field")) -> DataFrame:
+# Terms of a group that are gathered in one row have at most so many bytes, and not this character.
+GROUP_BYTES = 2**16
+_MARK = "\u0001"
+
+
+def prune_contained_terms(
+    terms: DataFrame, by: tuple[str, ...] = ("query_id", "field"), group_bytes: int = GROUP_BYTES
+) -> DataFrame:
     """Terms that are not inside another term of their group, its last character aside.
 
-    A term of m characters is inside another exactly when it equals one of the
-    other's windows of m characters, so this is an anti-join by equality over
-    the windows of the lengths that occur; terms are never paired up.
+    The terms of a group of at most ``group_bytes`` are looked for in one text of
+    them all, cut by a mark that none has; only these groups are gathered. In larger
+    groups a term of m characters is inside another exactly when it equals one of the
+    other's windows of m characters, so there it is an anti-join by equality over the
+    windows of the lengths that occur, and terms are never paired up.
     """
+    shared_dir(terms.sparkSession)
+    whole = reduce(and_, [F.col(c).isNotNull() for c in (*by, "value")])
+    sized = terms.where(whole).groupBy(*by).agg(
+        F.sum(F.octet_length("value").cast("bigint")).alias("size"), F.max(F.contains("value", F.lit(_MARK))).alias("marked")
+    )
+    large = sized.where((F.col("size") > group_bytes) | F.col("marked")).select(*by).checkpoint()
+    large = small_side(large, text_bytes=F.lit(64))
+    cut = F.transform("values", lambda o: F.substr(o, F.lit(1), F.length(o) - 1))
+    gathered = (
+        terms.where(whole)
+        .join(large, list(by), "left_anti")
+        .groupBy(*by)
+        .agg(F.collect_set("value").alias("values"))
+        .select(*by, "values", F.array_join(cut, _MARK).alias("text"))
+    )
+    kept = F.filter("values", lambda t: (t == "") | ~F.contains(F.col("text"), t))
+    kept = gathered.select(*by, F.explode(kept).alias("value"))
+    # A row with a null has no partner and stays.
+    rest = terms.join(large.withColumn("_large", F.lit(True)), list(by), "left").where(F.col("_large") | ~whole)
+    return kept.unionByName(_prune_by_windows(rest.select(*by, "value"), by))
+
+
+def _prune_by_windows(terms: DataFrame, by: tuple[str, ...]) -> DataFrame:
     distinct = terms.select(*by, "value").distinct()
     lengths = distinct.groupBy(*by).agg(F.collect_set(F.length("value")).alias("lengths"))
     shorter = F.filter("lengths", lambda m: (m > 0) & (m < F.length("value")))

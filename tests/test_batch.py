@@ -205,6 +205,25 @@ def test_terms_against_brute_force(spark):
     assert sorted((r.query_id, r.value) for r in batch.prune_contained_terms(data).collect()) == wanted
 
 
+def test_groups_of_terms_of_any_size_and_marks(spark, monkeypatch):
+    """Small groups are one row each; large ones and those with the mark go by windows, with the same rows."""
+    random = Random(5)
+    words = ["".join(random.choice("ab\u0001" if q == 2 else "abé") for _ in range(random.randrange(0, 6))) for q in range(3) for _ in range(40)]
+    terms = {(i // 40, w) for i, w in enumerate(words)} | {(None, "a"), (None, "ab b"), (1, None)}
+    data = spark.createDataFrame([(q, "added", v) for q, v in terms], "query_id int, field string, value string")
+    wanted = {
+        (q, v) for q, v in terms
+        if not (q is not None and v and any(q == o and w is not None and v in w[:-1] for o, w in terms))
+    }
+    made = []
+    windows = batch._prune_by_windows
+    monkeypatch.setattr(batch, "_prune_by_windows", lambda rows, by: made.append(rows.distinct().count()) or windows(rows, by))
+    for most in (0, 100, 2**16):
+        found = batch.prune_contained_terms(data, group_bytes=most).collect()
+        assert len(found) == len(wanted) and {(r.query_id, r.value) for r in found} == wanted
+    assert made[0] >= made[1] > made[2] and made[2] < len(terms) / 2
+
+
 def test_bounded_queries_read_ranges_of_their_time(spark, revisions):
     path = work_path(spark, "stored")
     write_revisions(revisions, path, width=1)
