@@ -124,3 +124,17 @@ def test_a_trend_takes_back_what_is_replaced(spark):
     assert run() == {"2002-02-25": 1}
     drop(spark, source, "c", SECOND)
     assert run() == {"2002-02-25": 1, "2002-02-26": 1}
+
+
+def test_input_files_are_bounded(spark, revisions):
+    """One file while it is small; of more bytes several tasks write files, with the same lines."""
+    from checks.matching import write_lines
+
+    # Sixteen partitions, so that only the bytes say how many files there are.
+    copies = revisions.crossJoin(spark.range(40)).drop("id").repartition(16)
+    for most, files in ((2**29, 1), (500, 2)):
+        path = work_path(spark, "lines")
+        write_lines(copies, path, most)
+        lines = spark.read.text(path).select("value", "_metadata.file_path")
+        assert lines.count() == 80
+        assert (lines.select("file_path").distinct().count() > 1) == (files > 1)
