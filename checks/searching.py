@@ -144,7 +144,7 @@ def hits_limited_by_range(v):
 def hits_capped_by_group(v):
     langs = v.documents.select(F.col("doc_id").alias("rev_id"), "lang")
     hits = v.revisions.where(p.phrase("added", "e")).select("rev_id").join(langs, "rev_id")
-    return h.cap_hits(hits, 25, ["lang"], width=PART)
+    return h.cap_hits(hits, 25, ["lang"], width=PART, small=10)
 
 
 @query(

@@ -2,12 +2,13 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from editwake.functions.text import unescape
 from editwake.plans.layout import RANK_WIDTH, small_side, with_rank
 from editwake.schema import ESCAPED_FIELDS
+from editwake.session import shared_dir
 
 # Up to here a limit is one row-number or top-n step that keeps n rows per task.
 SMALL_LIMIT = 1000
@@ -66,15 +67,23 @@ def cap_hits(
     by: Sequence[str] = ("query_id",),
     order: str = "rev_id",
     width: int = RANK_WIDTH,
+    small: int = SMALL_LIMIT,
 ) -> DataFrame:
     """The first ``max_revs`` hits of each query, with their rank.
 
-    Located on the bare ids, by counting per query and id range, so a query
-    that holds most of the hits is not sorted in one task; hits beyond the last
-    value of their query are dropped where they are, before anything of them
-    is moved.
+    A cap of up to ``small`` is one row-number step: each task keeps that many
+    hits of a query before anything is moved, and the hits are found once. A
+    large one is located on the bare ids, which are found once and kept, by
+    counting per query and id range, so a query that holds most of the hits is
+    not sorted in one task; hits beyond the last value of their query are
+    dropped where they are, before anything of them is moved.
     """
-    ids = with_rank(hits.select(*by, order), order, by, up_to=max_revs, width=width)
+    if max_revs <= small:
+        numbered = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+        return hits.withColumn("rank", numbered).where(F.col("rank") <= max_revs)
+    shared_dir(hits.sparkSession)
+    bare = hits.select(*by, order).checkpoint()
+    ids = with_rank(bare, order, by, up_to=max_revs, width=width)
     cuts = ids.groupBy(*by).agg(F.max(order).alias("_cut"))
     same = [F.col(f"h.{k}").eqNullSafe(F.col(f"c.{k}")) for k in by]
     within = hits.alias("h").join(

@@ -98,6 +98,22 @@ def test_cap_per_query(spark):
         assert sorted(found[q]) == sorted(i for k, i in rows if k == q)[:25]
 
 
+def test_caps_of_both_sizes(spark):
+    rows = [(q, i) for q in (1, 2, None) for i in Random(q or 9).sample(range(500), 40)]
+    data = spark.createDataFrame(rows, "query_id int, rev_id long")
+    few, many = (sorted(map(repr, h.cap_hits(data, 25, width=50, small=n).collect())) for n in (25, 0))
+    assert few == many and len(few) == 75
+
+
+def test_small_caps_find_the_hits_once(spark):
+    """Counting, ranking and cutting each searched anew, texts shuffled and all."""
+    hits = spark.range(100).select((F.col("id") % 3).alias("query_id"), F.col("id").alias("rev_id"))
+    plan = h.cap_hits(hits, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1
+    # Before the shuffle each task keeps a hit of a query.
+    assert "WindowGroupLimit" in plan
+
+
 def test_rank_with_copies(table, plain):
     ranks = column(with_rank(table, "rev_id", width=10), "rank")
     assert ranks == list(range(1, 301))
