@@ -163,6 +163,26 @@ def test_hashed_postings_count_revisions(spark):
     assert "lambda" not in built._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
 
 
+def test_blocks_of_long_texts(spark):
+    """Texts of several blocks and a rest of each size; only what surrounds the text is trimmed."""
+    for size in range(14, 52):
+        text = "".join(chr(97 + i * i % 23) if i % 5 else "\U0001f600" for i in range(size))
+        for low, high in ((2, 3), (3, 3), (1, 9)):
+            wanted = [(text[i : i + n], i, i + n) for i in range(size) for n in range(low, high + 1) if i + n <= size]
+            if size % 6 == 0 or (low, high) == (2, 3) and size % 2:
+                assert [tuple(x) for x in one(spark, text, lambda s: g.ngram_offsets(s, low, high))] == wanted
+    assert one(spark, "abc \u2028", lambda s: g.hashable_ngrams(s, 5, 5)) == ["abc \u2028"]
+
+
+def test_filters_stay_above_the_hash(spark):
+    """A filter on tokens held the hash some hundred times and did not compile."""
+    data = spark.createDataFrame([(1, "tide pool")], "rev_id long, title string")
+    built = ps.build_postings(data, "title", analyze=g.analyzer(3, 4, 7))
+    plan = ps.of_grams(built, ["abcdef", "ghijkl"])._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000
+    assert all("conv(" not in line for line in plan.splitlines() if "Filter" in line)
+
+
 def test_query_helpers_are_not_shadowed():
     """Two helpers of one name in a module: the later one took the calls of the first."""
     import ast
