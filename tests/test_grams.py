@@ -163,6 +163,32 @@ def test_hashed_postings_count_revisions(spark):
     assert "lambda" not in built._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
 
 
+def test_tokens_counted_by_row(spark):
+    """Keys with several rows, null keys, and grams that share a token count once."""
+    # Of two bytes and of three, the last zero: MurmurHash2 cannot tell these apart.
+    assert token("ab", 5) == token("`b\0", 5)
+    rows = [(1, "ab`b\0x"), (2, "abxab"), (3, "y`b\0x"), (3, "zab"), (None, "abab"), (4, ""), (5, None)]
+    for texts in (rows, rows[:3], [*rows[1:], (2, "ab")]):
+        data = spark.createDataFrame(texts, "doc_id long, text string")
+        listed = data.select("doc_id", g.hashable_ngrams(F.col("text"), 2, 3).alias("grams"))
+        pairs = [
+            (token(t[i : i + n], 5), k) for k, t in texts if t for i in range(len(t)) for n in (2, 3) if i + n <= len(t)
+        ]
+        wanted = {
+            x: (sum(t == x for t, _ in pairs), len({k for t, k in pairs if t == x and k is not None}))
+            for x, _ in pairs
+        }
+        found = {r.token: (r.occurrences, r["keys"]) for r in ps.token_counts(listed, "doc_id", 5, 3).collect()}
+        assert found == wanted
+
+
+def test_tokens_are_counted_without_pairs(spark):
+    """Pairs of document and gram were shuffled and hashed, nine bytes for each of the text."""
+    listed = spark.createDataFrame([(1, ["ab"]), (2, ["ab"])], "doc_id long, grams array<string>")
+    plan = ps.gram_counts(listed, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\((\w+)#\d+[L, ]*\d+\)", plan) == ["gram"]
+
+
 def test_blocks_of_long_texts(spark):
     """Texts of several blocks and a rest of each size; only what surrounds the text is trimmed."""
     for size in range(14, 52):
