@@ -200,6 +200,25 @@ def test_blocks_of_long_texts(spark):
     assert one(spark, "abc \u2028", lambda s: g.hashable_ngrams(s, 5, 5)) == ["abc \u2028"]
 
 
+def test_places_are_cut_and_told_in_batches(spark, monkeypatch):
+    """Each gram and its text went through interpreted lambdas; pieces may end inside a text."""
+    import pyarrow as pa
+
+    texts = [None, "", "a", "a\U0001f600\n\u2028", "\u00e4b|c@1", "xyz" * 7]
+    told = [
+        t if t is None else "|".join(f"{t[i : i + n]}@{i}-{i + n}" for i in range(len(t)) for n in (2, 3) if i + n <= len(t))
+        for t in texts
+    ]
+    for piece in (1, 5, 100):
+        monkeypatch.setattr(g.gram_arrays, "PIECE", piece)
+        cut = g.gram_arrays.placed(pa.array(["zzz", *texts]).slice(1), 2, 3)
+        assert g.gram_arrays.told(cut).to_pylist() == told
+    data = spark.createDataFrame([(t,) for t in texts], "s string")
+    made = data.select(g.offsets_text(g.ngram_offsets(F.col("s"), 2, 3)).alias("told"))
+    assert [r.told for r in made.collect()] == told
+    assert "lambda" not in re.sub("<lambda>", "", made._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_filters_stay_above_the_hash(spark):
     """A filter on tokens held the hash some hundred times and did not compile."""
     data = spark.createDataFrame([(1, "tide pool")], "rev_id long, title string")
