@@ -219,6 +219,30 @@ def test_places_are_cut_and_told_in_batches(spark, monkeypatch):
     assert "lambda" not in re.sub("<lambda>", "", made._jdf.queryExecution().optimizedPlan().toString())
 
 
+def test_texts_are_hashed_in_batches_and_searched_once(spark, monkeypatch):
+    """Each gram was hashed as a row of its own, for the counts and again for the candidates."""
+    monkeypatch.setattr(g.gram_arrays, "PIECE", 7)
+    import pyarrow as pa
+
+    texts = ["tide pool tide pool", None, "", "ab", "\u00e4\U0001f600\n\u00e4\U0001f600\n" * 4]
+    data = pa.array(["zz", *texts]).slice(1)
+    for low, high, seed in ((1, 2, 0), (3, 4, 77), (2, 6, 2**32 - 1)):
+        in_order = g.gram_arrays.hashed(data, low, high, seed).to_pylist()
+        text = texts[0]
+        sizes = range(low, high + 1)
+        every = [text[i : i + n] for i in range(len(text) - high + 1) for n in sizes]
+        every += [text[1 - high :][:n] for n in sizes if n < high]
+        assert in_order[0] == [token(x, seed) for x in every]
+        once = g.gram_arrays.hashed(data, low, high, seed, once=True).to_pylist()
+        assert [x and sorted(x) for x in once] == [x and sorted(set(x)) for x in in_order]
+    rows = spark.createDataFrame(list(enumerate(TITLES)), "rev_id long, title string")
+    built = ps.build_postings(rows, "title", analyze=g.analyzer(3, 4, 77))
+    found = ps.postings_search(rows, built, "tide pool", "title")
+    assert column(found, "rev_id") == [0, 1, 2]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "pythonUDF" not in plan
+
+
 def test_filters_stay_above_the_hash(spark):
     """A filter on tokens held the hash some hundred times and did not compile."""
     data = spark.createDataFrame([(1, "tide pool")], "rev_id long, title string")
