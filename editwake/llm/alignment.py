@@ -3,7 +3,8 @@
 Both tokenizers cut the same bytes, so each token has a place where it ends. The
 two arrays of ends are compared at the current index shift: stretches in which
 each token of one is a token of the other are probed with doubling and then
-halving widths, and skipped as one. Where the ends differ, the irregular group is
+halving widths, and skipped as one. From a common end on, ends are equal where sizes
+are, so the sizes are compared, which are packed in one byte each. Where the ends differ, the irregular group is
 walked token by token up to the next common end, and the shift changes to that of
 the tokens after it. Inside such a group a link ends wherever a token does.
 
@@ -32,6 +33,7 @@ from editwake.llm.common import prepare, written
 from editwake.llm.encoders import byte_pieces
 
 CHUNK_BYTES = 4 * 2**20  # of text, after which a chunk ends
+FIRST_WIDTH = 4  # of the tokens that are compared at once
 HALF = np.int64(32)
 MASK = np.int64(2**32 - 1)
 
@@ -44,30 +46,37 @@ def align(ends_a: list[int], ends_b: list[int]) -> list[Segment]:
     A segment is the first token and the one after the last of either side, and
     whether it is a stretch of one-to-one groups or one irregular group.
     """
+    return align_sizes(*(np.diff(ends, prepend=0).tolist() for ends in (ends_a, ends_b)))
+
+
+def align_sizes(sizes_a: bytes | list[int], sizes_b: bytes | list[int]) -> list[Segment]:
+    """The same from the sizes of the tokens, as lists or packed in bytes."""
     segments: list[Segment] = []
     i = j = 0
-    size = len(ends_a)
+    size = len(sizes_a)
+    # Marks that differ end the last stretch.
+    sizes_a, sizes_b = sizes_a + type(sizes_a)((0,)), sizes_b + type(sizes_b)((1,))
     while i < size:
-        start, first_b, width = i, j, 1
-        while i < size and ends_a[i : i + width] == ends_b[j : j + width]:
+        start, first_b, width = i, j, FIRST_WIDTH
+        while sizes_a[i : i + width] == sizes_b[j : j + width]:
             i, j, width = i + width, j + width, width + width
-        while i < size and width > 1:
+        while width > 1:
             width //= 2
-            if ends_a[i : i + width] == ends_b[j : j + width]:
+            if sizes_a[i : i + width] == sizes_b[j : j + width]:
                 i, j = i + width, j + width
         if i > start:
-            segments.append((start, min(i, size), first_b, min(j, len(ends_b)), True))
-        if i >= size:
+            segments.append((start, i, first_b, j, True))
+        if i == size:
             break
         start, first_b = i, j
-        a, b = ends_a[i], ends_b[j]
+        a, b = sizes_a[i], sizes_b[j]
         while a != b:
             if a < b:
                 i += 1
-                a = ends_a[i]
+                a += sizes_a[i]
             else:
                 j += 1
-                b = ends_b[j]
+                b += sizes_b[j]
         i, j = i + 1, j + 1
         segments.append((start, i, first_b, j, False))
     return segments
@@ -75,7 +84,8 @@ def align(ends_a: list[int], ends_b: list[int]) -> list[Segment]:
 
 def links(ends_a: np.ndarray, ends_b: np.ndarray, alone_a: np.ndarray, alone_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places of linked tokens inside irregular groups: one link ends where a token of either side does."""
-    ends = np.union1d(ends_a[~alone_a], ends_b[~alone_b])
+    ends = np.sort(np.concatenate([ends_a[~alone_a], ends_b[~alone_b]]), kind="stable")
+    ends = ends[np.diff(ends, prepend=-1) > 0]
     return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
 
 
@@ -108,8 +118,10 @@ class Aligned:
 
     def __init__(self, a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray):
         self.a, self.b = a, b
-        ends_a, ends_b = np.cumsum(sizes_a[a]), np.cumsum(sizes_b[b])
-        self.segments = align(ends_a.tolist(), ends_b.tolist())
+        of_a, of_b = sizes_a.take(a), sizes_b.take(b)
+        ends_a, ends_b = np.cumsum(of_a, dtype=np.int64), np.cumsum(of_b, dtype=np.int64)
+        packed = of_a.itemsize == of_b.itemsize == 1
+        self.segments = align_sizes(*(s.tobytes() if packed else s.tolist() for s in (of_a, of_b)))
         alone_a, self.last_a = marks(self.segments, a.size, 0)
         alone_b, self.last_b = marks(self.segments, b.size, 2)
         linked_a, linked_b = links(ends_a, ends_b, alone_a, alone_b)
@@ -122,14 +134,14 @@ class Aligned:
     def digest(self, texts: np.ndarray) -> str:
         """Lowercase hex of the groups, as ``a1,a2|b1;a3|b2,b3`` in decimal numbers.
 
-        ``texts`` are the numbers with a comma, a bar and a semicolon after them.
+        ``texts`` are the numbers with a comma, a bar and a semicolon after them, as zero-padded bytes.
         """
         ends_a, ends_b = np.flatnonzero(self.last_a) + 1, np.flatnonzero(self.last_b) + 1
         groups_a, groups_b = (np.cumsum(last) - last for last in (self.last_a, self.last_b))
-        said = np.empty(self.a.size + self.b.size, dtype=object)
+        said = np.empty(self.a.size + self.b.size, dtype=texts.dtype)
         said[np.arange(self.a.size) + np.concatenate([[0], ends_b])[groups_a]] = texts[self.last_a * 1, self.a]
         said[np.arange(self.b.size) + ends_a[groups_b]] = texts[self.last_b * 2, self.b]
-        return hashlib.sha256("".join(said.tolist())[:-1].encode()).hexdigest()
+        return hashlib.sha256(said.tobytes().translate(None, b"\0")[:-1]).hexdigest()
 
 
 class Aligner:
@@ -138,23 +150,17 @@ class Aligner:
     def __init__(self, byte_model: str, piece_model: bytes):
         self.models = byte_pieces(byte_model, piece_model)
         surfaces = self.models.byte_surface, self.models.piece_surface
-        self.sizes = [np.array([len(s) for s in surface], dtype=np.int64) for surface in surfaces]
+        sizes = [np.array([len(s) for s in surface]) for surface in surfaces]
+        self.sizes = [s.astype(np.min_scalar_type(s.max())) for s in sizes]
         numbers = range(max(map(len, surfaces)))
-        self.texts = np.array([[f"{i}{after}" for i in numbers] for after in ",|;"], dtype=object)
+        self.texts = np.array([[f"{i}{after}".encode() for i in numbers] for after in ",|;"])
 
     def __call__(self, text: str | None) -> Aligned | None:
         """The aligned document, or None if it has no tokens."""
         if not text:
             return None
-        models, whole = self.models, f" {text}"
-        raw = whole.encode()
-        ids = []
-        for encode, surface in ((models.byte_ids, models.byte_surface), (models.piece_ids, models.piece_surface)):
-            found = encode(whole)
-            if b"".join(map(surface.__getitem__, found)) != raw:
-                return None
-            ids.append(np.array(found, dtype=np.int32))
-        return Aligned(*ids, *self.sizes)
+        found = self.models.ids(f" {text}")
+        return Aligned(*found, *self.sizes) if found else None
 
 
 def packed_links(places: np.ndarray, links: np.ndarray) -> bytes:

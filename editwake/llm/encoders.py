@@ -2,6 +2,10 @@
 
 Where no token can hold white space a text is encoded a word at a time. Words occur again and again: their ids are remembered, and those that
 are not known yet are encoded by the library together.
+
+Models that merge by ranks are given to tiktoken, where its merges are theirs: ids
+then come as arrays, and their bytes are those of the text. Other texts go to the
+library of the model.
 """
 
 import json
@@ -11,6 +15,8 @@ import unicodedata
 from array import array
 from collections.abc import Callable
 
+import numpy as np
+
 from editwake.llm.common import MEMO_KEY, held
 
 MARK = "▁"  # stands for a space inside pieces
@@ -19,7 +25,7 @@ WORDS = re.compile(r"[^ \t\n\r]+")
 # All but Latin letters and common signs, which have one form and one lower case each.
 FORMS = re.compile("[^\x00-\u012f\u0131-\u024f\u2010-\u2027]")
 END = b"\xff"  # in no text
-LONG_RUN = re.compile(r"[^ ]{2000}|\s{2000}")
+LONG_RUN = re.compile(r"[^ ]{2000}|\s{2000}")  # in which merging by ranks is slow
 # The fixed pattern that byte-level models cut texts by.
 BYTE_LEVEL = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -175,20 +181,20 @@ def word_encoder(model: str) -> PartEncoder:
     return held(("words", model), build)
 
 
-def _byte_level(model: str, vocabulary: dict[str, int], surface: list[bytes]) -> Callable[[str], list[int]]:
-    """Encoding of whole texts; their special tokens are ordinary text.
-
-    Where a model's ids are in the order of its merges, as ranks are, the faster
-    of the two libraries is used; it is slow in long runs without a space.
-    """
+def _ranked(ranks: dict[bytes, int], pattern: str) -> Callable[[str], np.ndarray]:
+    """Merging of whole texts by ranks, inside the matches of a pattern."""
     import tiktoken
 
-    rules = json.loads(model)
+    coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: coder.encode_to_numpy(text, disallowed_special=())
+
+
+def _byte_level(rules: dict, vocabulary: dict[str, int], surface: list[bytes]) -> Callable[[str], np.ndarray] | None:
+    """A byte-level model merged by ranks, if its ids are in the order of its merges, as ranks are."""
     merges = rules["model"]["merges"]
     joined = ["".join(m if isinstance(m, list) else m.split(" ")) for m in merges]
     steps = rules["pre_tokenizer"] or {}
     plain = [t["id"] for t in rules["added_tokens"]]
-    general = library(model, plain=True)
     if (
         [vocabulary[t] for t in joined] != [*range(256, 256 + len(joined))]
         or steps.get("type") != "ByteLevel"
@@ -196,14 +202,82 @@ def _byte_level(model: str, vocabulary: dict[str, int], surface: list[bytes]) ->
         or steps["add_prefix_space"]
         or rules["normalizer"] is not None
     ):
-        return lambda text: general([text])[0]
-    ranks = {s: i for i, s in enumerate(surface) if i not in plain}
-    ranked = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: general([text])[0] if LONG_RUN.search(text) else ranked.encode_ordinary(text)
+        return None
+    return _ranked({s: i for i, s in enumerate(surface) if i not in plain}, BYTE_LEVEL)
+
+
+def _merged_pieces(proto, pieces) -> Callable[[str], np.ndarray] | None:
+    """A piece model merged by ranks: those of its scores, after the characters have been made of their bytes.
+
+    For texts without marks. Runs of spaces are pieces of one score, the last of all; the
+    library joins them from the left, as is done if a longer run ranks before a shorter one.
+    The first bytes of characters rank too; where they stay, the character has no piece
+    and is spelt in bytes. None if the model does other than merge what is written,
+    if the order of merges or the cuts are not sure, or if a piece is not its own encoding.
+    """
+    form, trained = proto.normalizer_spec, proto.trainer_spec
+    name = [p.piece.replace(MARK, " ") for p in proto.pieces]
+    of_byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == p.BYTE}
+    normal = [i for i, p in enumerate(proto.pieces) if p.type == p.NORMAL]
+    longer = [i for i in normal if len(name[i]) > 1]
+    strict = [i for i in longer if name[i].strip(" ")]
+    runs = sorted((i for i in longer if not name[i].strip(" ")), key=lambda i: -len(name[i]))
+    if (
+        trained.model_type != trained.BPE
+        or trained.treat_whitespace_as_suffix
+        or form.precompiled_charsmap
+        or form.remove_extra_whitespaces
+        or not (form.add_dummy_prefix and form.escape_whitespaces)
+        or len(of_byte) < 256
+        or any(p.type in (p.USER_DEFINED, p.UNUSED) for p in proto.pieces)
+        or len({proto.pieces[i].score for i in strict}) < len(strict)
+        or any(" " in name[i][1:] or "\n" in name[i] for i in strict)
+        or len({proto.pieces[i].score for i in runs}) > 1
+        or any(proto.pieces[i].score >= min(proto.pieces[j].score for j in strict) for i in runs[:1])
+    ):
+        return None
+    # A match of the pattern that is a piece is given as it is.
+    if pieces.encode([name[i][1:] for i in strict if name[i][0] == " "], num_threads=1) != [[i] for i in strict if name[i][0] == " "]:
+        return None
+
+    of_char = {name[i]: i for i in normal if len(name[i]) == 1}
+    ranks = {bytes([b]): b for b in range(256)}
+    spelt = [[of_char.get(chr(b), of_byte[b]) if b < 128 else of_byte[b]] for b in range(256)]
+
+    def add(raw: bytes, ids: list[int]) -> None:
+        if raw not in ranks:
+            ranks[raw] = len(spelt)
+            spelt.append(ids)
+
+    for char, i in of_char.items():
+        raw = char.encode()
+        for size in range(2, len(raw)):
+            add(raw[:size], [of_byte[b] for b in raw[:size]])
+        add(raw, [i])
+    for i in [*sorted(strict, key=lambda i: -proto.pieces[i].score), *runs]:
+        add(name[i].encode(), [i])
+    # The ids of each rank, one as a rule, the rest of the row being -1.
+    rows = np.array([ids + [-1] * (3 - len(ids)) for ids in spelt], dtype=np.int32)
+    one = np.where(rows[:, 1] < 0, rows[:, 0], -1)
+    merged = _ranked(ranks, r" *[^ \n]+| +|\n")
+
+    def encode(text: str) -> np.ndarray:
+        found = merged(text)
+        ids = one.take(found)
+        if ids.size and ids.min() < 0:
+            ids = rows[found].ravel()
+            ids = ids[ids >= 0]
+        return ids
+
+    spaces = [" " * n for n in range(2, 3 * max([1, *(len(name[i]) for i in runs)]) + 1)]
+    return encode if [encode(s).tolist() for s in spaces] == pieces.encode([s[1:] for s in spaces], num_threads=1) else None
 
 
 class BytePieces:
-    """Two encoders of a space and a text, byte-level and by pieces, and the bytes of their ids."""
+    """Two encoders of a space and a text, byte-level and by pieces, and the bytes of their ids.
+
+    Special tokens of the first are ordinary text.
+    """
 
     def __init__(self, byte_model: str, piece_model: bytes):
         import sentencepiece
@@ -215,7 +289,8 @@ class BytePieces:
         self.byte_surface = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.byte_surface[i] = bytes(of_char.get(c, 0x3F) for c in token)
-        self.byte_ids = _byte_level(byte_model, vocabulary, self.byte_surface)
+        self.byte_library = library(byte_model, plain=True)
+        self.bytes_ranked = _byte_level(rules, vocabulary, self.byte_surface)
 
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(piece_model)
@@ -223,9 +298,38 @@ class BytePieces:
             bytes([int(p.piece[1:-1], 16)]) if p.type == p.BYTE else p.piece.replace(MARK, " ").encode()
             for p in proto.pieces
         ]
-        pieces = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
+        self.pieces = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
+        self.pieces_ranked = _merged_pieces(proto, self.pieces)
+
+    def _byte_ids(self, text: str, short: bool) -> tuple[np.ndarray, bool]:
+        if short and self.bytes_ranked:
+            return self.bytes_ranked(text), True
+        return np.array(self.byte_library([text])[0], dtype=np.int32), False
+
+    def _piece_ids(self, text: str, short: bool) -> tuple[np.ndarray, bool]:
+        if short and self.pieces_ranked and MARK not in text:
+            return self.pieces_ranked(text), True
         # The model adds the space at the start itself.
-        self.piece_ids = lambda text: pieces.encode(text[1:], num_threads=1)
+        return np.array(self.pieces.encode(text[1:], num_threads=1), dtype=np.int32), False
+
+    def byte_ids(self, text: str) -> list[int]:
+        return self._byte_ids(text, not LONG_RUN.search(text))[0].tolist()
+
+    def piece_ids(self, text: str) -> list[int]:
+        return self._piece_ids(text, not LONG_RUN.search(text))[0].tolist()
+
+    def ids(self, text: str) -> list[np.ndarray] | None:
+        """The ids of a text that starts with a space by both encoders, or None if the bytes of either are others.
+
+        What is merged by ranks has the bytes of the text; what the libraries give is compared.
+        """
+        short, out = not LONG_RUN.search(text), []
+        for encode, surface in ((self._byte_ids, self.byte_surface), (self._piece_ids, self.piece_surface)):
+            ids, sure = encode(text, short)
+            if not sure and b"".join(map(surface.__getitem__, ids.tolist())) != text.encode():
+                return None
+            out.append(ids)
+        return out
 
 
 def byte_pieces(byte_model: str, piece_model: bytes) -> BytePieces:

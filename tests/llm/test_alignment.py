@@ -13,7 +13,18 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from editwake.llm.alignment import align, aligned_groups, alignments, groups_of, links, marks, packed_links, unpacked_links
+from editwake.llm.alignment import (
+    Aligner,
+    align,
+    align_sizes,
+    aligned_groups,
+    alignments,
+    groups_of,
+    links,
+    marks,
+    packed_links,
+    unpacked_links,
+)
 from editwake.llm.encoders import byte_of_char, byte_pieces
 
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -100,6 +111,55 @@ def test_encoders_are_the_libraries(text):
     assert models.piece_ids(" " + text) == PIECES.encode(text)
 
 
+NAMES = [PIECES.id_to_piece(i).replace("▁", " ") for i in range(PIECES.get_piece_size())]
+BITS = st.one_of(st.sampled_from(NAMES), st.sampled_from([" ", "\n", "\r\n", "\t", "🙂", "🧿", "語", "e\u0301", "\x00", "\u3000", "▁"]))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(BITS, min_size=1, max_size=30).map("".join))
+def test_encoders_of_joined_pieces(text):
+    """Parts of pieces beside others, and characters that have no piece."""
+    models = byte_pieces(Path(PATHS[0]).read_text(encoding="utf-8"), Path(PATHS[1]).read_bytes())
+    got, found = tokens(text), models.ids(" " + text)
+    assert models.piece_ids(" " + text) == PIECES.encode(text)
+    assert (found and [i.tolist() for i in found]) == (got and [*got[:2]])
+
+
+@pytest.mark.parametrize("after", ["", "end", "\n", "🙂", "\t\t"])
+def test_runs_of_spaces(after):
+    models = byte_pieces(Path(PATHS[0]).read_text(encoding="utf-8"), Path(PATHS[1]).read_bytes())
+    for n in range(1, 100):
+        text = f"{' ' * (n % 7)}a{' ' * n}{after}"
+        assert models.piece_ids(" " + text) == PIECES.encode(text)
+
+
+def test_ordinary_texts_are_merged_by_ranks(monkeypatch):
+    aligner = Aligner(Path(PATHS[0]).read_text(encoding="utf-8"), Path(PATHS[1]).read_bytes())
+    asked = []
+    encode = sentencepiece.SentencePieceProcessor.encode
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "encode", lambda self, text, **k: asked.append(text) or encode(self, text, **k))
+    texts = ["The quick brown foxes\njumped", "naïve café 語言 🙂 end", "two  spaces", "a ▁ mark", "x" * 5000]
+    found = [aligner(text) for text in texts]
+    assert asked == texts[3:]
+    assert [d and [d.a.tolist(), d.b.tolist()] for d in found] == [got and [*got[:2]] for got in map(tokens, texts)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 300), min_size=1, max_size=30), st.lists(st.integers(1, 300), min_size=1, max_size=30))
+def test_sizes_packed_or_not(a, b):
+    """Ends at one place, with sizes that do not fit in a byte among them."""
+    short, long = sorted((a, b), key=sum)
+    short = [*short, *[sum(long) - sum(short)] * (sum(long) > sum(short)), 7]
+    long = [*long, 7]
+    segments = align(np.cumsum(short).tolist(), np.cumsum(long).tolist())
+    assert align_sizes(short, long) == segments
+    if max(*short, *long) < 256:
+        assert align_sizes(bytes(short), bytes(long)) == segments
+    groups = groups_of(segments, short, long)
+    assert all(sum(x) == sum(y) for x, y in groups)
+    assert [*np.cumsum([sum(x) for x, _ in groups])] == sorted({*np.cumsum(short).tolist()} & {*np.cumsum(long).tolist()})
+
+
 def test_packed_links():
     places, links = np.array([0, 5, 70_000]), np.array([1, 300, 2])
     assert [x.tolist() for x in unpacked_links(packed_links(places, links))] == [places.tolist(), links.tolist()]
