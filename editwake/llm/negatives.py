@@ -15,9 +15,11 @@ depends on how well the codes fit: bad codes make more visits.
 
 An anchor's positives are the best of its label. Labels of few vectors are one
 list. The window of a positive is a range of scores that is relative to its own; the
-negatives are the best of other labels in it. Lists and the anchors that visit
-them meet in pairs of blocks of bounded size, so one list or label may hold any
-share of the rows.
+negatives are the best of other labels in it. Lists of neighbouring cells stand on
+a shelf of bounded size, and an anchor goes to a shelf once for all cells it visits
+there, so its rows grow with the shelves and not with the cells. Shelves and the
+anchors that visit them meet in pairs of blocks of bounded size, so one list or
+label may hold any share of the rows.
 
 The codebooks are fitted on ``SAMPLE`` vectors at most, picked by hash; all rows
 are indexed. Vectors of another length than the anchor's are not compared with it.
@@ -42,9 +44,11 @@ ROUNDS = 12  # of the fit
 PER_CELL = 64  # vectors of a cell, about
 MOST_CODES = 256  # of a half
 BLOCK = 2_048  # vectors of a list that are scored at once
+SHELF = 1_536  # vectors at which a shelf of cells ends
+SENT = 4_096  # rows of a batch of visits
 VISITORS = 1_024  # anchors that score them at once
 PROBED = 64  # vectors that the first pass wants for each one that is asked for
-WHOLE = -1  # the list of a label of few vectors
+WHOLE = -1  # the shelf of a label of few vectors
 SEED = 12
 EXACT = 2.0**53
 LEAST, MOST = -(2**63), 2**63 - 1
@@ -87,12 +91,13 @@ def nearest(halves: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Index:
-    """Codebooks of one length of vectors, and what is known of all rows: radii and sizes of lists."""
+    """Codebooks of one length of vectors, and what is known of all rows: radii, sizes of lists and the rows before each."""
 
     def __init__(self, size: int, books: list[np.ndarray]):
         self.half, self.books = size // 2, books
         self.radii = [np.zeros(len(b)) for b in books]
         self.members = np.zeros(tuple(len(b) for b in books), dtype=np.int64)
+        self.before = np.zeros(self.members.size, dtype=np.int64)
 
     def halves(self, vectors: np.ndarray) -> list[np.ndarray]:
         return [vectors[:, : self.half], vectors[:, self.half :]]
@@ -122,17 +127,28 @@ def descending(one: np.ndarray, two: np.ndarray) -> Iterator[tuple[int, int, flo
             heappush(heap, (-(a[i + 1] + b[0]), i + 1, 0))
 
 
-def visits(index: Index, upper: list, lower: list, lows: list[int], highs: list[int], wanted: float | None) -> list[int]:
-    """The cells that may hold what lies in any of the windows; enough of them for ``wanted`` rows, if given."""
+def visits(index: Index, upper: list, lower: list, lows: list[int], highs: list[int], wanted: float | None) -> np.ndarray:
+    """The cells that may hold what lies in any of the windows; enough of them for ``wanted`` rows, if given.
+
+    Without a number nothing hangs on the order: the cells at which the heap would
+    arrive are taken at once.
+    """
+    if wanted is None:
+        most, low = (one[:, None] + two for one, two in (upper, lower))
+        inside = np.zeros(index.members.shape, dtype=bool)
+        for lo, hi in zip(lows, highs):
+            # Whole numbers that are no doubles may round to the wrong side.
+            inside |= (most >= np.nextafter(float(lo), -np.inf)) & (low <= np.nextafter(float(hi), np.inf))
+        return np.flatnonzero(inside & (index.members > 0))
     found, seen, least = [], 0, min(lows)
     for i, j, most in descending(*upper):
-        if most < least or (wanted is not None and seen >= wanted):
+        if most < least or seen >= wanted:
             break
         low = lower[0][i] + lower[1][j]
         if index.members[i, j] and any(most >= lo and low <= hi for lo, hi in zip(lows, highs)):
             found.append(i * len(index.books[1]) + j)
             seen += index.members[i, j]
-    return found
+    return np.array(found, dtype=np.int64)
 
 
 def _vectors(rows: DataFrame, id_col: str, vector_col: str, label_col: str, scale: int) -> DataFrame:
@@ -193,47 +209,68 @@ def _placed(vectors: DataFrame, sent) -> DataFrame:
     return vectors.select("size", "packed", *names).mapInArrow(run, schema)
 
 
-def _complete(indexes: dict[int, Index], placed: DataFrame) -> None:
-    """Enter the sizes and radii of all cells; there is a bounded number of them."""
+def _complete(indexes: dict[int, Index], placed: DataFrame) -> DataFrame:
+    """Enter the sizes and radii of all cells; there is a bounded number of them.
+
+    Returns the cells with the number of rows ``before`` each, by which they are put on shelves.
+    """
     cells = placed.groupBy("size", "cell").agg(F.count("*").alias("n"), F.max("near_1").alias("r1"), F.max("near_2").alias("r2"))
-    for size, cell, n, *reach in cells.collect():
+    earlier = Window.partitionBy("size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = written(cells.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long"))), "cells")
+    for size, cell, n, *reach, before in cells.collect():
         index = indexes[size]
         codes = divmod(cell, len(index.books[1]))
         index.members[codes] = n
+        index.before[cell] = before
         for radii, code, r in zip(index.radii, codes, reach):
             radii[code] = max(radii[code], r)
+    return cells.select("size", "cell", "before")
 
 
 def _visiting(asked: DataFrame, sent, per_window: float | None) -> DataFrame:
-    """Each asking anchor once for each cell it visits, for all its windows."""
-    names = ["node", "id", "label", "scope", "size", "packed", "share", "lows", "highs"]
+    """Each asking anchor once for each shelf with cells it visits, for all its windows."""
+    names = ["node", "id", "label", "scope", "size", "packed", "share", "width", "lows", "highs"]
 
     def run(batches):
         for batch in batches:
             sizes = batch.column(4).to_pylist()
-            share, lows, highs = (batch.column(i).to_pylist() for i in (6, 7, 8))
-            rows, cells = [], []
+            share, widths, lows, highs = (batch.column(i).to_pylist() for i in (6, 7, 8, 9))
             packed = batch.column(5).to_pylist()
+
+            def dealt(rows, shelves):
+                taken = batch.take(pa.array(np.concatenate(rows)))
+                return pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(shelves))], [*names, "shelf"])
+
+            rows: list[np.ndarray] = []
+            shelves: list[np.ndarray] = []
+            held = 0
             for at, size in enumerate(sizes):
                 index = sent.value[size]
                 upper, lower = next(index.bounds(integers([packed[at]], size)))
                 wanted = None if per_window is None else per_window * PROBED / share[at]
-                found = visits(index, upper, lower, lows[at], highs[at], wanted)
-                rows += [at] * len(found)
-                cells += found
+                cells = visits(index, upper, lower, lows[at], highs[at], wanted)
+                found = np.unique(index.before[cells] // widths[at])
+                # Visits are sent on as they get many: a batch of anchors may visit millions of lists.
+                for lo in range(0, len(found), SENT):
+                    part = found[lo : lo + SENT]
+                    if rows and held + len(part) > SENT:
+                        yield dealt(rows, shelves)
+                        rows, shelves, held = [], [], 0
+                    rows.append(np.full(len(part), at))
+                    shelves.append(part)
+                    held += len(part)
             if rows:
-                taken = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells, pa.int64())], [*names, "cell"])
+                yield dealt(rows, shelves)
 
     kinds = ", ".join(f"{c} {asked.schema[c].dataType.simpleString()}" for c in names)
-    return asked.select(*names).mapInArrow(run, f"{kinds}, cell long")
+    return asked.select(*names).mapInArrow(run, f"{kinds}, shelf long")
 
 
-KEYS = ["scope", "size", "cell", "block", "part"]
+KEYS = ["scope", "size", "shelf", "block", "part"]
 
 
 def _met(visiting: DataFrame, listed: DataFrame) -> DataFrame:
-    """Visitors and the vectors of the lists they visit, in pairs of blocks of bounded size."""
+    """Visitors and the vectors of the shelves they visit, in pairs of blocks of bounded size."""
     lists = KEYS[:3]
     visited = visiting.groupBy(*lists).agg(F.count("*").alias("visitors"))
     known = listed.groupBy(*lists).agg(F.count("*").alias("members")).join(visited, lists)
@@ -333,21 +370,28 @@ def hard_negatives(
     vectors = written(_vectors(rows, id_col, vector_col, label_col, scale), "whole-vectors")
     indexes = _fitted(vectors)
     placed = written(_placed(vectors, spark.sparkContext.broadcast(indexes)), "placed-vectors")
-    _complete(indexes, placed)
+    cells = _complete(indexes, placed)
     sent = spark.sparkContext.broadcast(indexes)
 
     # Few vectors of a label are one list; the others are listed by cell.
     sizes = placed.groupBy("size").agg(F.count("*").alias("all"))
     labels = placed.groupBy("size", "scope").agg(F.count("*").alias("own")).join(F.broadcast(sizes), "size")
-    labels = labels.select("size", "scope", (F.col("own") / F.col("all")).alias("share"), (F.col("own") <= BLOCK).alias("few"))
-    known = placed.drop("near_1", "near_2").join(small_side(written(labels, "labels")), ["size", "scope"])
-    known = known.withColumn("cell", F.when(F.col("few"), F.lit(WHOLE).cast("long")).otherwise(F.col("cell")))
+    # The cells of a shelf hold about as many vectors of a label as one of all labels has vectors.
+    wide = F.lit(SHELF) * F.pow(F.lit(2), F.floor(F.log2(F.col("all") / F.col("own"))))
+    labels = labels.select(
+        *("size", "scope", (F.col("own") / F.col("all")).alias("share")),
+        *((F.col("own") <= BLOCK).alias("few"), wide.cast("long").alias("width")),
+    )
+    shelved = placed.drop("near_1", "near_2").join(small_side(cells), ["size", "cell"]).drop("cell")
+    known = shelved.join(small_side(written(labels, "labels")), ["size", "scope"])
+    shelf = F.when(F.col("few"), F.lit(WHOLE).cast("long")).otherwise(F.expr("before div width"))
+    known = known.withColumn("shelf", shelf)
     bound = lambda n: F.array(F.lit(n).cast("long"))
     anchors = known.where(is_anchor).withColumn("lows", bound(LEAST)).withColumn("highs", bound(MOST))
-    listed = known.select("node", "id", "label", "scope", "size", "packed", "cell")
-    few = _best(anchors.where("few"), listed.where(F.col("cell") == WHOLE), positives, same=True)
-    many = anchors.where("NOT few").drop("cell")
-    many = _certified(many, listed.where(F.col("cell") != WHOLE), sent, positives, same=True)
+    listed = known.select("node", "id", "label", "scope", "size", "packed", "shelf")
+    few = _best(anchors.where("few"), listed.where(F.col("shelf") == WHOLE), positives, same=True)
+    many = anchors.where("NOT few").drop("shelf")
+    many = _certified(many, listed.where(F.col("shelf") != WHOLE), sent, positives, same=True)
     found = written(few.unionByName(many), "positives")
 
     # Windows in percent without overflow: the score is 100 * q + r.
@@ -361,8 +405,9 @@ def hard_negatives(
     )
     windows = chosen.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", "lo", "hi"))).alias("windows"))
     windows = windows.select("node", F.col("windows.lo").alias("lows"), F.col("windows.hi").alias("highs"))
-    everything = placed.drop("near_1", "near_2").withColumn("scope", F.lit(0).cast("long"))
-    asked = everything.where(is_anchor).drop("cell").withColumn("share", F.lit(1.0))
+    everything = shelved.withColumn("scope", F.lit(0).cast("long")).withColumn("width", F.lit(SHELF).cast("long"))
+    everything = everything.withColumn("shelf", F.expr("before div width"))
+    asked = everything.where(is_anchor).drop("shelf").withColumn("share", F.lit(1.0))
     asked = written(asked.join(small_side(windows, text_bytes=16 * F.size("lows")), "node"), "windows")
     mined = _certified(asked, everything, sent, negatives, same=False)
 

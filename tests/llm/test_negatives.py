@@ -94,6 +94,25 @@ def test_clusters_with_small_blocks(spark, monkeypatch, labels):
     assert mined(spark, rows, anchors=50) == brute(rows, 50)
 
 
+@pytest.mark.parametrize("labels", [1, 3])
+def test_an_anchor_goes_to_a_shelf_once(spark, monkeypatch, labels):
+    """What is sent of an anchor grows with the shelves and not with the many cells it visits."""
+    rows = clustered(1_500, 6, labels)
+    for name, value in (("BLOCK", 256), ("SHELF", 200), ("SENT", 3), ("PER_CELL", 4), ("PROBED", 2)):
+        monkeypatch.setattr(negatives, name, value)
+    sent, visiting = [], negatives._visiting
+
+    def counted(*a):
+        found = visiting(*a)
+        sent.append(found.groupBy("node").count().agg(F.max("count")).first()[0] or 0)
+        return found
+
+    monkeypatch.setattr(negatives, "_visiting", counted)
+    assert mined(spark, rows, anchors=50) == brute(rows, 50)
+    # Of 361 cells with 1,500 vectors.
+    assert len(sent) == 4 and 2 <= max(sent) <= 1 + 1_500 // 200
+
+
 def test_odd_rows(spark):
     rng = random.Random(5)
     rows = [(i, i % 3, [rng.choice([-1.0, 0.25, 0.5, 0.5, 2.0]) for _ in range(3)]) for i in range(60)]
