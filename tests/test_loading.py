@@ -1,3 +1,6 @@
+import time
+from pathlib import Path
+
 import pytest
 from conftest import FIRST, SECOND, column
 from pyspark.sql import functions as F
@@ -332,3 +335,105 @@ def test_an_upsert_leaves_no_batch_behind(spark, revisions, tmp_path, monkeypatc
     revision_table.upsert_table(spark, revisions.withColumn("seq", F.lit(1)), str(tmp_path / "t"), ["seq"])
     assert folders and not [f for f in folders if revision_table.folder_names(spark, f)]
     assert revision_table.read_revisions(spark, str(tmp_path / "t")).count() == revisions.count()
+
+
+def versions_on_disk(spark, path):
+    return {v.removeprefix("version=") for v in revision_table.folder_names(spark, f"{path}/data")}
+
+
+def test_the_disk_holds_two_states_at_most(spark, revisions, tmp_path):
+    """What the newest manifest does not name goes when a change begins, as do a lost writer's files."""
+    path = str(tmp_path / "table")
+    states, plain = [], revisions.drop(*diff_files.POSITION)
+    for n in range(4):
+        new = plain.withColumns({"namespace": F.lit(n), "seq": F.lit(n)})
+        revision_table.upsert_table(spark, new, path, ["seq"], width=10)
+        states.append({r[1] for r in revision_table._manifest(spark, path)[1]})
+        assert versions_on_disk(spark, path) <= set().union(*states[-2:]) | {v for v in versions_on_disk(spark, path) if n}
+        assert not versions_on_disk(spark, path) & set().union(set(), *states[:-2])
+        assert set(column(revision_table.read_revisions(spark, path), "namespace")) == {n}
+    before = revision_table.read_revisions(spark, path)
+    revision_table.append_table(spark, plain, path)
+    assert set(column(before, "namespace")) == {3}
+
+
+def test_a_batch_becomes_part_of_the_table(spark, revisions, tmp_path):
+    """Ranges in which nothing is replaced keep their files, and those of the batch are not written again."""
+    path = str(tmp_path / "table")
+    plain = many_revisions(spark, revisions, 100).drop(*diff_files.POSITION)
+    revision_table.upsert_table(spark, plain.withColumn("seq", F.lit(1)), path, ["seq"], width=70)
+    first = {r[0]: r[1] for r in revision_table._manifest(spark, path)[1]}
+    # The revision 7 again, and a new one in another range.
+    again = plain.where("rev_id IN (7, 350)").withColumns(
+        {"rev_id": F.when(F.col("rev_id") == 350, 351).otherwise(7), "title": F.lit("again"), "seq": F.lit(2)}
+    )
+    batch = revision_table.settle(again, path, ["seq"], keep_order=False)
+    revision_table.upsert_settled(spark, batch)
+    revision_table.unsettle(batch)
+    rows = revision_table._manifest(spark, path)[1]
+    assert set(batch.rows) <= set(rows)
+    assert {k for k, v in first.items() if (k, v) not in {r[:2] for r in rows}} == {0}
+    table = revision_table.read_revisions(spark, path)
+    assert sorted(column(table, "rev_id")) == sorted([n * 7 for n in range(100)] + [351])
+    assert column(table.where("title = 'again'"), "rev_id") == [7, 351]
+
+
+def test_older_versions_of_a_batch_stay_out(spark, revisions, tmp_path):
+    path = str(tmp_path / "table")
+    plain = revisions.drop(*diff_files.POSITION)
+
+    def upsert(namespace, seq):
+        new = plain.withColumns({"namespace": F.lit(namespace), "seq": F.expr(seq)})
+        revision_table.upsert_table(spark, new, path, ["seq"], width=1_000, keep_order=True)
+        return {r.rev_id: r.namespace for r in revision_table.read_revisions(spark, path).collect()}
+
+    assert upsert(1, "5") == {501: 1, 502: 1}
+    assert upsert(2, "if(rev_id = 501, 4, 6)") == {501: 1, 502: 2}
+    assert upsert(3, "3") == {501: 1, 502: 2}
+
+
+def test_texts_that_hunks_tell_are_not_shuffled(spark, revisions, tmp_path):
+    plain = revisions.drop(*diff_files.POSITION)
+    other = plain.withColumns({"rev_id": F.col("rev_id") + 100, "added": F.lit("of its own"), "removed": F.lit(None).cast("string")})
+    both = plain.unionByName(other)
+    lean = revision_table._lean(both)
+    assert column(lean.where("added IS NOT NULL"), "rev_id") == [601, 602]
+    assert sorted(map(str, revision_table._whole(lean).collect())) == sorted(map(str, both.collect()))
+    path = str(tmp_path / "table")
+    revision_table.write_revisions(both, path, width=10)
+    stored = revision_table.read_revisions(spark, path).select(*both.columns)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, both.collect()))
+
+
+def shuffled_bytes(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    paths = [Path(f) for f in files.mkString("\n").split("\n") if "/shuffle_" in f and f.endswith(".data")]
+    return {f: f.stat().st_size for f in paths if f.exists()}
+
+
+def test_writes_leave_no_shuffled_texts_behind(spark, revisions, tmp_path):
+    # In no order of ids, so that rows are shuffled; texts that do not compress.
+    text = F.sha2(F.col("rev_id").cast("string"), 512)
+    many = many_revisions(spark, revisions).withColumns({"title": text, "added": text}).repartition(8)
+    assert not revision_table._gathered(many.withColumn("id_range", revision_table.id_range(width=500)))
+    for write in (
+        lambda: revision_table._write_version(many, str(tmp_path / "table"), 500),
+    ):
+        before = set(shuffled_bytes(spark))
+        write()
+        end = time.time() + 20
+        # Small counts remain; what was written goes in the background.
+        while (left := sum(n for f, n in shuffled_bytes(spark).items() if f not in before)) > 20_000 and time.time() < end:
+            time.sleep(0.2)
+        assert left <= 20_000
+
+
+def test_rows_in_order_of_ids_are_not_shuffled(spark, revisions, tmp_path, monkeypatch):
+    monkeypatch.setattr(revision_table, "FILE_ROWS", 10)
+    many = many_revisions(spark, revisions)
+    ranged = many.withColumn("id_range", revision_table.id_range(width=500))
+    assert revision_table._gathered(ranged)
+    revision_table.write_revisions(many, str(tmp_path / "table"), width=500)
+    assert column(revision_table.read_revisions(spark, str(tmp_path / "table")), "rev_id") == column(many, "rev_id")
+    monkeypatch.setattr(revision_table, "FILE_ROWS", 100)
+    assert not revision_table._gathered(ranged)
