@@ -138,3 +138,27 @@ def test_input_files_are_bounded(spark, revisions):
         lines = spark.read.text(path).select("value", "_metadata.file_path")
         assert lines.count() == 80
         assert (lines.select("file_path").distinct().count() > 1) == (files > 1)
+
+
+def test_lines_are_packed_and_a_packed_batch_is_read_in_parts(spark, revisions, tmp_path, monkeypatch):
+    """One task reads a packed file; the batch is then written in row groups that tasks read apart."""
+    from checks.matching import write_lines
+
+    # Lines that differ, so that several row groups have bytes.
+    copies = revisions.crossJoin(spark.range(20_000)).withColumn("title", F.sha2(F.col("id").cast("string"), 512)).drop("id")
+    path = str(tmp_path / "lines")
+    write_lines(copies, path)
+    files = [f for f in Path(path).iterdir() if f.name.startswith("part-")]
+    assert [f.suffix for f in files] == [".gz"]
+    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
+    monkeypatch.setattr(jobs, "ROW_GROUP", 2**18)
+    monkeypatch.setattr(jobs, "work_path", lambda *_: str(tmp_path / "parts"))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(2**19))
+    try:
+        spread = jobs._spread(lines, str(tmp_path / "parts"))
+        sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+        assert lines.rdd.getNumPartitions() == 1 and len(sizes) > 1 and max(sizes) < 40_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert spread.exceptAll(lines).isEmpty() and lines.exceptAll(spread).isEmpty()
